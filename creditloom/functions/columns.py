@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,9 +49,8 @@ def count_edges(c: str | Column, edges: Sequence[float], inclusive: bool = False
     """How many of the ascending ``edges`` lie below the value (int, null for null).
 
     ``inclusive=False`` counts edges strictly below (right-closed bins),
-    ``inclusive=True`` counts edges at or below (left-closed bins). Up to
-    16 edges become a flat sum of comparisons, more become a balanced CASE tree,
-    so the cost per row is logarithmic and stays inside generated code.
+    ``inclusive=True`` counts edges at or below (left-closed bins). The edges form
+    a balanced CASE tree: logarithmic cost per row, inside generated code.
     """
     c = col(c)
     edges = [float(e) for e in edges]
@@ -62,8 +60,6 @@ def count_edges(c: str | Column, edges: Sequence[float], inclusive: bool = False
 
     if not edges:
         return F.when(c.isNotNull(), F.lit(0))
-    if len(edges) <= 16:
-        return reduce(lambda a, b: a + b, (above(e).cast("int") for e in edges))
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:

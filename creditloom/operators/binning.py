@@ -60,17 +60,34 @@ def bin_rows(df: DataFrame, bins: Mapping[str, Column], label: str) -> DataFrame
 
 
 def bin_counts(df: DataFrame, edges: Mapping[str, Sequence[float]], label: str) -> DataFrame:
-    """(feature, bin, n, n_events); bin is null where the feature is missing."""
+    """(feature, bin, n, n_events); bin is null where the feature is missing.
+
+    Values are stacked first and each row looks its edges up by feature number,
+    which keeps the generated code small however many features there are.
+    """
     usable = {f: e for f, e in edges.items() if len(e) > 1}
     if not usable:
         schema = "feature string, bin int, n long, n_events long"
         return df.sparkSession.createDataFrame([], schema)
-    bins = {f: bin_id(F.col(f).cast("double"), e) for f, e in usable.items()}
-    return (
-        bin_rows(df.where(F.col(label).isNotNull()), bins, label)
-        .groupBy("feature", "bin")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_events"))
+    names = list(usable)
+    width = max(len(e) for e in usable.values()) - 2
+    table = F.array(*[
+        F.array(*[F.lit(float(x)) for x in [*usable[f][1:-1], *[float("inf")] * (width + 2 - len(usable[f]))]]).cast("array<double>")
+        for f in names
+    ])
+    values = [F.col(f).cast("double").alias(f"_v{i}") for i, f in enumerate(names)]
+    parts = ", ".join(f"{i}, _v{i}" for i in range(len(names)))
+    rows = (
+        df.where(F.col(label).isNotNull()).select(F.col(label).cast("long").alias("y"), *values)
+        .selectExpr("y", f"stack({len(names)}, {parts}) as (f, v)")
+        .withColumn("_e", F.get(table, F.col("f")))
     )
+    bin_no = F.when(F.col("v").isNotNull(), F.lit(0))
+    for k in range(width):
+        bin_no = bin_no + (F.col("v") > F.get("_e", F.lit(k))).cast("int")
+    counted = rows.groupBy("f", bin_no.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_events"))
+    label_of = F.get(F.array(*[F.lit(f) for f in names]), F.col("f"))
+    return counted.select(label_of.alias("feature"), "bin", "n", "n_events")
 
 
 def evidence(counts: DataFrame, smoothing: str = "floor") -> DataFrame:

@@ -3,6 +3,8 @@
 from importlib import import_module
 
 FAMILIES = (
+    "cleaning_queries",
+    "feature_queries",
     "binning_queries",
 )
 

@@ -34,3 +34,25 @@ def binned(features: Sequence[str], n_bins: int = 10, keep: str = "default_flag
              CASE WHEN v IS NOT NULL THEN len(list_filter(e[2:len(e) - 1], lambda x: x < v)) END AS bin
              FROM lng JOIN edg ON lng.feature = edg.feature)
 """
+
+
+def clip(c: str, lo: float, hi: float) -> str:
+    return f"CASE WHEN {c} IS NOT NULL THEN greatest({dbl(lo)}, least({dbl(hi)}, {c})) END"
+
+
+def digest(*cols: str, seed: int = 42, width: int = 8) -> str:
+    parts = ", ".join(f"CAST({c} AS VARCHAR)" for c in cols)
+    return f"substr(md5(concat_ws('|', '{seed}', {parts})), 1, {width})"
+
+
+SPLIT = (
+    "CASE WHEN " + digest("application_id") + " < '99999999' THEN 'train' WHEN "
+    + digest("application_id") + " < 'cccccccc' THEN 'val' ELSE 'test' END"
+)
+
+
+def fold(k: int = 5) -> str:
+    """Fold number from the digest, cut at multiples of 1/k."""
+    cuts = [format(int(i / k * 4294967296), "08x") for i in range(1, k)]
+    h = digest("'fold'", "application_id")
+    return "(" + " + ".join(f"CASE WHEN {h} >= '{c}' THEN 1 ELSE 0 END" for c in cuts) + ")"
