@@ -5,6 +5,7 @@ from importlib import import_module
 FAMILIES = (
     "cleaning_queries",
     "feature_queries",
+    "window_queries",
     "binning_queries",
 )
 

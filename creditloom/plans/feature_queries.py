@@ -36,8 +36,8 @@ SQL = {
 }
 
 
-def _sql(*names: str) -> str:
-    return APPS + "SELECT application_id, " + ", ".join(f"round({SQL[n]}, 6) AS {n}" for n in names) + " FROM applications"
+def _sql(*names: str, dp: int = 6) -> str:
+    return APPS + "SELECT application_id, " + ", ".join(f"round({SQL[n]}, {dp}) AS {n}" for n in names) + " FROM applications"
 
 
 def _one(name: str, expr):
@@ -75,9 +75,9 @@ def amount_log(spark, sf):
     )
 
 
-@query("interactions", _sql("utilization_x_regularity", "salary_x_delinquencies"))
+@query("interactions", _sql("utilization_x_regularity", "salary_x_delinquencies", dp=10))
 def interactions(spark, sf):
-    return applications(spark, sf).select(ID, *[F.round(e, 6).alias(n) for n, e in X.interactions().items()])
+    return applications(spark, sf).select(ID, *[F.round(e, 10).alias(n) for n, e in X.interactions().items()])
 
 
 def _rounded(df):
