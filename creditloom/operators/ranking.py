@@ -33,8 +33,7 @@ def slice_edges(
     input partition.
     """
     spark = df.sparkSession
-    grid = [i / MAX_SLICES for i in range(1, MAX_SLICES)]
-    grid_col = F.array(*[F.lit(g) for g in grid])
+    grid_col = F.expr("array(" + ", ".join(f"{i / MAX_SLICES!r}D" for i in range(1, MAX_SLICES)) + ")")
     part = (
         df.select(C.col(value).cast("double").alias("v"), (F.spark_partition_id() % 64).alias("s"))
         .where("v is not null")

@@ -7,6 +7,8 @@ FAMILIES = (
     "feature_queries",
     "window_queries",
     "binning_queries",
+    "metric_queries",
+    "calibration_queries",
 )
 
 

@@ -56,3 +56,25 @@ def fold(k: int = 5) -> str:
     cuts = [format(int(i / k * 4294967296), "08x") for i in range(1, k)]
     h = digest("'fold'", "application_id")
     return "(" + " + ".join(f"CASE WHEN {h} >= '{c}' THEN 1 ELSE 0 END" for c in cuts) + ")"
+
+
+def cells(by: str = "model", source: str = "long_scores", score: str = "score", label: str = "label", tag: str = "") -> str:
+    """CTE cu<tag>: score cells with counts below and totals per group."""
+    part = f"PARTITION BY {by}" if by else ""
+    keys = f"{by}, " if by else ""
+    return f"""
+, ce{tag} AS (SELECT {keys}{score} AS score, sum({label})::BIGINT AS pos, sum(1 - {label})::BIGINT AS neg FROM {source} GROUP BY ALL)
+, cu{tag} AS (SELECT *, coalesce(sum(pos) OVER w, 0)::BIGINT AS pb, coalesce(sum(neg) OVER w, 0)::BIGINT AS nb,
+                   (sum(pos) OVER ({part}))::BIGINT AS P, (sum(neg) OVER ({part}))::BIGINT AS N FROM ce{tag}
+            WINDOW w AS ({part} ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+, rt{tag} AS (SELECT *, P - pb AS tp, N - nb AS fp, (P - pb) / nullif(P, 0)::DOUBLE AS tpr, (N - nb) / nullif(N, 0)::DOUBLE AS fpr FROM cu{tag})
+"""
+
+
+AUC = "sum(pos::DOUBLE * (nb + neg / 2e0)) / nullif(max(P)::DOUBLE * max(N), 0)"
+KS = "greatest(0e0, max(tpr - fpr))"
+BRIER = "sum(pos * (1 - score) * (1 - score) + neg * score * score) / (max(P) + max(N))"
+_EPS = "2.220446049250313e-16"
+LOGLOSS = (
+    f"sum(-pos * ln(greatest({_EPS}, least(1 - {_EPS}, score))) - neg * ln(1 - greatest({_EPS}, least(1 - {_EPS}, score)))) / (max(P) + max(N))"
+)
