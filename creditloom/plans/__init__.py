@@ -9,6 +9,8 @@ FAMILIES = (
     "binning_queries",
     "metric_queries",
     "calibration_queries",
+    "model_queries",
+    "attribution_queries",
 )
 
 
