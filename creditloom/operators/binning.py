@@ -124,10 +124,18 @@ def evidence(counts: DataFrame, smoothing: str = "floor") -> DataFrame:
 
 
 def woe_iv_table(
-    df: DataFrame, features: Sequence[str], label: str = S.TARGET, n_bins: int = 10, mode: str = "exact"
+    df: DataFrame, features: Sequence[str], label: str = S.TARGET, n_bins: int = 10, mode: str = "exact",
+    width: bool = False,
 ) -> DataFrame:
-    """Bin-level table of every feature; a constant feature has no rows."""
-    return evidence(bin_counts(df, quantile_edges(df, features, n_bins, label, mode), label))
+    """Bin-level table of every feature; a constant feature has no rows.
+
+    ``width`` takes evenly spaced instead of equal-frequency bins.
+    """
+    if width:
+        edges = {f: e for f, e in equal_width_edges(df, features, n_bins).items() if e}
+    else:
+        edges = quantile_edges(df, features, n_bins, label, mode)
+    return evidence(bin_counts(df, edges, label))
 
 
 def iv_totals(table: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -19,14 +19,13 @@ LITERAL_CATEGORIES = 1000
 def dedupe(df: DataFrame, key: str | Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """One row per key, the first by ``order``.
 
-    The first row is found by an aggregate, so copies of a hot key are reduced
-    before the shuffle; a row_number window would carry them all to one task.
+    The rank filter is applied per input partition before the shuffle
+    (WindowGroupLimit in the plan), so each task sends one row per key and the
+    copies of a hot key never meet.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    rest = [c for c in df.columns if c not in keys]
-    rank = F.struct(*[C.col(o).alias(f"o{i}") for i, o in enumerate(order)])
-    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), rank).alias("_row"))
-    return best.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    first = Window.partitionBy(*keys).orderBy(*[C.col(o) for o in order])
+    return df.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
 
 
 def clip_columns(df: DataFrame, bounds: Mapping[str, tuple[float | None, float | None]] = S.CLIP_BOUNDS) -> DataFrame:
@@ -122,7 +121,7 @@ def target_encode_oof(
     """Mean label of the category over the other folds (all folds if alone)."""
     rows = df.withColumn("fold", fold_of(k, seed, key))
     parts = rows.groupBy(column, "fold").agg(F.sum(F.col(label).cast("long")).alias("_s"), F.count(label).alias("_n"))
-    cat, all_rows = Window.partitionBy(column), Window.partitionBy(F.lit(0))
+    cat = Window.partitionBy(column)
     table = parts.select(
         F.col(column).alias("_c"), F.col("fold").alias("_f"),
         (F.sum("_s").over(cat) - F.col("_s")).alias("_so"), (F.sum("_n").over(cat) - F.col("_n")).alias("_no"),

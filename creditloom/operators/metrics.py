@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom import schema as S
 from creditloom.functions import columns as C
-from creditloom.operators.ranking import cumulative_cells
+from creditloom.operators.ranking import cumulative_cells, with_group_values
 
 POINT_METRICS = ("auc", "gini", "ks_statistic", "brier_score", "log_loss")
 
@@ -79,30 +79,33 @@ def compare_models(results: Sequence[DataFrame]) -> DataFrame:
 
 def roc_points(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ("model",)) -> DataFrame:
     """Every threshold with its rates, the origin at threshold infinity, AUC and Gini."""
-    cells = cumulative_cells(df, label, score, by)
-    points = _with_rates(cells).select(*by, F.col("score").alias("threshold"), "fpr", "tpr")
-    summary = metrics_of_cells(cells, by).select(*by, "auc", "gini")
-    origin = summary.select(*by, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    return points.unionByName(origin).join(summary, list(by))
+    cells = _with_rates(cumulative_cells(df, label, score, by, keep_slice=True))
+    won = F.sum(_d("pos") * (_d("neg_below") + _d("neg") / 2.0))
+    all_cells = with_group_values(cells, by, {"_won": won}, {"_won": F.sum})
+    auc = F.try_divide(F.col("_won"), _d("pos_total") * _d("neg_total"))
+    point = F.struct(F.col("score").alias("threshold"), "fpr", "tpr")
+    origin = F.struct(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    # The lowest score of a group also carries the origin.
+    is_first = (F.col("pos_below") == 0) & (F.col("neg_below") == 0)
+    points = F.explode(F.when(is_first, F.array(point, origin)).otherwise(F.array(point)))
+    return all_cells.select(*by, points.alias("_p"), auc.alias("auc")).select(
+        *by, "_p.threshold", "_p.fpr", "_p.tpr", "auc", (F.col("auc") * 2.0 - 1.0).alias("gini")
+    )
 
 
 def ks_curve(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ("model",)) -> DataFrame:
     """Class distribution functions at every score, with KS and its highest threshold."""
-    cells = cumulative_cells(df, label, score, by)
-    points = cells.select(
+    cells = _with_rates(cumulative_cells(df, label, score, by, keep_slice=True))
+    gap = F.round(F.col("tpr") - F.col("fpr"), 12)
+    best = F.max(F.struct(gap.alias("g"), F.col("score").alias("t")))
+    rows = with_group_values(cells, by, {"_b": best}, {"_b": F.max})
+    return rows.select(
         *by, "score",
         F.try_divide(F.col("pos_below") + F.col("pos"), F.col("pos_total")).alias("cdf_default"),
         F.try_divide(F.col("neg_below") + F.col("neg"), F.col("neg_total")).alias("cdf_non_default"),
+        F.greatest(F.col("_b.g"), F.lit(0.0)).alias("ks"),
+        F.when(F.col("_b.g") > 0, F.col("_b.t")).otherwise(F.lit(float("inf"))).alias("ks_threshold"),
     )
-    gap = F.round(F.col("tpr") - F.col("fpr"), 12)
-    best = (
-        _with_rates(cells).groupBy(*by).agg(F.max(F.struct(gap.alias("g"), F.col("score").alias("t"))).alias("b"))
-        .select(
-            *by, F.greatest(F.col("b.g"), F.lit(0.0)).alias("ks"),
-            F.when(F.col("b.g") > 0, F.col("b.t")).otherwise(F.lit(float("inf"))).alias("ks_threshold"),
-        )
-    )
-    return points.join(best, list(by))
 
 
 def pr_points(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ("model",)) -> DataFrame:
@@ -140,20 +143,18 @@ def confusion_counts(df: DataFrame, label: str = "label", score: str = "score",
 def score_histogram(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ("model",), bins: int = 50) -> DataFrame:
     """Density in equal-width bins, each class over its own range.
 
-    Scores collapse to cells first; the range of a class is a small table
-    joined back on its keys.
+    Scores collapse to cells and are spread over digest slices, so the range of
+    a class reaches its cells without bringing the class together.
     """
-    cells = df.where(F.col(score).isNotNull()).groupBy(*by, label, F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_c"))
-    ends = cells.groupBy(*by, label).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"), F.sum("_c").alias("_n"))
+    keys = [*by, label]
+    cells = df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_c"))
+    sliced = cells.withColumn("_slice", F.pmod(F.xxhash64("_s"), F.lit(256)))
+    ends = {"_lo": F.min("_s"), "_hi": F.max("_s"), "_n": F.sum("_c")}
+    rows = with_group_values(sliced, keys, ends, {"_lo": F.min, "_hi": F.max, "_n": F.sum})
     width = (F.col("_hi") - F.col("_lo")) / float(bins)
     slot = F.least(F.floor(F.try_divide(F.col("_s") - F.col("_lo"), width)), F.lit(bins - 1)).cast("int")
-    return (
-        cells.join(ends, [*by, label])
-        .groupBy(*by, label, F.coalesce(slot, F.lit(0)).alias("bin"))
-        .agg(
-            F.sum("_c").alias("n_rows"),
-            F.try_divide(F.sum("_c"), F.max("_n") * F.max(width)).alias("density"),
-        )
+    return rows.groupBy(*keys, F.coalesce(slot, F.lit(0)).alias("bin")).agg(
+        F.sum("_c").alias("n_rows"), F.try_divide(F.sum("_c"), F.max("_n") * F.max(width)).alias("density")
     )
 
 

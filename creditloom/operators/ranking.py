@@ -9,7 +9,7 @@ and hot groups are spread over the slices.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,6 +64,7 @@ def prefix_sums(
     sums: Sequence[str],
     by: Sequence[str] = (),
     edges: Sequence[float] = (),
+    keep_slice: bool = False,
 ) -> DataFrame:
     """Add ``<s>_below`` (total over strictly smaller values) and ``<s>_total``.
 
@@ -89,11 +90,28 @@ def prefix_sums(
     joined = run.join(offsets, [*by, "_slice"])
     return joined.select(
         *cells.columns,
+        *(["_slice"] if keep_slice else []),
         *[(F.col(f"_in_{s}") + F.col(f"_off_{s}")).alias(f"{s}_below") for s in sums],
         *[F.col(f"{s}_total") for s in sums],
     )
 
 
+def with_group_values(
+    sliced: DataFrame, by: Sequence[str], per_slice: Mapping[str, Column], combine: Mapping[str, Callable[[str], Column]]
+) -> DataFrame:
+    """Give every row a value of its whole group without bringing the group together.
+
+    ``per_slice`` aggregates a (group, slice), ``combine`` turns these into the
+    group's value over a table of one row per slice; the join back is on (group,
+    slice), by which ``sliced`` is partitioned already.
+    """
+    by = list(by)
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    small = sliced.groupBy(*by, "_slice").agg(*[e.alias(n) for n, e in per_slice.items()])
+    values = small.select(*by, "_slice", *[combine[n](n).over(group).alias(n) for n in per_slice])
+    return sliced.join(values, [*by, "_slice"])
+
+
 def score_cells(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """One row per (by, score) with the counts of positives and negatives."""
     y = F.col(label).cast("long")
@@ -105,11 +123,12 @@ def score_cells(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -
 
 
 def cumulative_cells(
-    df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = (), slices: int | None = None
+    df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = (), slices: int | None = None,
+    keep_slice: bool = False,
 ) -> DataFrame:
     """Score cells with the counts below them; the base of every rank metric."""
     edges = slice_edges(df, score, slices)
-    return prefix_sums(score_cells(df, label, score, by), "score", ["pos", "neg"], by, edges)
+    return prefix_sums(score_cells(df, label, score, by), "score", ["pos", "neg"], by, edges, keep_slice)
 
 
 def row_ranks(

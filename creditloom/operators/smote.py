@@ -173,6 +173,7 @@ def smote(
     points = minority.groupBy(F.array(*[F.col(f).cast("double") for f in features]).alias("x")).agg(
         F.min(F.col(key).cast("long")).alias("id"), F.count(F.lit(1)).alias("m")
     ).select("id", "x", "m")
+    points = stage(points, "minority-points")  # counted, sampled and searched
     near = nearest_neighbours(points, k, box_rows, seed)
     # Row r of a point makes floor(per_row) rows and one more with the rest as chance.
     whole, rest = int(per_row), per_row - int(per_row)

@@ -108,7 +108,7 @@ class CreditModel:
 
         try:
             with ThreadPool(min(self.folds, self.parallelism)) as pool:
-                return pool.map(inheritable_thread_target(one), range(self.folds))
+                return pool.map(inheritable_thread_target(data.sparkSession)(one), range(self.folds))
         finally:
             folded.unpersist()
 

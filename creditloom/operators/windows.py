@@ -140,40 +140,40 @@ def merchant_diversity(points: DataFrame, daily: DataFrame, category: str) -> Da
 
 def engagement(
     events: DataFrame, entity: str, ts: str, kind: str, gap_seconds: int = 1800,
-    weights: tuple[float, float, float] = (1.0, 1.0, 1.0),
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0), block: str = "hour",
 ) -> DataFrame:
     """Sessions, time in session and breadth of use per entity.
 
     A pause longer than the gap starts a session. Pauses are taken inside
-    (entity, day); the first event of a day is linked to the last event of the
-    previous active day through a table of one row per entity and day, so no
-    task orders the whole history of one entity.
+    (entity, time block); the first event of a block is linked to the last event
+    of the previous active block through a table of one row per entity and
+    block, so no task orders the whole history of one entity.
     """
-    t = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    rows = events.select(F.col(entity).alias("entity"), t.alias("t"), F.to_date(ts).alias("day"), F.col(kind).alias("kind"))
-    in_day = Window.partitionBy("entity", "day").orderBy("t")
-    pause = F.col("t") - F.lag("t").over(in_day)
-    stepped = rows.withColumn("pause", pause)
+    stamp = F.col(ts).cast("timestamp")
+    rows = events.where(F.col(ts).isNotNull()).select(
+        F.col(entity).alias("entity"), (F.unix_micros(stamp) / 1e6).alias("t"), F.date_trunc(block, stamp).alias("block"), F.col(kind).alias("kind")
+    )
+    in_block = Window.partitionBy("entity", "block").orderBy("t")
+    stepped = rows.withColumn("pause", F.col("t") - F.lag("t").over(in_block))
     long_pause = F.col("pause") > gap_seconds
-    daily = stepped.groupBy("entity", "day").agg(
+    blocks = stepped.groupBy("entity", "block").agg(
         F.min("t").alias("first"), F.max("t").alias("last"), F.count(F.lit(1)).alias("n"),
         F.sum(F.when(long_pause, 1).otherwise(0)).alias("starts"),
         F.sum(F.when(~long_pause, F.col("pause")).otherwise(0.0)).alias("active"),
-        F.collect_set("kind").alias("kinds"),
     )
-    link = F.col("first") - F.lag("last").over(Window.partitionBy("entity").orderBy("day"))
-    linked = daily.withColumn("link", link)
+    link = F.col("first") - F.lag("last").over(Window.partitionBy("entity").orderBy("block"))
+    linked = blocks.withColumn("link", link)
     fresh = F.col("link").isNull() | (F.col("link") > gap_seconds)
-    out = linked.groupBy("entity").agg(
+    use = linked.groupBy("entity").agg(
         F.sum("n").alias("n_events"),
         F.sum(F.col("starts") + fresh.cast("int")).alias("n_sessions"),
         F.sum(F.col("active") + F.when(~fresh, F.col("link")).otherwise(0.0)).alias("session_seconds"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("breadth"),
     )
+    breadth = rows.groupBy("entity").agg(F.count_distinct("kind").alias("breadth"))
     mean = F.col("session_seconds") / F.col("n_sessions")
     w = [float(x) for x in weights]
     score = F.log1p("n_sessions") * w[0] + F.log1p(mean) * w[1] + F.col("breadth") * w[2]
-    return out.select("*", mean.alias("avg_session_seconds"), score.alias("engagement"))
+    return use.join(breadth, "entity").select("*", mean.alias("avg_session_seconds"), score.alias("engagement"))
 
 
 def default_label(

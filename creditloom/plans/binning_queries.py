@@ -122,7 +122,7 @@ def woe_transform(spark, sf):
 @query(
     "lookup_join",
     APPS + binned(FEATURES[:7], keep="default_flag AS y, application_id", kept="y, application_id") + _ADD + """
-SELECT b.feature, b.bin, count(*) AS n_rows, round(avg(coalesce(w.woe, 0e0)), 6) AS woe
+SELECT b.feature, coalesce(b.bin, -1) AS bin, count(*) AS n_rows, round(avg(coalesce(w.woe, 0e0)), 6) AS woe
 FROM binned b LEFT JOIN woe w ON b.feature = w.feature AND b.bin = w.bin GROUP BY b.feature, b.bin
 """,
 )
@@ -135,7 +135,7 @@ def lookup_join(spark, sf):
     bins = {f: B.bin_id(F.col(f), e) for f, e in edges.items()}
     coded = B.bin_rows(df, bins, S.TARGET).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n_rows"))
     return coded.join(params, ["feature", "bin"], "left").select(
-        "feature", "bin", "n_rows", F.round(F.coalesce("woe", F.lit(0.0)), 6).alias("woe")
+        "feature", F.coalesce("bin", F.lit(-1)).alias("bin"), "n_rows", F.round(F.coalesce("woe", F.lit(0.0)), 6).alias("woe")
     )
 
 

@@ -36,14 +36,18 @@ SQL = {
 }
 
 
-def _sql(*names: str, dp: int = 6) -> str:
-    return APPS + "SELECT application_id, " + ", ".join(f"round({SQL[n]}, {dp}) AS {n}" for n in names) + " FROM applications"
+# Places after the point; products of short decimals need more to stay off ties.
+PLACES = {"cic_dual_leverage": 10, "utilization_x_regularity": 10, "salary_x_delinquencies": 10}
+
+
+def _sql(*names: str) -> str:
+    return APPS + "SELECT application_id, " + ", ".join(f"round({SQL[n]}, {PLACES.get(n, 6)}) AS {n}" for n in names) + " FROM applications"
 
 
 def _one(name: str, expr):
     @query(name if name not in _KEYS else _KEYS[name], _sql(name))
     def run(spark, sf):
-        return applications(spark, sf).select(ID, F.round(expr(), 6).alias(name))
+        return applications(spark, sf).select(ID, F.round(expr(), PLACES.get(name, 6)).alias(name))
 
     return run
 
@@ -75,17 +79,17 @@ def amount_log(spark, sf):
     )
 
 
-@query("interactions", _sql("utilization_x_regularity", "salary_x_delinquencies", dp=10))
+@query("interactions", _sql("utilization_x_regularity", "salary_x_delinquencies"))
 def interactions(spark, sf):
     return applications(spark, sf).select(ID, *[F.round(e, 10).alias(n) for n, e in X.interactions().items()])
 
 
 def _rounded(df):
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.round(c, PLACES.get(c, 6)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def _built(group, derived) -> str:
-    cols = [f"round({c}, 6) AS {c}" for c in group] + [f"round({SQL[c]}, 6) AS {c}" for c in derived]
+    cols = [f"round({c}, 6) AS {c}" for c in group] + [f"round({SQL[c]}, {PLACES.get(c, 6)}) AS {c}" for c in derived]
     return APPS + "SELECT application_id, default_flag, " + ", ".join(cols) + " FROM applications"
 
 

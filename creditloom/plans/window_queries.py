@@ -36,7 +36,7 @@ def _behaviour(spark, sf):
 @query(
     "assemble_applications",
     """
-SELECT o.o_orderkey AS application_id, o_orderpriority, b.num_lines, round(b.sum_qty, 2) AS sum_qty, e.n_events, round(e.spend, 2) AS spend
+SELECT o.o_orderkey AS application_id, o_orderpriority, b.num_lines::DOUBLE AS num_lines, round(b.sum_qty, 2) AS sum_qty, e.n_events::DOUBLE AS n_events, round(e.spend, 2) AS spend
 FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) AS num_lines, sum(l_quantity) AS sum_qty FROM lineitem GROUP BY l_orderkey) b ON b.l_orderkey = o.o_orderkey
 LEFT JOIN (SELECT user_id, count(*) AS n_events, sum(value) AS spend FROM events GROUP BY user_id) e ON e.user_id = o.o_custkey
 """,
@@ -44,10 +44,10 @@ LEFT JOIN (SELECT user_id, count(*) AS n_events, sum(value) AS spend FROM events
 def assemble_applications(spark, sf):
     form = table(spark, sf, "orders").select(F.col("o_orderkey").alias(S.ID), "o_custkey", "o_orderpriority")
     bureau = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias(S.ID)).agg(
-        F.count(F.lit(1)).alias("num_lines"), F.round(F.sum("l_quantity"), 2).alias("sum_qty")
+        F.count(F.lit(1)).cast("double").alias("num_lines"), F.round(F.sum("l_quantity"), 2).alias("sum_qty")
     )
     digital = table(spark, sf, "events").groupBy(F.col("user_id").alias("o_custkey")).agg(
-        F.count(F.lit(1)).alias("n_events"), F.round(F.sum("value"), 2).alias("spend")
+        F.count(F.lit(1)).cast("double").alias("n_events"), F.round(F.sum("value"), 2).alias("spend")
     )
     return W.assemble(W.assemble(form, digital, key="o_custkey"), bureau).drop("o_custkey")
 

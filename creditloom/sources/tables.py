@@ -106,6 +106,9 @@ def write_predictions(
     return out
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str | None:
     """The folder all executors see, as the cluster names it.
 
@@ -115,8 +118,10 @@ def shared_folder(spark: SparkSession) -> str | None:
     if not named:
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named and spark.sparkContext.master.startswith("local"):
-        named = tempfile.mkdtemp(prefix="creditloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        app = spark.sparkContext.applicationId
+        if app not in _local_folders:
+            _local_folders[app] = tempfile.mkdtemp(prefix="creditloom-")
+        named = _local_folders[app]
     return named.rstrip("/") if named else None
 
 
