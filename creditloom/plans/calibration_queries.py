@@ -147,9 +147,22 @@ def correlation_filter(spark, sf):
     return R.correlation_filter(R.correlation_pairs(applications(spark, sf), _C))
 
 
-@query("vif")
+_V = ["cic_num_delinquencies", "cic_payment_history_score", "cic_num_active_accounts"]
+
+
+@query(
+    "vif",
+    APPS + f"""
+, c AS (SELECT corr({_V[0]}, {_V[1]}) AS a, corr({_V[0]}, {_V[2]}) AS b, corr({_V[1]}, {_V[2]}) AS c
+        FROM applications WHERE {_V[0]} IS NOT NULL AND {_V[1]} IS NOT NULL AND {_V[2]} IS NOT NULL)
+, d AS (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS det FROM c)
+SELECT '{_V[0]}' AS feature, round((1 - c * c) / det, 6) AS vif FROM d
+UNION ALL SELECT '{_V[1]}', round((1 - b * b) / det, 6) FROM d UNION ALL SELECT '{_V[2]}', round((1 - a * a) / det, 6) FROM d
+""",
+)
 def vif(spark, sf):
-    return R.vif(applications(spark, sf), ["cic_num_delinquencies", "cic_payment_history_score", "cic_credit_utilization", "txn_frequency_30d", "txn_frequency_90d"])
+    """Three features, so that the inverse has a closed form in SQL."""
+    return _r(R.vif(applications(spark, sf), _V), 6)
 
 
 _DF = ["cic_num_delinquencies", "age_at_application", "mobile_app_engagement_score"]

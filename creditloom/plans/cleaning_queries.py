@@ -71,14 +71,16 @@ def range_check(spark, sf):
 
 @query(
     "dedupe_applications",
-    """SELECT l_orderkey, l_linenumber, l_shipdate, l_partkey, round(l_extendedprice, 2) AS l_extendedprice FROM (
+    """SELECT l_orderkey, l_linenumber, l_shipdate::DATE::VARCHAR AS l_shipdate, l_partkey, round(l_extendedprice, 2) AS l_extendedprice FROM (
        SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
               ORDER BY l_shipdate, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem) WHERE rn = 1""",
 )
 def dedupe_applications(spark, sf):
     line = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice")
     out = K.dedupe(line, ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"])
-    return out.drop("l_suppkey").withColumn("l_extendedprice", F.round("l_extendedprice", 2))
+    return out.drop("l_suppkey").withColumns({
+        "l_shipdate": F.to_date("l_shipdate").cast("string"), "l_extendedprice": F.round("l_extendedprice", 2),
+    })
 
 
 _CLIPPED = [f"round({clip(c, *b)}, 6) AS {c}" for c, b in S.CLIP_BOUNDS.items()]

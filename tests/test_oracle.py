@@ -22,7 +22,7 @@ def test_matches_sql(spark, sf_dir, con, name):
     assert compare(QUERIES[name](spark, sf_dir), con, ORACLES[name]) in (None, "no rows")
 
 
-@pytest.mark.parametrize("name", ["vif", "min_bin_merge", "bootstrap_ci", "coefficients", "tree_importance", "attribution_tree", "smote"])
+@pytest.mark.parametrize("name", ["min_bin_merge", "bootstrap_ci", "coefficients", "tree_importance", "attribution_tree", "smote"])
 def test_rows_only(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).limit(1).collect()
 
