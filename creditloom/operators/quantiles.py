@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMALL = 1_000_000
+SMALL = 300_000
 _CELL_BUDGET = 200_000
 
 
@@ -102,28 +102,37 @@ def _narrow(narrow: DataFrame, zones: dict[int, list[_Zone]]) -> dict[int, list[
     open_zones = sum(len(z) for z in zones.values())
     cells = max(16, min(1024, _CELL_BUDGET // open_zones))
     active = [i for i, z in zones.items() if z]
-    picked = []
-    for i in active:
-        x = F.col(f"_{i}")
-        cell = None
-        for k, z in enumerate(zones[i]):
-            step = F.floor((x - F.lit(z.lo)) / F.lit(z.hi - z.lo) * F.lit(float(cells)))
-            at = F.lit(k * cells).cast("long") + F.least(step, F.lit(cells - 1))
-            inside = x.between(z.lo, z.hi)
-            cell = F.when(inside, at) if cell is None else cell.when(inside, at)
-        picked += [x.alias(f"v{i}"), cell.alias(f"c{i}")]
-    parts = ", ".join(f"{i}, c{i}, v{i}" for i in active)
+    width = max(len(zones[i]) for i in active)
+
+    def bounds(pick) -> Column:
+        """Zone bounds by column number; columns with fewer zones end in infinity."""
+        rows = [[pick(z) for z in zones[i]] for i in active]
+        return F.expr("array(" + ", ".join(
+            "array(" + ", ".join([f"{v!r}D" for v in r] + ["double('infinity')"] * (width - len(r))) + ")" for r in rows
+        ) + ")")
+
+    parts = ", ".join(f"{k}, _{i}" for k, i in enumerate(active))
+    v, f = F.col("v"), F.col("f")
     rows = (
-        narrow.select(*picked)
-        .selectExpr(f"stack({len(active)}, {parts}) as (f, c, v)")
-        .where("c is not null")
-        .groupBy("f", "c")
+        narrow.selectExpr(f"stack({len(active)}, {parts}) as (f, v)").where("v is not null")
+        .withColumn("_l", F.get(bounds(lambda z: z.lo), f)).withColumn("_h", F.get(bounds(lambda z: z.hi), f))
+    )
+    zone = F.lit(-1)
+    for k in range(width):
+        zone = zone + (v >= F.get("_l", F.lit(k))).cast("int")
+    placed = (
+        rows.withColumn("z", zone).where("z >= 0")
+        .withColumn("lo", F.get("_l", F.col("z"))).withColumn("hi", F.get("_h", F.col("z"))).where("v <= hi")
+    )
+    step = F.floor((v - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(float(cells)))
+    counted = (
+        placed.groupBy("f", (F.col("z").cast("long") * cells + F.least(step, F.lit(cells - 1))).alias("c"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         .collect()
     )
     by_zone: dict[tuple[int, int], list] = {}
-    for r in sorted(rows, key=lambda r: (r["f"], r["c"])):
-        by_zone.setdefault((r["f"], r["c"] // cells), []).append(r)
+    for r in sorted(counted, key=lambda r: (r["f"], r["c"])):
+        by_zone.setdefault((active[r["f"]], r["c"] // cells), []).append(r)
     out: dict[int, list[_Zone]] = {i: [] for i in zones}
     for i in active:
         for k, z in enumerate(zones[i]):
