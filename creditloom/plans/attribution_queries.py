@@ -144,14 +144,12 @@ def adverse_action_top3(spark, sf):
 
 @query("attribution_tree")
 def attribution_tree(spark, sf):
-    """Contributions of the boosted model on all test rows, in log-odds."""
+    """Contributions of the boosted model to every application, in log-odds."""
     model = fitted(spark, sf, "boosted").members[0][0]
-    rows = cleaned(spark, sf).where("split = 'test'")
-    return A.long_form(explain_trees(rows, model, FEATURES)).select(ID, "feature", F.round("phi", 8).alias("phi"))
+    return A.long_form(explain_trees(cleaned(spark, sf), model, FEATURES)).select(ID, "feature", F.round("phi", 8).alias("phi"))
 
 
 @query("tree_group_attribution")
 def tree_group_attribution(spark, sf):
     model = fitted(spark, sf, "boosted").members[0][0]
-    rows = cleaned(spark, sf).where("split = 'test'")
-    return A.group_by_prefix(A.mean_abs(explain_trees(rows, model, FEATURES)))
+    return A.group_by_prefix(A.mean_abs(explain_trees(cleaned(spark, sf), model, FEATURES)))

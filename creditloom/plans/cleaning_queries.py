@@ -213,13 +213,13 @@ _FLAGS = ", ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END AS {c}_missing" for
     APPS + ", c AS (SELECT application_id, segment, " + ", ".join(f"{_CL[c]} AS {c}" for c in NUM) + " FROM applications)"
     + ", m AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.5::DOUBLE) AS m_{c}" for c in NUM) + f" FROM c WHERE {SPLIT} = 'train')"
     + " SELECT application_id, segment, " + ", ".join(f"round(coalesce({c}, m_{c}), 6) AS {c}" for c in NUM)
-    + f", {_FLAGS} FROM c, m WHERE {SPLIT} = 'test'",
+    + f", {_FLAGS}, {SPLIT} AS split FROM c, m",
 )
 def clean_pipeline(spark, sf):
     df = applications(spark, sf).select(ID, "segment", "employment_type", S.TARGET, *NUM)
     parts = P.stratified_split(df)
     model = K.CreditCleaner().fit(parts.where("split = 'train'"))
-    out = model.transform(parts.where("split = 'test'")).drop("split")
+    out = model.transform(parts)
     return out.select(*[F.round(c, 6).alias(c) if c in NUM else F.col(c) for c in out.columns])
 
 

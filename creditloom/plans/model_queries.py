@@ -51,16 +51,15 @@ def fitted(spark, sf, name: str):
 
 
 def _scored(spark, sf, name):
-    df = cleaned(spark, sf).where("split = 'test'")
-    return fitted(spark, sf, name).transform(df).select(ID, S.TARGET, F.round("pd", 6).alias("pd"))
+    """Every application scored, with the split it belongs to."""
+    out = fitted(spark, sf, name).transform(cleaned(spark, sf))
+    return out.select(ID, S.TARGET, "split", F.round("pd", 6).alias("pd"))
 
 
 @query("model_contract")
 def model_contract(spark, sf):
-    model = fitted(spark, sf, "logistic_plain")
-    df = cleaned(spark, sf).where("split = 'test'")
-    scored = model.predict(df)
-    return scored.groupBy("predicted").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("pd").alias("mean_pd"))
+    scored = fitted(spark, sf, "logistic_plain").predict(cleaned(spark, sf))
+    return scored.groupBy("split", "predicted").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("pd").alias("mean_pd"))
 
 
 @query("train_logistic")
@@ -85,10 +84,9 @@ def train_forest(spark, sf):
 
 @query("isotonic_calibration")
 def isotonic_calibration(spark, sf):
+    """Discrimination of the calibrated forest per split."""
     df = _scored(spark, sf, "forest")
-    return df.select(F.col(S.TARGET).alias("label"), F.lit("forest").alias("model"), F.col("pd").alias("score")).transform(
-        lambda d: M.evaluate_model(d)
-    )
+    return M.evaluate_model(df.select(F.col(S.TARGET).alias("label"), "split", F.col("pd").alias("score")), by=["split"])
 
 
 @query("train_boosted")
@@ -117,8 +115,7 @@ def tune(spark, sf):
 
 @query("score_table")
 def score_table(spark, sf):
-    df = cleaned(spark, sf).where("split = 'test'")
-    return fitted(spark, sf, "logistic").credit_scores(df).select(ID, F.round("pd", 6).alias("pd"), "credit_score")
+    return fitted(spark, sf, "logistic").credit_scores(cleaned(spark, sf)).select(ID, F.round("pd", 6).alias("pd"), "credit_score")
 
 
 @query("write_predictions")
@@ -126,7 +123,7 @@ def write_predictions(spark, sf):
     import uuid
 
     parts = [
-        _scored(spark, sf, n).select(ID, F.col(S.TARGET).alias("label"), F.lit(n).alias("model"), F.col("pd").alias("score"))
+        _scored(spark, sf, n).select(ID, F.col(S.TARGET).alias("label"), "split", F.lit(n).alias("model"), F.col("pd").alias("score"))
         for n in ("logistic_plain", "boosted")
     ]
     scored = parts[0].unionByName(parts[1])
@@ -142,6 +139,13 @@ def bootstrap_ci(spark, sf):
     return Z.bootstrap_ci(long_scores(spark, sf), iterations=1000)
 
 
+@query("evaluate_model_ci")
+def evaluate_model_ci(spark, sf):
+    """The report row with its interval columns."""
+    df = long_scores(spark, sf)
+    return M.evaluate_model(df, intervals=Z.bootstrap_ci(df, iterations=1000))
+
+
 @query("stratified_bootstrap")
 def stratified_bootstrap(spark, sf):
     return Z.bootstrap_ci(long_scores(spark, sf), iterations=1000, stratified=True)

@@ -72,3 +72,36 @@ def test_sessions_cross_midnight(spark):
     r = {x["entity"]: x for x in out.collect()}
     assert (r[1]["n_sessions"], r[1]["session_seconds"], r[1]["breadth"]) == (2, 900.0, 2)
     assert r[2]["n_sessions"] == 1
+
+
+def test_hot_entity_against_pandas(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    n = 3000
+    pdf = pd.DataFrame({
+        "k": np.where(rng.random(n) < 0.4, 0, rng.integers(1, 40, n)),
+        "ts": pd.Timestamp("2020-01-01") + pd.to_timedelta(rng.integers(0, 400, n), unit="D"),
+        "amount": np.round(rng.gamma(2, 50, n), 2),
+    })
+    asof = pd.DataFrame({"k": rng.integers(0, 40, 200), "t": pd.Timestamp("2020-02-15") + pd.to_timedelta(rng.integers(0, 380, 200), unit="D")})
+    asof.loc[:80, "k"] = 0
+    daily = W.daily_log(spark.createDataFrame(pdf), "k", "ts", "amount")
+    got = W.behaviour(W.asof_points(spark.createDataFrame(asof), "k", "t"), daily).collect()
+    assert len(got) == len(asof.drop_duplicates())
+    for r in got:
+        t0 = pd.Timestamp(r["t0"])
+        age = (t0 - pdf["ts"]).dt.days
+        win = pdf[(pdf["k"] == r["entity"]) & age.between(0, 90)].assign(age=age)
+        for w in (30, 60, 90):
+            part = win[win["age"] <= w]
+            assert r[f"txn_frequency_{w}d"] == len(part)
+            if len(part):
+                assert r[f"avg_txn_amount_{w}d"] == pytest.approx(part["amount"].mean())
+        weekly = win.groupby(win["age"] // 7)["amount"].sum().reindex(range(13), fill_value=0.0)
+        assert r["spending_volatility_90d"] == pytest.approx(weekly.std(ddof=1), abs=1e-9)
+        gaps = win.sort_values("ts")["ts"].diff().dropna().dt.days
+        if len(gaps) >= 2 and gaps.mean() > 0:
+            want = min(1.0, max(0.0, 1 - gaps.std(ddof=1) / gaps.mean() / 2))
+            assert r["digital_payment_regularity"] == pytest.approx(want, abs=1e-9)
