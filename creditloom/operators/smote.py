@@ -22,6 +22,7 @@ from creditloom.functions import columns as C
 from creditloom.sources.tables import stage
 
 BOX_ROWS = 2000
+MAX_BOXES = 100_000  # bounds the tree sent to the tasks; larger inputs get larger boxes
 _ASK_ROWS = 20_000
 _FOUND = "id long, x array<double>, m long, r double, near array<struct<d: double, id: long, m: long, x: array<double>>>"
 
@@ -71,22 +72,34 @@ class Boxes:
 
     def touched(self, x: np.ndarray, r: float, own: int) -> np.ndarray:
         """Other boxes closer than r (or as close)."""
-        gap = np.maximum(np.maximum(self.lo - x, x - self.hi), 0.0)
-        near = (gap * gap).sum(1) <= r * r
-        near[own] = False
-        return np.flatnonzero(near)
+        hits, pending = [], [0]
+        while pending:
+            node = pending.pop()
+            d = self.dim[node]
+            if d >= 0:
+                if x[d] - r <= self.cut[node]:
+                    pending.append(self.left[node])
+                if x[d] + r >= self.cut[node]:
+                    pending.append(self.right[node])
+                continue
+            b = self.box[node]
+            gap = np.maximum(np.maximum(self.lo[b] - x, x - self.hi[b]), 0.0)
+            if b != own and gap @ gap <= r * r:
+                hits.append(b)
+        return np.array(hits, int)
 
 
 def _nearest(ask: np.ndarray, ask_id: np.ndarray, pts: pd.DataFrame, x: np.ndarray, k: int) -> list[list[dict]]:
     """The k nearest points of each asked vector, itself excluded."""
     ids, ms = pts["id"].to_numpy(), pts["m"].to_numpy()
     out = []
-    for start in range(0, len(ask), 512):
-        part = ask[start : start + 512]
+    step = max(1, min(512, 4_000_000 // max(len(x), 1)))
+    for start in range(0, len(ask), step):
+        part = ask[start : start + step]
         d2 = np.zeros((len(part), len(x)))
         for j in range(x.shape[1]):
             d2 += (part[:, j : j + 1] - x[None, :, j]) ** 2
-        d2[ask_id[start : start + 512, None] == ids[None, :]] = np.inf
+        d2[ask_id[start : start + step, None] == ids[None, :]] = np.inf
         take = min(k, len(x))
         order = np.argpartition(d2, take - 1, axis=1)[:, :take]
         for i, cols in enumerate(order):
@@ -102,8 +115,9 @@ def nearest_neighbours(points: DataFrame, k: int, box_rows: int = BOX_ROWS, seed
     """
     spark = points.sparkSession
     n = points.count()
-    boxes = max(1, -(-n // box_rows))
-    rows = points.select("x").sample(min(1.0, boxes * 64.0 / max(n, 1)), seed).limit(2_000_000).collect() if boxes > 1 else []
+    boxes = max(1, min(MAX_BOXES, -(-n // box_rows)))
+    # About 20 sampled points per box, 2 million at most; they only place the cuts.
+    rows = points.select("x").sample(min(1.0, boxes * 20.0 / max(n, 1)), seed).collect() if boxes > 1 else []
     tree = Boxes(np.array([r["x"] for r in rows], float) if rows else np.zeros((0, len(points.first()["x"]))), boxes)
     shared = spark.sparkContext.broadcast(tree)
 
@@ -133,12 +147,11 @@ def nearest_neighbours(points: DataFrame, k: int, box_rows: int = BOX_ROWS, seed
                 "box": np.concatenate(hits).astype(int) if len(reps) else np.zeros(0, int),
             })
 
-    asks = own.select("id", "x", "r", "box").mapInPandas(route, "id long, x array<double>, box int")
+    asks = stage(own.select("id", "x", "r", "box").mapInPandas(route, "id long, x array<double>, box int"), "asks")
     # Boxes asked by many points are answered in several groups of bounded size.
-    load = {r["box"]: -(-r["count"] // _ASK_ROWS) for r in asks.groupBy("box").count().collect()}
-    groups = F.get(F.array(*[F.lit(int(load.get(b, 1))) for b in range(len(tree.lo))]), F.col("box"))
-    asks = asks.withColumn("part", F.pmod(F.xxhash64("id"), groups).cast("int"))
-    answers_from = placed.withColumn("part", F.explode(F.sequence(F.lit(0), groups - 1)))
+    load = asks.groupBy("box").agg(F.ceil(F.count(F.lit(1)) / _ASK_ROWS).cast("int").alias("parts"))
+    asks = asks.join(load, "box").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).drop("parts")
+    answers_from = placed.join(load, "box").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def answer(ask: pd.DataFrame, pts: pd.DataFrame) -> pd.DataFrame:
         if not len(ask) or not len(pts):
