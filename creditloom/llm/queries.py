@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from creditloom.llm import common, token_counts
+from creditloom.llm import common, substring_dedup, token_counts
 
-__all__ = ["common", "token_counts"]
+__all__ = ["common", "substring_dedup", "token_counts"]
 
 QUERIES = common.QUERIES
 ORACLES = common.ORACLES
