@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from creditloom.llm import common, simhash_dedup, substring_dedup, token_counts
+from creditloom.llm import common, packing, simhash_dedup, substring_dedup, token_counts
 
-__all__ = ["common", "simhash_dedup", "substring_dedup", "token_counts"]
+__all__ = ["common", "packing", "simhash_dedup", "substring_dedup", "token_counts"]
 
 QUERIES = common.QUERIES
 ORACLES = common.ORACLES
