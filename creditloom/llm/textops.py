@@ -22,6 +22,9 @@ _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes of ASCII letters, digits and all non-ASCII characters: words without punctuation.
+ALNUM = np.zeros(256, dtype=bool)
+ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -92,12 +95,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def split_words(column: pa.Array, lower: bool = False) -> Words:
-    """Words of each text; the kept buffer has exactly one space between words."""
+def split_words(column: pa.Array, lower: bool = False, inner: np.ndarray | None = None) -> Words:
+    """Words of each text; the kept buffer has exactly one space between words.
+
+    ``inner`` marks the bytes that make up words (default: all but white space).
+    """
     raw, offsets = text_bytes(column)
     if lower:
         raw = LOWER[raw]
-    inside = ~_SPACE[raw]
+    inside = (~_SPACE if inner is None else inner)[raw]
     before = np.empty_like(inside)
     before[:1] = False
     before[1:] = inside[:-1]
