@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from creditloom.sources.tables import stage
 
-__all__ = ["ORACLES", "QUERIES", "partitions_for", "query", "read", "row_key", "stage", "text_size"]
+__all__ = ["ORACLES", "QUERIES", "fresh", "partitions_for", "query", "read", "row_key", "stage", "text_size"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +35,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """Key of a document row that never is null.
 

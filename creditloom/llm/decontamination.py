@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import query, read
+from creditloom.llm.common import fresh, query, read
 from creditloom.llm.textops import ALNUM, Words, chunks, gram_hashes, split_words, within_text
 
 MIN_MATCH = 4
@@ -239,9 +239,7 @@ def _tagger(part: pa.Table, min_match: int, coverage: float, name: str):
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """Rows of ``docs`` (all columns) that hold no benchmark item."""
-    name = "leaks"
-    while name in docs.columns:
-        name += "_"
+    name = fresh(docs, "leaks")
     return tag_leaks(docs, benchmark, name=name, **how).where(F.size(name) == 0).drop(name)
 
 

@@ -212,39 +212,44 @@ def _spans(label: np.ndarray, lo: int, hi: int, names: list[str]) -> list[dict]:
     return [{"lang": names[label[lo + a]], "first_word": a, "last_word": b - 1} for a, b in zip([0, *cut], [*cut, hi - lo], strict=True) if b > a]
 
 
+def _predictor(model: Model, switch: float):
+    """Function of a list of texts: languages, scores, and the spans of each text on request."""
+    names = model.languages
+    labeller = Labeller(model, switch)
+
+    def predict(texts: list[str | None]):
+        if names:
+            rows, first = labeller.tokens(texts)
+            label, letters = labeller.paths(rows, first), labeller.letters[rows]
+        else:
+            first, label, letters = np.zeros(len(texts) + 1, np.int64), np.empty(0, np.int16), np.empty(0, np.int32)
+        text = np.repeat(np.arange(len(texts)), np.diff(first))
+        width = max(len(names), 1)
+        mass = np.bincount(text * width + label, weights=letters, minlength=len(texts) * width).reshape(len(texts), width)
+        total, best = mass.sum(axis=1), mass.argmax(axis=1)
+        score = np.divide(mass[np.arange(len(texts)), best], total, out=np.zeros(len(texts)), where=total > 0)
+        pred = [names[b] if n > 0 else UNKNOWN for b, n in zip(best, total, strict=True)]
+        return pred, score, lambda: [_spans(label, a, b, names) if n > 0 else [] for a, b, n in zip(first[:-1], first[1:], total, strict=True)]
+
+    return predict
+
+
 def identify(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool = True) -> DataFrame:
     """doc_id, lang_pred, score and, with ``spans``, the labelled spans of blank-separated words.
 
     ``score`` is the share of the text's letters in words labelled ``lang_pred``.
-    The model goes to the tasks with the function: ``SLOTS`` x languages 4-byte numbers.
+    The model is broadcast: ``SLOTS`` x languages 4-byte numbers.
     """
-    names = model.languages
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kind = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("last_word", pa.int32())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(shared.value, switch)
+        predict = _predictor(shared.value, switch)
         for batch in chunks(batches, limit=_BATCH_BYTES):
-            texts = batch.column("text").to_pylist()
-            if names:
-                rows, first = labeller.tokens(texts)
-                label, letters = labeller.paths(rows, first), labeller.letters[rows]
-            else:
-                first, label, letters = np.zeros(len(texts) + 1, np.int64), np.empty(0, np.int16), np.empty(0, np.int32)
-            text = np.repeat(np.arange(len(texts)), np.diff(first))
-            mass = np.bincount(text * max(len(names), 1) + label, weights=letters, minlength=len(texts) * max(len(names), 1))
-            mass = mass.reshape(len(texts), -1)
-            total, best = mass.sum(axis=1), mass.argmax(axis=1)
-            top = mass[np.arange(len(texts)), best]
-            out = {
-                "doc_id": batch.column("doc_id"),
-                "lang_pred": pa.array([names[b] if n > 0 else UNKNOWN for b, n in zip(best, total, strict=True)], pa.string()),
-                "score": pa.array(np.divide(top, total, out=np.zeros(len(texts)), where=total > 0)),
-            }
+            pred, score, found = predict(batch.column("text").to_pylist())
+            out = {"doc_id": batch.column("doc_id"), "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score)}
             if spans:
-                kind = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("last_word", pa.int32())]))
-                out["spans"] = pa.array(
-                    [_spans(label, a, b, names) if n > 0 else [] for a, b, n in zip(first[:-1], first[1:], total, strict=True)], kind
-                )
+                out["spans"] = pa.array(found(), kind)
             yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id long, lang_pred string, score double"
@@ -253,6 +258,19 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)
 
 
+def keep_identified(docs: DataFrame, model: Model, min_score: float, switch: float = SWITCH) -> DataFrame:
+    """Rows of ``docs`` (all columns) whose text has a language with at least ``min_score``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = _predictor(shared.value, switch)
+        for batch in chunks(batches, limit=_BATCH_BYTES):
+            pred, score, _ = predict(batch.column("text").to_pylist())
+            yield batch.filter(pa.array([p != UNKNOWN and s >= min_score for p, s in zip(pred, score, strict=True)]))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 @query("op3_language_id")
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")

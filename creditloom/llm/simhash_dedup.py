@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import partitions_for, query, read, stage
+from creditloom.llm.common import fresh, partitions_for, query, read, stage
 from creditloom.llm.components import smallest_reachable
 from creditloom.llm.textops import chunks, mix, split_words
 
@@ -195,11 +195,13 @@ def _compare(side: np.ndarray, prints: np.ndarray, sizes: np.ndarray, radius: in
             right = guest[b : min(b + 1024, hi)]
             apart = np.bitwise_count(prints[left, 0][:, None] ^ prints[right, 0][None, :])
             if prints.shape[1] > 1:
-                apart = apart.astype(np.int16)
-                for k in range(1, prints.shape[1]):
-                    apart += np.bitwise_count(prints[left, k][:, None] ^ prints[right, k][None, :])
+                apart += np.bitwise_count(prints[left, 1][:, None] ^ prints[right, 1][None, :])
             i, j = np.nonzero(apart <= radius)
             i, j = left[i], right[j]
+            if prints.shape[1] > 2:
+                # Few pairs are near in the first two words; only these are counted out.
+                close = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int32) <= radius
+                i, j = i[close], j[close]
             if ratio is not None:
                 fits = np.minimum(sizes[i], sizes[j]) >= ratio * np.maximum(sizes[i], sizes[j])
                 i, j = i[fits], j[fits]
@@ -292,9 +294,9 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
     Rows that repeat an id stay once; rows without an id stay.
     """
-    groups = near_duplicates(docs, **how)
-    firsts = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(firsts, docs["doc_id"] == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
+    mark = fresh(docs, "first_id")
+    firsts = near_duplicates(docs, **how).where("doc_id = component_id").select(F.col("doc_id").alias(mark)).distinct()
+    kept = docs.join(firsts, F.col("doc_id") == F.col(mark), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))
 
 

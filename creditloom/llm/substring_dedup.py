@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import partitions_for, query, read, row_key, stage, text_size
+from creditloom.llm.common import fresh, partitions_for, query, read, row_key, stage, text_size
 from creditloom.llm.textops import Words, chunks, gram_hashes, sliding_min, split_words
 
 WINDOW = 35
@@ -287,29 +287,16 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     return sure.unionByName(across)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text: each text without its repeated passages.
-
-    Kept words are joined by one space. Every place of a repeated window goes,
-    the first one too; windows are judged on the input.
-    """
-    keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("rk", row_key())
-    ranges = (
-        repeated_ranges(keyed, window, gram)
-        .groupBy("rk")
-        .agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-        .select(F.col("rk").alias("_rk"), "ranges")
-    )
-    joined = keyed.join(ranges, F.col("rk") == F.col("_rk"), "left").select("doc_id", "text", "ranges")
+def _stripper(text: str, ranges: str):
+    """Batches with the column ``ranges`` replaced by the text that is left and counts of words and removed words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            texts, ranges = batch.column("text").to_pylist(), batch.column("ranges")
-            words = split_words(batch.column("text"))
+        for batch in chunks(batches, text):
+            words = split_words(batch.column(text))
             counts = np.diff(words.first)
-            removed = np.zeros(len(texts), dtype=np.int64)
+            removed = np.zeros(len(counts), dtype=np.int64)
             data, kept = words.text.tobytes(), []
-            for i, found in enumerate(ranges.to_pylist()):
+            for i, found in enumerate(batch.column(ranges).to_pylist()):
                 first, n = words.first[i], int(counts[i])
                 if not n:
                     kept.append("")
@@ -325,12 +312,50 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
                 edge = np.flatnonzero(np.diff(np.concatenate(([1], gone, [1]))))
                 spans = [data[words.start[first + a] : words.end[first + b - 1]] for a, b in zip(edge[::2], edge[1::2], strict=True)]
                 kept.append(b" ".join(spans).decode())
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "n_words": pa.array(counts, pa.int64()),
-                "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.string()),
-            })
+            left = pa.StructArray.from_arrays(
+                [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["n_words", "n_removed", "kept_text"]
+            )
+            columns = [left if c == ranges else batch.column(c) for c in batch.schema.names]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return work
+
 
-    return joined.mapInArrow(work, "doc_id long, n_words long, n_removed long, kept_text string")
+def tag_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, name: str = "left") -> DataFrame:
+    """``docs`` (which needs doc_id and text) and a struct of n_words, n_removed and kept_text.
+
+    Kept words are joined by one space. Every place of a repeated window goes,
+    the first one too; windows are judged on the input.
+    """
+    key, other = fresh(docs, "rk"), fresh(docs, "rk_of_ranges")
+    keyed = docs.withColumn(key, row_key())
+    found = repeated_ranges(keyed.select("doc_id", "text", F.col(key).alias("rk")), window, gram)
+    ranges = found.groupBy("rk").agg(F.collect_list(F.struct("lo", "hi")).alias(name)).withColumnRenamed("rk", other)
+    joined = keyed.join(ranges, F.col(key) == F.col(other), "left").drop(key, other)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return joined.mapInArrow(_stripper("text", name), f"{schema}, `{name}` struct<n_words: bigint, n_removed: bigint, kept_text: string>")
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text of each text; see ``tag_repeats``."""
+    found = tag_repeats(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), window, gram)
+    return found.select("doc_id", "left.n_words", "left.n_removed", "left.kept_text")
+
+
+def strip_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """Rows of ``docs`` (all columns) with their repeated passages taken out of ``text``.
+
+    A text that loses nothing stays as it is; one of which nothing is left goes.
+    ``n_chars``, where there is one, follows the text.
+    """
+    name = fresh(docs, "left")
+    found = tag_repeats(docs, window, gram, name)
+    left = F.col(name)
+    found = found.where((left["n_removed"] == 0) | (left["n_removed"] < left["n_words"]))
+    found = found.withColumn("text", F.when(left["n_removed"] > 0, left["kept_text"]).otherwise(F.col("text"))).drop(name)
+    if "n_chars" in found.columns:
+        found = found.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return found
 
 
 @query("op6_substring_dedup")
