@@ -110,10 +110,11 @@ def beeswarm_points(contrib: DataFrame, top: int = 20, key: str = S.ID) -> DataF
 def dependence_points(contrib: DataFrame, feature: str, other: str = "auto", key: str = S.ID) -> DataFrame:
     """(id, value, phi, interaction, interaction_value) of one feature.
 
-    "auto" takes the other feature most correlated with the contribution.
+    "auto" takes the other feature most correlated with the contribution, the
+    first by name among equals.
     """
     if other == "auto":
-        rest = [f for f in features_of(contrib) if f != feature]
+        rest = sorted(f for f in features_of(contrib) if f != feature)
         row = contrib.agg(*[F.abs(F.corr(F.col(f).cast("double"), F.col(phi(feature)))).alias(f"c{i}") for i, f in enumerate(rest)]).first()
         strength = [row[f"c{i}"] if row[f"c{i}"] is not None else -1.0 for i in range(len(rest))]
         other = rest[max(range(len(rest)), key=lambda i: strength[i])]

@@ -12,6 +12,7 @@ from creditloom import schema as S
 from creditloom.functions import columns as C
 from creditloom.operators.quantiles import quantiles
 from creditloom.operators.ranking import row_ranks
+from creditloom.sources.tables import stage
 
 LITERAL_CATEGORIES = 1000
 
@@ -180,7 +181,7 @@ class CreditCleaner(Estimator):
             ready = add_missing_flags(clipped, o["bureau"])
             flags = [f"{c}_missing" for c in o["bureau"] if c in numeric]
             scaling = fit_scale(fill(ready, medians), [*numeric, *flags])
-        codes = {c: category_codes(dataset, c) for c in o["categorical"] if c in dataset.columns}
+        codes = {c: stage(category_codes(dataset, c), f"codes-{c}") for c in o["categorical"] if c in dataset.columns}
         return CreditCleanerModel({**o, "numeric": numeric}, medians, codes, scaling)
 
 

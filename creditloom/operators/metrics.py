@@ -56,6 +56,13 @@ def metrics_of_cells(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return out.withColumn("ks_statistic", F.when(~one_class, F.col("ks_statistic"))).withColumn("gini", F.col("auc") * 2.0 - 1.0)
 
 
+def point_losses(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ("model",)) -> DataFrame:
+    """Brier score and log loss: plain means, one aggregation without any ranking."""
+    y, s = F.col(label), F.col(score)
+    loss = F.when(y == 1, C.log_loss_term(s, True)).otherwise(C.log_loss_term(s, False))
+    return df.groupBy(*by).agg(F.avg((s - y) * (s - y)).alias("brier_score"), F.avg(loss).alias("log_loss"))
+
+
 def evaluate(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ("model",)) -> DataFrame:
     return metrics_of_cells(cumulative_cells(df, label, score, by), by)
 

@@ -2,10 +2,12 @@
 
 Linear interpolation between order statistics at position (n-1)*p.
 
-Small inputs use the built-in exact aggregate. Large ones are narrowed by
-counting: each pass counts equal-width cells between the current bounds of a
-wanted rank, so only (column, cell) counts are shuffled and no task ever holds
-the values of a column. The passes stop when the bounds meet.
+Wanted ranks are narrowed by counting: each pass counts cells between the
+current bounds of a rank, so only (column, cell) counts are shuffled and no task
+ever holds the values of a column. Passes alternate between cells of equal width
+and of equal width on an inverse-sinh scale, so values of any spread part soon; each
+pass shrinks every open zone, as its bounds lie in different cells. A zone is settled when its
+bounds have met or hold only two rows. Infinite values are counted apart; NaN counts as missing.
 """
 
 from __future__ import annotations
@@ -17,17 +19,17 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMALL = 300_000
 _CELL_BUDGET = 200_000
 
 
 @dataclass
 class _Zone:
-    """Values between lo and hi hold the wanted ranks; ``below`` rows precede."""
+    """The ``rows`` values between lo and hi hold the wanted ranks; ``below`` rows precede."""
 
     lo: float
     hi: float
     below: int
+    rows: int
     ranks: set[int] = field(default_factory=set)
 
 
@@ -46,7 +48,6 @@ def quantiles(
     cols: Sequence[str] | Mapping[str, Column],
     probs: Sequence[float],
     mode: str = "exact",
-    small: int = SMALL,
     accuracy: int = 10_000,
 ) -> dict[str, list[float] | None]:
     """``{name: [value per prob]}``; a column without values gives None.
@@ -64,41 +65,40 @@ def quantiles(
         ).first()
         return {c: row[f"q{i}"] for i, c in enumerate(names)}
 
+    narrow = narrow.select(*[F.nanvl(f"_{i}", F.lit(None).cast("double")).alias(f"_{i}") for i in range(len(names))])
     aggs = []
     for i in range(len(names)):
-        aggs += [F.count(f"_{i}").alias(f"n{i}"), F.min(f"_{i}").alias(f"lo{i}"), F.max(f"_{i}").alias(f"hi{i}")]
+        v = F.col(f"_{i}")
+        inside = F.when(F.abs(v) < math.inf, v)
+        aggs += [F.count(v).alias(f"n{i}"), F.count_if(v == -math.inf).alias(f"low{i}"), F.count(inside).alias(f"in{i}"),
+                 F.min(inside).alias(f"lo{i}"), F.max(inside).alias(f"hi{i}")]
     stats = narrow.agg(*aggs).first()
-    counts = [stats[f"n{i}"] for i in range(len(names))]
-    if max(counts) <= small:
-        row = narrow.agg(
-            *[F.percentile(f"_{i}", _lit_array(probs)).alias(f"q{i}") for i in range(len(names))]
-        ).first()
-        return {c: row[f"q{i}"] for i, c in enumerate(names)}
-
     wanted, found, zones = {}, {}, {}
-    for i, n in enumerate(counts):
-        positions = [(n - 1) * p for p in probs] if n else []
-        wanted[i] = positions
-        found[i] = {}
-        ranks = {r for pos in positions for r in (math.floor(pos), math.ceil(pos))}
-        zones[i] = [_Zone(stats[f"lo{i}"], stats[f"hi{i}"], 0, ranks)] if n else []
+    for i in range(len(names)):
+        n, low, inside = stats[f"n{i}"], stats[f"low{i}"], stats[f"in{i}"]
+        wanted[i] = [(n - 1) * p for p in probs] if n else []
+        ranks = {r for pos in wanted[i] for r in (math.floor(pos), math.ceil(pos))}
+        found[i] = {r: -math.inf if r < low else math.inf for r in ranks if not low <= r < low + inside}
+        zones[i] = [_Zone(stats[f"lo{i}"], stats[f"hi{i}"], low, inside, ranks - found[i].keys())] if ranks - found[i].keys() else []
     _settle(zones, found)
+    by_width = True
     while any(zones.values()):
-        zones = _narrow(narrow, zones)
+        zones = _narrow(narrow, zones, by_width)
         _settle(zones, found)
-    return {c: _interpolate(wanted[i], found[i]) if counts[i] else None for i, c in enumerate(names)}
+        by_width = not by_width
+    return {c: _interpolate(wanted[i], found[i]) if wanted[i] else None for i, c in enumerate(names)}
 
 
 def _settle(zones: dict[int, list[_Zone]], found: dict[int, dict[int, float]]) -> None:
-    """Move zones whose bounds have met into the results."""
+    """Move zones whose bounds have met, or hold two rows, into the results."""
     for i, zs in zones.items():
         for z in zs:
-            if z.lo == z.hi:
-                found[i].update(dict.fromkeys(z.ranks, z.lo))
-        zones[i] = [z for z in zs if z.lo != z.hi]
+            if z.lo == z.hi or z.rows == 2:
+                found[i].update({r: z.lo if r == z.below else z.hi for r in z.ranks})
+        zones[i] = [z for z in zs if z.lo != z.hi and z.rows > 2]
 
 
-def _narrow(narrow: DataFrame, zones: dict[int, list[_Zone]]) -> dict[int, list[_Zone]]:
+def _narrow(narrow: DataFrame, zones: dict[int, list[_Zone]], by_width: bool) -> dict[int, list[_Zone]]:
     open_zones = sum(len(z) for z in zones.values())
     cells = max(16, min(1024, _CELL_BUDGET // open_zones))
     active = [i for i, z in zones.items() if z]
@@ -124,9 +124,13 @@ def _narrow(narrow: DataFrame, zones: dict[int, list[_Zone]]) -> dict[int, list[
         rows.withColumn("z", zone).where("z >= 0")
         .withColumn("lo", F.get("_l", F.col("z"))).withColumn("hi", F.get("_h", F.col("z"))).where("v <= hi")
     )
-    step = F.floor((v - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(float(cells)))
+    # Halves, so that the range of the largest doubles does not overflow.
+    at, lo, hi = (x / 2 if by_width else F.asinh(x) for x in (v, F.col("lo"), F.col("hi")))
+    # On the second scale two bounds may fall together; then only the upper one leaves its cell.
+    share = F.coalesce(F.try_divide(at - lo, hi - lo), F.lit(0.0))
+    step = F.when(v == F.col("hi"), cells - 1).otherwise(F.least(F.floor(share * F.lit(float(cells))), F.lit(cells - 2)))
     counted = (
-        placed.groupBy("f", (F.col("z").cast("long") * cells + F.least(step, F.lit(cells - 1))).alias("c"))
+        placed.groupBy("f", (F.col("z").cast("long") * cells + step).alias("c"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         .collect()
     )
@@ -140,7 +144,7 @@ def _narrow(narrow: DataFrame, zones: dict[int, list[_Zone]]) -> dict[int, list[
             for r in by_zone[(i, k)]:
                 inside = {q for q in z.ranks if below <= q < below + r["n"]}
                 if inside:
-                    out[i].append(_Zone(r["lo"], r["hi"], below, inside))
+                    out[i].append(_Zone(r["lo"], r["hi"], below, r["n"], inside))
                 below += r["n"]
     return out
 

@@ -60,14 +60,30 @@ def correlation_filter(pairs: DataFrame, threshold: float = 0.90) -> DataFrame:
 def vif(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Variance inflation from the diagonal of the inverse correlation matrix.
 
-    The matrix has features x features entries, whatever the row count.
+    The matrix has features x features entries, whatever the row count. A
+    constant column has no inflation (null) and stays out of the matrix; a
+    column that the others determine gets infinity.
     """
     m = np.eye(len(features))
     complete = df.dropna(subset=list(features))
+    known = set()
     for r in correlation_pairs(complete, features).collect():
-        m[r["pos"], r["other_pos"]] = m[r["other_pos"], r["pos"]] = r["corr"]
-    diag = np.diag(np.linalg.inv(m))
-    return df.sparkSession.createDataFrame([(f, float(v)) for f, v in zip(features, diag)], "feature string, vif double")
+        if r["corr"] is not None:
+            m[r["pos"], r["other_pos"]] = m[r["other_pos"], r["pos"]] = r["corr"]
+            known |= {r["pos"], r["other_pos"]}
+    used = sorted(known)
+    found = dict(zip(used, _inflation(m[np.ix_(used, used)]), strict=True))
+    rows = [(f, found.get(k)) for k, f in enumerate(features)]
+    return df.sparkSession.createDataFrame(rows, "feature string, vif double")
+
+
+def _inflation(m: np.ndarray, tolerance: float = 1e-10) -> list[float]:
+    """Diagonal of the inverse; infinity where a null direction of the matrix involves the column."""
+    values, vectors = np.linalg.eigh(m)
+    flat = values < tolerance
+    tied = (vectors[:, flat] ** 2).sum(axis=1) > tolerance
+    diagonal = (vectors[:, ~flat] ** 2 / values[~flat]).sum(axis=1)
+    return [float("inf") if t else float(d) for t, d in zip(tied, diagonal, strict=True)]
 
 
 def density_by_class(

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import zlib
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,72 +14,84 @@ from creditloom import schema as S
 from creditloom.functions import columns as C
 from creditloom.operators.ranking import score_cells, slice_edges
 
-MAX_CELLS = 4096
+#: Score cells of one task; more cells make more tasks, with the same draws and results.
+CELLS_PER_TASK = 4096
 
 
-def _slices(df: DataFrame, label: str, score: str, by: Sequence[str], max_cells: int) -> DataFrame:
-    """At most ``max_cells`` ordered slices per group with counts and win share.
+def _cells(df: DataFrame, label: str, score: str, by: Sequence[str], per_task: int) -> DataFrame:
+    """One row per group and distinct score, dealt into ordered slices of about ``per_task`` cells."""
+    cells = score_cells(df, label, score, by)
+    n = cells.count()
+    edges = slice_edges(cells, "score", slices=-(-n // per_task)) if n > per_task else []
+    return cells.select(*by, F.col("score").alias("at"), "pos", "neg", C.count_edges("score", edges).cast("int").alias("slice"))
+
 
-    With few distinct scores a slice is one score. Otherwise neighbouring scores
-    share a slice and ``u`` keeps the share of ordered pairs inside it, so the
-    AUC of the slices equals the AUC of the rows.
+def _draw(pdf: pd.DataFrame, seed: int, chunk: int, iterations: int, by: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Draw numbers and Poisson counts (draw x cell) of positives and negatives.
+
+    The seed names group, slice and chunk, so a second pass repeats the draws.
     """
-    cells = score_cells(df, label, score, by)
-    most = cells.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
-    if most <= max_cells:
-        return cells.select(*by, F.col("score").alias("at"), "pos", "neg", F.lit(0.5).alias("u"))
-    edges = slice_edges(df, score, slices=min(1024, max_cells))
-    cut = cells.withColumn("_s", C.count_edges("score", edges))
-    below = Window.partitionBy(*by, "_s").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    won = F.col("pos").cast("double") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2.0)
-    return (
-        cut.withColumn("_won", won).groupBy(*by, "_s")
-        .agg(F.max("score").alias("at"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("_won").alias("_won"))
-        .select(*by, "at", "pos", "neg", F.coalesce(F.try_divide("_won", F.col("pos").cast("double") * F.col("neg")), F.lit(0.5)).alias("u"))
-    )
+    part = int(pdf["chunk"].iloc[0])
+    group = zlib.crc32(repr([str(pdf[c].iloc[0]) for c in by]).encode())
+    rng = np.random.default_rng([seed, group, part, int(pdf["slice"].iloc[0])])
+    size = min(chunk, iterations - part * chunk)
+    p, n = (rng.poisson(pdf[c].to_numpy(float), (size, len(pdf))).astype(float) for c in ("pos", "neg"))
+    return part * chunk + np.arange(size), p, n
 
 
 def bootstrap_draws(
     df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ("model",),
-    iterations: int = 1000, seed: int = S.SEED, stratified: bool = False, chunk: int = 125, max_cells: int = MAX_CELLS,
+    iterations: int = 1000, seed: int = S.SEED, stratified: bool = False, chunk: int = 125, per_task: int = CELLS_PER_TASK,
 ) -> DataFrame:
     """(keys, draw, auc, ks): one row per usable draw.
 
-    Drawing rows with replacement gives each slice a Poisson count, so a draw
-    costs the number of slices, not of rows. A task gets one group and one
-    chunk of draws: at most ``max_cells`` rows. ``stratified`` keeps the class
-    totals; draws with one class are skipped.
+    Drawing rows with replacement gives each distinct score a Poisson count, so a
+    draw costs the number of scores, not of rows. A task has one group, one chunk of
+    draws and one slice of scores. A first pass sums each slice; prefix sums over slices
+    give every slice what lies below it, and a second pass over the same draws completes
+    AUC and KS at full resolution. ``stratified`` scales to the class totals, which changes neither
+    metric of a draw; draws with one class are skipped.
     """
     by = list(by)
     parts = -(-iterations // chunk)
-    spread = _slices(df, label, score, by, max_cells).withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    )
+    cells = _cells(df, label, score, by, per_task)
+    spread = cells.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    types = dict(spread.dtypes)
+    keys = "".join(f"`{c}` {types[c]}, " for c in by)
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+    def totals(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at")
-        pos, neg, u = (pdf[c].to_numpy(float) for c in ("pos", "neg", "u"))
-        part = int(pdf["chunk"].iloc[0])
-        rng = np.random.default_rng([seed, part])
-        size = min(chunk, iterations - part * chunk)
-        p = rng.poisson(pos, (size, len(pos))).astype(float)
-        n = rng.poisson(neg, (size, len(neg))).astype(float)
-        ok = (p.sum(1) > 0) & (n.sum(1) > 0)
-        p, n = p[ok], n[ok]
-        if stratified:
-            p *= pos.sum() / p.sum(1, keepdims=True)
-            n *= neg.sum() / n.sum(1, keepdims=True)
-        tp, tn = p.sum(1, keepdims=True), n.sum(1, keepdims=True)
-        below = np.cumsum(n, 1) - n
-        auc = (p * (below + u * n)).sum(1) / (tp * tn)[:, 0]
-        gap = (np.cumsum(n, 1) - n) / tn - (np.cumsum(p, 1) - p) / tp
-        out = {c: pdf[c].iloc[0] for c in by}
-        frame = pd.DataFrame({"draw": part * chunk + np.flatnonzero(ok), "auc": auc[: ok.sum()], "ks": np.maximum(gap.max(1), 0.0)})
-        return frame.assign(**out)[[*by, "draw", "auc", "ks"]]
+        draw, p, n = _draw(pdf, seed, chunk, iterations, by)
+        frame = pd.DataFrame({"slice": pdf["slice"].iloc[0], "chunk": pdf["chunk"].iloc[0], "draw": draw, "p": p.sum(1), "n": n.sum(1)})
+        return frame.assign(**{c: pdf[c].iloc[0] for c in by})[[*by, "slice", "chunk", "draw", "p", "n"]]
 
-    types = dict(spread.dtypes)
-    schema = "".join(f"`{c}` {types[c]}, " for c in by) + "draw long, auc double, ks double"
-    return spread.groupBy(*by, "chunk").applyInPandas(draw, schema)
+    group = [*by, "slice", "chunk"]
+    sums = spread.groupBy(*group).applyInPandas(totals, keys + "slice int, chunk int, draw long, p double, n double")
+    below = Window.partitionBy(*by, "draw").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by, "draw")
+    placed = sums.select(
+        *group, "draw", F.coalesce(F.sum("p").over(below), F.lit(0.0)).alias("pb"), F.coalesce(F.sum("n").over(below), F.lit(0.0)).alias("nb"),
+        F.sum("p").over(whole).alias("tp"), F.sum("n").over(whole).alias("tn"),
+    )
+
+    def finish(pdf: pd.DataFrame, place: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty or place.empty:
+            return pd.DataFrame(columns=[*by, "draw", "won", "gap", "tp", "tn"])
+        pdf, place = pdf.sort_values("at"), place.sort_values("draw")
+        draw, p, n = _draw(pdf, seed, chunk, iterations, by)
+        pb, nb, tp, tn = (place[c].to_numpy()[:, None] for c in ("pb", "nb", "tp", "tn"))
+        n_below, p_below = nb + np.cumsum(n, 1) - n, pb + np.cumsum(p, 1) - p
+        gap = n_below / np.maximum(tn, 1) - p_below / np.maximum(tp, 1)
+        frame = pd.DataFrame({"draw": draw, "won": (p * (n_below + n / 2)).sum(1), "gap": gap.max(1), "tp": tp[:, 0], "tn": tn[:, 0]})
+        return frame.assign(**{c: pdf[c].iloc[0] for c in by})[[*by, "draw", "won", "gap", "tp", "tn"]]
+
+    done = spread.groupBy(*group).cogroup(placed.groupBy(*group)).applyInPandas(
+        finish, keys + "draw long, won double, gap double, tp double, tn double"
+    )
+    return (
+        done.where((F.col("tp") > 0) & (F.col("tn") > 0)).groupBy(*by, "draw")
+        .agg((F.sum("won") / (F.max("tp") * F.max("tn"))).alias("auc"), F.greatest(F.max("gap"), F.lit(0.0)).alias("ks"))
+    )
 
 
 def bootstrap_ci(

@@ -51,7 +51,12 @@ def _bucket(day: Column, width: int) -> Column:
 
 
 def asof_window_join(points: DataFrame, daily: DataFrame, days: int = 90, how: str = "left") -> DataFrame:
-    """Point x its log days with ``t0 - days <= day <= t0``; adds ``age`` in days."""
+    """Point x its log days with ``t0 - days <= day <= t0``; adds ``age`` in days.
+
+    With ``how="left"`` a point without such days appears once, with nulls.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"unknown join: {how}")
     here = _bucket(F.col("t0"), days)
     before = _bucket(F.date_sub("t0", days), days)
     probes = points.withColumn("_b", F.explode(F.array_distinct(F.array(here, before))))
@@ -60,7 +65,12 @@ def asof_window_join(points: DataFrame, daily: DataFrame, days: int = 90, how: s
         (F.col("entity") == F.col("_e")) & (F.col("_b") == F.col("_lb"))
         & (F.col("day") <= F.col("t0")) & (F.col("day") >= F.date_sub("t0", days))
     )
-    return probes.join(side, on, how).withColumn("age", F.datediff("t0", "day")).drop("_b", "_e", "_lb")
+    met = probes.join(side, on).withColumn("age", F.datediff("t0", "day")).drop("_b", "_e", "_lb")
+    if how == "inner":
+        return met
+    seen = met.select(F.col("entity").alias("_e"), F.col("t0").alias("_t")).distinct()
+    lone = points.join(seen, F.col("entity").eqNullSafe(F.col("_e")) & F.col("t0").eqNullSafe(F.col("_t")), "left_anti")
+    return met.unionByName(lone, allowMissingColumns=True)
 
 
 def behaviour(

@@ -51,9 +51,9 @@ def prune_list(spark, sf):
     return A.prune_list(A.mean_abs(_contrib(spark, sf)))
 
 
-@query("top_features", _IMP + "SELECT feature, round(v, 8) AS mean_abs_shap, row_number() OVER (ORDER BY v DESC, feature) AS rank FROM im ORDER BY v DESC, feature LIMIT 5")
+@query("top_features", _IMP + "SELECT feature, round(v, 8) AS mean_abs_shap, row_number() OVER (ORDER BY v DESC, feature) AS rank FROM im ORDER BY v DESC, feature LIMIT 15")
 def top_features(spark, sf):
-    return _r(A.top_features(A.mean_abs(_contrib(spark, sf)), 5))
+    return _r(A.top_features(A.mean_abs(_contrib(spark, sf)), 15))
 
 
 def _like(prefixes) -> str:
@@ -96,11 +96,11 @@ def bureau_vs_rest(spark, sf):
 
 @query(
     "beeswarm_points",
-    _IMP + """, tp AS (SELECT feature AS f FROM im ORDER BY v DESC, feature LIMIT 4)
+    _IMP + """, tp AS (SELECT feature AS f FROM im ORDER BY v DESC, feature LIMIT 20)
 SELECT application_id, feature, round(value, 4) AS value, round(phi, 7) AS phi FROM ph JOIN tp ON feature = f""",
 )
 def beeswarm_points(spark, sf):
-    out = A.beeswarm_points(_contrib(spark, sf), 4)
+    out = A.beeswarm_points(_contrib(spark, sf), 20)
     return out.select(ID, "feature", F.round("value", 4).alias("value"), F.round("phi", 7).alias("phi"))
 
 
@@ -110,9 +110,11 @@ _OTHERS = [f for f in COEF if f != "txn_frequency_30d"]
 @query(
     "dependence_points",
     _LONG + ", co AS (" + " UNION ALL ".join(f"SELECT '{f}' AS f, abs(corr({f}, txn_frequency_30d)) AS r FROM src" for f in _OTHERS) + ")"
-    + """, bs AS (SELECT f FROM co ORDER BY r DESC NULLS LAST LIMIT 1)
-SELECT a.application_id, round(a.value, 4) AS value, round(a.phi, 7) AS phi, bs.f AS interaction, round(b.value, 4) AS interaction_value
-FROM ph a, bs JOIN ph b ON b.feature = bs.f WHERE a.feature = 'txn_frequency_30d' AND a.application_id = b.application_id""",
+    + """, bs AS (SELECT f FROM co ORDER BY r DESC NULLS LAST, f LIMIT 1)
+SELECT p.application_id, round(p.value, 4) AS value, round(p.phi, 7) AS phi, bs.f AS interaction, round(CASE bs.f """
+    + " ".join(f"WHEN '{f}' THEN src.{f}" for f in _OTHERS)
+    + """ END, 4) AS interaction_value
+FROM ph p JOIN src ON p.application_id = src.application_id, bs WHERE p.feature = 'txn_frequency_30d'""",
 )
 def dependence_points(spark, sf):
     out = A.dependence_points(_contrib(spark, sf), "txn_frequency_30d")
@@ -126,10 +128,10 @@ _BASE = " + ".join(f"{c!r}::DOUBLE * m_{f}" for f, c in COEF.items())
 
 @query(
     "waterfall_row",
-    _LONG + f"SELECT application_id, feature, round(value, 4) AS value, round(phi, 7) AS phi, round({_BASE}, 6) AS base FROM ph, mu WHERE application_id = 77 ORDER BY abs(phi) DESC, feature LIMIT 6",
+    _LONG + f"SELECT application_id, feature, round(value, 4) AS value, round(phi, 7) AS phi, round({_BASE}, 6) AS base FROM ph, mu WHERE application_id = 77 ORDER BY abs(phi) DESC, feature LIMIT 15",
 )
 def waterfall_row(spark, sf):
-    out = A.waterfall_row(_contrib(spark, sf), 77, 6)
+    out = A.waterfall_row(_contrib(spark, sf), 77, 15)
     return out.select(ID, "feature", F.round("value", 4).alias("value"), F.round("phi", 7).alias("phi"), F.round("base", 6).alias("base"))
 
 

@@ -210,8 +210,8 @@ _FLAGS = ", ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END AS {c}_missing" for
 
 @query(
     "clean_pipeline",
-    APPS + ", c AS (SELECT application_id, segment, " + ", ".join(f"{_CL[c]} AS {c}" for c in NUM) + " FROM applications)"
-    + ", m AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.5::DOUBLE) AS m_{c}" for c in NUM) + f" FROM c WHERE {SPLIT} = 'train')"
+    APPS + ", c AS MATERIALIZED (SELECT application_id, segment, " + ", ".join(f"{_CL[c]} AS {c}" for c in NUM) + " FROM applications)"
+    + ", m AS MATERIALIZED (SELECT " + ", ".join(f"quantile_cont({c}, 0.5::DOUBLE) AS m_{c}" for c in NUM) + f" FROM c WHERE {SPLIT} = 'train')"
     + " SELECT application_id, segment, " + ", ".join(f"round(coalesce({c}, m_{c}), 6) AS {c}" for c in NUM)
     + f", {_FLAGS}, {SPLIT} AS split FROM c, m",
 )

@@ -152,37 +152,45 @@ def credit_score(spark, sf):
     return scores(spark, sf).select(ID, C.credit_score("p_full").alias("credit_score"))
 
 
+_NO_BEHAVIOUR = " AND ".join(f"{c} IS NULL" for c in S.BEHAVIOURAL)
+#: The derived applications know most behavioural values of everybody: no salary and no spread means no digital footprint.
+_FOOTPRINT = "spending_volatility_90d IS NOT NULL OR salary_credit_regularity > 0"
+
+
 @query(
     "bureau_only_fallback",
-    SCORES + """
-, b AS (SELECT application_id, spending_volatility_90d FROM applications)
-SELECT s.application_id, CASE WHEN b.spending_volatility_90d IS NULL THEN p_base ELSE p_full END AS pd
+    SCORES + f"""
+, b AS (SELECT application_id, {", ".join(f"CASE WHEN {_FOOTPRINT} THEN {c} END AS {c}" for c in S.BEHAVIOURAL)} FROM applications)
+SELECT s.application_id, CASE WHEN {_NO_BEHAVIOUR} THEN p_base ELSE p_full END AS pd
 FROM scores s JOIN b ON s.application_id = b.application_id
 """,
 )
 def bureau_only_fallback(spark, sf):
-    got = scores(spark, sf).join(applications(spark, sf).select(ID, "spending_volatility_90d"), ID)
-    return got.select(ID, X.fallback_pd(["spending_volatility_90d"], "p_full", "p_base").alias("pd"))
+    """All ten behavioural columns decide; they and both scores come from one projection."""
+    known = scores(spark, sf, keep=S.BEHAVIOURAL)
+    known = known.withColumns({c: F.when(F.expr(_FOOTPRINT), F.col(c)) for c in S.BEHAVIOURAL})
+    return known.select(ID, X.fallback_pd(S.BEHAVIOURAL, "p_full", "p_base").alias("pd"))
+
+
+#: Events start in 2024, applications in 1995: shifted back by so many days they overlap.
+_SHIFT = 10_000
 
 
 @query(
     "population_filter",
-    APPS + """
-, act AS (SELECT user_id, min(ts) AS f, max(ts) AS l FROM events GROUP BY user_id)
-SELECT application_id, customer_id FROM applications
-WHERE age_at_application BETWEEN 18 AND 35 AND (cic_account_age_months IS NULL OR cic_account_age_months < 120)
+    APPS + f"""
+, act AS (SELECT user_id, min(ts) - INTERVAL {_SHIFT} DAY AS f FROM events GROUP BY user_id)
+SELECT application_id, a.customer_id FROM applications a JOIN act ON a.customer_id = act.user_id
+WHERE age_at_application BETWEEN 18 AND 35 AND (cic_account_age_months IS NULL OR cic_account_age_months < 24)
   AND age_at_application IS NOT NULL AND declared_income_bracket IS NOT NULL AND education_level IS NOT NULL
-  AND customer_id IN (SELECT user_id FROM act WHERE date_diff('day', f::DATE, l::DATE) >= 25)
-  AND customer_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
+  AND date_diff('day', f::DATE, a.application_date::DATE) >= 30
+  AND a.customer_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
 """,
 )
 def population_filter(spark, sf):
     npl = table(spark, sf, "customer").where("c_acctbal < 0").select("c_custkey")
-    out = X.population_filter(
-        applications(spark, sf), table(spark, sf, "events"), npl, max_history_months=120, min_active_days=25,
-        activity_key="user_id", date=None,
-    )
-    return out.select(ID, "customer_id")
+    events = table(spark, sf, "events").select("user_id", (F.col("ts") - F.expr(f"INTERVAL {_SHIFT} DAYS")).alias("ts"))
+    return X.population_filter(applications(spark, sf), events, npl, activity_key="user_id").select(ID, "customer_id")
 
 
 @query(

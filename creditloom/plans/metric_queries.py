@@ -37,7 +37,7 @@ def ks_statistic(spark, sf):
 
 @query("brier", SCORES + "SELECT model, round(avg((score - label) * (score - label)), 8) AS brier_score FROM long_scores GROUP BY model")
 def brier(spark, sf):
-    return _r(M.evaluate(long_scores(spark, sf)).select("model", "brier_score"))
+    return _r(M.point_losses(long_scores(spark, sf)).select("model", "brier_score"))
 
 
 @query(
@@ -48,7 +48,7 @@ SELECT model, round(avg(CASE WHEN label = 1 THEN -ln(p) ELSE -ln(1 - p) END), 8)
 """,
 )
 def log_loss(spark, sf):
-    return _r(M.evaluate(long_scores(spark, sf)).select("model", "log_loss"))
+    return _r(M.point_losses(long_scores(spark, sf)).select("model", "log_loss"))
 
 
 _POINT = "round_even(auc, 4) AS auc, round_even(gini, 4) AS gini, round_even(ks, 4) AS ks_statistic, round_even(bs, 4) AS brier_score, round_even(ll, 4) AS log_loss"
@@ -61,8 +61,7 @@ def evaluate_model(spark, sf):
 
 @query("compare_models", _EV + f"SELECT model, {_POINT} FROM ev")
 def compare_models(spark, sf):
-    df = long_scores(spark, sf)
-    return M.compare_models([M.evaluate_model(df.where(F.col("model") == m)) for m in ("base", "full")])
+    return M.compare_models([M.evaluate_model(long_scores(spark, sf))])
 
 
 @query(

@@ -109,10 +109,11 @@ def write_predictions(
 _local_folders: dict[str, str] = {}
 
 
-def shared_folder(spark: SparkSession) -> str | None:
+def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, as the cluster names it.
 
-    Only a local session without the setting gets a folder of its own.
+    Only a local session without the setting gets a folder of its own; on a
+    cluster the setting is required.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
@@ -122,20 +123,18 @@ def shared_folder(spark: SparkSession) -> str | None:
         if app not in _local_folders:
             _local_folders[app] = tempfile.mkdtemp(prefix="creditloom-")
         named = _local_folders[app]
-    return named.rstrip("/") if named else None
+    if not named:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named.rstrip("/")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a derived table once to the shared folder and read it back.
 
     For tables that several passes read: lineage is cut by durable files, so a
-    lost executor costs a re-read and no recomputation. Where no shared
-    folder is known the frame is returned as it is.
+    lost executor costs a re-read and no recomputation.
     """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if folder is None:
-        return df
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

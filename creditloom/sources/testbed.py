@@ -7,6 +7,8 @@ lines), and the ship log is the dated transaction log.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,7 +78,7 @@ def derive_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 APPLICATIONS_SQL = """
-applications AS (
+applications AS MATERIALIZED (
   SELECT o.o_orderkey AS application_id, o.o_custkey AS customer_id,
          o.o_orderdate AS application_date, o.o_totalprice AS loan_amount_requested,
          o.o_orderpriority AS employment_type, c.c_mktsegment AS segment,
@@ -118,13 +120,13 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _staged[key]
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(application_id, label, p_base, p_full, ...): two scores per application."""
+def scores(spark: SparkSession, sf_dir: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(application_id, label, p_base, p_full, ...): two scores per application, and columns to keep."""
     df = applications(spark, sf_dir)
     delinq = F.coalesce("cic_num_delinquencies", F.lit(0.0))
     amount = (F.col("loan_amount_requested") - 250000.0) / 100000.0
     return df.select(
-        "application_id", "application_date", "segment",
+        *keep, "application_id", "application_date", "segment",
         "cic_num_active_accounts", "cic_num_delinquencies",
         F.col("default_flag").alias("label"),
         F.round(1.0 / (1.0 + F.exp(-(amount * 0.5 + delinq * 0.4 - 1.0))), 3).alias("p_base"),
@@ -134,7 +136,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SCORES_SQL = (
     APPLICATIONS_SQL
-    + """, scores AS (
+    + """, scores AS MATERIALIZED (
   SELECT application_id, application_date, segment, cic_num_active_accounts, cic_num_delinquencies,
          default_flag AS label,
          round(1e0 / (1e0 + exp(-((loan_amount_requested - 250000e0) / 100000e0 * 0.5e0

@@ -13,15 +13,16 @@ from creditloom.sources import tables as IO
 
 @pytest.fixture(scope="module")
 def raw(spark):
-    rng = np.random.default_rng(42)
+    rng = np.random.default_rng(9)
     n = 500
-    pdf = pd.DataFrame({c: rng.uniform(-0.1, 1.2, n) for c in S.CLEANER_NUMERIC})
-    pdf["cic_num_inquiries_6m"] = rng.integers(0, 25, n).astype(float)
-    pdf["txn_frequency_30d"] = rng.integers(0, 600, n).astype(float)
-    pdf["age_at_application"] = rng.integers(16, 70, n).astype(float)
+    pdf = pd.DataFrame({c: rng.normal(0.6, 0.5, n) for c in S.CLEANER_NUMERIC})
+    # Every bounded column leaves its bounds on both sides.
+    for c, (lo, hi) in S.CLIP_BOUNDS.items():
+        if c in pdf:
+            pdf[c] = lo + (hi - lo) * rng.uniform(-0.3, 1.4, n)
     for c in S.BUREAU:
-        pdf.loc[rng.random(n) < 0.15, c] = np.nan
-    pdf["employment_type"] = rng.choice(["formal", "informal", "self_employed", "student"], n)
+        pdf.loc[rng.random(n) < 0.2, c] = np.nan
+    pdf["employment_type"] = rng.choice(["clerk", "farmer", "trader"], n)
     pdf["default_flag"] = rng.integers(0, 2, n)
     pdf["application_id"] = np.arange(n)
     return IO.normalise_missing(spark.createDataFrame(pdf)).persist()

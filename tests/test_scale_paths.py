@@ -10,8 +10,9 @@ from creditloom.operators import metrics as M
 from creditloom.operators import ranking as R
 from creditloom.operators import resampling as Z
 from creditloom.operators.quantiles import quantiles
-from creditloom.operators.relations import correlation_pairs
+from creditloom.operators.relations import correlation_pairs, vif
 from creditloom.operators.smote import nearest_neighbours, smote
+from creditloom.operators.windows import asof_window_join
 
 
 @pytest.fixture(scope="module")
@@ -33,18 +34,34 @@ def wild(spark):
 def test_quantiles_by_counting_match_numpy(wild, bins):
     pdf, df = wild
     probs = C.linspace(0.0, 1.0, bins)
-    got = quantiles(df, list(pdf.columns), probs, small=10)
+    got = quantiles(df, list(pdf.columns), probs)
     for c in pdf.columns:
         np.testing.assert_allclose(got[c], np.quantile(pdf[c].dropna(), probs), rtol=1e-12)
 
 
-def test_quantiles_small_path_and_empty_column(spark, wild):
+def test_quantiles_of_an_empty_column(spark, wild):
     pdf, df = wild
     got = quantiles(df.withColumn("none", F.lit(None).cast("double")), ["tail", "none"], [0.5])
     assert got["none"] is None
     np.testing.assert_allclose(got["tail"], [np.quantile(pdf["tail"], 0.5)])
 
 
+def test_quantiles_of_infinite_and_far_spread_values(spark):
+    top = float(np.finfo(float).max)
+    values = {
+        "ends": [-np.inf, -np.inf, 0.0, 25.0, 50.0, np.inf],
+        "wide": [-top, -1e-300, 0.0, 5e-324, 1.0, top],
+        "close": [1.0, 1.0 + 2**-52, 1.0 + 2**-51, 1.0 + 3 * 2**-52, 2.0, 1e18],
+        "nan": [np.nan, 1.0, 2.0, 3.0, np.nan, 4.0],
+        "all": [np.inf] * 6,
+    }
+    df = spark.createDataFrame(list(zip(*values.values(), strict=True)), ", ".join(f"{c} double" for c in values))
+    got = quantiles(df, list(values), [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])
+    for c in ("ends", "wide", "close", "all"):
+        assert got[c] == sorted(values[c])
+    assert quantiles(df, ["nan"], [0.0, 0.5, 1.0])["nan"] == [1.0, 2.5, 4.0]
+
+
 def _auc(y, s):
     pos, neg = s[y == 1], s[y == 0]
     return (np.sum(pos[:, None] > neg[None, :]) + 0.5 * np.sum(pos[:, None] == neg[None, :])) / (len(pos) * len(neg))
@@ -98,20 +115,64 @@ def test_row_ranks_are_a_permutation(spark):
         assert list(part["rank"]) == list(range(len(part)))
 
 
-def test_bootstrap_slices_keep_the_auc(scored):
-    y, s, _, df = scored
-    exact = _auc(y, s)
-    rows = Z._slices(df, "label", "score", [], max_cells=40).orderBy("at").toPandas()
-    assert len(rows) <= 41
-    below = rows["neg"].cumsum() - rows["neg"]
-    auc = (rows["pos"] * (below + rows["u"] * rows["neg"])).sum() / (rows["pos"].sum() * rows["neg"].sum())
-    assert auc == pytest.approx(exact, abs=1e-12)
-    ci = Z.bootstrap_ci(df, by=["model"], iterations=200)
-    for r in ci.collect():
-        assert r["auc_ci_lower"] < r["auc_ci_upper"]
+@pytest.mark.parametrize("per_task", [40, 4096])
+def test_bootstrap_is_complete_over_slices(scored, per_task):
+    df, chunk, total = scored[3], 20, 50
+    cells = Z._cells(df, "label", "score", ["model"], per_task).toPandas()
+    assert cells["slice"].nunique() > 5 or per_task == 4096
+    want = {}
+    for model, own in cells.groupby("model"):
+        own = own.sort_values("at")
+        for part in range(3):
+            drawn = [Z._draw(piece.assign(chunk=part), 7, chunk, total, ["model"]) for _, piece in own.groupby("slice")]
+            p, n = (np.concatenate([d[k] for d in drawn], axis=1) for k in (1, 2))
+            for k, draw in enumerate(drawn[0][0]):
+                before = np.cumsum(n[k]) - n[k]
+                gap = before / n[k].sum() - (np.cumsum(p[k]) - p[k]) / p[k].sum()
+                want[model, draw] = ((p[k] * (before + n[k] / 2)).sum() / (p[k].sum() * n[k].sum()), max(gap.max(), 0))
+    got = Z.bootstrap_draws(df, iterations=total, seed=7, chunk=chunk, per_task=per_task).collect()
+    assert len(got) == len(want) == 2 * total
+    for r in got:
+        assert (r["auc"], r["ks"]) == pytest.approx(want[r["model"], r["draw"]], abs=1e-12)
+
+
+def test_bootstrap_interval_holds_the_auc(scored):
+    y, s, m, df = scored
+    for r in Z.bootstrap_ci(df, by=["model"], iterations=200).collect():
+        own = m == r["model"]
+        assert r["auc_ci_lower"] < _auc(y[own], s[own]) < r["auc_ci_upper"]
         assert r["gini_ci_lower"] == pytest.approx(2 * r["auc_ci_lower"] - 1)
-    a = {r["model"]: r for r in ci.collect()}["a"]
-    assert a["auc_ci_lower"] < exact + 0.02 and a["auc_ci_upper"] > exact - 0.02
+
+
+def test_inflation_of_constant_and_tied_columns(spark):
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=500), rng.normal(size=500)
+    pdf = pd.DataFrame({"x": x, "twice": 2 * x, "y": y, "flat": 3.0, "z": y + rng.normal(size=500)})
+    got = {r["feature"]: r["vif"] for r in vif(spark.createDataFrame(pdf), list(pdf.columns)).collect()}
+    assert got["x"] == got["twice"] == np.inf and got["flat"] is None
+    r2 = np.corrcoef(y, pdf["z"])[0, 1] ** 2
+    assert got["z"] == pytest.approx(1 / (1 - r2), rel=0.05) and got["y"] == pytest.approx(got["z"], rel=0.05)
+
+
+def test_left_as_of_join_keeps_each_point_once(spark):
+    points = spark.createDataFrame([("a", "2020-05-01"), ("a", "2021-05-01"), ("b", "2020-05-01"), (None, "2020-05-01")], "entity string, t0 string")
+    points = points.withColumn("t0", F.to_date("t0"))
+    daily = spark.createDataFrame([("a", "2020-04-30", 1.0), ("a", "2020-03-01", 2.0), ("b", "2020-06-01", 3.0)], "entity string, day string, v double")
+    daily = daily.withColumn("day", F.to_date("day"))
+    got = asof_window_join(points, daily, 90, "left").select("entity", F.col("t0").cast("string"), "v", "age").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([
+        ("a", "2020-05-01", 1.0, 1), ("a", "2020-05-01", 2.0, 61), ("a", "2021-05-01", None, None),
+        ("b", "2020-05-01", None, None), (None, "2020-05-01", None, None),
+    ], key=repr)
+    assert asof_window_join(points, daily, 90, "inner").count() == 2
+
+
+def test_losses_are_plain_means(scored):
+    y, s, m, df = scored
+    for r in M.point_losses(df).collect():
+        own = m == r["model"]
+        assert r["brier_score"] == pytest.approx(np.mean((s[own] - y[own]) ** 2), abs=1e-12)
+    assert "Window" not in M.point_losses(df)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_stratified_bootstrap_has_ks(scored):
