@@ -26,7 +26,7 @@ HEADLINE = [
     "compare_models", "roc_points", "segment_metrics", "delong_test", "bootstrap_ci",
     "compare_calibration", "reliability_equal_freq", "psi_per_feature", "psi_monthly", "correlation_pairs", "density_by_class",
     "attribution_linear", "mean_abs_attribution", "adverse_action_top3",
-    "train_boosted", "attribution_tree",
+    "train_boosted", "attribution_tree", "train_logistic", "train_forest", "smote",
 ]
 
 

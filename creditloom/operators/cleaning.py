@@ -15,6 +15,7 @@ from creditloom.operators.ranking import row_ranks
 from creditloom.sources.tables import stage
 
 LITERAL_CATEGORIES = 1000
+LITERAL_FOLDS = 500
 
 
 def dedupe(df: DataFrame, key: str | Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -129,6 +130,14 @@ def target_encode_oof(
     )
     # The overall mean is one row: the sums per (category, fold) added up.
     overall = parts.agg((F.sum("_s") / F.sum("_n")).alias("m")).first()["m"]
+    # A short table becomes a literal map, so that the rows need no shuffle; both ways give the same values.
+    head = table.limit(LITERAL_FOLDS + 1).collect()
+    if len(head) <= LITERAL_FOLDS:
+        mark = lambda c, f: F.concat_ws("|", f, F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null")))
+        means = [(r["_c"], r["_f"], r["_so"] / r["_no"]) for r in head if r["_no"]]
+        known = [x for c, f, m in means for x in (mark(F.lit(c).cast(df.schema[column].dataType), F.lit(f)), F.lit(m))]
+        mean = F.try_element_at(F.create_map(*known), mark(F.col(column), F.col("fold"))) if known else F.lit(None).cast("double")
+        return rows.withColumn(f"{column}_te", F.coalesce(mean, F.lit(overall)))
     on = F.col(column).eqNullSafe(F.col("_c")) & (F.col("fold") == F.col("_f"))
     enc = F.coalesce(F.try_divide("_so", "_no"), F.lit(overall))
     return rows.join(table, on, "left").withColumn(f"{column}_te", enc).drop("_c", "_f", "_so", "_no")

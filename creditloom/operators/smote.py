@@ -192,7 +192,8 @@ def smote(
     whole, rest = int(per_row), per_row - int(per_row)
     block = 10_000
     blocks = near.withColumn("b", F.explode(F.sequence(F.lit(0), ((F.col("m") - 1) / block).cast("long"))))
-    rows = blocks.withColumn(
+    # Blocks of a point with many copies are spread before they become rows.
+    rows = blocks.repartition("id", "b").withColumn(
         "r", F.explode(F.sequence(F.col("b") * block, F.least((F.col("b") + 1) * block, F.col("m")) - 1))
     )
     extra = (C.hash_unit(seed, F.lit("extra"), "id", "r") < rest).cast("int")

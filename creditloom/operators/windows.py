@@ -32,10 +32,24 @@ def asof_points(df: DataFrame, entity: str, t0: str) -> DataFrame:
     return df.select(F.col(entity).alias("entity"), F.col(t0).cast("date").alias("t0")).distinct()
 
 
+def log_span(points: DataFrame, days: int = 90) -> tuple[str, str] | None:
+    """First and last day that windows of the as-of points can reach; None without points."""
+    row = points.agg(F.date_sub(F.min("t0"), days).cast("string").alias("lo"), F.date_add(F.max("t0"), 1).cast("string").alias("hi")).first()
+    return (row["lo"], row["hi"]) if row["lo"] else None
+
+
 def daily_log(
-    log: DataFrame, entity: str, ts: str, amount: str, credit: Column | None = None, extra: Sequence[str] = ()
+    log: DataFrame, entity: str, ts: str, amount: str, credit: Column | None = None, extra: Sequence[str] = (),
+    span: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """(entity, [extra], day, n, amount, credit): one row per entity and day."""
+    """(entity, [extra], day, n, amount, credit): one row per entity and day.
+
+    ``span`` (see ``log_span``) bounds the log from a day on to before another; as
+    literals of the column's own type the bounds reach the scan.
+    """
+    if span:
+        lo, hi = (F.lit(d).cast(log.schema[ts].dataType) for d in span)
+        log = log.where((F.col(ts) >= lo) & (F.col(ts) < hi))
     credit_amount = F.when(credit, F.col(amount)) if credit is not None else F.lit(None).cast("double")
     return (
         log.where(F.col(ts).isNotNull())

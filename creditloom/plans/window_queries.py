@@ -26,7 +26,8 @@ def _points(spark, sf):
 
 
 def _daily(spark, sf):
-    return W.daily_log(table(spark, sf, "lineitem"), "l_suppkey", "l_shipdate", "l_extendedprice", F.col("l_returnflag") == "A")
+    span = W.log_span(_points(spark, sf))
+    return W.daily_log(table(spark, sf, "lineitem"), "l_suppkey", "l_shipdate", "l_extendedprice", F.col("l_returnflag") == "A", span=span)
 
 
 def _behaviour(spark, sf):
@@ -141,7 +142,7 @@ FROM pts p LEFT JOIN g ON p.entity = g.entity AND p.t0 = g.t0
 def merchant_diversity(spark, sf):
     line = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", "l_shipdate", "l_extendedprice")
     kinds = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
-    daily = W.daily_log(line.join(kinds, "l_partkey"), "l_suppkey", "l_shipdate", "l_extendedprice", extra=["p_type"])
+    daily = W.daily_log(line.join(kinds, "l_partkey"), "l_suppkey", "l_shipdate", "l_extendedprice", extra=["p_type"], span=W.log_span(_points(spark, sf)))
     out = W.merchant_diversity(_points(spark, sf), daily, "p_type")
     return out.select(
         "entity", F.col("t0").cast("string").alias("t0"), "merchant_category_diversity", F.round("merchant_entropy", 6).alias("merchant_entropy")

@@ -54,6 +54,16 @@ def test_filters_reach_the_scan(spark, sf_dir):
     assert "GreaterThanOrEqual(l_quantity,45.0)" in text
 
 
+def test_log_is_pruned_to_the_reach_of_the_points(spark, sf_dir):
+    text = _daily(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PushedFilters: \[.*GreaterThanOrEqual\(l_shipdate,.*LessThan\(l_shipdate,", text)
+
+
+def test_target_encoding_moves_no_rows(spark, sf_dir):
+    text = plan(QUERIES["target_encode_oof"](spark, sf_dir))
+    assert "Exchange" not in text and "Join" not in text
+
+
 def test_window_runs_inside_slices(no_broadcast, sf_dir):
     df = long_scores(no_broadcast, sf_dir)
     cells = R.prefix_sums(R.score_cells(df, "label", "score", ["model"]), "score", ["pos", "neg"], ["model"], [0.25, 0.5])
