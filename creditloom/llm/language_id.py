@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from itertools import chain
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +40,7 @@ SLOTS = 1 << 16
 SMOOTHING = 0.1
 CLIP = 4.0
 SWITCH = 7.0
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 _BATCH_BYTES = 8 << 20
 #: A script belongs to a language that writes at least this share of its letters in it.
 SCRIPT_SHARE = 0.02
@@ -81,13 +82,16 @@ class Model:
     weights: np.ndarray
     allowed: np.ndarray
 
-    def word_scores(self, word: str) -> np.ndarray:
-        """Scores per language, best 0 and none below -CLIP."""
-        score = self.weights[slots_of(word)].sum(axis=0)
-        allowed = self.allowed[script_of(word)]
-        if allowed.any():
-            score = np.where(allowed, score, -np.inf)
-        return np.maximum(score - score.max(), -CLIP)
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """Scores of words per language, best 0 and none below -CLIP."""
+        slots = [slots_of(w) for w in words]
+        first = np.concatenate([[0], np.cumsum([len(x) for x in slots])])[:-1]
+        score = np.add.reduceat(self.weights[np.concatenate(slots)], first, axis=0)
+        allowed = self.allowed[[script_of(w) for w in words]]
+        # A script that no language writes leaves all of them.
+        allowed |= ~allowed.any(axis=1, keepdims=True)
+        score = np.where(allowed, score, -np.inf)
+        return np.maximum(score - score.max(axis=1, keepdims=True), -CLIP).astype(np.float32)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -140,40 +144,40 @@ class Labeller:
 
     def __init__(self, model: Model, switch: float = SWITCH):
         self.model, self.switch = model, switch
+        self._empty()
+
+    def _empty(self) -> None:
         self.rows: dict[str, int] = {}
-        self.scores = np.zeros((1, len(model.languages)), np.float32)
+        self.words: dict[str, int] = {"": 0}
+        self.scores = np.zeros((1, len(self.model.languages)), np.float32)
         self.letters = np.zeros(1, np.int32)
 
-    def _row(self, token: str, new: list[np.ndarray], sizes: list[int]) -> int:
-        """Row of a token; tokens without a letter share row 0, which favours no language."""
-        word = _NOT_LETTERS.sub("", token).lower()
-        if not word:
-            row = 0
-        else:
-            row = len(self.letters) + len(new)
-            new.append(self.model.word_scores(word))
-            sizes.append(len(word))
-        self.rows[token] = row
-        return row
+    def _learn(self, tokens: set[str]) -> None:
+        """Rows of new tokens; all tokens without a letter share row 0, which favours no language."""
+        bare = {t: _NOT_LETTERS.sub("", t).lower() for t in tokens}
+        new = sorted(set(bare.values()) - self.words.keys())
+        if new:
+            self.words.update(zip(new, range(len(self.letters), len(self.letters) + len(new)), strict=True))
+            self.scores = np.concatenate([self.scores, self.model.word_scores(new)])
+            self.letters = np.concatenate([self.letters, np.array([len(w) for w in new], np.int32)])
+        words = self.words
+        self.rows.update((t, words[w]) for t, w in bare.items())
 
     def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Row of each token of all texts in a row, and the first token of each text."""
-        if len(self.rows) > CACHE_WORDS:
-            self.rows.clear()
-            self.scores, self.letters = self.scores[:1], self.letters[:1]
-        rows, first, new, sizes = [], [0], [], []
-        known = self.rows
-        for text in texts:
-            parts = (text or "").split()
-            got = list(map(known.get, parts))
-            if None in got:
-                got = [self._row(p, new, sizes) if (r := known.get(p)) is None else r for p in parts]
-            rows += got
-            first.append(len(rows))
-        if new:
-            self.scores = np.concatenate([self.scores, np.array(new, np.float32)])
-            self.letters = np.concatenate([self.letters, np.array(sizes, np.int32)])
-        return np.array(rows, np.int64), np.array(first, np.int64)
+        split = [(t or "").split() for t in texts]
+        asked = set()
+        for parts in split:
+            asked.update(parts)
+        new = asked - self.rows.keys()
+        if len(self.rows) + len(new) > CACHE_WORDS:
+            # A full cache starts anew with what these texts ask for.
+            self._empty()
+            new = asked
+        self._learn(new)
+        row = self.rows.__getitem__
+        first = np.concatenate([[0], np.cumsum([len(p) for p in split])])
+        return np.fromiter(map(row, chain.from_iterable(split)), np.int64, int(first[-1])), first
 
     def paths(self, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Best language of every token: one step a position, for all texts side by side."""
