@@ -261,7 +261,7 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """rk, lo, hi: word ranges covered by windows that start at two or more places.
+    """rk, doc_id, lo, hi: word ranges covered by windows that start at two or more places (null ids as 0).
 
     ``docs`` needs ``doc_id``, ``text`` and ``rk`` (``common.row_key``). Ranges of one
     row may overlap. Intermediate results are a staged table, so a lost executor
@@ -274,15 +274,15 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     shards = _heavy_shards(_bucket_sizes(docs, buckets, window, gram))
     packed, parts = _scatter(docs, buckets, shards, window, gram)
     found = stage(_count_buckets(packed, parts, window), "repeated-windows")
-    sure = found.where(F.col("d1").isNull()).select("rk", "lo", "hi")
+    sure = found.where(F.col("d1").isNull()).select("rk", "doc_id", "lo", "hi")
     # Each shard sends a window once, so a group holds no more rows than there are shards.
     across = (
         found.where(F.col("d1").isNotNull())
         .groupBy("d1", "d2")
-        .agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.when(F.col("rk").isNotNull(), F.struct("rk", "lo", "hi"))).alias("places"))
+        .agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.when(F.col("rk").isNotNull(), F.struct("rk", "doc_id", "lo", "hi"))).alias("places"))
         .where("n > 1")
         .select(F.explode("places").alias("p"))
-        .select("p.rk", "p.lo", "p.hi")
+        .select("p.rk", "p.doc_id", "p.lo", "p.hi")
     )
     return sure.unionByName(across)
 
@@ -327,11 +327,13 @@ def tag_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, name: s
     Kept words are joined by one space. Every place of a repeated window goes,
     the first one too; windows are judged on the input.
     """
-    key, other = fresh(docs, "rk"), fresh(docs, "rk_of_ranges")
+    key, other, owner = (fresh(docs, c) for c in ("rk", "rk_of_ranges", "id_of_ranges"))
     keyed = docs.withColumn(key, row_key())
-    found = repeated_ranges(keyed.select("doc_id", "text", F.col(key).alias("rk")), window, gram)
-    ranges = found.groupBy("rk").agg(F.collect_list(F.struct("lo", "hi")).alias(name)).withColumnRenamed("rk", other)
-    joined = keyed.join(ranges, F.col(key) == F.col(other), "left").drop(key, other)
+    found = repeated_ranges(keyed.select(F.col("doc_id").cast("long"), "text", F.col(key).alias("rk")), window, gram)
+    ranges = found.groupBy(F.col("rk").alias(other), F.col("doc_id").alias(owner)).agg(F.collect_list(F.struct("lo", "hi")).alias(name))
+    # The id beside the digest: two documents never share a key.
+    same = (F.col(key) == F.col(other)) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) == F.col(owner))
+    joined = keyed.join(ranges, same, "left").drop(key, other, owner)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return joined.mapInArrow(_stripper("text", name), f"{schema}, `{name}` struct<n_words: bigint, n_removed: bigint, kept_text: string>")
 
