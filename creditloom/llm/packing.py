@@ -38,12 +38,12 @@ from creditloom.llm.textops import chunks
 CAPACITY = 4096
 END_ID = 2
 #: Distinct words whose ids a worker remembers; a full cache starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 
 #: A plain word: letters whose lower case and normal form are simple, then ASCII punctuation that forms one token run.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|)(%*&#$\"/+=~_-]*)")
 #: Python splits at these, the tokenizer does not.
-_UNLIKE = re.compile("[\x1c-\x1f]")
+_UNLIKE = "\x1c\x1d\x1e\x1f"
 
 
 class WordIds:
@@ -57,6 +57,8 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
 
@@ -64,46 +66,54 @@ class WordIds:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def _encode_plain(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts that are one run of letters or of signs each: the library gets many in one string.
+
+        Each such part is one piece for the tokenizer, and exactly its last token is a word end.
+        """
+        joined = [parts[k : k + 256] for k in range(0, len(parts), 256)]
+        out: list[bytes] = []
+        for group, found in zip(joined, self.tokenizer.encode_batch_fast([" ".join(g) for g in joined], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype="<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) != len(group):
+                out += self._encode(group)
+                continue
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *(4 * cut[:-1]).tolist()], (4 * cut).tolist(), strict=True)]
+        return out
+
     def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words.clear()
         if len(self.parts) + len(words) > CACHE_WORDS:
             self.parts = {"": b""}
-        cut = {}
+        parts, cut, odd = self.parts, {}, []
         for word in words:
             plain = _PLAIN.fullmatch(word)
-            cut[word] = (plain[1].lower(), plain[2]) if plain else (word, "")
-        new = sorted({p for pair in cut.values() for p in pair} - self.parts.keys())
-        self.parts.update(zip(new, self._encode(new), strict=True))
-        parts = self.parts
+            if plain:
+                cut[word] = (plain[1].lower(), plain[2])
+            else:
+                odd.append(word)
+        new = sorted({p for pair in cut.values() for p in pair} - parts.keys())
+        parts.update(zip(new, self._encode_plain(new), strict=True))
+        self.words.update(zip(odd, self._encode(odd), strict=True))
         for word, (core, tail) in cut.items():
             self.words[word] = parts[core] + parts[tail]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        known, out, late, missing = self.words, [], [], set()
-        for i, text in enumerate(texts):
-            if not text:
-                out.append(b"")
-            elif _UNLIKE.search(text):
-                out.append(self._encode([text])[0])
-            else:
-                words = text.split()
-                ids = list(map(known.get, words))
-                if None in ids:
-                    missing.update(w for w, x in zip(words, ids, strict=True) if x is None)
-                    late.append((i, words))
-                    out.append(b"")
-                else:
-                    out.append(b"".join(ids))
-        if missing:
-            # Known words of these texts may go when the cache starts anew, so all are asked for.
-            if len(known) + len(missing) > CACHE_WORDS:
-                missing.update(w for _, words in late for w in words)
-            self._learn(missing)
-            for i, words in late:
-                out[i] = b"".join(map(known.__getitem__, words))
-        return out
+        split = [None if t and any(c in t for c in _UNLIKE) else (t or "").split() for t in texts]
+        asked: set[str] = set()
+        for words in split:
+            if words:
+                asked.update(words)
+        new = asked - self.words.keys()
+        if len(self.words) + len(new) > CACHE_WORDS:
+            # A full cache starts anew with what these texts ask for.
+            self.words.clear()
+            new = asked
+        self._learn(new)
+        ids = self.words.__getitem__
+        return [self._encode([t])[0] if words is None else b"".join(map(ids, words)) for t, words in zip(texts, split, strict=True)]
 
 
 class LevelPacker:
