@@ -153,7 +153,7 @@ def _interpolate(positions: list[float], by_rank: dict[int, float]) -> list[floa
     out = []
     for pos in positions:
         a, b = by_rank[math.floor(pos)], by_rank[math.ceil(pos)]
-        out.append(a if a == b else a + (pos - math.floor(pos)) * (b - a))
+        out.append(a if a == b else (math.ceil(pos) - pos) * a + (pos - math.floor(pos)) * b)
     return out
 
 
