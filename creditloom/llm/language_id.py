@@ -40,8 +40,8 @@ SLOTS = 1 << 16
 SMOOTHING = 0.1
 CLIP = 4.0
 SWITCH = 7.0
-CACHE_WORDS = 800_000
-_BATCH_BYTES = 8 << 20
+CACHE_WORDS = 250_000
+_BATCH_BYTES = 4 << 20
 #: A script belongs to a language that writes at least this share of its letters in it.
 SCRIPT_SHARE = 0.02
 

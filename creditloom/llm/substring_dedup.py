@@ -38,8 +38,8 @@ from creditloom.llm.textops import Words, chunks, gram_hashes, sliding_min, spli
 WINDOW = 35
 GRAM = 4
 #: Packed text a bucket should hold, and packed bytes a scattering task keeps back.
-BUCKET_BYTES = 32 << 20
-FLUSH_BYTES = 24 << 20
+BUCKET_BYTES = 16 << 20
+FLUSH_BYTES = 10 << 20
 #: A bucket is dealt to shards above this multiple of the mean.
 HEAVY = 3
 
