@@ -15,6 +15,12 @@ A key with many classes is cut into tiles of ``TILE`` rows; a unit of work is on
 pair of tiles, so it is bounded whatever the data holds. A unit reports links
 that span what it found connected (at most one a row), never all pairs.
 
+With ``similarity`` the radius only finds candidates. Texts of equal shingle sets
+are one class; classes that a unit found connected form a group. Each group is cut
+into tiles bounded in rows and bytes, and two classes of it are linked only when they are within
+the radius and the Jaccard similarity of their distinct shingles, counted out in full, reaches the value.
+Only candidates' shingles are shuffled.
+
 The table of tile keys is broadcast; there are at most 17^4 keys (or a few hundred sizes).
 
 Rows: null text counts as empty; texts without words share the fingerprint
@@ -27,7 +33,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import fresh, partitions_for, query, read, stage
+from creditloom.llm.common import fresh, partitions_for, query, read, row_key, stage
 from creditloom.llm.components import smallest_reachable
 from creditloom.llm.textops import chunks, mix, split_words
 
@@ -44,6 +50,9 @@ RADIUS = 2
 SEED = 42
 #: Classes in a tile.
 TILE = 2048
+#: Classes and bytes of shingle hashes in a tile of candidates.
+VERIFY_TILE = 1024
+VERIFY_BYTES = 4 << 20
 
 _SALTS = np.array([0, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D], dtype=np.uint64)
 
@@ -71,14 +80,17 @@ def _majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words: int = 1, distinct: bool = False, seed: int = SEED) -> DataFrame:
-    """doc_id, f0..f{words-1}, n_shingles: SimHash of 64 bits a word.
+def fingerprints(
+    docs: DataFrame, shingle: int = SHINGLE, words: int = 1, distinct: bool = False, seed: int = SEED, sets: bool = False
+) -> DataFrame:
+    """doc_id, row_key, f0..f{words-1}, n_shingles: SimHash of 64 bits a word.
 
     A-Z count as a-z; all other characters stand for themselves. The first word
     uses XXH64 itself, later ones a remix of it. With ``distinct`` each
-    shingle counts once.
+    shingle counts once. ``sets`` adds ``set_key``, a hash of the distinct shingles.
     """
     names = [f"f{k}" for k in range(words)]
+    key = row_key()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -90,15 +102,18 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words: int = 1, distin
                 each.append(np.unique(h) if distinct else h)
             first = np.append(0, np.cumsum([len(h) for h in each]))
             hashes = np.concatenate(each) if each else np.empty(0, np.uint64)
-            out = {"doc_id": batch.column("doc_id")}
+            out = {"doc_id": batch.column("doc_id"), "row_key": batch.column("row_key")}
             for k, name in enumerate(names):
                 h = mix(hashes ^ _SALTS[k]) if k else hashes
                 out[name] = pa.array(_majority(h, first).view(np.int64), pa.int64())
             out["n_shingles"] = pa.array(np.diff(first), pa.int64())
+            if sets:
+                keys = [xxhash.xxh64_intdigest((h if distinct else np.unique(h)).tobytes(), seed) for h in each]
+                out["set_key"] = pa.array(np.array(keys, dtype=np.uint64).view(np.int64), pa.int64())
             yield pa.RecordBatch.from_pydict(out)
 
-    schema = "doc_id long, " + "".join(f"{n} long, " for n in names) + "n_shingles long"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)
+    schema = "doc_id long, row_key long, " + "".join(f"{n} long, " for n in names) + "n_shingles long" + ", set_key long" * sets
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), key.alias("row_key")).mapInArrow(work, schema)
 
 
 def _quarter_counts(f0: str = "f0"):
@@ -216,7 +231,7 @@ def _compare(side: np.ndarray, prints: np.ndarray, sizes: np.ndarray, radius: in
 
 
 def _links(dealt: DataFrame, names: list[str], radius: int, ratio: float | None) -> DataFrame:
-    """a, b: links that span the near pairs of each unit. ``dealt`` is sorted by unit within partitions."""
+    """unit, a, b: links that span the near pairs of each unit. ``dealt`` is sorted by unit within partitions."""
 
     def unit_links(table: pa.Table) -> pa.RecordBatch | None:
         col = {c: table.column(c).to_numpy() for c in table.column_names}
@@ -226,7 +241,14 @@ def _links(dealt: DataFrame, names: list[str], radius: int, ratio: float | None)
         label = _compare(col["side"], prints, col["n_shingles"], radius, ratio)
         a, b = col["node"], col["node"][label]
         linked = a != b
-        return pa.RecordBatch.from_pydict({"a": pa.array(a[linked]), "b": pa.array(b[linked])}) if linked.any() else None
+        columns = {"unit": pa.array(col["unit"][linked]), "a": pa.array(a[linked]), "b": pa.array(b[linked])}
+        return pa.RecordBatch.from_pydict(columns) if linked.any() else None
+
+    return dealt.mapInArrow(_by_unit(unit_links), "unit long, a long, b long")
+
+
+def _by_unit(links: Callable[[pa.Table], pa.RecordBatch | None]):
+    """Applies ``links`` to the rows of each unit; rows come sorted by unit."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -235,15 +257,90 @@ def _links(dealt: DataFrame, names: list[str], radius: int, ratio: float | None)
             cuts = [0, *(np.flatnonzero(np.diff(unit)) + 1).tolist(), len(unit)]
             for lo, hi in itertools.pairwise(cuts):
                 if held and hi > lo and held[-1].column("unit")[0].as_py() != unit[lo]:
-                    if (out := unit_links(pa.Table.from_batches(held))) is not None:
+                    if (out := links(pa.Table.from_batches(held))) is not None:
                         yield out
                     held = []
                 if hi > lo:
                     held.append(batch.slice(lo, hi - lo))
-        if held and (out := unit_links(pa.Table.from_batches(held))) is not None:
+        if held and (out := links(pa.Table.from_batches(held))) is not None:
             yield out
 
-    return dealt.mapInArrow(work, "a long, b long")
+    return work
+
+
+def _shingle_sets(rows: DataFrame, names: list[str], shingle: int, seed: int = SEED) -> DataFrame:
+    """node, fingerprint words, n_shingles and the ordered distinct shingle hashes of each text."""
+    kept = ["node", *names, "n_shingles"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            found = split_words(batch.column("text"), lower=True)
+            data, s, e = found.text.tobytes(), found.start.tolist(), found.end.tolist()
+            sets = [
+                np.unique(_shingle_hashes(data, s[lo:hi], e[lo:hi], shingle, seed)).tobytes() for lo, hi in itertools.pairwise(found.first.tolist())
+            ]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sets, pa.binary())], [*kept, "shingles"])
+
+    return rows.select(*kept, "text").mapInArrow(work, ", ".join(f"{c} long" for c in kept) + ", shingles binary")
+
+
+def _same(prints: np.ndarray, sets: list[np.ndarray], tile: np.ndarray, radius: int, similarity: float) -> np.ndarray:
+    """Group label of each row: rows of different tiles (of one, if there is one) linked where the sets' Jaccard similarity reaches the value."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    first = np.append(0, np.cumsum(sizes))
+    kinds, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(kinds), dtype=bool)
+    label = np.arange(len(sets))
+    one = (tile == tile[0]).all()
+    for x in range(len(sets)):
+        other = np.arange(x + 1, len(sets)) if one else np.flatnonzero(tile > tile[x])
+        other = other[label[other] != label[x]]
+        least, most = np.minimum(sizes[other], sizes[x]), np.maximum(sizes[other], sizes[x])
+        other = other[(least >= similarity * most - 1e-9) & (sizes[other] > 0)]
+        other = other[np.bitwise_count(prints[other] ^ prints[x]).sum(axis=1, dtype=np.int32) <= radius]
+        if not len(other):
+            continue
+        mark[ids[first[x] : first[x + 1]]] = True
+        shared = np.array([np.count_nonzero(mark[ids[first[y] : first[y + 1]]]) for y in other.tolist()], dtype=np.int64)
+        mark[ids[first[x] : first[x + 1]]] = False
+        near = other[shared >= similarity * (sizes[other] + sizes[x] - shared) - 1e-9]
+        joined = np.unique(np.append(label[near], label[x]))
+        if len(joined) > 1:
+            label[np.isin(label, joined)] = joined[0]
+    return label
+
+
+def _verified(docs: DataFrame, classes: DataFrame, near: DataFrame, names: list[str], shingle: int, radius: int, similarity: float) -> DataFrame:
+    """a, b: links that span the pairs of the groups in ``near`` that are of the similarity."""
+    spark = docs.sparkSession
+    members = near.select(F.xxhash64("unit", "b").alias("part"), F.explode(F.array("a", "b")).alias("node")).distinct()
+    members = stage(members.join(classes.select("node", "n_shingles"), "node"), "candidates")
+    key = fresh(docs, "row_key")
+    asked = classes.join(members.select("node"), "node", "left_semi").select("node", F.col("least.row_key").alias(key), *names, "n_shingles")
+    texts = docs.select(F.col("text").cast("string").alias("text"), row_key().alias(key)).join(asked, key).dropDuplicates(["node"])
+    sets = stage(_shingle_sets(texts, names, shingle), "shingle-sets")
+    rows, size = F.count(F.lit(1)), 8 * F.sum("n_shingles")
+    tiles = F.ceil(F.greatest(rows / VERIFY_TILE, size / VERIFY_BYTES, F.lit(1.0))).cast("int")
+    counts = stage(members.groupBy("part").agg(tiles.alias("tiles"), size.alias("bytes")), "candidate-groups")
+    total = counts.agg(F.sum(F.col("tiles") * F.col("bytes"))).first()[0] or 0
+    tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    dealt = (
+        members.join(counts, "part").select("part", "node", tile.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+        .select(F.xxhash64("part", F.least("tile", "other"), F.greatest("tile", "other")).alias("unit"), "tile", "node")
+        .join(sets, "node")
+    )
+
+    def unit_links(table: pa.Table) -> pa.RecordBatch | None:
+        col = {c: table.column(c).to_numpy() for c in ("node", "tile", *names)}
+        prints = np.stack([col[n] for n in names], axis=1).view(np.uint64)
+        hashes = [np.frombuffer(b, dtype=np.uint64) for b in table.column("shingles").to_pylist()]
+        label = _same(prints, hashes, col["tile"], radius, similarity)
+        a, b = col["node"], col["node"][label]
+        linked = a != b
+        return pa.RecordBatch.from_pydict({"a": pa.array(a[linked]), "b": pa.array(b[linked])}) if linked.any() else None
+
+    parts = partitions_for(spark, total, 8 << 20)
+    return dealt.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_by_unit(unit_links), "a long, b long")
 
 
 def near_duplicates(
@@ -253,38 +350,47 @@ def near_duplicates(
     words: int = 1,
     distinct: bool = False,
     size_ratio: float | None = None,
+    similarity: float | None = None,
 ) -> DataFrame:
-    """doc_id, f0.., n_shingles, node, component_id for every row of ``docs``.
+    """doc_id, row_key, f0.., n_shingles, node, component_id for every row of ``docs``.
 
     ``component_id`` is the smallest doc_id reachable over fingerprints at most
     ``radius`` bits apart. ``size_ratio`` also asks that the smaller text has at
-    least that share of the larger one's shingles. Fingerprints and
+    least that share of the larger one's shingles. ``similarity`` also asks for that Jaccard
+    similarity of the distinct shingles (and implies the size ratio). Fingerprints and
     links live in staged tables; only tile-key counts reach the driver.
     """
     spark = docs.sparkSession
     names = [f"f{k}" for k in range(words)]
+    exact = similarity is not None
+    if exact:
+        if not distinct or not 0 < similarity < 1:
+            raise ValueError("a similarity between 0 and 1 needs distinct shingles")
+        size_ratio = max(size_ratio or 0.0, similarity)
     by_size = size_ratio is not None
-    prints = fingerprints(docs, shingle, words, distinct)
+    prints = fingerprints(docs, shingle, words, distinct, sets=exact)
     same = [*names, "n_shingles"] if by_size else names
-    # One word is its own name; several are named by their hash.
-    node = F.xxhash64(*same) if len(same) > 1 else F.col(names[0])
-    prints = stage(prints.withColumn("node", node), "fingerprints")
+    # One word is its own name; several are named by their hash, texts to verify by their shingles.
+    node = F.xxhash64("set_key", *same) if exact else F.xxhash64(*same) if len(same) > 1 else F.col(names[0])
+    prints = stage(prints.withColumn("node", node).drop("set_key"), "fingerprints")
     key = (
         F.when(F.col("n_shingles") > 0, F.floor(F.log(F.greatest("n_shingles", F.lit(1))) / -math.log(size_ratio)) + 2).otherwise(0)
         if by_size
         else _quarter_counts()
     )
     classes = stage(
-        prints.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(n).alias(n) for n in names], F.min("n_shingles").alias("n_shingles"))
+        prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("least"), *[F.first(n).alias(n) for n in names], F.min("n_shingles").alias("n_shingles"))
         .withColumn("key", key.cast("long")),
         "classes",
     )
     dealt = _deal(classes, [*names, "n_shingles"], radius, by_size)
     parts = partitions_for(spark, classes.count() * 24 * 40)
     links = _links(dealt.repartition(parts, "unit").sortWithinPartitions("unit"), names, radius, size_ratio)
+    if exact:
+        links = _verified(docs, classes, stage(links, "near-pairs"), names, shingle, radius, similarity)
     roots = smallest_reachable(links, "a", "b")
     rooted = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = rooted.groupBy("root").agg(F.min("least.doc_id").alias("component_id"))
     named = stage(rooted.select("node", "root").join(least, "root").select("node", "component_id"), "components")
     return prints.join(named, "node")
 

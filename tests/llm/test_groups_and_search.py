@@ -93,6 +93,45 @@ def test_near_copies_of_similarity_eight_tenths_link(frame):
     assert kept.where("doc_id % 2 = 0").count() == 30 and kept.where("doc_id % 2 = 1").count() <= 1
 
 
+def _alike(texts, least=0.8):
+    """Ids that stay: the smallest of each group of texts linked by brute-force Jaccard."""
+    sets = []
+    for _, text in texts:
+        words = re.findall("[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append({" ".join(words[k : k + 5]) for k in range(max(len(words) - 4, 1))} if words else set())
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            x, y = sets[a], sets[b]
+            if min(len(x), len(y)) >= least * max(len(x), len(y)) and len(x & y) >= least * len(x | y) - 1e-9:
+                root[find(a)] = find(b)
+    groups = {}
+    for k, (i, _) in enumerate(texts):
+        groups.setdefault(find(k), []).append(i)
+    return sorted(min(g) for g in groups.values())
+
+
+@pytest.mark.parametrize("tile", [3, 1024])
+def test_near_copies_are_those_of_brute_force(frame, texts, monkeypatch, tile):
+    monkeypatch.setattr(simhash_dedup, "VERIFY_TILE", tile)
+    rng = np.random.default_rng(11)
+    made = list(texts)
+    for n in (6, 9, 14, 60, 300):  # words changed one after the other: similarities from 1 down to below 0.5
+        for group in range(4):
+            words = [f"v{rng.integers(10**6)}" for _ in range(n)]
+            for k in range(12):
+                made.append((10**6 + len(made), " ".join(words)))
+                words[rng.integers(n)] = f"y{rng.integers(10**6)}"
+    made += [(5 * 10**6, ""), (5 * 10**6 + 1, None), (5 * 10**6 + 2, " ".join(texts[0][1].split() * 2))]
+    assert [r.doc_id for r in simhash_dedup.keep_one(frame(made), **corpus_pipeline.NEAR).orderBy("doc_id").collect()] == _alike(made)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     assert rows(components.smallest_reachable(links, "a", "b"), "node", "root") == sorted([(k, 0) for k in range(61)] + [(100, 100), (101, 100)], key=repr)
