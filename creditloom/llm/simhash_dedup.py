@@ -352,8 +352,9 @@ def near_duplicates(
     size_ratio: float | None = None,
     similarity: float | None = None,
 ) -> DataFrame:
-    """doc_id, row_key, f0.., n_shingles, node, component_id for every row of ``docs``.
+    """doc_id, row_key, f0.., n_shingles, node, component_id, first_row for every row of ``docs``.
 
+    ``first_row`` is the row key of the component's first row by (doc_id, nulls last, row key);
     ``component_id`` is the smallest doc_id reachable over fingerprints at most
     ``radius`` bits apart. ``size_ratio`` also asks that the smaller text has at
     least that share of the larger one's shingles. ``similarity`` also asks for that Jaccard
@@ -390,20 +391,22 @@ def near_duplicates(
         links = _verified(docs, classes, stage(links, "near-pairs"), names, shingle, radius, similarity)
     roots = smallest_reachable(links, "a", "b")
     rooted = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least.doc_id").alias("component_id"))
-    named = stage(rooted.select("node", "root").join(least, "root").select("node", "component_id"), "components")
+    least = rooted.groupBy("root").agg(F.min("least").alias("least")).select(
+        "root", F.col("least.doc_id").alias("component_id"), F.col("least.row_key").alias("first_row")
+    )
+    named = stage(rooted.select("node", "root").join(least, "root").select("node", "component_id", "first_row"), "components")
     return prints.join(named, "node")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """Rows of ``docs`` (all columns) that stay: the row with the smallest id of each group.
+    """Rows of ``docs`` (all columns) that stay: of each group exactly the first by (doc_id, nulls last, row key).
 
-    Rows that repeat an id stay once; rows without an id stay.
+    Rows with the same id stay apart unless their texts are copies; rows without an id are grouped like any other.
     """
-    mark = fresh(docs, "first_id")
-    firsts = near_duplicates(docs, **how).where("doc_id = component_id").select(F.col("doc_id").alias(mark)).distinct()
-    kept = docs.join(firsts, F.col("doc_id") == F.col(mark), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    mark = fresh(docs, "first_row")
+    firsts = near_duplicates(docs, **how).select(F.col("first_row").alias(mark)).distinct()
+    kept = docs.withColumn(mark, row_key()).join(firsts, mark, "left_semi")
+    return kept.dropDuplicates([mark]).drop(mark)
 
 
 @query("op7_simhash_dedup")

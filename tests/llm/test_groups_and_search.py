@@ -80,6 +80,16 @@ def test_one_of_each_group_stays(frame):
     assert kept.columns == df.columns and rows(kept, "doc_id") == [(1,), (2,), (None,)]
 
 
+def test_one_row_stays_whatever_the_ids(frame):
+    text = " ".join(f"word{k}" for k in range(200))
+    near = text.replace("word100", "other")
+    made = [(1, "one text under this id"), (1, "and a wholly different one"), (None, text), (None, near), (None, near), (None, "alone"), (None, None), (7, ""), (5, near + " end"), (6, "x y")]
+    kept = rows(simhash_dedup.keep_one(frame(made), **corpus_pipeline.NEAR), "doc_id", "text")
+    assert kept == sorted([made[0], made[1], made[5], made[7], made[8], made[9]], key=repr)
+    unnamed = simhash_dedup.keep_one(frame([(None, text), (None, near), (None, near)]), **corpus_pipeline.NEAR)
+    assert unnamed.count() == 1
+
+
 def test_near_copies_of_similarity_eight_tenths_link(frame):
     rng = np.random.default_rng(6)
     made = []
