@@ -17,7 +17,7 @@ most ``GROUP_WORDS`` words; more templates mean more passes over that table, nev
 comparisons.
 
 Rows: null or wordless text has no blocks; null ids stay; repeated rows are repeated;
-empty tables give empty results; ties between overlapping blocks go to the first;
+empty tables give empty results; overlapping blocks are all reported;
 a template without words is refused; further columns are ignored; texts are read whole.
 """
 
@@ -150,7 +150,7 @@ def _plan(number: int, template: Template, vocabulary: dict[bytes, int], place:
 
 
 def _blocks(plan: _Plan, anchors: list[int], positions: list[int], numbers: list[int]) -> Iterator[tuple[int, int, float]]:
-    """First word, last word and containment of the blocks around anchor entries."""
+    """First word, last word and containment of every block around anchor entries, by first word."""
     done = -1  # windows starting up to here are settled
     for a in anchors:
         p, r = positions[a], plan.rank[numbers[a]]
@@ -169,23 +169,22 @@ def _blocks(plan: _Plan, anchors: list[int], positions: list[int], numbers: list
             inside = [x for x in near[s:] if x[0] < start + plan.span]
             if inside[-1][0] < p:
                 continue
+            done = start
             kinds = {w for _, w in inside}
             if len(kinds) < plan.needed:
                 continue
             if plan.phrase:
                 if tuple(w for _, w in inside) == plan.phrase and inside[-1][0] - start == plan.span - 1:
                     yield start, inside[-1][0], 1.0
-                    done = start
             else:
                 yield start, inside[-1][0], len(kinds) / len(plan.rank)
-                done = inside[-1][0]
 
 
 def scan(docs: DataFrame, templates: Sequence[Template] = BASE + NOTICES) -> DataFrame:
     """doc_id, n_words, blocks: array of (template, first_word, last_word, containment), by template.
 
-    ``template`` is the number in ``templates``. Of overlapping blocks of one
-    set template the first is reported; phrases report every place.
+    ``template`` is the number in ``templates``. Every place is reported: each template word that
+    starts a block with enough words of the template, also where blocks overlap. A block ends with its last template word.
     """
     if any(not t.words() for t in templates):
         raise ValueError("a template needs words")

@@ -167,6 +167,31 @@ def test_license_scan_finds_every_block(spark, tmp_path, sf_dir, texts):
     assert rows(queries.QUERIES["op4_license_scan"](spark, str(tmp_path)), *columns) == sorted(_scan(made), key=repr)
 
 
+def _every_block(text, templates):
+    words = [w.decode() for w in license_scan._WORD.findall((text or "").encode().lower())]
+    for number, t in enumerate(templates):
+        kinds = set(t.words())
+        for k, w in enumerate(words):
+            run = words[k : k + t.span()]
+            if w in kinds and (run == t.words() if t.phrase else len(kinds & set(run)) >= t.needed()):
+                last = max(m for m, x in enumerate(run) if x in kinds)
+                yield number, k, k + last, len(kinds & set(run)) / len(kinds)
+
+
+def test_license_scan_reports_overlapping_blocks(frame):
+    notice = "licensed under the apache license version 2 0"
+    templates = license_scan.BASE + license_scan.NOTICES
+    rng = np.random.default_rng(3)
+    vocabulary = [w for t in license_scan.NOTICES for w in t.words()]
+    bsd = templates[[t.label for t in templates].index("bsd")].text
+    made = [(1, f"{notice} {notice}"), (2, f"under the terms {notice}"), (3, f"source and use {bsd} {bsd}")]
+    made += [(10 + i, " ".join(rng.choice(vocabulary[:30], 80))) for i in range(30)]
+    found = {r.doc_id: sorted(map(tuple, r.blocks)) for r in license_scan.scan(frame(made), templates).collect()}
+    assert found == {i: sorted(_every_block(t, templates)) for i, t in made}
+    apache = [b for b in found[1] if templates[b[0]].label == "apache-2.0"]
+    assert (8, 15) in [b[1:3] for b in apache] and max(b[3] for b in found[2]) == max(b[3] for b in found[3]) == 1.0
+
+
 def test_license_templates_need_words(frame):
     with pytest.raises(ValueError):
         license_scan.scan(frame(ODD), [license_scan.Template("none", " .,")])
