@@ -269,6 +269,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, pivots: int = P
     asked = queries.agg(F.max("dim").alias("d")).first()["d"]
     if facts["m"] is None or asked is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    # So many results that k are left when all vectors of a query's own id are taken out.
+    held = vectors.join(queries.select("vec_id"), "vec_id", "left_semi").groupBy("vec_id").count()
+    reach = k + (held.agg(F.max("count")).first()[0] or 0)
     top2, dim = facts["m"], max(facts["d"], asked)
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec", "norm2").collect()
     points = _lift(_unpack([bytes(r["vec"]) for r in sample], dim), np.array([r["norm2"] for r in sample]), top2)
@@ -283,16 +286,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, pivots: int = P
     )
     unit = F.shiftleft("slab", 32) + F.pmod(F.xxhash64("vec_id"), F.col("parts"))
     index = stage(bins.join(F.broadcast(slabs), ["pivot", "bin"]).select(unit.alias("unit"), "vec_id", "vec", "dist", "pivot"), "index")
-    # Queries with equal vectors ask once, under their smallest id.
-    asks = stage(queries.groupBy("vec").agg(F.min("vec_id").alias("ask")).withColumn("bound", F.lit(float("-inf"))), "asks")
+    # Queries with equal vectors ask once; an id with several vectors asks once for each, so ids do not name the asks.
+    asks = queries.select("vec").distinct().select("vec", F.monotonically_increasing_id().alias("ask"), F.lit(float("-inf")).alias("bound"))
+    asks = stage(asks, "asks")
     parts = partitions_for(spark, 8 * dim * keyed.count(), 8 << 20)
-    near = stage(_search(index, _ask(asks, centres, layout, top2, dim, first=True), centres, top2, dim, k + 1, parts), "near")
-    bound = _kth(near, k + 1)
+    near = stage(_search(index, _ask(asks, centres, layout, top2, dim, first=True), centres, top2, dim, reach, parts), "near")
+    bound = _kth(near, reach)
     bounded = asks.drop("bound").join(bound, "ask", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))).cast("double"))
-    rest = _search(index, _ask(bounded, centres, layout, top2, dim, first=False), centres, top2, dim, k + 1, parts)
+    rest = _search(index, _ask(bounded, centres, layout, top2, dim, first=False), centres, top2, dim, reach, parts)
     best = Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
     found = (
-        near.unionByName(rest).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
+        near.unionByName(rest).withColumn("r", F.row_number().over(best)).where(F.col("r") <= reach)
         .groupBy("ask").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("top"))
     )
     named = stage(asks.join(found, "ask").select("vec", "top"), "answers")

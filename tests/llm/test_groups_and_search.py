@@ -176,6 +176,21 @@ def test_search_is_exact(spark, monkeypatch, slab):
     assert vector_search.search(few.limit(0), few).count() == 0 and vector_search.search(few, few.limit(0)).count() == 0
 
 
+def test_search_fills_up_when_an_id_has_many_vectors(spark):
+    made = [(50, [9.0, 1.0 + k]) for k in range(8)] + [(100, [9.0, 1.0])] + [(k, [1.0, k / 8]) for k in range(1, 20)]
+    vectors = vector_search.quantise(spark.createDataFrame(made, "vec_id long, embedding array<float>"))
+    found = rows(vector_search.search(vectors, vectors.where("vec_id % 50 = 0"), k=5), "query_id", "rank", "vec_id", "score")
+    assert found == sorted(_own_apart(made, 5), key=repr) and len(found) == 9 * 5
+
+
+def _own_apart(made, k):
+    whole = [(i, [math.floor(256 * x) for x in e]) for i, e in made]
+    for i, e in whole:
+        if i % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(e, g, strict=True)), j) for j, g in whole if j != i)[:k]
+            yield from ((i, r + 1, j, -s) for r, (s, j) in enumerate(scored))
+
+
 @pytest.mark.parametrize("name", ["op5_chat_format", "op9_topk_search"])
 def test_matches_sql(spark, sf_dir, name):
     assert compare(queries.QUERIES[name](spark, sf_dir), connect(sf_dir), queries.ORACLES[name]) is None
