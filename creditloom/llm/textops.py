@@ -162,3 +162,27 @@ def within_text(first: np.ndarray, n: int) -> np.ndarray:
         return np.empty(0, np.int64)
     base = np.repeat(first[:-1] - (np.cumsum(counts) - counts), counts)
     return base + np.arange(total)
+
+
+def distinct_spans(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Number of each span ``raw[cuts[k]:cuts[k + 1]]`` among the distinct spans, and these, by first place."""
+    if len(cuts) < 2:
+        return np.empty(0, np.int32), []
+    offsets = np.ascontiguousarray(cuts, dtype=np.int64)
+    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))])
+    coded = spans.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+
+def word_numbers(words: Words) -> tuple[np.ndarray, list[bytes]]:
+    """Number of each word among the distinct words; these carry the space that follows them."""
+    return distinct_spans(words.text, np.append(words.start, len(words.text)))
+
+
+def gather(values: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Items ``which`` of a ragged table in a row; ``values`` holds the items one after another."""
+    lengths = np.asarray(lengths, dtype=np.int64)
+    took = lengths[which]
+    ends = np.cumsum(took)
+    starts = (np.cumsum(lengths) - lengths)[which]
+    return values[np.repeat(starts - (ends - took), took) + np.arange(int(ends[-1]) if len(ends) else 0)]
