@@ -15,7 +15,7 @@ leftmost of equals) and remembered.
 Texts are cut into segments before each run of marks (where no piece reaches across),
 segments into parts at adjacent characters that no piece holds side by side. The
 distinct segments of a chunk are solved once and laid out by one ragged gather. Memories are
-bounded (``CACHE``) and keep their newer half; that changes no result.
+bounded (``CACHE_PARTS``, ``CACHE_PAIRS``) and keep what was asked for last; that changes no result.
 
 Rows: null text counts as empty (only the end id); null ids stay; repeated rows are encoded each; empty
 tables give empty results; a text is encoded whole at any length; further columns are
@@ -25,6 +25,8 @@ vocabulary become UTF-8 bytes. No shuffle.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import ahocorasick
@@ -40,8 +42,9 @@ from creditloom.llm.common import query, read
 from creditloom.llm.textops import chunks, distinct_spans, gather, text_bytes
 
 MODEL = "piece_bpe_32k.model"
-#: Segments, parts and pairs a worker remembers, each.
-CACHE = 200_000
+#: Parts and pairs of pieces that a worker remembers before it forgets the older ones.
+CACHE_PARTS = 300_000
+CACHE_PAIRS = 600_000
 #: Bytes of text worked on at once: more of its words are repeated ones.
 CHUNK = 4 << 20
 
@@ -51,25 +54,14 @@ _CLOSING = ".,;:!?|)]}\"'*#$%&\n"
 
 
 class Memory:
-    """A dictionary that forgets its older half when full."""
-
-    def __init__(self, limit: int = CACHE):
-        self.limit = max(limit // 2, 1)
-        self.new: dict = {}
-        self.old: dict = {}
-
-    def get(self, key):
-        found = self.new.get(key)
-        if found is None:
-            found = self.old.get(key)
-            if found is not None:
-                self.put(key, found)
-        return found
-
-    def put(self, key, value) -> None:
+    """A dictionary of two generations: ``age`` makes the new one old once it has grown to the limit."""
+
+    def __init__(self, limit: int):
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def age(self) -> None:
         if len(self.new) >= self.limit:
             self.old, self.new = self.new, {}
-        self.new[key] = value
 
 
 class PieceCodec:
@@ -105,76 +97,85 @@ class PieceCodec:
         # without an id while merging, and is spelt in bytes afterwards.
         self._names = ["", *self.pieces, *sorted(self.alphabet - self.pieces.keys())]
         self._sizes = [len(name) for name in self._names]
-        self._ids = [self._bytes(name) if name not in self.pieces else (self.pieces[name],) for name in self._names]
+        # Lengths of all pieces, and for each the longest piece that it begins with.
+        self._shorter = [0] * len(self._names)
+        self._spelled = [np.array([self.pieces[name]] if name in self.pieces else self._bytes(name), dtype="<i4").tobytes() for name in self._names]
         self._starts = ahocorasick.Automaton()
         for number, name in enumerate(self._names[1:], start=1):
             self._starts.add_word(name, (number, len(name) - 1))
         self._starts.make_automaton()
-        self._apart, self._parts, self._segments = Memory(), Memory(), Memory()
+        numbers = {name: number for number, name in enumerate(self._names)}
+        for number, name in enumerate(self._names[1:], start=1):
+            self._shorter[number] = next((numbers[name[:k]] for k in range(len(name) - 1, 0, -1) if name[:k] in numbers), 0)
+        self._apart, self._parts = Memory(CACHE_PAIRS), Memory(CACHE_PARTS)
 
-    def _bytes(self, text: str) -> tuple[int, ...]:
-        return tuple(self.byte_ids[b] for b in text.encode())
+    def _bytes(self, text: str) -> list[int]:
+        return [self.byte_ids[b] for b in text.encode()]
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short string by merging: the best-scored neighbours first, leftmost of equals."""
-        parts = list(text)
-        while True:
-            scored = [(self.score.get(a + b), -k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False))]
-            scored = [s for s in scored if s[0] is not None]
-            if not scored:
-                return parts
-            k = -max(scored)[1]
+        parts, score = list(text), self.score.get
+        none = -math.inf
+        scores = [score(a + b, none) for a, b in itertools.pairwise(parts)]
+        while scores and (best := max(scores)) > none:
+            k = scores.index(best)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del scores[k]
+            if k:
+                scores[k - 1] = score(parts[k - 1] + parts[k], none)
+            if k < len(scores):
+                scores[k] = score(parts[k] + parts[k + 1], none)
+        return parts
 
     def _stays(self, left: int, right: int) -> bool:
         """Whether merging two pieces in a row gives just these; 0: nothing stands before."""
-        key = left << 32 | right
-        known = self._apart.get(key)
+        key, memory = left << 32 | right, self._apart
+        known = memory.old.get(key)
         if known is None:
             pair = [self._names[i] for i in (left, right) if i]
             known = self.merged("".join(pair)) == pair
-            self._apart.put(key, known)
+        memory.new[key] = known
         return known
 
     def _backtrack(self, part: str) -> list[int]:
         """Piece numbers of a part whose characters all occur in pieces."""
-        n, sizes = len(part), self._sizes
-        at_start: list[list[int]] = [[] for _ in range(n)]
+        n, sizes, shorter, apart = len(part), self._sizes, self._shorter, self._apart.new.get
+        longest = [0] * n
         for end, (number, back) in self._starts.iter(part):
-            at_start[end - back].append(number)
+            longest[end - back] = number  # ends rise, so the longest comes last
         failed = bytearray(n // 8 + 1)
         taken: list[int] = []
-        tried: list[int] = []
-        at, left, k = 0, 0, len(at_start[0]) - 1
-        while at < n:
-            here = at_start[at]
-            while k >= 0:
-                end = at + sizes[here[k]]
-                if not failed[end >> 3] >> (end & 7) & 1 and self._stays(left, here[k]):
-                    break
-                k -= 1
-            if k >= 0:
-                left = here[k]
-                taken.append(left)
-                tried.append(k)
-                at = end
-                if at < n:
-                    k = len(at_start[at]) - 1
+        at, left, piece = 0, 0, longest[0]
+        while True:
+            while piece:
+                end = at + sizes[piece]
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    fits = apart(left << 32 | piece)
+                    if fits or fits is None and self._stays(left, piece):
+                        break
+                piece = shorter[piece]
+            if piece:
+                taken.append(piece)
+                at, left = end, piece
+                if at == n:
+                    return taken
+                piece = longest[at]
             else:
                 failed[at >> 3] |= 1 << (at & 7)
                 if not taken:
                     raise ValueError("this model does not encode by merging alone")
-                at -= sizes[taken.pop()]
-                k = tried.pop() - 1
+                piece = taken.pop()
+                at -= sizes[piece]
+                piece = shorter[piece]
                 left = taken[-1] if taken else 0
-        return taken
 
-    def _part(self, part: str) -> tuple[int, ...]:
-        known = self._parts.get(part)
+    def _part(self, part: str) -> bytes:
+        known = self._parts.old.get(part)
         if known is None:
-            known = tuple(i for number in self._backtrack(part) for i in self._ids[number])
-            if len(part) <= 64:
-                self._parts.put(part, known)
+            spelled = self._spelled
+            known = b"".join([spelled[number] for number in self._backtrack(part)])
+        if len(part) <= 64:
+            self._parts.new[part] = known
         return known
 
     def _cut(self, segment: str) -> Iterator[str]:
@@ -186,22 +187,35 @@ class PieceCodec:
                 at = k
         yield segment[at:]
 
-    def encode_segment(self, segment: str) -> tuple[int, ...]:
-        """Ids of a string in which marks stand for blanks."""
-        known = self._segments.get(segment)
-        if known is not None:
-            return known
-        core = segment.rstrip(_CLOSING)
-        if len(segment) <= 64 and core and self.alphabet.issuperset(segment) and segment[len(core) - 1 : len(core) + 1] not in self.joined:
-            ids = self._part(core) + (self._part(segment[len(core) :]) if core != segment else ())
-        else:
-            found: list[int] = []
-            for part in self._cut(segment):
-                found += self._part(part) if part[0] in self.alphabet else self._bytes(part)
-            ids = tuple(found)
-        if len(segment) <= 64:
-            self._segments.put(segment, ids)
-        return ids
+    def _segment(self, segment: str) -> bytes:
+        """Ids (four bytes each) of a string in which marks stand for blanks."""
+        found = []
+        for part in self._cut(segment):
+            if part[0] in self.alphabet:
+                found.append(self._parts.new.get(part) or self._part(part))
+            else:
+                found.append(np.array(self._bytes(part), dtype="<i4").tobytes())
+        return b"".join(found)
+
+    def _segments(self, segments: list[str]) -> list[bytes]:
+        """Ids of each segment. The usual one is a word that all pieces know, with closing signs that no piece joins to it."""
+        self._parts.age()
+        self._apart.age()
+        parts, alphabet, joined, out = self._parts.new.get, self.alphabet, self.joined, []
+        for segment in segments:
+            known = parts(segment)
+            if known is None:
+                core = segment.rstrip(_CLOSING)
+                n = len(core)
+                if n and len(segment) <= 64 and alphabet.issuperset(segment) and segment[n - 1 : n + 1] not in joined:
+                    known = parts(core) or self._part(core)
+                    if n < len(segment):
+                        tail = segment[n:]
+                        known += parts(tail) or self._part(tail)
+                else:
+                    known = self._segment(segment)
+            out.append(known)
+        return out
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the offsets of each text's ids, without begin and end ids."""
@@ -216,9 +230,10 @@ class PieceCodec:
             heads[1:-1] |= space[1:] & ~space[:-1]
         cuts = np.flatnonzero(heads)
         which, segments = distinct_spans(raw, cuts)
-        solved = [self.encode_segment(s.decode().replace(" ", _MARK)) for s in segments]
-        lengths = np.array([len(s) for s in solved], dtype=np.int64)
-        table = np.fromiter((i for s in solved for i in s), dtype=np.int32, count=int(lengths.sum()))
+        segments = pc.replace_substring(pa.array(segments, pa.large_binary()).cast(pa.large_string()), " ", _MARK).to_pylist()
+        solved = self._segments(segments)
+        lengths = np.fromiter(map(len, solved), dtype=np.int64, count=len(solved)) // 4
+        table = np.frombuffer(b"".join(solved), dtype="<i4")
         ends = np.append(0, np.cumsum(lengths[which]))
         return gather(table, lengths, which), ends[np.searchsorted(cuts, offsets)]
 
