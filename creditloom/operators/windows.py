@@ -3,10 +3,10 @@
 Nothing after the as-of date is used. The log is first collapsed to one row per
 entity and day (map-side partial sums), and as-of points to one row per entity
 and date, so a hot entity is bounded by its number of days however many
-transactions or applications it has. The range join then carries an equality on
-(entity, time bucket): a bucket is as wide as the longest window, every point
-looks at its own bucket and the one before, and a hot entity is spread over
-its buckets.
+transactions or applications it has. Points and days then stand in one table, ordered by
+day inside their entity, and every window of a point is a range frame that
+looks back from it: one read of the log, one shuffle, no pairs. Days that no
+point can reach are dropped on the way, by the next point at or after them.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from creditloom import schema as S
@@ -60,77 +60,74 @@ def daily_log(
     )
 
 
-def _bucket(day: Column, width: int) -> Column:
-    return F.floor(F.unix_date(day) / F.lit(width))
+def _back(first: int, last: int) -> WindowSpec:
+    """Days of the entity that lie ``first`` to ``last`` days back."""
+    return Window.partitionBy("entity").orderBy(F.desc("_at")).rangeBetween(first, last)
+
+
+def _points_and_days(points: DataFrame, daily: DataFrame, days: int) -> DataFrame:
+    """As-of points (``_ask``) and the log days they reach, with the day number ``_at``."""
+    asked = points.withColumns({"_ask": F.lit(True), "_at": F.unix_date("t0")})
+    logged = daily.where(F.col("entity").isNotNull() & F.col("day").isNotNull()).withColumns({"_ask": F.lit(False), "_at": F.unix_date("day")})
+    next_point = F.min(F.when(F.col("_ask"), F.col("_at"))).over(_back(Window.unboundedPreceding, Window.currentRow))
+    both = asked.unionByName(logged, allowMissingColumns=True).withColumn("_next", next_point)
+    return both.where(F.col("_ask") | (F.col("_next") - F.col("_at") <= days)).drop("_next")
 
 
 def asof_window_join(points: DataFrame, daily: DataFrame, days: int = 90, how: str = "left") -> DataFrame:
     """Point x its log days with ``t0 - days <= day <= t0``; adds ``age`` in days.
 
-    With ``how="left"`` a point without such days appears once, with nulls.
+    With ``how="left"`` a point without such days appears once, with nulls. Points without entity or
+    date have no days; log rows without either are left out.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unknown join: {how}")
-    here = _bucket(F.col("t0"), days)
-    before = _bucket(F.date_sub("t0", days), days)
-    probes = points.withColumn("_b", F.explode(F.array_distinct(F.array(here, before))))
-    side = daily.withColumnRenamed("entity", "_e").withColumn("_lb", _bucket(F.col("day"), days))
-    on = (
-        (F.col("entity") == F.col("_e")) & (F.col("_b") == F.col("_lb"))
-        & (F.col("day") <= F.col("t0")) & (F.col("day") >= F.date_sub("t0", days))
-    )
-    met = probes.join(side, on).withColumn("age", F.datediff("t0", "day")).drop("_b", "_e", "_lb")
-    if how == "inner":
-        return met
-    seen = met.select(F.col("entity").alias("_e"), F.col("t0").alias("_t")).distinct()
-    lone = points.join(seen, F.col("entity").eqNullSafe(F.col("_e")) & F.col("t0").eqNullSafe(F.col("_t")), "left_anti")
-    return met.unionByName(lone, allowMissingColumns=True)
+    fields = [c for c in daily.columns if c != "entity"]
+    day = F.when(~F.col("_ask"), F.struct(*fields))
+    met = _points_and_days(points, daily, days).withColumn("_met", F.collect_list(day).over(_back(0, days))).where("_ask")
+    each = F.explode("_met") if how == "inner" else F.explode_outer("_met")
+    return met.select(*points.columns, each.alias("_d")).select(*points.columns, "_d.*", F.datediff("t0", "_d.day").alias("age"))
 
 
 def behaviour(
     points: DataFrame, daily: DataFrame, regularity_divisor: float = 2.0, salary_tolerance: float = 0.10
 ) -> DataFrame:
-    """All single-log features of each as-of point from one join and one aggregation.
+    """All single-log features of each as-of point, from frames over one sorted table.
 
     * counts and mean amounts over 30, 60 and 90 days (no rows: 0 and null)
     * deviation of 13 weekly totals, empty weeks counting as 0 (sample form)
-    * payment regularity from interval sums: gaps between active days are
-      prepared per entity; payments on the same day add zero-length intervals
+    * payment regularity from interval sums: the gap before the first
+      day of a window is taken out; payments on the same day add zero-length intervals
     * salary regularity: the largest credit of each 30-day period lies within
       the tolerance of their median in at least three periods
     """
-    by_day = Window.partitionBy("entity").orderBy("day")
-    gaps = daily.withColumn("gap", F.datediff("day", F.lag("day").over(by_day)).cast("double"))
-    rows = asof_window_join(points, gaps, 90)
-    aggs = []
+    rows = _points_and_days(points, daily, 90).withColumn("_day", F.when(~F.col("_ask"), F.col("_at")))
+    gap = F.col("_day") - F.expr("lead(_day) ignore nulls over (partition by entity order by _at desc)")
+    rows = rows.withColumn("_gap2", F.coalesce((gap * gap).cast("double"), F.lit(0.0)))
+    whole = _back(0, 90)
+    framed = {}
     for w in (30, 60, 90):
-        inside = F.col("age") <= w
-        aggs += [
-            F.coalesce(F.sum(F.when(inside, F.col("n"))), F.lit(0)).alias(f"txn_frequency_{w}d"),
-            F.sum(F.when(inside, F.col("amount"))).alias(f"_a{w}"),
-        ]
-    week = F.floor(F.col("age") / 7)
-    aggs += [F.coalesce(F.sum(F.when(week == w, F.col("amount"))), F.lit(0.0)).alias(f"_w{w}") for w in range(WEEKS)]
-    gap2 = F.col("gap") * F.col("gap")
-    aggs += [
-        F.coalesce(F.sum("n"), F.lit(0)).alias("_n"),
-        F.datediff(F.max("day"), F.min("day")).cast("double").alias("_span"),
-        (F.sum(F.coalesce(gap2, F.lit(0.0))) - F.coalesce(F.min_by(F.coalesce(gap2, F.lit(0.0)), "day"), F.lit(0.0))).alias("_g2"),
-    ]
-    period = F.least(F.floor(F.col("age") / 30), F.lit(2))
-    aggs += [F.max(F.when(period == p, F.col("credit"))).alias(f"_c{p}") for p in range(3)]
-    g = rows.groupBy("entity", "t0").agg(*aggs)
+        framed[f"txn_frequency_{w}d"] = F.coalesce(F.sum("n").over(_back(0, w)), F.lit(0))
+        framed[f"_a{w}"] = F.sum("amount").over(_back(0, w))
+    framed |= {f"_w{w}": F.coalesce(F.sum("amount").over(_back(7 * w, 7 * w + 6)), F.lit(0.0)) for w in range(WEEKS)}
+    framed |= {
+        "_span": (F.max("_day").over(whole) - F.min("_day").over(whole)).cast("double"),
+        "_g2": F.sum(F.when(~F.col("_ask"), F.col("_gap2"))).over(whole) - F.min_by("_gap2", "_day").over(whole),
+    }
+    framed |= {f"_c{p}": F.max("credit").over(_back(30 * p, 90 if p == 2 else 30 * p + 29)) for p in range(3)}
+    g = rows.withColumns(framed).where("_ask")
 
     weekly = [F.col(f"_w{w}") for w in range(WEEKS)]
     mean = sum(weekly[1:], weekly[0]) / float(WEEKS)
     squares = [(x - mean) * (x - mean) for x in weekly]
     volatility = F.sqrt(sum(squares[1:], squares[0]) / float(WEEKS - 1))
 
-    m = (F.col("_n") - 1).cast("double")
+    n = F.col("txn_frequency_90d")
+    m = (n - 1).cast("double")
     avg_gap = F.col("_span") / m
     deviation = F.sqrt(F.greatest((F.col("_g2") - m * avg_gap * avg_gap) / (m - 1.0), F.lit(0.0)))
     cv = F.try_divide(deviation, avg_gap)
-    regularity = F.when(F.col("_n") >= 3, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - cv / regularity_divisor)))
+    regularity = F.when(n >= 3, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - cv / regularity_divisor)))
 
     credits = F.array(*[F.col(f"_c{p}") for p in range(3)])
     median = F.get(F.array_sort(credits), F.lit(1))
@@ -162,38 +159,51 @@ def merchant_diversity(points: DataFrame, daily: DataFrame, category: str) -> Da
     )
 
 
+def session_cells(events: DataFrame, entity: str, ts: str, gap_seconds: int = 1800) -> DataFrame:
+    """entity, second, first, last, n, breaks, active: the sessions of each second (times in microseconds).
+
+    Equal times are counted before anything is ordered, so no ordered group holds more than the moments of one second.
+    """
+    moments = (
+        events.where(F.col(ts).isNotNull()).select(F.col(entity).alias("entity"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
+        .groupBy("entity", "t").agg(F.count(F.lit(1)).alias("n"))
+    )
+    one = F.lit(0).cast("long")
+    parts = moments.select("entity", F.floor(F.col("t") / 1_000_000).alias("second"), F.col("t").alias("first"), F.col("t").alias("last"), "n", one.alias("breaks"), one.alias("active"))
+    return merge_sessions(parts, ["entity", "second"], gap_seconds)
+
+
+def merge_sessions(parts: DataFrame, by: Sequence[str], gap_seconds: int) -> DataFrame:
+    """One summary per ``by`` from the summaries of its consecutive parts.
+
+    Associative: a summary knows its first and last moment, its breaks and its active time, and
+    the pause between two parts is either a break or active time.
+    """
+    pause = F.col("first") - F.lag("last").over(Window.partitionBy(*by).orderBy("first"))
+    linked = parts.withColumn("_pause", pause)
+    breaks = F.col("_pause") > gap_seconds * 1_000_000
+    return linked.groupBy(*by).agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"),
+        F.sum(F.col("breaks") + F.coalesce(breaks.cast("long"), F.lit(0))).alias("breaks"),
+        F.sum(F.col("active") + F.when(~breaks, F.col("_pause")).otherwise(0)).alias("active"),
+    )
+
+
 def engagement(
     events: DataFrame, entity: str, ts: str, kind: str, gap_seconds: int = 1800,
-    weights: tuple[float, float, float] = (1.0, 1.0, 1.0), block: str = "hour",
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0),
 ) -> DataFrame:
     """Sessions, time in session and breadth of use per entity.
 
-    A pause longer than the gap starts a session. Pauses are taken inside
-    (entity, time block); the first event of a block is linked to the last event
-    of the previous active block through a table of one row per entity and
-    block, so no task orders the whole history of one entity.
+    A pause longer than the gap starts a session. Summaries of seconds are merged to
+    hours and these to entities, so that the events of one entity, even of one hour, are
+    spread over many tasks.
     """
-    stamp = F.col(ts).cast("timestamp")
-    rows = events.where(F.col(ts).isNotNull()).select(
-        F.col(entity).alias("entity"), (F.unix_micros(stamp) / 1e6).alias("t"), F.date_trunc(block, stamp).alias("block"), F.col(kind).alias("kind")
-    )
-    in_block = Window.partitionBy("entity", "block").orderBy("t")
-    stepped = rows.withColumn("pause", F.col("t") - F.lag("t").over(in_block))
-    long_pause = F.col("pause") > gap_seconds
-    blocks = stepped.groupBy("entity", "block").agg(
-        F.min("t").alias("first"), F.max("t").alias("last"), F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(long_pause, 1).otherwise(0)).alias("starts"),
-        F.sum(F.when(~long_pause, F.col("pause")).otherwise(0.0)).alias("active"),
-    )
-    link = F.col("first") - F.lag("last").over(Window.partitionBy("entity").orderBy("block"))
-    linked = blocks.withColumn("link", link)
-    fresh = F.col("link").isNull() | (F.col("link") > gap_seconds)
-    use = linked.groupBy("entity").agg(
-        F.sum("n").alias("n_events"),
-        F.sum(F.col("starts") + fresh.cast("int")).alias("n_sessions"),
-        F.sum(F.col("active") + F.when(~fresh, F.col("link")).otherwise(0.0)).alias("session_seconds"),
+    cells = session_cells(events, entity, ts, gap_seconds).withColumn("hour", F.floor(F.col("second") / 3600))
+    use = merge_sessions(merge_sessions(cells, ["entity", "hour"], gap_seconds), ["entity"], gap_seconds).select(
+        "entity", F.col("n").alias("n_events"), (F.col("breaks") + 1).alias("n_sessions"), (F.col("active") / 1e6).alias("session_seconds")
     )
-    breadth = rows.groupBy("entity").agg(F.count_distinct("kind").alias("breadth"))
+    breadth = events.where(F.col(ts).isNotNull()).groupBy(F.col(entity).alias("entity")).agg(F.count_distinct(kind).alias("breadth"))
     mean = F.col("session_seconds") / F.col("n_sessions")
     w = [float(x) for x in weights]
     score = F.log1p("n_sessions") * w[0] + F.log1p(mean) * w[1] + F.col("breadth") * w[2]

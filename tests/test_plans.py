@@ -75,9 +75,14 @@ def test_window_runs_inside_slices(no_broadcast, sf_dir):
     assert not any("Exchange" in line for line in left)
 
 
-def test_range_join_has_equality_keys(no_broadcast, sf_dir):
-    text = plan(W.asof_window_join(_points(no_broadcast, sf_dir), _daily(no_broadcast, sf_dir)))
-    assert re.search(r"SortMergeJoin \[entity#\d+L, _b#\d+L\], \[_e#\d+L, _lb#\d+L\]", text)
+def test_as_of_windows_share_one_shuffle(no_broadcast, sf_dir):
+    points, daily = _points(no_broadcast, sf_dir), _daily(no_broadcast, sf_dir)
+    for out in (W.asof_window_join(points, daily), W.behaviour(points, daily)):
+        text = plan(out)
+        assert "Join" not in text and len(re.findall(r"Exchange hashpartitioning\(entity#\d+L, \d+\)", text)) == 1
+        assert text.count("Sort [entity") == 1
+        # The log is read once; the points of these queries come from the same table and are the other read.
+        assert text.count("FileScan") == 2
 
 
 def test_dedupe_limits_before_the_shuffle(spark, sf_dir):

@@ -74,6 +74,51 @@ def test_sessions_cross_midnight(spark):
     assert r[2]["n_sessions"] == 1
 
 
+def test_one_hour_of_one_entity_is_spread(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    micros = np.sort(np.concatenate([rng.integers(0, 3_600_000_000, 4000), np.full(500, 1_234_567_890)]))
+    rows = spark.createDataFrame([(7, int(m), "a" if m % 2 else "b") for m in micros], "u int, m long, kind string")
+    events = rows.select("u", F.timestamp_micros(F.col("m") + 1_700_000_000_000_000).alias("ts"), "kind")
+    cells = W.session_cells(events, "u", "ts", 2)
+    assert cells.count() > 2000 and cells.agg(F.max("n")).first()[0] < 520
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(entity" in plan and "second" in plan
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert len({r[0] for r in W.session_cells(events, "u", "ts", 2).select(F.spark_partition_id()).collect()}) == 8
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    gaps = np.diff(micros)
+    r = W.engagement(events, "u", "ts", "kind", 2).first()
+    assert (r["n_events"], r["n_sessions"], r["breadth"]) == (4500, 1 + int((gaps > 2_000_000).sum()), 2)
+    assert r["session_seconds"] == pytest.approx(gaps[gaps <= 2_000_000].sum() / 1e6, abs=1e-9)
+
+
+def test_summaries_merge_in_any_grouping(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    t = np.unique(rng.integers(0, 40_000, 300)) * 1_000_000
+    parts = spark.createDataFrame([(1, int(x), int(x), 1, 0, 0) for x in t], "entity int, first long, last long, n long, breaks long, active long")
+    want = None
+    for width in (1, 7, 100, 5000, 40_000):
+        grouped = W.merge_sessions(parts.withColumn("g", F.floor(F.col("first") / (width * 1_000_000))), ["entity", "g"], 90)
+        row = tuple(W.merge_sessions(grouped, ["entity"], 90).first())
+        want = want or row
+        assert row == want
+
+
+def test_features_read_the_log_once(spark, sf_dir):
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    asked = W.asof_points(spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("k"), "o_orderdate"), "k", "o_orderdate")
+    daily = W.daily_log(line, "l_suppkey", "l_shipdate", "l_extendedprice", F.col("l_returnflag") == "A")
+    for out in (W.behaviour(asked, daily), W.asof_window_join(asked, daily, 90, "left"), W.asof_window_join(asked, daily, 90, "inner")):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("l_shipdate") and plan.count("Relation [l_orderkey") == 1 and "Join" not in plan
+
+
 def test_hot_entity_against_pandas(spark):
     import numpy as np
     import pandas as pd
