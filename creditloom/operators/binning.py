@@ -12,13 +12,14 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from creditloom import schema as S
 from creditloom.functions import columns as C
 from creditloom.operators.quantiles import distinct_edges, quantiles
+from creditloom.operators.state import Savable, get_options, get_parameters, put_options, put_parameters
 
 
 def quantile_edges(
@@ -205,7 +206,7 @@ def require_both_classes(df: DataFrame, label: str) -> tuple[int, int]:
 
 
 @dataclass
-class WoeEncoder:
+class WoeEncoder(Savable):
     """Fitted bins and weights; ``transform`` needs no shuffle and no join."""
 
     n_bins: int = 10
@@ -267,6 +268,23 @@ class WoeEncoder:
             out.append(F.coalesce(woe, F.lit(0.0)).alias(f"{f}_woe"))
         return df.select(*[c for c in keep if c in df.columns], *out)
 
+    def save_state(self, spark: SparkSession, path: str) -> None:
+        self._check()
+        put_options(spark, path, "woe", {"n_bins": self.n_bins, "iv_threshold": self.iv_threshold, "min_bin_share": self.min_bin_share, "order": list(self.iv)})
+        weights = {f: [x for b, w in sorted(by.items()) for x in (b, w)] for f, by in self.weights.items()}
+        put_parameters(spark, path, {"edges": self.edges, "weights": weights, "iv": {f: [v] for f, v in self.iv.items()}})
+        self.table.write.parquet(f"{path}/table")
+
+    @classmethod
+    def load_state(cls, spark: SparkSession, path: str) -> WoeEncoder:
+        _, o = get_options(spark, path, "woe")
+        found = get_parameters(spark, path)
+        weights = {f: {int(b): w for b, w in zip(v[::2], v[1::2], strict=True)} for f, v in found.get("weights", {}).items()}
+        return cls(
+            o["n_bins"], o["iv_threshold"], o["min_bin_share"], found.get("edges", {}), spark.read.parquet(f"{path}/table"),
+            {f: weights[f] for f in o["order"]}, {f: found["iv"][f][0] for f in o["order"]},
+        )
+
     def iv_table(self) -> DataFrame:
         self._check()
         iv = F.sum("iv")
@@ -278,7 +296,7 @@ class WoeEncoder:
 
 
 @dataclass
-class IvSelector:
+class IvSelector(Savable):
     """Keep the features whose IV reaches the threshold."""
 
     iv_threshold: float = S.IV_MIN
@@ -314,3 +332,12 @@ class IvSelector:
         if self.summary is None:
             raise RuntimeError("selector is not fitted")
         return self.summary
+
+    def save_state(self, spark: SparkSession, path: str) -> None:
+        put_options(spark, path, "iv", {"iv_threshold": self.iv_threshold, "flag_leakage": self.flag_leakage, "n_bins": self.n_bins, "selected": self.selected})
+        self.report().write.parquet(f"{path}/summary")
+
+    @classmethod
+    def load_state(cls, spark: SparkSession, path: str) -> IvSelector:
+        _, o = get_options(spark, path, "iv")
+        return cls(o["iv_threshold"], o["flag_leakage"], o["n_bins"], spark.read.parquet(f"{path}/summary").orderBy(F.desc("iv"), "feature"), o["selected"])

@@ -5,17 +5,21 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Estimator, Model
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from creditloom import schema as S
 from creditloom.functions import columns as C
 from creditloom.operators.quantiles import quantiles
 from creditloom.operators.ranking import row_ranks
+from creditloom.operators.state import Savable, get_options, get_parameters, put_options, put_parameters
 from creditloom.sources.tables import stage
 
 LITERAL_CATEGORIES = 1000
 LITERAL_FOLDS = 500
+#: A key with this share of the rows is hot (so there are few), and is spread over so many parts.
+HOT_SHARE = 1 / 64
+SALTS = 32
 
 
 def dedupe(df: DataFrame, key: str | Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -89,11 +93,40 @@ def category_codes(df: DataFrame, column: str) -> DataFrame:
     return row_ranks(keyed, [], "_k", "category", prefix=4, out="code").select("category", F.col("code").cast("int"))
 
 
+def hot_keys(df: DataFrame, key: Column) -> list[str | None]:
+    """Keys (as text) that hold ``HOT_SHARE`` of the rows or more: at most 1 / ``HOT_SHARE`` of them."""
+    counts = stage(df.groupBy(key.cast("string").alias("k")).agg(F.count(F.lit(1)).alias("n")), "key-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return [r["k"] for r in counts.where(F.col("n") >= total * HOT_SHARE).collect()] if total else []
+
+
+def spread_join(df: DataFrame, key: Column, table: DataFrame, table_key: str, more: Sequence[tuple[Column, str]] = ()) -> DataFrame:
+    """Left join of rows with a table of one row per key, where hot keys are dealt over ``SALTS`` parts.
+
+    Keys match as null-safe equals. ``more`` are further (row column, table column) pairs. Only the table's rows of hot keys are repeated.
+    """
+    hot = hot_keys(df, key)
+    named = [k for k in hot if k is not None]
+
+    def is_hot(c: Column) -> Column:
+        known = c.cast("string").isin(*named) if named else F.lit(False)
+        return F.coalesce(known, F.lit(None in hot))
+
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")
+    rows = df.withColumns({"_key": key, "_salt": F.when(is_hot(key), part).otherwise(0)})
+    salts = F.when(is_hot(F.col(table_key)), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    side = table.withColumn("_part", F.explode(salts))
+    on = F.col("_key").eqNullSafe(F.col(table_key)) & (F.col("_salt") == F.col("_part"))
+    for row, other in more:
+        on = on & (row == F.col(other))
+    return rows.join(side, on, "left").drop("_key", "_salt", "_part")
+
+
 def label_encode(df: DataFrame, column: str, codes: DataFrame, out: str | None = None) -> DataFrame:
     """Replace categories by codes; unseen ones get 0.
 
-    A short code table becomes a literal map; a longer one is joined, and the
-    runtime size decides how.
+    A short code table becomes a literal map; a longer one is joined, with hot
+    categories spread over several parts.
     """
     out = out or f"{column}_encoded"
     seen = F.coalesce(F.col(column).cast("string"), F.lit("nan"))
@@ -103,8 +136,7 @@ def label_encode(df: DataFrame, column: str, codes: DataFrame, out: str | None =
         code = F.try_element_at(F.create_map(*pairs), seen) if pairs else F.lit(None).cast("int")
         return df.withColumn(out, F.coalesce(code, F.lit(0)))
     side = codes.select(F.col("category").alias("_cat"), F.col("code").alias("_code"))
-    joined = df.withColumn("_seen", seen).join(side, F.col("_seen") == F.col("_cat"), "left")
-    return joined.withColumn(out, F.coalesce("_code", F.lit(0))).drop("_seen", "_cat", "_code")
+    return spread_join(df, seen, side, "_cat").withColumn(out, F.coalesce("_code", F.lit(0))).drop("_cat", "_code")
 
 
 def fold_of(k: int, seed: int = S.SEED, key: str = S.ID) -> Column:
@@ -138,9 +170,9 @@ def target_encode_oof(
         known = [x for c, f, m in means for x in (mark(F.lit(c).cast(df.schema[column].dataType), F.lit(f)), F.lit(m))]
         mean = F.try_element_at(F.create_map(*known), mark(F.col(column), F.col("fold"))) if known else F.lit(None).cast("double")
         return rows.withColumn(f"{column}_te", F.coalesce(mean, F.lit(overall)))
-    on = F.col(column).eqNullSafe(F.col("_c")) & (F.col("fold") == F.col("_f"))
     enc = F.coalesce(F.try_divide("_so", "_no"), F.lit(overall))
-    return rows.join(table, on, "left").withColumn(f"{column}_te", enc).drop("_c", "_f", "_so", "_no")
+    joined = spread_join(rows, F.col(column), table, "_c", [(F.col("fold"), "_f")])
+    return joined.withColumn(f"{column}_te", enc).drop("_c", "_f", "_so", "_no")
 
 
 def fit_scale(train: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -194,11 +226,28 @@ class CreditCleaner(Estimator):
         return CreditCleanerModel({**o, "numeric": numeric}, medians, codes, scaling)
 
 
-class CreditCleanerModel(Model):
+class CreditCleanerModel(Savable, Model):
     def __init__(self, options: dict, medians: dict[str, float], codes: dict[str, DataFrame], scaling: dict | None):
         super().__init__()
         self.options, self.medians, self.codes, self.scaling = options, medians, codes, scaling
 
+    def save_state(self, spark: SparkSession, path: str) -> None:
+        put_options(spark, path, "cleaner", {**self.options, "coded": list(self.codes), "scaled": self.scaling is not None})
+        put_parameters(spark, path, {"median": {c: [v] for c, v in self.medians.items()}, "scale": self.scaling or {}})
+        for c, codes in self.codes.items():
+            codes.write.parquet(f"{path}/codes/{c}")
+
+    @classmethod
+    def load_state(cls, spark: SparkSession, path: str) -> CreditCleanerModel:
+        _, options = get_options(spark, path, "cleaner")
+        found = get_parameters(spark, path)
+        coded, scaled = options.pop("coded"), options.pop("scaled")
+        scaling = {c: tuple(v) for c, v in found.get("scale", {}).items()} if scaled else None
+        return cls(
+            options, {c: v[0] for c, v in found.get("median", {}).items()},
+            {c: spark.read.parquet(f"{path}/codes/{c}") for c in coded}, scaling,
+        )
+
     @property
     def feature_names(self) -> list[str]:
         o = self.options

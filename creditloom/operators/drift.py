@@ -79,3 +79,59 @@ def psi_by_period(
     terms = [_term(F.col(f"_a{k}") / F.col("n_rows"), F.lit(shares.get(k, 0) / total)) for k in range(len(cuts) + 1)]
     value = sum(terms[1:], terms[0])
     return g.select(*names, "n_rows", value.alias("psi"), C.banded(value, S.PSI_BANDS).alias("band"))
+
+
+def reference_state(reference: DataFrame, features: Sequence[str], n_bins: int = 10) -> DataFrame:
+    """(feature, cuts, n): cut points and rows per bin of the reference, one row a feature.
+
+    Saved as a table, it is all that a later run needs of the reference rows.
+    """
+    cuts = reference_edges(reference, features, n_bins)
+    spark = reference.sparkSession
+    edges = spark.createDataFrame([(f, [float(c) for c in cuts[f]]) for f in features if f in cuts], "feature string, cuts array<double>")
+    counts = period_counts(reference.withColumn("_all", F.lit(0)), edges, ["_all"])
+    return edges.join(counts.select("feature", "n"), "feature", "left").select(
+        "feature", "cuts", F.coalesce("n", F.array_repeat(F.lit(0).cast("long"), F.size("cuts") + 1)).alias("n")
+    )
+
+
+def period_counts(df: DataFrame, state: DataFrame, by: Sequence[str | Column]) -> DataFrame:
+    """(keys, feature, n): rows per bin of ``state`` in each group; ``n`` is an array over the bins.
+
+    Reads only the rows it is given; counts of further rows are added by ``add_counts``.
+    """
+    cuts = {r["feature"]: r["cuts"] for r in state.select("feature", "cuts").collect()}  # one row a feature
+    keys = [C.col(b) for b in by]
+    features = list(cuts)
+    wide = df.select(*keys, *[left_closed_bin(F.col(f).cast("double"), cuts[f]).alias(f"_b{i}") for i, f in enumerate(features)])
+    names = wide.columns[: len(keys)]
+    parts = ", ".join(f"'{f}', _b{i}" for i, f in enumerate(features))
+    rows = wide.selectExpr(*[f"`{c}`" for c in names], f"stack({len(features)}, {parts}) as (feature, bin)").where("bin is not null")
+    width = max(len(c) for c in cuts.values()) + 1
+    g = rows.groupBy(*names, "feature").agg(*[F.sum((F.col("bin") == k).cast("long")).alias(f"_n{k}") for k in range(width)])
+    size = F.lit(width)
+    for f, c in cuts.items():
+        size = F.when(F.col("feature") == f, len(c) + 1).otherwise(size)
+    return g.select(*names, "feature", F.slice(F.array(*[f"_n{k}" for k in range(width)]), F.lit(1), size).alias("n"))
+
+
+def add_counts(*tables: DataFrame) -> DataFrame:
+    """One table of counts from several, in any order and grouping: rows of the same group and feature add up."""
+    both = tables[0]
+    for more in tables[1:]:
+        both = both.unionByName(more)
+    keys = [c for c in both.columns if c != "n"]
+    each = both.select(*keys, F.posexplode("n").alias("bin", "k"))
+    summed = each.groupBy(*keys, "bin").agg(F.sum("k").alias("k"))
+    return summed.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "k"))), lambda x: x["k"]).alias("n"))
+
+
+def psi_of_counts(counts: DataFrame, state: DataFrame) -> DataFrame:
+    """(keys, feature, n_rows, psi, band) of counted groups against the saved reference."""
+    rows = counts.join(state.select("feature", F.col("n").alias("ref")), "feature")
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    rows = rows.withColumns({"n_rows": total("n"), "_ref": total("ref")})
+    term = F.zip_with("n", "ref", lambda a, e: _term(a / F.col("n_rows"), e / F.col("_ref")))
+    value = F.aggregate(term, F.lit(0.0), lambda a, x: a + x)
+    keys = [c for c in counts.columns if c != "n"]
+    return rows.withColumn("psi", value).select(*keys, "n_rows", "psi", C.banded("psi", S.PSI_BANDS).alias("band"))

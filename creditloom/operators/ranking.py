@@ -58,6 +58,21 @@ def slice_edges(
     return sorted(set(picks))
 
 
+def even_slices(cells: DataFrame, value: str, by: Sequence[str], per_slice: int) -> DataFrame:
+    """Adds ``s1`` and ``s2``, numbers that follow the value, so that each (by, s1, s2) has at most ``per_slice`` rows.
+
+    ``s1`` comes from balanced cut points, of which there is a fixed number; ``s2`` cuts each of these slices by
+    row number, so that slices of any number of rows give parts of one size. Up to ``per_slice`` rows in all
+    nothing is added.
+    """
+    n = cells.count()
+    if n <= per_slice:
+        return cells
+    cut = cells.withColumn("s1", C.count_edges(value, slice_edges(cells, value, slices=-(-n // per_slice))).cast("int"))
+    inside = Window.partitionBy(*by, "s1").orderBy(value)
+    return cut.withColumn("s2", F.floor((F.row_number().over(inside) - 1) / per_slice).cast("int"))
+
+
 def prefix_sums(
     cells: DataFrame,
     order: str,

@@ -1,4 +1,10 @@
-"""Bootstrap intervals of AUC, Gini and KS from score cells."""
+"""Bootstrap intervals of AUC, Gini and KS from score cells.
+
+Rows collapse to one cell per distinct score. Drawing rows with replacement is a multinomial draw
+over the cells, made from the top of a tree: class totals, then the totals of slices, then of
+parts of slices, then of cells. A node passes its totals on whole, so the totals of every draw
+are exact, and each leaf knows from above what lies below it in score: one pass completes AUC and KS.
+"""
 
 from __future__ import annotations
 
@@ -7,87 +13,142 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom import schema as S
-from creditloom.functions import columns as C
-from creditloom.operators.ranking import score_cells, slice_edges
+from creditloom.operators.ranking import even_slices, score_cells
 
-#: Score cells of one task; more cells make more tasks, with the same draws and results.
+#: Score cells of one task; more cells make more tasks of this size.
 CELLS_PER_TASK = 4096
 
+_PLACE = ("p", "n", "pb", "nb", "tp", "tn")  # totals of a node, what lies below it, and class totals of each draw
+_PLACE_TYPE = ", ".join(f"{c} array<long>" for c in _PLACE)
 
-def _cells(df: DataFrame, label: str, score: str, by: Sequence[str], per_task: int) -> DataFrame:
-    """One row per group and distinct score, dealt into ordered slices of about ``per_task`` cells."""
-    cells = score_cells(df, label, score, by)
-    n = cells.count()
-    edges = slice_edges(cells, "score", slices=-(-n // per_task)) if n > per_task else []
-    return cells.select(*by, F.col("score").alias("at"), "pos", "neg", C.count_edges("score", edges).cast("int").alias("slice"))
 
+def _rng(pdf: pd.DataFrame, seed: int, by: Sequence[str], *node: str) -> np.random.Generator:
+    """Numbers that depend on group, chunk and node only, so a lost task draws the same again."""
+    group = zlib.crc32(repr([str(pdf[c].iloc[0]) for c in by]).encode())
+    return np.random.default_rng([seed, group, int(pdf["chunk"].iloc[0]), len(node), *(int(pdf[c].iloc[0]) for c in node)])
 
-def _draw(pdf: pd.DataFrame, seed: int, chunk: int, iterations: int, by: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Draw numbers and Poisson counts (draw x cell) of positives and negatives.
 
-    The seed names group, slice and chunk, so a second pass repeats the draws.
-    """
-    part = int(pdf["chunk"].iloc[0])
-    group = zlib.crc32(repr([str(pdf[c].iloc[0]) for c in by]).encode())
-    rng = np.random.default_rng([seed, group, part, int(pdf["slice"].iloc[0])])
-    size = min(chunk, iterations - part * chunk)
-    p, n = (rng.poisson(pdf[c].to_numpy(float), (size, len(pdf))).astype(float) for c in ("pos", "neg"))
-    return part * chunk + np.arange(size), p, n
+def _split(rng: np.random.Generator, totals: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Totals of each draw dealt to parts in proportion to their counts (draw x part)."""
+    whole = counts.sum()
+    if not whole:
+        return np.zeros((len(totals), len(counts)), dtype=np.int64)
+    return rng.multinomial(totals, counts / whole)
 
 
-def bootstrap_draws(
+def _class_totals(rng: np.random.Generator, pos: int, neg: int, draws: int, stratified: bool) -> tuple[np.ndarray, np.ndarray]:
+    tp = np.full(draws, pos) if stratified else rng.binomial(pos + neg, pos / (pos + neg), draws)
+    return tp, pos + neg - tp
+
+
+def _children(rng: np.random.Generator, place: dict[str, np.ndarray], pos: np.ndarray, neg: np.ndarray) -> list[dict[str, np.ndarray]]:
+    """The place of each part of a node, in score order."""
+    p, n = _split(rng, place["p"], pos), _split(rng, place["n"], neg)
+    pb, nb = place["pb"][:, None] + np.cumsum(p, 1) - p, place["nb"][:, None] + np.cumsum(n, 1) - n
+    return [{"p": p[:, k], "n": n[:, k], "pb": pb[:, k], "nb": nb[:, k], "tp": place["tp"], "tn": place["tn"]} for k in range(len(pos))]
+
+
+def _root(rng: np.random.Generator, pos: int, neg: int, draws: int, stratified: bool) -> dict[str, np.ndarray]:
+    tp, tn = _class_totals(rng, pos, neg, draws, stratified)
+    none = np.zeros(draws, dtype=np.int64)
+    return {"p": tp, "n": tn, "pb": none, "nb": none, "tp": tp, "tn": tn}
+
+
+def _finish(rng: np.random.Generator, place: dict[str, np.ndarray], pos: np.ndarray, neg: np.ndarray) -> dict[str, np.ndarray]:
+    """Draws of the cells of one leaf, and their share of AUC and KS."""
+    p, n = _split(rng, place["p"], pos), _split(rng, place["n"], neg)
+    tp, tn = place["tp"][:, None], place["tn"][:, None]
+    n_below, p_below = place["nb"][:, None] + np.cumsum(n, 1) - n, place["pb"][:, None] + np.cumsum(p, 1) - p
+    gap = n_below / np.maximum(tn, 1) - p_below / np.maximum(tp, 1)
+    return {"p": p, "n": n, "won": (p * (n_below + n / 2)).sum(1), "gap": gap.max(1)}
+
+
+def cell_draws(
     df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ("model",),
     iterations: int = 1000, seed: int = S.SEED, stratified: bool = False, chunk: int = 125, per_task: int = CELLS_PER_TASK,
 ) -> DataFrame:
-    """(keys, draw, auc, ks): one row per usable draw.
+    """(keys, draw, won, gap, tp, tn, pos, neg): one row per draw and leaf.
 
-    Drawing rows with replacement gives each distinct score a Poisson count, so a
-    draw costs the number of scores, not of rows. A task has one group, one chunk of
-    draws and one slice of scores. A first pass sums each slice; prefix sums over slices
-    give every slice what lies below it, and a second pass over the same draws completes
-    AUC and KS at full resolution. ``stratified`` scales to the class totals, which changes neither
-    metric of a draw; draws with one class are skipped.
+    ``pos`` and ``neg`` are the drawn rows of the leaf's cells by class (arrays in score order), ``tp`` and ``tn`` the
+    class totals of the draw, ``won`` and ``gap`` what the leaf adds to AUC and KS.
     """
-    by = list(by)
-    parts = -(-iterations // chunk)
-    cells = _cells(df, label, score, by, per_task)
-    spread = cells.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    types = dict(spread.dtypes)
+    by, parts = list(by), -(-iterations // chunk)
+    cells = even_slices(score_cells(df, label, score, by), "score", by, per_task).withColumnRenamed("score", "at")
+    sliced = "s1" in cells.columns
+    types = dict(cells.dtypes)
     keys = "".join(f"`{c}` {types[c]}, " for c in by)
-
-    def totals(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
-        draw, p, n = _draw(pdf, seed, chunk, iterations, by)
-        frame = pd.DataFrame({"slice": pdf["slice"].iloc[0], "chunk": pdf["chunk"].iloc[0], "draw": draw, "p": p.sum(1), "n": n.sum(1)})
-        return frame.assign(**{c: pdf[c].iloc[0] for c in by})[[*by, "slice", "chunk", "draw", "p", "n"]]
-
-    group = [*by, "slice", "chunk"]
-    sums = spread.groupBy(*group).applyInPandas(totals, keys + "slice int, chunk int, draw long, p double, n double")
-    below = Window.partitionBy(*by, "draw").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by, "draw")
-    placed = sums.select(
-        *group, "draw", F.coalesce(F.sum("p").over(below), F.lit(0.0)).alias("pb"), F.coalesce(F.sum("n").over(below), F.lit(0.0)).alias("nb"),
-        F.sum("p").over(whole).alias("tp"), F.sum("n").over(whole).alias("tn"),
+    chunks = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("chunk")
+
+    def numbers(pdf: pd.DataFrame) -> np.ndarray:
+        part = int(pdf["chunk"].iloc[0])
+        return part * chunk + np.arange(min(chunk, iterations - part * chunk))
+
+    def report(pdf: pd.DataFrame, place: dict[str, np.ndarray], *node: str) -> pd.DataFrame:
+        done = _finish(_rng(pdf, seed, by, *node), place, pdf["pos"].to_numpy(), pdf["neg"].to_numpy())
+        frame = pd.DataFrame({"draw": numbers(pdf), "won": done["won"], "gap": done["gap"], "tp": place["tp"], "tn": place["tn"]})
+        frame["pos"], frame["neg"] = list(done["p"]), list(done["n"])
+        return frame.assign(**{c: pdf[c].iloc[0] for c in by})[[*by, "draw", "won", "gap", "tp", "tn", "pos", "neg"]]
+
+    out = keys + "draw long, won double, gap double, tp long, tn long, pos array<long>, neg array<long>"
+    if not sliced:
+
+        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("at")
+            place = _root(_rng(pdf, seed, by), int(pdf["pos"].sum()), int(pdf["neg"].sum()), len(numbers(pdf)), stratified)
+            return report(pdf, place, "chunk")
+
+        return cells.select("*", chunks).groupBy(*by, "chunk").applyInPandas(whole, out)
+
+    def placed(pdf: pd.DataFrame, nodes: list[dict[str, np.ndarray]], name: str) -> pd.DataFrame:
+        frame = pd.DataFrame({c: [node[c] for node in nodes] for c in _PLACE})
+        same = [c for c in (*by, "s1", "chunk") if c != name]
+        frame[name] = pdf[name].to_numpy()
+        return frame.assign(**{c: pdf[c].iloc[0] for c in same if c in pdf})
+
+    def top(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("s1")
+        rng, pos, neg = _rng(pdf, seed, by), pdf["pos"].to_numpy(), pdf["neg"].to_numpy()
+        root = _root(rng, int(pos.sum()), int(neg.sum()), len(numbers(pdf)), stratified)
+        return placed(pdf, _children(rng, root, pos, neg), "s1")[[*by, "s1", "chunk", *_PLACE]]
+
+    def middle(pdf: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty or above.empty:
+            return pd.DataFrame(columns=[*by, "s1", "s2", "chunk", *_PLACE])
+        pdf = pdf.sort_values("s2")
+        nodes = _children(_rng(pdf, seed, by, "s1"), {c: above[c].iloc[0] for c in _PLACE}, pdf["pos"].to_numpy(), pdf["neg"].to_numpy())
+        return placed(pdf, nodes, "s2")[[*by, "s1", "s2", "chunk", *_PLACE]]
+
+    def leaf(pdf: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty or above.empty:
+            return pd.DataFrame(columns=[*by, "draw", "won", "gap", "tp", "tn", "pos", "neg"])
+        return report(pdf.sort_values("at"), {c: above[c].iloc[0] for c in _PLACE}, "s1", "s2")
+
+    sums = [F.sum("pos").alias("pos"), F.sum("neg").alias("neg")]
+    low = cells.groupBy(*by, "s1", "s2").agg(*sums)
+    high = low.groupBy(*by, "s1").agg(*sums)
+    first = high.select("*", chunks).groupBy(*by, "chunk").applyInPandas(top, f"{keys}s1 int, chunk int, {_PLACE_TYPE}")
+    second = (
+        low.select("*", chunks).groupBy(*by, "s1", "chunk").cogroup(first.groupBy(*by, "s1", "chunk"))
+        .applyInPandas(middle, f"{keys}s1 int, s2 int, chunk int, {_PLACE_TYPE}")
     )
+    node = [*by, "s1", "s2", "chunk"]
+    return cells.select("*", chunks).groupBy(*node).cogroup(second.groupBy(*node)).applyInPandas(leaf, out)
 
-    def finish(pdf: pd.DataFrame, place: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty or place.empty:
-            return pd.DataFrame(columns=[*by, "draw", "won", "gap", "tp", "tn"])
-        pdf, place = pdf.sort_values("at"), place.sort_values("draw")
-        draw, p, n = _draw(pdf, seed, chunk, iterations, by)
-        pb, nb, tp, tn = (place[c].to_numpy()[:, None] for c in ("pb", "nb", "tp", "tn"))
-        n_below, p_below = nb + np.cumsum(n, 1) - n, pb + np.cumsum(p, 1) - p
-        gap = n_below / np.maximum(tn, 1) - p_below / np.maximum(tp, 1)
-        frame = pd.DataFrame({"draw": draw, "won": (p * (n_below + n / 2)).sum(1), "gap": gap.max(1), "tp": tp[:, 0], "tn": tn[:, 0]})
-        return frame.assign(**{c: pdf[c].iloc[0] for c in by})[[*by, "draw", "won", "gap", "tp", "tn"]]
-
-    done = spread.groupBy(*group).cogroup(placed.groupBy(*group)).applyInPandas(
-        finish, keys + "draw long, won double, gap double, tp double, tn double"
-    )
+
+def bootstrap_draws(
+    df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ("model",),
+    iterations: int = 1000, seed: int = S.SEED, stratified: bool = False, chunk: int = 125, per_task: int = CELLS_PER_TASK,
+) -> DataFrame:
+    """(keys, draw, auc, ks): one row per usable draw.
+
+    A draw takes as many rows as there are; ``stratified`` takes as many of each class as there are. A
+    task has one group, one chunk of draws and ``per_task`` score cells. Draws with one class are skipped.
+    """
+    done = cell_draws(df, label, score, by, iterations, seed, stratified, chunk, per_task)
     return (
         done.where((F.col("tp") > 0) & (F.col("tn") > 0)).groupBy(*by, "draw")
         .agg((F.sum("won") / (F.max("tp") * F.max("tn"))).alias("auc"), F.greatest(F.max("gap"), F.lit(0.0)).alias("ks"))

@@ -1,213 +1,153 @@
 """Synthetic minority rows between a row and one of its nearest neighbours.
 
-Nearest neighbours are exact. Equal vectors collapse to one point with a count,
-so copies never pile up in a task. The points are cut into boxes of bounded
-size by a kd-tree grown on a sample (the sample steers balance only). Each
-point first searches its own box; where the ball of its k-th neighbour leaves
-the box, the point is sent to every other box the ball touches, and the best k
-of all answers are kept.
+Neighbours come from a join of random projections. Equal vectors collapse to one point with a count, so copies
+never pile up. In each of several tables the points are cut by quantiles of one random
+projection after the other, every bucket on its own, until a bucket holds about ``LEAF`` points; what ties
+leave larger is cut by count. Points that share a bucket in any table are compared exactly, and the best
+``k`` of all tables are kept. Neighbours are approximate: a near pair may be parted in every
+table (the recall is measured in the tests). All cuts are counted by Spark; nothing is collected.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom import schema as S
 from creditloom.functions import columns as C
+from creditloom.operators.ranking import row_ranks
 from creditloom.sources.tables import stage
 
-BOX_ROWS = 2000
-MAX_BOXES = 100_000  # bounds the tree sent to the tasks; larger inputs get larger boxes
-_ASK_ROWS = 20_000
-_FOUND = "id long, x array<double>, m long, r double, near array<struct<d: double, id: long, m: long, x: array<double>>>"
-
-
-class Boxes:
-    """Splits of a kd-tree and the region of each box."""
-
-    def __init__(self, sample: np.ndarray, boxes: int):
-        dims = sample.shape[1]
-        self.dim, self.cut, self.left, self.right, self.box = [], [], [], [], []
-        self.lo, self.hi = [], []
-        self._grow(sample, boxes, np.full(dims, -np.inf), np.full(dims, np.inf))
-        self.dim, self.cut, self.left, self.right, self.box = map(np.array, (self.dim, self.cut, self.left, self.right, self.box))
-        self.lo, self.hi = np.array(self.lo), np.array(self.hi)
-
-    def _grow(self, rows: np.ndarray, boxes: int, lo: np.ndarray, hi: np.ndarray) -> int:
-        me = len(self.dim)
-        for field, v in ((self.dim, -1), (self.cut, 0.0), (self.left, -1), (self.right, -1), (self.box, -1)):
-            field.append(v)
-        spread = np.ptp(rows, axis=0) if len(rows) else np.zeros(len(lo))
-        d = int(np.argmax(spread))
-        if boxes > 1 and spread[d] > 0:
-            cut = float(np.median(rows[:, d]))
-            if cut == rows[:, d].max():  # keep the right side non-empty
-                cut = float(rows[rows[:, d] < cut, d].max())
-            below = rows[:, d] <= cut
-            hi_l, lo_r = hi.copy(), lo.copy()
-            hi_l[d], lo_r[d] = cut, cut
-            self.dim[me], self.cut[me] = d, cut
-            self.left[me] = self._grow(rows[below], boxes // 2, lo, hi_l)
-            self.right[me] = self._grow(rows[~below], boxes - boxes // 2, lo_r, hi)
-        else:
-            self.box[me] = len(self.lo)
-            self.lo.append(lo)
-            self.hi.append(hi)
-        return me
-
-    def of(self, x: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(x), int)
-        while True:
-            inner = self.dim[node] >= 0
-            if not inner.any():
-                return self.box[node]
-            at = node[inner]
-            goes_left = x[inner, self.dim[at]] <= self.cut[at]
-            node[inner] = np.where(goes_left, self.left[at], self.right[at])
-
-    def touched(self, x: np.ndarray, r: float, own: int) -> np.ndarray:
-        """Other boxes closer than r (or as close)."""
-        hits, pending = [], [0]
-        while pending:
-            node = pending.pop()
-            d = self.dim[node]
-            if d >= 0:
-                if x[d] - r <= self.cut[node]:
-                    pending.append(self.left[node])
-                if x[d] + r >= self.cut[node]:
-                    pending.append(self.right[node])
+#: Points of a bucket, independent tables, and parts a bucket is cut into at once, at most.
+LEAF = 256
+TABLES = 8
+FAN_OUT = 8
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.empty((0, 0))
+
+
+def _projected(points: DataFrame, tables: int, levels: int, seed: int) -> DataFrame:
+    """t, id, p: the projections of each point on the random directions of each table."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            b = self.box[node]
-            gap = np.maximum(np.maximum(self.lo[b] - x, x - self.hi[b]), 0.0)
-            if b != own and gap @ gap <= r * r:
-                hits.append(b)
-        return np.array(hits, int)
-
-
-def _nearest(ask: np.ndarray, ask_id: np.ndarray, pts: pd.DataFrame, x: np.ndarray, k: int) -> list[list[dict]]:
-    """The k nearest points of each asked vector, itself excluded."""
-    ids, ms = pts["id"].to_numpy(), pts["m"].to_numpy()
-    out = []
-    step = max(1, min(512, 4_000_000 // max(len(x), 1)))
-    for start in range(0, len(ask), step):
-        part = ask[start : start + step]
-        d2 = np.zeros((len(part), len(x)))
+            x = _matrix(batch.column("x"), batch.num_rows)
+            ids = batch.column("id").to_numpy()
+            for t in range(tables):
+                out = x @ np.random.default_rng([seed, t]).normal(size=(x.shape[1], levels))
+                p = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), levels).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), t, np.int32)), pa.array(ids), p], ["t", "id", "p"])
+
+    return points.select("id", "x").mapInArrow(work, "t int, id long, p array<double>")
+
+
+def buckets(points: DataFrame, leaf: int = LEAF, tables: int = TABLES, seed: int = S.SEED) -> DataFrame:
+    """t, id, bucket: buckets of about ``leaf`` points in each table."""
+    pieces = max(1, -(-points.count() // leaf))
+    levels = max(1, math.ceil(math.log(pieces, FAN_OUT) - 1e-9))
+    fan = math.ceil(pieces ** (1.0 / levels) - 1e-9)
+    placed = _projected(points, tables, levels, seed).withColumn("bucket", F.lit(0).cast("long"))
+    if fan > 1:
+        shares = F.array(*[F.lit(i / fan) for i in range(1, fan)])
+        for level in range(levels):
+            here = F.get("p", F.lit(level))
+            placed = stage(placed.withColumn("v", here), "projected")
+            cuts = placed.groupBy("t", "bucket").agg(F.percentile_approx("v", shares, 1000).alias("cuts"))
+            side = F.size(F.filter("cuts", lambda c: c < F.col("v"))).cast("long")
+            placed = placed.join(cuts, ["t", "bucket"]).select("t", "id", "p", (F.col("bucket") * fan + side).alias("bucket"))
+    # Equal projections cannot be parted by a cut: such a bucket is dealt by digest into parts of the size.
+    sizes = placed.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / (2 * leaf)).alias("parts"))
+    part = F.pmod(F.xxhash64("id", "t"), F.col("parts"))
+    return placed.join(sizes, ["t", "bucket"]).select("t", "id", F.xxhash64("t", "bucket", part).alias("bucket"))
+
+
+def _nearest(table: pa.Table, k: int) -> pa.Table:
+    """The k nearest points of each point of one bucket."""
+    n = table.num_rows
+    x, ids, m = _matrix(table.column("x"), n), table.column("id").to_numpy(), table.column("m").to_numpy()
+    # Ordered by id, so that ties are settled alike in every bucket.
+    order = np.argsort(ids)
+    x, ids, m = x[order], ids[order], m[order]
+    found: list[tuple[np.ndarray, ...]] = []
+    for lo in range(0, n, 256):
+        ask = x[lo : lo + 256]
+        d2 = np.zeros((len(ask), n))
         for j in range(x.shape[1]):
-            d2 += (part[:, j : j + 1] - x[None, :, j]) ** 2
-        d2[ask_id[start : start + step, None] == ids[None, :]] = np.inf
-        take = min(k, len(x))
-        order = np.argpartition(d2, take - 1, axis=1)[:, :take]
-        for i, cols in enumerate(order):
-            cols = sorted((c for c in cols if np.isfinite(d2[i, c])), key=lambda c: (d2[i, c], ids[c]))
-            out.append([{"d": float(np.sqrt(d2[i, c])), "id": int(ids[c]), "m": int(ms[c]), "x": x[c].tolist()} for c in cols])
-    return out
+            d2 += (ask[:, j : j + 1] - x[None, :, j]) ** 2
+        d2[np.arange(len(ask)), np.arange(lo, lo + len(ask))] = np.inf
+        take = min(k, n - 1)
+        near = np.argsort(d2, axis=1, kind="stable")[:, :take]
+        who = np.repeat(ids[lo : lo + 256], take)
+        found.append((who, np.sqrt(np.take_along_axis(d2, near, 1)).ravel(), ids[near].ravel(), m[near].ravel()))
+    who, d, to, copies = (np.concatenate(c) for c in zip(*found, strict=True))
+    return pa.table({"id": who, "d": d, "to": to, "copies": copies})
 
 
-def nearest_neighbours(points: DataFrame, k: int, box_rows: int = BOX_ROWS, seed: int = S.SEED) -> DataFrame:
-    """(id, x, m, near): k exact nearest points per distinct point.
+def nearest_neighbours(points: DataFrame, k: int, leaf: int = LEAF, tables: int = TABLES, seed: int = S.SEED) -> DataFrame:
+    """(id, near): the k nearest points found for each distinct point, nearest first, as (d, id, m).
 
-    ``points`` has (id long, x array<double>, m long) with distinct ``x``.
+    ``points`` has (id long, x array<double>, m long) with distinct ``x``. A point alone in all its buckets has no row.
     """
-    spark = points.sparkSession
-    n = points.count()
-    boxes = max(1, min(MAX_BOXES, -(-n // box_rows)))
-    # About 20 sampled points per box, 2 million at most; they only place the cuts.
-    rows = points.select("x").sample(min(1.0, boxes * 20.0 / max(n, 1)), seed).collect() if boxes > 1 else []
-    tree = Boxes(np.array([r["x"] for r in rows], float) if rows else np.zeros((0, len(points.first()["x"]))), boxes)
-    shared = spark.sparkContext.broadcast(tree)
-
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pdf.assign(box=shared.value.of(np.stack(pdf["x"].to_numpy())) if len(pdf) else np.zeros(0, int))
-
-    placed = points.mapInPandas(place, "id long, x array<double>, m long, box int")
-
-    def search_own(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["x"].to_numpy())
-        near = _nearest(x, pdf["id"].to_numpy(), pdf, x, k)
-        r = [a[-1]["d"] if len(a) >= k else float("inf") for a in near]
-        return pd.DataFrame({"id": pdf["id"], "x": pdf["x"], "m": pdf["m"], "r": r, "near": near, "box": pdf["box"]})
-
-    own = placed.groupBy("box").applyInPandas(search_own, _FOUND + ", box int")
-    if len(tree.lo) == 1:
-        return own.select("id", "x", "m", "near")
-    own = stage(own, "own-box")  # read twice below
-
-    def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            hits = [shared.value.touched(np.array(x), r, b) for x, r, b in zip(pdf["x"], pdf["r"], pdf["box"])]
-            reps = np.repeat(np.arange(len(pdf)), [len(h) for h in hits])
-            yield pd.DataFrame({
-                "id": pdf["id"].to_numpy()[reps], "x": pdf["x"].to_numpy()[reps],
-                "box": np.concatenate(hits).astype(int) if len(reps) else np.zeros(0, int),
-            })
-
-    asks = stage(own.select("id", "x", "r", "box").mapInPandas(route, "id long, x array<double>, box int"), "asks")
-    # Boxes asked by many points are answered in several groups of bounded size.
-    load = asks.groupBy("box").agg(F.ceil(F.count(F.lit(1)) / _ASK_ROWS).cast("int").alias("parts"))
-    asks = asks.join(load, "box").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).drop("parts")
-    answers_from = placed.join(load, "box").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-
-    def answer(ask: pd.DataFrame, pts: pd.DataFrame) -> pd.DataFrame:
-        if not len(ask) or not len(pts):
-            return pd.DataFrame({"id": [], "near": []})
-        near = _nearest(np.stack(ask["x"].to_numpy()), ask["id"].to_numpy(), pts, np.stack(pts["x"].to_numpy()), k)
-        return pd.DataFrame({"id": ask["id"], "near": near})
-
-    near_type = "near array<struct<d: double, id: long, m: long, x: array<double>>>"
-    found = asks.groupBy("box", "part").cogroup(answers_from.groupBy("box", "part")).applyInPandas(answer, f"id long, {near_type}")
-    one = own.select("id", "x", "m", "near").unionByName(
-        found.select("id", F.lit(None).cast("array<double>").alias("x"), F.lit(None).cast("long").alias("m"), "near")
-    )
-    # At most k entries per answer and one answer per touched box.
-    merged = one.groupBy("id").agg(F.max("x").alias("x"), F.max("m").alias("m"), F.flatten(F.collect_list("near")).alias("near"))
-    return merged.select("id", "x", "m", F.slice(F.array_sort("near"), 1, k).alias("near"))
+    placed = buckets(points, leaf, tables, seed).join(points.select("id", "x", "m"), "id")
+    pairs = placed.groupBy("bucket").applyInArrow(lambda table: _nearest(table, k), "id long, d double, to long, copies long")
+    # The distance of a pair is summed in one order everywhere, so the finds of several tables are equal.
+    best = pairs.groupBy("id").agg(F.collect_set(F.struct("d", F.col("to").alias("id"), F.col("copies").alias("m"))).alias("near"))
+    return best.select("id", F.slice(F.array_sort("near"), 1, k).alias("near"))
 
 
 def smote(
     train: DataFrame, features: Sequence[str], label: str = S.TARGET, key: str = S.ID, k: int = 5,
-    ratio: float = 1.0, seed: int = S.SEED, box_rows: int = BOX_ROWS,
+    ratio: float = 1.0, seed: int = S.SEED, leaf: int = LEAF, tables: int = TABLES, trace: bool = False,
 ) -> DataFrame:
-    """Synthetic minority rows (features, label) towards ``ratio`` x majority.
+    """Synthetic minority rows (features, label): exactly as many as are missing to ``ratio`` x majority.
 
-    Neighbour, position on the segment and the extra rows are chosen by digest,
-    so a rerun gives the same rows.
+    Every minority row makes the same number, and the rows whose digest comes first make one more.
+    Neighbour and position on the segment are chosen by digest, so a rerun gives the same rows.
+    ``trace`` adds ``from_id``, ``to_id`` and ``step``. Features must not be null.
     """
     counts = {r["y"]: r["n"] for r in train.groupBy(F.col(label).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect() if r["y"] is not None}
     small = min(counts, key=lambda y: (counts[y], -y))
-    missing = max(0.0, ratio * max(counts.values()) - counts[small])
-    per_row = missing / counts[small]
-    minority = train.where(F.col(label) == small)
-    points = minority.groupBy(F.array(*[F.col(f).cast("double") for f in features]).alias("x")).agg(
+    missing = max(0, round(ratio * max(counts.values())) - counts[small])
+    whole, rest = divmod(missing, counts[small])
+    points = train.where(F.col(label) == small).groupBy(F.array(*[F.col(f).cast("double") for f in features]).alias("x")).agg(
         F.min(F.col(key).cast("long")).alias("id"), F.count(F.lit(1)).alias("m")
     ).select("id", "x", "m")
-    points = stage(points, "minority-points")  # counted, sampled and searched
-    near = nearest_neighbours(points, k, box_rows, seed)
-    # Row r of a point makes floor(per_row) rows and one more with the rest as chance.
-    whole, rest = int(per_row), per_row - int(per_row)
+    points = stage(points, "minority-points")  # counted, projected and joined
+    near = points.join(nearest_neighbours(points, k, leaf, tables, seed), "id", "left")
+    # Copies of a point are spread in blocks before they become rows.
     block = 10_000
-    blocks = near.withColumn("b", F.explode(F.sequence(F.lit(0), ((F.col("m") - 1) / block).cast("long"))))
-    # Blocks of a point with many copies are spread before they become rows.
-    rows = blocks.repartition("id", "b").withColumn(
-        "r", F.explode(F.sequence(F.col("b") * block, F.least((F.col("b") + 1) * block, F.col("m")) - 1))
+    blocks = points.select("id", "m", F.explode(F.sequence(F.lit(0), ((F.col("m") - 1) / block).cast("long"))).alias("b"))
+    rows = blocks.repartition("id", "b").select(
+        "id", F.explode(F.sequence(F.col("b") * block, F.least((F.col("b") + 1) * block, F.col("m")) - 1)).alias("r")
     )
-    extra = (C.hash_unit(seed, F.lit("extra"), "id", "r") < rest).cast("int")
-    made = rows.withColumn("n", F.lit(whole) + extra).where("n > 0").withColumn("c", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    # The first m-1 neighbours of a point with copies are the copies themselves.
+    n = F.lit(whole)
+    if rest:
+        rows = row_ranks(rows.withColumn("_h", C.hash_hex(seed, F.lit("extra"), "id", "r", width=32)), [], "_h", "id", out="rank")
+        n = n + (F.col("rank") < rest).cast("int")
+    made = rows.select("id", "r", n.alias("n")).where("n > 0").join(near, "id").withColumn("c", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    # The first m - 1 neighbours of a point with copies are the copies themselves.
     pick = F.floor(C.hash_unit(seed, F.lit("near"), "id", "r", "c") * k)
-    past = F.aggregate(
-        "near", F.struct(F.col("m") - 1, F.col("x")).cast("struct<s: bigint, x: array<double>>"),
-        lambda acc, e: F.struct(
-            (acc["s"] + e["m"]).alias("s"), F.when(acc["s"] <= pick, e["x"]).otherwise(acc["x"]).alias("x")
-        ),
-    )["x"]
+    to = F.aggregate(
+        F.coalesce("near", F.array().cast("array<struct<d: double, id: bigint, m: bigint>>")),
+        F.struct((F.col("m") - 1).alias("s"), F.col("id").alias("id")).cast("struct<s: bigint, id: bigint>"),
+        lambda acc, e: F.struct((acc["s"] + e["m"]).alias("s"), F.when(acc["s"] <= pick, e["id"]).otherwise(acc["id"]).alias("id")),
+    )["id"]
     step = C.hash_unit(seed, F.lit("step"), "id", "r", "c")
-    new = F.zip_with("x", past, lambda a, b: a + step * (b - a))
-    return made.select(new.alias("_v")).select(
-        *[F.get("_v", F.lit(i)).alias(f) for i, f in enumerate(features)], F.lit(int(small)).alias(label)
+    asked = made.select(F.col("id").alias("from_id"), "x", to.alias("to_id"), step.alias("step"))
+    ends = points.select(F.col("id").alias("to_id"), F.col("x").alias("y"))
+    new = F.zip_with("x", "y", lambda a, b: a + F.col("step") * (b - a))
+    return asked.join(ends, "to_id").select(
+        *[F.get(new, F.lit(i)).alias(f) for i, f in enumerate(features)], F.lit(int(small)).alias(label),
+        *(["from_id", "to_id", "step"] if trace else []),
     )

@@ -12,20 +12,29 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (
+    GBTClassificationModel,
+    GBTClassifier,
+    LogisticRegression,
+    LogisticRegressionModel,
+    RandomForestClassificationModel,
+    RandomForestClassifier,
+)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom import schema as S
 from creditloom.functions import columns as C
 from creditloom.operators.cleaning import fit_scale, scale
+from creditloom.operators.isotonic import fit_isotonic
 from creditloom.operators.metrics import evaluate
 from creditloom.operators.splits import class_counts, class_weight, stratified_folds
+from creditloom.operators.state import Savable, get_options, get_parameters, put_options, put_parameters
 
 # Search ranges of the boosted model.
 SEARCH_SPACE = {
@@ -46,8 +55,28 @@ def _positive(prob: str = "probability") -> Column:
     return vector_to_array(F.col(prob))[1]
 
 
-class CreditModel:
-    """Common contract: fit, transform, predict, score, feature names."""
+class Sigmoid:
+    """Calibration 1 / (1 + exp(-(a s + b)))."""
+
+    def __init__(self, a: float, b: float):
+        self.a, self.b = a, b
+
+    def __call__(self, df: DataFrame, out: str) -> DataFrame:
+        return df.withColumn(out, F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("_s") * self.a + self.b))))
+
+
+class Steps:
+    """Calibration by a fitted monotone function."""
+
+    def __init__(self, model: IsotonicRegressionModel):
+        self.model = model
+
+    def __call__(self, df: DataFrame, out: str) -> DataFrame:
+        return self.model.setFeaturesCol("_s").setPredictionCol(out).transform(df)
+
+
+class CreditModel(Savable):
+    """Common contract: fit, transform, predict, score, feature names, save, load."""
 
     name = "model"
     weight_scheme = "balanced"
@@ -97,7 +126,7 @@ class CreditModel:
     def _cross_fit(self, data: DataFrame) -> list:
         """One model per fold, its calibrator fitted on the fold left out."""
         folded = stratified_folds(data, self.folds, self.label, self.seed, self.key).persist(StorageLevel.MEMORY_AND_DISK)
-        calibrator = fit_platt if self.calibration == "sigmoid" else fit_isotonic
+        calibrator = fit_platt if self.calibration == "sigmoid" else fit_steps
 
         def one(k: int):
             model = self.estimator().fit(folded.where(F.col("fold") != k))
@@ -147,6 +176,47 @@ class CreditModel:
         self._check()
         return list(self.features)
 
+    def settings(self) -> dict:
+        """Constructor arguments that are not common to all models."""
+        return {}
+
+    def save_state(self, spark: SparkSession, path: str) -> None:
+        """Settings and calibration as tables, the members as Spark ML models."""
+        self._check()
+        common = {k: getattr(self, k) for k in ("features", "label", "key", "seed", "folds", "parallelism")}
+        sections: dict[str, dict] = {"scale": getattr(self, "scaling", None) or {}, "sigmoid": {}}
+        steps = []
+        for i, (model, calibrate) in enumerate(self.members):
+            model.write().save(f"{path}/members/{i}")
+            if isinstance(calibrate, Sigmoid):
+                sections["sigmoid"][str(i)] = (calibrate.a, calibrate.b)
+            elif isinstance(calibrate, Steps):
+                calibrate.model.write().save(f"{path}/steps/{i}")
+                steps.append(i)
+        state = {"common": common, "settings": self.settings(), "calibration": self.calibration, "members": len(self.members), "steps": steps}
+        put_options(spark, path, type(self).__name__, state)
+        put_parameters(spark, path, sections)
+
+    @classmethod
+    def load_state(cls, spark: SparkSession, path: str) -> CreditModel:
+        kinds = {c.__name__: c for c in (LogisticCredit, ForestCredit, BoostedCredit, BoostedAltCredit) if issubclass(c, cls)}
+        kind, state = get_options(spark, path, *kinds)
+        found = get_parameters(spark, path)
+        common = dict(state["common"])
+        out = kinds[kind](common.pop("features"), **state["settings"], **common)
+        out.calibration = state["calibration"]
+        if found.get("scale"):
+            out.scaling = {c: tuple(v) for c, v in found["scale"].items()}
+        out.members = []
+        for i in range(state["members"]):
+            calibrate = None
+            if str(i) in found.get("sigmoid", {}):
+                calibrate = Sigmoid(*found["sigmoid"][str(i)])
+            elif i in state["steps"]:
+                calibrate = Steps(IsotonicRegressionModel.load(f"{path}/steps/{i}"))
+            out.members.append((kinds[kind].fitted_kind.load(f"{path}/members/{i}"), calibrate))
+        return out
+
     def importance(self, spark) -> DataFrame:
         """Mean tree importance per feature, descending."""
         self._check()
@@ -162,12 +232,16 @@ class LogisticCredit(CreditModel):
     """Scaled inputs, ridge penalty, balanced weights, sigmoid calibration."""
 
     name = "LogisticRegression"
+    fitted_kind = LogisticRegressionModel
 
     def __init__(self, features, C: float = 1.0, max_iter: int = 1000, calibrate: bool = True, **kw):
         super().__init__(features, **kw)
         self.C, self.max_iter = C, max_iter
         self.calibration = "sigmoid" if calibrate else None
 
+    def settings(self) -> dict:
+        return {"C": self.C, "max_iter": self.max_iter}
+
     def prepare(self, train: DataFrame) -> None:
         self.scaling = fit_scale(train, self.features)
         self.n = train.count()
@@ -201,12 +275,16 @@ class LogisticCredit(CreditModel):
 
 class ForestCredit(CreditModel):
     name = "RandomForest"
+    fitted_kind = RandomForestClassificationModel
 
     def __init__(self, features, trees: int = 300, depth: int = 8, min_leaf: int = 20, calibrate: bool = True, **kw):
         super().__init__(features, **kw)
         self.trees, self.depth, self.min_leaf = trees, depth, min_leaf
         self.calibration = "isotonic" if calibrate else None
 
+    def settings(self) -> dict:
+        return {"trees": self.trees, "depth": self.depth, "min_leaf": self.min_leaf}
+
     def estimator(self):
         return RandomForestClassifier(
             featuresCol="_x", labelCol=self.label, weightCol="_w", numTrees=self.trees, maxDepth=self.depth,
@@ -219,6 +297,7 @@ class BoostedCredit(CreditModel):
 
     name = "GradientBoosting"
     weight_scheme = "ratio"
+    fitted_kind = GBTClassificationModel
 
     def __init__(
         self, features, trees: int = 500, depth: int = 6, rate: float = 0.05, rows: float = 0.8, columns: float = 0.8,
@@ -228,6 +307,9 @@ class BoostedCredit(CreditModel):
         self.params = dict(trees=trees, depth=depth, rate=rate, rows=rows, columns=columns, min_leaf=min_leaf)
         self.early_tol = early_tol
 
+    def settings(self) -> dict:
+        return {**self.params, "early_tol": self.early_tol}
+
     def estimator(self):
         p = self.params
         return GBTClassifier(
@@ -292,7 +374,7 @@ class BoostedAltCredit(BoostedCredit):
         super().__init__(features, min_leaf=min_leaf, **kw)
 
 
-def fit_platt(held: DataFrame):
+def fit_platt(held: DataFrame) -> Sigmoid:
     """Sigmoid on a raw score with smoothed targets.
 
     A target t in (0, 1) is a pair of rows, label 1 with weight t and label 0
@@ -308,10 +390,9 @@ def fit_platt(held: DataFrame):
     data = VectorAssembler(inputCols=["s"], outputCol="_v").transform(rows)
     model = LogisticRegression(featuresCol="_v", labelCol="y", weightCol="w", regParam=0.0, maxIter=50).fit(data)
     a, b = float(model.coefficients[0]), float(model.intercept)
-    return lambda df, out: df.withColumn(out, F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("_s") * a + b))))
+    return Sigmoid(a, b)
 
 
-def fit_isotonic(held: DataFrame):
-    """Monotone function of a raw score; the fitted Spark model applies it."""
-    model = IsotonicRegression(featuresCol="s", labelCol="y").fit(held).setFeaturesCol("_s")
-    return lambda df, out: model.setPredictionCol(out).transform(df)
+def fit_steps(held: DataFrame) -> Steps:
+    """Monotone function of a raw score."""
+    return Steps(fit_isotonic(held))

@@ -4,9 +4,10 @@ A leaf pays its value only if every feature on its path is satisfied. For the
 path's distinct features this is a product game: a known feature contributes
 1 or 0, an unknown one the share of training weight that follows the path. Its
 Shapley values depend only on which features are satisfied, so each leaf has a
-table of at most 2^depth patterns. A task finds the pattern of every row of a
-batch by array comparison and looks the contributions up. The ensemble is sent
-to the tasks; its size is bounded by trees x 2^depth nodes and checked.
+table of at most 2^depth patterns. A task finds the pattern of every row by
+array comparison and looks the contributions up. The ensemble is sent to the tasks; its size is
+bounded by trees x 2^depth nodes and checked. Tables are made for bounded groups of leaves: a task
+holds the tables of one group, applies them to all rows it has gathered, and goes on to the next.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from creditloom.operators.attribution import phi
 from creditloom.sources.tables import shared_folder
 
 MAX_NODES = 2_000_000
-_TABLE_BYTES = 256 << 20
+#: Bytes of leaf tables held at once, and rows gathered before the groups are gone through.
+GROUP_BYTES = 64 << 20
+GATHERED_ROWS = 50_000
 
 
 @dataclass
@@ -39,21 +42,43 @@ class Leaf:
 
     def table(self) -> np.ndarray:
         """(2^u, u) contributions for every pattern of satisfied features."""
-        u = len(self.feature)
-        ones = (np.arange(1 << u)[:, None] >> np.arange(u)) & 1
-        out = np.zeros((1 << u, u))
-        weights = np.array([factorial(k) * factorial(u - 1 - k) / factorial(u) for k in range(u)])
-        for j in range(u):
-            # Coefficient k: sum over coalitions of k others.
-            poly = np.zeros((1 << u, u))
-            poly[:, 0] = 1.0
-            for i in range(u):
-                if i != j:
-                    shifted = np.zeros_like(poly)
-                    shifted[:, 1:] = poly[:, :-1]
-                    poly = poly * self.share[i] + shifted * ones[:, i : i + 1]
-            out[:, j] = (ones[:, j] - self.share[j]) * (poly @ weights)
-        return out * self.value
+        return tables_of([self])[0]
+
+
+def tables_of(leaves: Sequence[Leaf]) -> np.ndarray:
+    """(leaf, 2^u, u) contribution tables of leaves with the same number u of features."""
+    u = len(leaves[0].feature)
+    share, value = np.stack([leaf.share for leaf in leaves]), np.array([leaf.value for leaf in leaves])
+    ones = ((np.arange(1 << u)[:, None] >> np.arange(u)) & 1).astype(float)
+    out = np.zeros((len(leaves), 1 << u, u))
+    weights = np.array([factorial(k) * factorial(u - 1 - k) / factorial(u) for k in range(u)])
+    for j in range(u):
+        # Coefficient k: sum over coalitions of k others.
+        poly = np.zeros((len(leaves), 1 << u, u))
+        poly[..., 0] = 1.0
+        for i in range(u):
+            if i != j:
+                shifted = poly[..., :-1] * ones[None, :, i : i + 1]
+                poly *= share[:, None, i, None]
+                poly[..., 1:] += shifted
+        out[..., j] = (ones[None, :, j] - share[:, None, j]) * (poly @ weights)
+    return out * value[:, None, None]
+
+
+def table_groups(leaves: Sequence[Leaf], limit: int) -> list[list[int]]:
+    """Leaf numbers in groups of one feature count whose tables take at most ``limit`` bytes (or one leaf)."""
+    groups: list[list[int]] = []
+    order = sorted((k for k in range(len(leaves)) if len(leaves[k].feature)), key=lambda k: (len(leaves[k].feature), k))
+    size, kind = 0, 0
+    for k in order:
+        u = len(leaves[k].feature)
+        own = (8 * u) << u
+        if not groups or u != kind or size + own > limit:
+            groups.append([])
+            size, kind = 0, u
+        groups[-1].append(k)
+        size += own
+    return groups
 
 
 def _leaves(nodes: dict[int, tuple], factor: float) -> list[Leaf]:
@@ -117,30 +142,43 @@ def attribution_tree(
     leaves = ensemble_leaves(model, spark)
     base, m = base_value(leaves), len(features)
     shared = spark.sparkContext.broadcast(leaves)
-    keep_tables = sum((8 * len(leaf.feature)) << len(leaf.feature) for leaf in leaves) <= _TABLE_BYTES
     rows = df.sample(fraction=sample, seed=seed) if sample else df
     narrow = rows.select(key, *[F.col(f).cast("double").alias(f) for f in features])
+    limit, gathered = GROUP_BYTES, GATHERED_ROWS
 
     def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
-        tables = [leaf.table() for leaf in held] if keep_tables else None
-        for batch in batches:
+        groups = table_groups(held, limit)
+        fits = sum((8 * len(held[k].feature)) << len(held[k].feature) for g in groups for k in g) <= limit
+        kept = [tables_of([held[k] for k in g]) for g in groups] if fits else None
+
+        def contributions(batch: pa.RecordBatch) -> pa.RecordBatch:
             x = [c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
             out = np.zeros((m, batch.num_rows))
-            for k, leaf in enumerate(held):
-                if not len(leaf.feature):
-                    continue
-                pattern = np.zeros(batch.num_rows, int)
-                for u, f in enumerate(leaf.feature):
-                    pattern |= ((x[f] > leaf.lo[u]) & (x[f] <= leaf.hi[u])).astype(int) << u
-                part = (tables[k] if tables else leaf.table())[pattern]
-                for u, f in enumerate(leaf.feature):
-                    out[f] += part[:, u]
-            yield pa.RecordBatch.from_arrays(
+            for g, numbers in enumerate(groups):
+                tables = kept[g] if kept else tables_of([held[k] for k in numbers])
+                for table, k in zip(tables, numbers, strict=True):
+                    leaf = held[k]
+                    pattern = np.zeros(batch.num_rows, int)
+                    for u, f in enumerate(leaf.feature):
+                        pattern |= ((x[f] > leaf.lo[u]) & (x[f] <= leaf.hi[u])).astype(int) << u
+                    part = table[pattern]
+                    for u, f in enumerate(leaf.feature):
+                        out[f] += part[:, u]
+            return pa.RecordBatch.from_arrays(
                 [*batch.columns, *[pa.array(v) for v in out], pa.array(np.full(batch.num_rows, base))],
                 names=[*batch.schema.names, *[phi(f) for f in features], "base"],
             )
 
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            waiting.append(batch)
+            if kept or sum(b.num_rows for b in waiting) >= gathered:
+                yield from map(contributions, pa.Table.from_batches(waiting).combine_chunks().to_batches())
+                waiting = []
+        if waiting:
+            yield from map(contributions, pa.Table.from_batches(waiting).combine_chunks().to_batches())
+
     fields = [f"`{key}` {dict(narrow.dtypes)[key]}"] + [f"`{f}` double" for f in features]
     fields += [f"`{phi(f)}` double" for f in features] + ["base double"]
     return narrow.mapInArrow(explain, ", ".join(fields))

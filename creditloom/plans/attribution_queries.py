@@ -10,7 +10,7 @@ from creditloom.operators.tree_attribution import attribution_tree as explain_tr
 from creditloom.plans.catalog import query
 from creditloom.plans.metric_queries import _r
 from creditloom.plans.model_queries import FEATURES, cleaned, fitted
-from creditloom.plans.sqltext import APPS
+from creditloom.plans.sqltext import APPS, SPLIT
 from creditloom.sources.testbed import applications
 
 ID = "application_id"
@@ -151,6 +151,19 @@ def attribution_tree(spark, sf):
     return A.long_form(explain_trees(cleaned(spark, sf), model, FEATURES)).select(ID, "feature", F.round("phi", 8).alias("phi"))
 
 
+@query("attribution_additivity", APPS + f"SELECT {SPLIT} AS split, count(*) AS n_rows, count(*) AS n_additive FROM applications GROUP BY ALL")
+def attribution_additivity(spark, sf):
+    """Rows whose contributions and base add up to the boosted model's own probability."""
+    model, df = fitted(spark, sf, "boosted"), cleaned(spark, sf)
+    parts = explain_trees(df, model.members[0][0], FEATURES)
+    total = sum((F.col(A.phi(f)) for f in FEATURES), F.col("base"))
+    scored = model.transform(df).select(ID, "split", "pd")
+    same = F.abs(F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("total"))) - F.col("pd")) < 1e-9
+    return parts.select(ID, total.alias("total")).join(scored, ID).groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(same.cast("long")).alias("n_additive")
+    )
+
+
 @query("tree_group_attribution")
 def tree_group_attribution(spark, sf):
     model = fitted(spark, sf, "boosted").members[0][0]

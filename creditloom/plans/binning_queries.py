@@ -184,7 +184,25 @@ def iv_by_group(spark, sf):
     return out.withColumn("iv", F.round("iv", 8))
 
 
-@query("min_bin_merge")
+@query(
+    "min_bin_merge",
+    "WITH RECURSIVE" + APPS.removeprefix("WITH") + binned(FEATURES) + """
+, merging(feature, step, size, b) AS (
+  SELECT feature, 0, any_value(size), list({'bin': bin, 'last_bin': bin, 'n': n, 'e': e} ORDER BY bin)
+  FROM (SELECT feature, bin, count(*) AS n, sum(y)::BIGINT AS e FROM binned WHERE bin IS NOT NULL GROUP BY ALL), (SELECT floor(0.12e0 * count(*))::BIGINT AS size FROM applications)
+  GROUP BY feature
+  UNION ALL
+  SELECT feature, step + 1, size, b[:a - 1] || [{'bin': b[a].bin, 'last_bin': b[a + 1].last_bin, 'n': b[a].n + b[a + 1].n, 'e': b[a].e + b[a + 1].e}] || b[a + 2:]
+  FROM (
+    SELECT *, CASE WHEN i = 1 THEN 1 WHEN i = len(b) OR b[i - 1].n <= b[i + 1].n THEN i - 1 ELSE i END AS a
+    FROM (SELECT *, list_position(list_transform(b, lambda x: x.n), list_min(list_transform(b, lambda x: x.n))) AS i FROM merging)
+    WHERE len(b) > 1 AND b[i].n < size
+  )
+)
+SELECT feature, r.bin::INTEGER AS bin, r.last_bin::INTEGER AS last_bin, r.n AS n, r.e AS n_events, r.e / r.n::DOUBLE AS default_rate
+FROM (SELECT feature, unnest(arg_max(b, step)) AS r FROM merging GROUP BY feature)
+""",
+)
 def min_bin_merge(spark, sf):
     df = applications(spark, sf)
     counts = B.bin_counts(df, B.quantile_edges(df, FEATURES, 10), S.TARGET)

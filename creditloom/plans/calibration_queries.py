@@ -131,6 +131,40 @@ def psi_monthly(spark, sf):
     return _r(D.psi_by_period(scores(spark, sf), "p_full", early, [month, "segment"]))
 
 
+_PSI_STATE_FEATURES = ["loan_amount_requested", "cic_num_active_accounts", "age_at_application"]
+
+
+@query(
+    "psi_from_state",
+    APPS + f"""
+, lng AS ({long_rows(_PSI_STATE_FEATURES, "application_date AS dt")})
+, use AS (SELECT feature, v, strftime(dt, '%Y-%m') AS month, dt < TIMESTAMP '1997-01-01' AS ref FROM lng WHERE v IS NOT NULL)
+, e AS (SELECT feature AS f, list_sort(list_distinct(quantile_cont(v, {_INNER_PROBS}))) AS e FROM use WHERE ref GROUP BY feature)
+, b AS (SELECT feature, month, ref, len(list_filter(e, lambda x: x <= v)) AS bin FROM use JOIN e ON feature = f)
+, bins AS (SELECT f, unnest(range(len(e) + 1)) AS bin FROM e)
+, r AS (SELECT bins.f, bins.bin, count(b.bin) AS n FROM bins LEFT JOIN b ON b.feature = f AND b.bin = bins.bin AND b.ref GROUP BY ALL)
+, rs AS (SELECT f, bin, n / sum(n) OVER (PARTITION BY f) + 1e-6 AS e FROM r)
+, g AS (SELECT month, feature, count(*) AS n FROM b WHERE NOT ref GROUP BY ALL)
+, c AS (SELECT month, feature, bin, count(*) AS k FROM b WHERE NOT ref GROUP BY ALL)
+, p AS (SELECT g.month, g.feature, any_value(g.n) AS n_rows, sum((coalesce(k, 0) / g.n::DOUBLE + 1e-6 - e) * ln((coalesce(k, 0) / g.n::DOUBLE + 1e-6) / e)) AS psi
+        FROM g JOIN rs ON rs.f = g.feature LEFT JOIN c ON c.month = g.month AND c.feature = g.feature AND c.bin = rs.bin GROUP BY g.month, g.feature)
+SELECT month, feature, n_rows, round(psi, 8) AS psi, CASE WHEN psi < 0.1 THEN 'negligible' WHEN psi < 0.2 THEN 'moderate' ELSE 'significant' END AS band FROM p
+""",
+)
+def psi_from_state(spark, sf):
+    """Monthly stability from the saved reference and from counts that were added up in two runs."""
+    from creditloom.sources.tables import stage
+
+    df = applications(spark, sf)
+    at = F.col("application_date")
+    day = lambda d: F.lit(d).cast("timestamp_ntz")
+    state = stage(D.reference_state(df.where(at < day("1997-01-01")), _PSI_STATE_FEATURES), "psi-reference")
+    month = F.date_format("application_date", "yyyy-MM").alias("month")
+    runs = [df.where((at >= day("1997-01-01")) & (at < day("1997-06-15"))), df.where(at >= day("1997-06-15"))]
+    counts = D.add_counts(*[stage(D.period_counts(rows, state, [month]), "psi-counts") for rows in runs])
+    return _r(D.psi_of_counts(counts, state))
+
+
 _C = [*S.BUREAU, "txn_frequency_30d", "txn_frequency_60d", "txn_frequency_90d", "avg_txn_amount_30d", "avg_txn_amount_90d"]
 _PAIRS = APPS + ", pr AS (" + " UNION ALL ".join(
     f"SELECT '{_C[i]}' AS feature, '{_C[j]}' AS other, corr({_C[i]}, {_C[j]}) AS corr FROM applications" for i in range(len(_C)) for j in range(i)

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from creditloom import schema as S
 from creditloom.operators import cleaning as K
+from creditloom.operators import isotonic as I
 from creditloom.operators import metrics as M
 from creditloom.operators import resampling as Z
 from creditloom.operators import splits as P
 from creditloom.operators import training as T
+from creditloom.operators.smote import smote as oversample
 from creditloom.plans.catalog import query
+from creditloom.plans.sqltext import APPS, SCORES, SPLIT
 from creditloom.sources import tables as IO
-from creditloom.sources.testbed import applications, long_scores
+from creditloom.sources.testbed import applications, long_scores, scores
 
 ID = "application_id"
 _models: dict = {}
@@ -62,6 +68,28 @@ def model_contract(spark, sf):
     return scored.groupBy("split", "predicted").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("pd").alias("mean_pd"))
 
 
+RELOADED = ["logistic", "forest", "boosted"]
+
+
+@query(
+    "model_reload",
+    APPS + f"SELECT model, {SPLIT} AS split, count(*) AS n_rows, count(*) AS n_equal FROM applications, (SELECT unnest({RELOADED}) AS model) GROUP BY ALL",
+)
+def model_reload(spark, sf):
+    """Rows that a saved and loaded model scores exactly like the fitted one."""
+    out = None
+    for name in RELOADED:
+        model = fitted(spark, sf, name)
+        path = f"{IO.shared_folder(spark)}/model-{uuid.uuid4().hex}"
+        model.save(path)
+        both = type(model).load(path).transform(model.transform(cleaned(spark, sf)).withColumnRenamed("pd", "was"))
+        rows = both.groupBy(F.lit(name).alias("model"), "split").agg(
+            F.count(F.lit(1)).alias("n_rows"), F.sum((F.col("pd") == F.col("was")).cast("long")).alias("n_equal")
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("train_logistic")
 def train_logistic(spark, sf):
     return _scored(spark, sf, "logistic_plain")
@@ -89,6 +117,27 @@ def isotonic_calibration(spark, sf):
     return M.evaluate_model(df.select(F.col(S.TARGET).alias("label"), "split", F.col("pd").alias("score")), by=["split"])
 
 
+@query(
+    "isotonic_fit",
+    SCORES + """
+, c AS (SELECT p_base AS score, count(*) AS w, sum(label) AS y FROM scores GROUP BY p_base)
+, r AS (SELECT *, row_number() OVER (ORDER BY score) AS i, sum(w) OVER (ORDER BY score) AS cw, sum(y) OVER (ORDER BY score) AS cy FROM c)
+, av AS (SELECT a.i AS j, b.i AS k, (b.cy - a.cy + a.y) / (b.cw - a.cw + a.w)::DOUBLE AS m FROM r a JOIN r b ON b.i >= a.i)
+, lo AS (SELECT k, min(m) OVER (PARTITION BY j ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM av)
+SELECT score, w AS n_rows, round(fit, 9) AS fitted, coalesce(fit >= lag(fit) OVER (ORDER BY score) - 1e-12, TRUE) AS rising
+FROM (SELECT r.score, r.w, max(lo.m) AS fit FROM r JOIN lo ON lo.k = r.i GROUP BY ALL)
+""",
+)
+def isotonic_fit(spark, sf):
+    """The calibrated value of every distinct score, fitted over all rows."""
+    rows = scores(spark, sf).select("label", F.col("p_base").alias("score"))
+    model = I.fit_isotonic(rows, "label", "score", per_task=200).setFeaturesCol("score").setPredictionCol("fitted")
+    fitted = model.transform(rows.groupBy("score").agg(F.count(F.lit(1)).alias("n_rows")))
+    # One row a distinct score, compared with the one before it.
+    before = F.lag("fitted").over(Window.orderBy("score"))
+    return fitted.select("score", "n_rows", F.round("fitted", 9).alias("fitted"), F.coalesce(F.col("fitted") >= before - 1e-12, F.lit(True)).alias("rising"))
+
+
 @query("train_boosted")
 def train_boosted(spark, sf):
     return _scored(spark, sf, "boosted")
@@ -120,8 +169,6 @@ def score_table(spark, sf):
 
 @query("write_predictions")
 def write_predictions(spark, sf):
-    import uuid
-
     parts = [
         _scored(spark, sf, n).select(ID, F.col(S.TARGET).alias("label"), "split", F.lit(n).alias("model"), F.col("pd").alias("score"))
         for n in ("logistic_plain", "boosted")
@@ -134,6 +181,32 @@ def write_predictions(spark, sf):
     )
 
 
+@query(
+    "prediction_partitions",
+    APPS + """
+SELECT model, strftime(application_date, '%Y-%m') AS month, count(*) AS n_rows, sum(default_flag)::BIGINT AS n_defaults, model = 'boosted' AND month = '1995-03' AS rewritten
+FROM applications, (SELECT unnest(['logistic_plain', 'boosted']) AS model) GROUP BY ALL
+""",
+)
+def prediction_partitions(spark, sf):
+    """Predictions by model and month after a second run that scores one month with one model."""
+    months = applications(spark, sf).select(ID, F.date_format("application_date", "yyyy-MM").alias("month"))
+
+    def rows(name):
+        return _scored(spark, sf, name).join(months, ID).select(
+            ID, F.col(S.TARGET).alias("label"), F.lit(name).alias("model"), "month", F.col("pd").alias("score")
+        )
+
+    folder = f"{IO.shared_folder(spark)}/predictions-{uuid.uuid4().hex}"
+    first = rows("logistic_plain").unionByName(rows("boosted")).withColumn("rewritten", F.lit(False))
+    IO.write_predictions(first, {}, folder, period="month")
+    again = rows("boosted").where("month = '1995-03'").withColumn("rewritten", F.lit(True))
+    where = IO.write_predictions(again, {}, folder, period="month")
+    return spark.read.parquet(where["predictions"]).groupBy("model", F.col("month").cast("string").alias("month")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("label").cast("long").alias("n_defaults"), F.max("rewritten").alias("rewritten")
+    )
+
+
 @query("bootstrap_ci")
 def bootstrap_ci(spark, sf):
     return Z.bootstrap_ci(long_scores(spark, sf), iterations=1000)
@@ -151,9 +224,41 @@ def stratified_bootstrap(spark, sf):
     return Z.bootstrap_ci(long_scores(spark, sf), iterations=1000, stratified=True)
 
 
+def _oversampled(spark, sf):
+    return oversample(cleaned(spark, sf).where("split = 'train'"), FEATURES, trace=True)
+
+
 @query("smote")
 def smote(spark, sf):
-    from creditloom.operators.smote import smote as oversample
-
+    """Synthetic rows over all features of the cleaned training rows."""
+    return _oversampled(spark, sf).drop("from_id", "to_id", "step")
+
+
+@query(
+    "smote_balance",
+    APPS + f"""
+, n AS (SELECT default_flag AS label, count(*) AS n_rows FROM applications WHERE {SPLIT} = 'train' GROUP BY default_flag)
+, m AS (SELECT *, max(n_rows) OVER () - n_rows AS made FROM n)
+SELECT label, n_rows, made AS n_synthetic, n_rows + made AS n_after, made AS n_on_segment FROM m
+""",
+)
+def smote_balance(spark, sf):
+    """Class sizes before and after, and how many new rows lie between two rows of their class."""
     train = cleaned(spark, sf).where("split = 'train'")
-    return oversample(train, ["cic_num_delinquencies", "cic_account_age_months", "age_at_application"])
+    new = _oversampled(spark, sf)
+    ends = train.select(F.col(ID).cast("long").alias("id"), F.col(S.TARGET).alias("y"), F.array(*[F.col(f).cast("double") for f in FEATURES]).alias("x"))
+    a, b = (ends.select(F.col("id").alias(f"{c}_id"), F.col("y").alias(f"{c}_y"), F.col("x").alias(f"{c}_x")) for c in ("from", "to"))
+    near = F.lit(True)
+    for i, f in enumerate(FEATURES):
+        lo, hi = F.get("from_x", F.lit(i)), F.get("to_x", F.lit(i))
+        near = near & (F.abs(F.col(f) - (lo + F.col("step") * (hi - lo))) <= (F.abs(lo) + F.abs(hi) + 1.0) * 1e-9)
+    mine = near & (F.col("from_y") == F.col(S.TARGET)) & (F.col("to_y") == F.col(S.TARGET))
+    made = new.join(a, "from_id").join(b, "to_id").groupBy(F.col(S.TARGET).alias("label")).agg(
+        F.count(F.lit(1)).alias("made"), F.sum(mine.cast("long")).alias("on_segment")
+    )
+    counts = train.groupBy(F.col(S.TARGET).alias("label")).agg(F.count(F.lit(1)).alias("n_rows")).join(made, "label", "left")
+    none = F.lit(0).cast("long")
+    return counts.select(
+        "label", "n_rows", F.coalesce("made", none).alias("n_synthetic"), (F.col("n_rows") + F.coalesce("made", none)).alias("n_after"),
+        F.coalesce("on_segment", none).alias("n_on_segment"),
+    )

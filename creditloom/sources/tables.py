@@ -15,6 +15,10 @@ from creditloom import schema as S
 from creditloom.functions import columns as C
 
 
+#: Files that the rows of one prediction partition are dealt to, at most.
+FILES_PER_PARTITION = 64
+
+
 class SchemaError(ValueError):
     """Raised when required columns are absent."""
 
@@ -94,12 +98,19 @@ def write_table(df: DataFrame, path: str, formats: Iterable[str] = ("parquet", "
 
 
 def write_predictions(
-    scored: DataFrame, reports: Mapping[str, DataFrame], path: str, model: str = "model"
+    scored: DataFrame, reports: Mapping[str, DataFrame], path: str, model: str = "model", period: str | None = None
 ) -> dict[str, str]:
-    """Scored rows partitioned by model, plus one table per report."""
+    """Scored rows partitioned by model (and period), plus one table per report.
+
+    Only the partitions that ``scored`` has rows for are replaced: a rerun of one model
+    or month leaves the files of the others as they are. Reports are replaced whole.
+    """
     root = path.rstrip("/")
     out = {"predictions": f"{root}/predictions"}
-    scored.write.mode("overwrite").partitionBy(model).parquet(out["predictions"])
+    parts = [model, *([period] if period else [])]
+    # Rows of one partition come together, so that each is a few files and not one a task.
+    dealt = scored.repartition(*parts, F.pmod(F.xxhash64(*[c for c in scored.columns if c not in parts]), F.lit(FILES_PER_PARTITION)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(out["predictions"])
     for name, report in reports.items():
         out[name] = f"{root}/tables/{name}"
         report.write.mode("overwrite").parquet(out[name])

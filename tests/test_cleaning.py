@@ -141,3 +141,84 @@ def test_segments_overlap(spark):
 def test_dedupe_hot_key(spark):
     df = spark.createDataFrame([(1, 5, "x"), (1, 3, "y"), (1, 3, "a"), (2, 1, "z")], "k int, o int, v string")
     assert sorted(map(tuple, K.dedupe(df, "k", ["o", "v"]).collect())) == [(1, 3, "a"), (2, 1, "z")]
+
+
+def test_saved_cleaner_and_encoders(spark, sf_dir, tmp_path):
+    from creditloom.operators.binning import IvSelector, WoeEncoder
+    from creditloom.sources.testbed import applications
+
+    df = applications(spark, sf_dir)
+    names = ["cic_num_delinquencies", "cic_account_age_months", "age_at_application"]
+    cleaner = K.CreditCleaner(keep_label=True, keep_encoded=True, apply_scaling=True).fit(df)
+    encoder = WoeEncoder(min_bin_share=0.1).fit(df, names)
+    selector = IvSelector(iv_threshold=0.0, flag_leakage=False).fit(df, names)
+    for thing, name in ((cleaner, "cleaner"), (encoder, "encoder"), (selector, "selector")):
+        thing.save(f"{tmp_path}/{name}")
+        again = type(thing).load(f"{tmp_path}/{name}")
+        was, now = thing.transform(df), again.transform(df)
+        assert was.columns == now.columns and was.exceptAll(now).count() == 0
+    assert again.selected == selector.selected and again.report().collect() == selector.report().collect()
+    assert WoeEncoder.load(f"{tmp_path}/encoder").iv_table().collect() == encoder.iv_table().collect()
+
+
+@pytest.mark.parametrize("hot", ["x0", None])
+def test_long_code_tables_split_hot_categories(spark, monkeypatch, hot):
+    monkeypatch.setattr(K, "LITERAL_CATEGORIES", 2)
+    monkeypatch.setattr(K, "LITERAL_FOLDS", 2)
+    monkeypatch.setattr(K, "SALTS", 4)
+    rows = [(i, hot if i % 3 == 0 else f"x{i}", i % 2) for i in range(3000)]
+    df = spark.createDataFrame(rows, "application_id long, c string, default_flag int").repartition(3)
+    assert K.hot_keys(df, F.col("c")) == [hot]
+    codes = K.category_codes(df.where("application_id < 2000 and application_id > 2"), "c")
+    want = {r["category"]: r["code"] for r in codes.collect()}
+    got = K.label_encode(df, "c", codes).collect()
+    assert len(got) == 3000
+    assert all(r["c_encoded"] == want.get("nan" if r["c"] is None else r["c"], 0) for r in got)
+    long = {r["application_id"]: r["c_te"] for r in K.target_encode_oof(df, "c").collect()}
+    monkeypatch.setattr(K, "LITERAL_FOLDS", 10_000)
+    assert {r["application_id"]: r["c_te"] for r in K.target_encode_oof(df, "c").collect()} == pytest.approx(long)
+
+
+def test_no_task_holds_a_hot_category(spark, monkeypatch):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(90_000).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("c"), F.col("id"))).alias("c"))
+        table = df.select(F.col("c").alias("k")).distinct().withColumn("code", F.length("k"))
+        out = K.spread_join(df, F.col("c"), table, "k")
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 90_000 and max(sizes) < 1.6 * 90_000 / len(sizes) and out.where("code is null").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_predictions_of_other_models_stay(spark, tmp_path):
+    from creditloom.sources.tables import write_predictions
+
+    rows = [(i, m, t, float(i)) for i in range(20) for m in ("a", "b") for t in ("2020-01", "2020-02")]
+    scored = spark.createDataFrame(rows, "id int, model string, month string, score double")
+    where = write_predictions(scored, {"all": scored.groupBy("model").count()}, str(tmp_path), period="month")["predictions"]
+    files = lambda: {p.name for p in tmp_path.rglob("predictions/**/part-*.parquet") if "model=b/month=2020-02" not in str(p)}
+    before = files()
+    write_predictions(scored.where("model = 'b' and month = '2020-02' and id < 5"), {}, str(tmp_path), period="month")
+    assert files() == before
+    got = {(r["model"], str(r["month"])): r["count"] for r in spark.read.parquet(where).groupBy("model", "month").count().collect()}
+    assert got == {("a", "2020-01"): 20, ("a", "2020-02"): 20, ("b", "2020-01"): 20, ("b", "2020-02"): 5}
+
+
+def test_monthly_counts_add_up(spark):
+    from creditloom.operators import drift as D
+
+    rng_rows = [(i, f"m{i % 3}", float((i * 37) % 101), None if i % 11 == 0 else float(i % 7)) for i in range(900)]
+    df = spark.createDataFrame(rng_rows, "id int, month string, a double, b double")
+    state = D.reference_state(df.where("id < 300"), ["a", "b"], 5)
+    one = D.period_counts(df, state, ["month"])
+    two = D.add_counts(D.period_counts(df.where("id < 450"), state, ["month"]), D.period_counts(df.where("id >= 450"), state, ["month"]))
+    key = lambda t: sorted(map(str, t.collect()))
+    assert key(two.select("month", "feature", "n")) == key(one.select("month", "feature", "n"))
+    psi = {(r["month"], r["feature"]): r["psi"] for r in D.psi_of_counts(two, state).collect()}
+    ref = df.where("id < 300").select("a", F.lit(False).alias("act"))
+    now = df.where("month = 'm1'").select("a", F.lit(True).alias("act"))
+    want = D.psi_per_feature(ref.unionByName(now), ["a"], F.col("act"), D.reference_edges(df.where("id < 300"), ["a"], 5)).first()["psi"]
+    assert psi["m1", "a"] == pytest.approx(want, abs=1e-12)

@@ -104,6 +104,46 @@ def test_leaf_table_of_one_feature():
     np.testing.assert_allclose(leaf.table()[:, 0], [-0.5, 1.5])
 
 
+def test_tables_in_groups_give_the_same(data, boosted, monkeypatch):
+    from creditloom.operators import tree_attribution
+
+    gbt = boosted.members[0][0]
+    want = {r["application_id"]: r for r in attribution_tree(data, gbt, COLS).collect()}
+    monkeypatch.setattr(tree_attribution, "GROUP_BYTES", 300)
+    monkeypatch.setattr(tree_attribution, "GATHERED_ROWS", 30)
+    leaves = ensemble_leaves(gbt, data.sparkSession)
+    groups = tree_attribution.table_groups(leaves, 300)
+    assert len(groups) > 3 and sorted(k for g in groups for k in g) == [k for k, leaf in enumerate(leaves) if len(leaf.feature)]
+    got = attribution_tree(data.repartition(3), gbt, COLS).collect()
+    assert len(got) == len(want)
+    for r in got:
+        np.testing.assert_allclose([r[A.phi(c)] for c in COLS], [want[r["application_id"]][A.phi(c)] for c in COLS], atol=1e-12)
+
+
+@pytest.mark.parametrize("make", [
+    lambda: T.LogisticCredit(COLS, max_iter=10, folds=2), lambda: T.LogisticCredit(COLS, max_iter=10, calibrate=False),
+    lambda: T.ForestCredit(COLS, trees=3, depth=2, folds=2), lambda: T.BoostedAltCredit(COLS, trees=2, depth=2),
+])
+def test_saved_models_score_the_same(data, tmp_path, make):
+    model = make().fit(data)
+    model.save(f"{tmp_path}/m")
+    with pytest.raises(Exception):
+        model.save(f"{tmp_path}/m")
+    model.write().overwrite().save(f"{tmp_path}/m")
+    for kind in (type(model), T.CreditModel):
+        again = kind.load(f"{tmp_path}/m")
+        assert type(again) is type(model) and again.settings() == model.settings() and again.feature_names == COLS
+        rows = again.transform(model.transform(data).withColumnRenamed("pd", "was"))
+        assert rows.where("pd <> was or pd is null").count() == 0
+    with pytest.raises(ValueError):
+        (T.ForestCredit if not isinstance(model, T.ForestCredit) else T.LogisticCredit).load(f"{tmp_path}/m")
+
+
+def test_an_unfitted_model_cannot_be_saved(tmp_path):
+    with pytest.raises(T.NotFitted):
+        T.LogisticCredit(COLS).save(f"{tmp_path}/m")
+
+
 def test_tune_updates_parameters(data):
     model = T.BoostedCredit(COLS)
     best = model.tune(data, trials=2, folds=2, space={"n_estimators": (1, 2), "max_depth": (2, 2)})

@@ -3,15 +3,17 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
 from creditloom.functions import columns as C
+from creditloom.operators import isotonic
 from creditloom.operators import metrics as M
 from creditloom.operators import ranking as R
 from creditloom.operators import resampling as Z
 from creditloom.operators.quantiles import quantiles
 from creditloom.operators.relations import correlation_pairs, vif
-from creditloom.operators.smote import nearest_neighbours, smote
+from creditloom.operators.smote import buckets, nearest_neighbours, smote
 from creditloom.operators.windows import asof_window_join
 
 
@@ -115,25 +117,61 @@ def test_row_ranks_are_a_permutation(spark):
         assert list(part["rank"]) == list(range(len(part)))
 
 
-@pytest.mark.parametrize("per_task", [40, 4096])
-def test_bootstrap_is_complete_over_slices(scored, per_task):
-    df, chunk, total = scored[3], 20, 50
-    cells = Z._cells(df, "label", "score", ["model"], per_task).toPandas()
-    assert cells["slice"].nunique() > 5 or per_task == 4096
-    want = {}
-    for model, own in cells.groupby("model"):
-        own = own.sort_values("at")
-        for part in range(3):
-            drawn = [Z._draw(piece.assign(chunk=part), 7, chunk, total, ["model"]) for _, piece in own.groupby("slice")]
-            p, n = (np.concatenate([d[k] for d in drawn], axis=1) for k in (1, 2))
-            for k, draw in enumerate(drawn[0][0]):
-                before = np.cumsum(n[k]) - n[k]
-                gap = before / n[k].sum() - (np.cumsum(p[k]) - p[k]) / p[k].sum()
-                want[model, draw] = ((p[k] * (before + n[k] / 2)).sum() / (p[k].sum() * n[k].sum()), max(gap.max(), 0))
-    got = Z.bootstrap_draws(df, iterations=total, seed=7, chunk=chunk, per_task=per_task).collect()
-    assert len(got) == len(want) == 2 * total
-    for r in got:
-        assert (r["auc"], r["ks"]) == pytest.approx(want[r["model"], r["draw"]], abs=1e-12)
+@pytest.mark.parametrize("stratified", [False, True])
+@pytest.mark.parametrize("per_task", [7, 4096])
+def test_bootstrap_is_complete_over_slices(scored, per_task, stratified, monkeypatch):
+    y, s, m, df = scored
+    monkeypatch.setattr(R, "MAX_SLICES", 8)
+    args = dict(iterations=50, seed=7, chunk=20, per_task=per_task, stratified=stratified)
+    leaves = Z.cell_draws(df, **args).toPandas()
+    # Tasks keep their size, also where the cut points are too few.
+    assert leaves["pos"].map(len).max() <= per_task
+    draws = {(r["model"], r["draw"]): r for r in Z.bootstrap_draws(df, **args).collect()}
+    assert len(draws) == 100
+    for model in "ab":
+        own, cuts = y[m == model], np.unique(s[m == model])
+        n1, n0 = int(own.sum()), int((1 - own).sum())
+        for draw, part in leaves[leaves["model"] == model].groupby("draw"):
+            assert len(part) == 1 if per_task == 4096 else len(part) >= len(cuts) / 7
+            tp, tn = int(part["pos"].map(sum).sum()), int(part["neg"].map(sum).sum())
+            assert {(tp, tn)} == set(zip(part["tp"], part["tn"], strict=True)) and tp + tn == n1 + n0
+            assert not stratified or (tp, tn) == (n1, n0)
+            if per_task == 4096:
+                p, n = (np.array(part[c].iloc[0]) for c in ("pos", "neg"))
+                before, below = np.cumsum(n) - n, np.cumsum(p) - p
+                want = (p * (before + n / 2)).sum() / (tp * tn), max((before / tn - below / tp).max(), 0)
+                assert (draws[model, draw]["auc"], draws[model, draw]["ks"]) == pytest.approx(want, abs=1e-12)
+
+
+def test_bootstrap_slices_agree_with_their_cells(scored, monkeypatch):
+    """Cells of all leaves put in score order give the metrics that the leaves add up to."""
+    monkeypatch.setattr(R, "MAX_SLICES", 4)
+    y, s, m, df = scored
+    one = df.where("model = 'a'")
+    cells = R.even_slices(R.score_cells(one, "label", "score"), "score", [], 9).select("score", "s1", "s2").toPandas().sort_values("score")
+    assert (cells.groupby(["s1", "s2"]).size() <= 9).all() and cells["s1"].is_monotonic_increasing
+    leaves = Z.cell_draws(one, iterations=12, seed=3, chunk=5, per_task=9).toPandas()
+    draws = {r["draw"]: r for r in Z.bootstrap_draws(one, iterations=12, seed=3, chunk=5, per_task=9).collect()}
+    sizes = cells.groupby(["s1", "s2"]).size().to_numpy()
+    for draw, part in leaves.groupby("draw"):
+        # A leaf is found again by what lies below it: gap and won follow from its cells and the leaves before.
+        assert sorted(len(p) for p in part["pos"]) == sorted(sizes)
+        assert 0 < draws[draw]["auc"] < 1
+        assert part["won"].sum() / (part["tp"].iloc[0] * part["tn"].iloc[0]) == pytest.approx(draws[draw]["auc"], abs=1e-12)
+
+
+def test_stratified_draws_spread_like_resampled_rows(scored):
+    y, s, m, df = scored
+    own, score = y[m == "a"], s[m == "a"]
+    rng = np.random.default_rng(0)
+    pos, neg = score[own == 1], score[own == 0]
+    want = []
+    for _ in range(200):
+        a, b = rng.choice(pos, len(pos)), np.sort(rng.choice(neg, len(neg)))
+        want.append(((np.searchsorted(b, a) + np.searchsorted(b, a, "right")) / 2).mean() / len(neg))
+    got = [r["auc"] for r in Z.bootstrap_draws(df.where("model = 'a'"), iterations=400, stratified=True, per_task=50).collect()]
+    assert np.mean(got) == pytest.approx(np.mean(want), abs=0.004)
+    assert np.std(got) == pytest.approx(np.std(want), rel=0.2)
 
 
 def test_bootstrap_interval_holds_the_auc(scored):
@@ -188,35 +226,89 @@ def test_correlation_matches_pandas(wild):
         assert (r["corr"] is None and np.isnan(w)) or r["corr"] == pytest.approx(w, abs=1e-9)
 
 
-@pytest.mark.parametrize("box_rows", [40, 10_000])
-def test_neighbours_are_exact(spark, box_rows):
-    rng = np.random.default_rng(11)
-    x = np.unique(np.round(rng.normal(size=(600, 2)), 2), axis=0)
-    pts = spark.createDataFrame(
-        pd.DataFrame({"id": np.arange(len(x)), "x": x.tolist(), "m": 1}), "id long, x array<double>, m long"
-    )
-    got = {r["id"]: [n["d"] for n in r["near"]] for r in nearest_neighbours(pts, 4, box_rows).collect()}
-    assert len(got) == len(x)
-    for i in range(len(x)):
-        d = np.sort(np.delete(np.sqrt(((x - x[i]) ** 2).sum(1)), i))[:4]
-        np.testing.assert_allclose(got[i], d, atol=1e-12)
+def _points(spark, x, m=None):
+    pdf = pd.DataFrame({"id": np.arange(len(x)), "x": x.tolist(), "m": 1 if m is None else m})
+    return spark.createDataFrame(pdf, "id long, x array<double>, m long")
+
+
+def _recall(x, found, k):
+    hits = total = 0
+    for i in range(0, len(x), 7):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        limit = np.sort(d)[k - 1]
+        got = [n["id"] for n in found.get(i, [])]
+        assert len(set(got)) == len(got) and i not in got
+        hits += sum(d[j] <= limit + 1e-12 for j in got)
+        total += k
+    return hits / total
+
+
+def test_neighbours_in_one_bucket_are_exact(spark):
+    x = np.unique(np.round(np.random.default_rng(11).normal(size=(200, 2)), 2), axis=0)
+    got = {r["id"]: r["near"] for r in nearest_neighbours(_points(spark, x), 4).collect()}
+    assert _recall(x, got, 4) == 1.0
+
+
+def test_recall_of_neighbours(spark):
+    rng = np.random.default_rng(12)
+    x = np.unique(np.round(rng.normal(size=(4000, 25)) * np.geomspace(30, 0.1, 25), 4), axis=0)
+    got = {r["id"]: r["near"] for r in nearest_neighbours(_points(spark, x), 5, leaf=200).collect()}
+    assert _recall(x, got, 5) >= 0.9
+
 
+def test_tied_projections_are_cut_by_count(spark):
+    # All points on few values of one axis: most cuts coincide.
+    x = np.array([[float(i % 2), 0.0, 1e-12 * i] for i in range(1500)])
+    sizes = buckets(_points(spark, x), leaf=50, tables=2).groupBy("t", "bucket").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 250
+    assert sizes.groupBy("t").agg(F.sum("count")).collect()[0][1] == 1500
 
-def test_smote_points_lie_on_segments(spark):
+
+@pytest.fixture(scope="module")
+def rare(spark):
     rng = np.random.default_rng(2)
     minority = np.vstack([rng.normal(size=(60, 2)), np.tile([9.0, 9.0], (30, 1))])  # a third are copies
     pdf = pd.DataFrame(np.vstack([minority, rng.normal(size=(400, 2))]), columns=["a", "b"])
     pdf["default_flag"] = [1] * 90 + [0] * 400
     pdf["application_id"] = np.arange(len(pdf))
-    out = smote(spark.createDataFrame(pdf), ["a", "b"], box_rows=20).toPandas()
-    assert set(out["default_flag"]) == {1}
-    assert abs(len(out) - 310) < 60
-    uniq = np.unique(minority, axis=0)
-    for v in out[["a", "b"]].to_numpy()[:40]:
-        on_segment = False
-        for p in uniq:
-            d = np.linalg.norm(uniq - p, axis=1)
-            for q in uniq[np.argsort(d)[:6]]:
-                gap = np.linalg.norm(p - v) + np.linalg.norm(q - v) - np.linalg.norm(p - q)
-                on_segment |= gap < 1e-9
-        assert on_segment
+    return minority, spark.createDataFrame(pdf)
+
+
+def test_smote_points_lie_on_segments(rare):
+    minority, df = rare
+    out = smote(df, ["a", "b"], leaf=20, trace=True).toPandas()
+    assert set(out["default_flag"]) == {1} and len(out) == 310
+    start, end = minority[out["from_id"]], minority[out["to_id"]]
+    np.testing.assert_allclose(out[["a", "b"]].to_numpy(), start + out[["step"]].to_numpy() * (end - start), atol=1e-12)
+    # Rows that are copies of one another have these for neighbours.
+    assert (out.loc[out["from_id"] >= 60, "to_id"] == 60).all() and (out["from_id"] >= 60).sum() in range(90, 121)
+    per_row = out.loc[out["from_id"] < 60].groupby("from_id").size()
+    assert len(per_row) == 60 and set(per_row) <= {3, 4}
+    again = smote(df.repartition(5), ["a", "b"], leaf=20, trace=True).toPandas()
+    assert sorted(map(tuple, again.to_numpy())) == sorted(map(tuple, out.to_numpy()))
+
+
+@pytest.mark.parametrize("ratio, want", [(0.1, 0), (0.5, 110), (0.225, 0)])
+def test_smote_makes_exactly_what_is_missing(rare, ratio, want):
+    assert smote(rare[1], ["a", "b"], ratio=ratio).count() == want
+
+
+@pytest.mark.parametrize("per_task", [3, 40, 20_000])
+def test_isotonic_blocks_are_sparks_fit(spark, scored, per_task, monkeypatch):
+    y, s, m, df = scored
+    monkeypatch.setattr(R, "MAX_SLICES", 8)
+    noisy = df.select(F.col("label").alias("y"), F.round(F.col("score") + F.rand(4) * 0.4, 3).alias("s")).persist()
+    want = IsotonicRegression(featuresCol="s", labelCol="y").fit(noisy).setPredictionCol("want")
+    got = isotonic.fit_isotonic(noisy, per_task=per_task).setFeaturesCol("s").setPredictionCol("got")
+    grid = spark.range(1400).select((F.col("id") / 1000.0 - 0.1).alias("s")).unionByName(noisy.select("s"))
+    assert got.transform(want.transform(grid)).agg(F.max(F.abs(F.col("got") - F.col("want")))).first()[0] < 1e-12
+    blocks = isotonic.isotonic_blocks(noisy, "y", "s", per_task=per_task).toPandas().sort_values("lo")
+    assert blocks["weight"].sum() == noisy.count() and (np.diff(blocks["value"]) > 0).all() and (blocks["lo"].to_numpy()[1:] > blocks["hi"].to_numpy()[:-1]).all()
+
+
+def test_isotonic_of_few_and_weighted_rows(spark):
+    rows = spark.createDataFrame([(1.0, 0.2, 1.0), (0.0, 0.4, 3.0), (1.0, 0.9, 1.0), (1.0, None, 1.0), (None, 0.1, 1.0), (0.0, 0.1, 0.0)], "label double, score double, w double")
+    found = isotonic.isotonic_blocks(rows, weight="w").orderBy("lo").collect()
+    assert [tuple(r) for r in found] == [(0.2, 0.4, 4.0, 1.0, 0.25), (0.9, 0.9, 1.0, 1.0, 1.0)]
+    assert isotonic.isotonic_blocks(rows.limit(0)).count() == 0
