@@ -20,37 +20,41 @@ partition and gives the same sequences, whose ids carry the partition number.
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from creditloom.llm.common import query, read
-from creditloom.llm.textops import chunks
+from creditloom.llm.textops import chunks, gather, split_words, word_numbers
 
 CAPACITY = 4096
 END_ID = 2
-#: Distinct words whose ids a worker remembers; a full cache starts anew.
-CACHE_WORDS = 600_000
+#: Distinct parts of words whose ids a worker remembers; beyond it only those of the present chunk stay.
+CACHE_PARTS = 400_000
+#: Bytes of text worked on at once: more of its words are repeated ones.
+CHUNK = 4 << 20
 
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r".,;:!?|)(%*&#$\"/+=~_-"
 #: A plain word: letters whose lower case and normal form are simple, then ASCII punctuation that forms one token run.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|)(%*&#$\"/+=~_-]*)")
-#: Python splits at these, the tokenizer does not.
-_UNLIKE = "\x1c\x1d\x1e\x1f"
+_PLAIN = f"^(?P<core>[{_LETTERS}]+)(?P<tail>[{_SIGNS}]*)$"
+_RUN = f"^(?:[{_LETTERS}]+|[{_SIGNS}]+)$"
 
 
 class WordIds:
     """Token ids of texts, word by word.
 
     The tokenizer's pieces never reach across white space, so a text's ids are
-    those of its words in a row; the library encodes each distinct word once.
+    those of its words in a row. Words are cut at ASCII white space (other white space inside
+    a word is the library's matter), and plain words into letters and closing signs. The library encodes
+    each distinct part once; texts are laid out by ragged gathers of the ids of their parts.
     """
 
     def __init__(self, path: str):
@@ -59,61 +63,69 @@ class WordIds:
         self.tokenizer.no_padding()
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.known = pa.array([], pa.large_string())
+        self.values, self.lengths = np.empty(0, dtype="<u4"), np.empty(0, dtype=np.int64)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+    def _each(self, texts: list[str]) -> tuple[list[np.ndarray], list[int]]:
+        found = [np.array(x.ids, dtype="<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return found, list(map(len, found))
 
-    def _encode_plain(self, parts: list[str]) -> list[bytes]:
+    def _runs(self, parts: list[str]) -> tuple[list[np.ndarray], list[int]]:
         """Ids of parts that are one run of letters or of signs each: the library gets many in one string.
 
         Each such part is one piece for the tokenizer, and exactly its last token is a word end.
         """
-        joined = [parts[k : k + 256] for k in range(0, len(parts), 256)]
-        out: list[bytes] = []
-        for group, found in zip(joined, self.tokenizer.encode_batch_fast([" ".join(g) for g in joined], add_special_tokens=False), strict=True):
+        groups = [parts[k : k + 256] for k in range(0, len(parts), 256)]
+        out: list[np.ndarray] = []
+        lengths: list[int] = []
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, dtype="<u4")
             cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) != len(group):
-                out += self._encode(group)
-                continue
-            data = ids.tobytes()
-            out += [data[a:b] for a, b in zip([0, *(4 * cut[:-1]).tolist()], (4 * cut).tolist(), strict=True)]
-        return out
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.parts) + len(words) > CACHE_WORDS:
-            self.parts = {"": b""}
-        parts, cut, odd = self.parts, {}, []
-        for word in words:
-            plain = _PLAIN.fullmatch(word)
-            if plain:
-                cut[word] = (plain[1].lower(), plain[2])
+            if len(cut) == len(group):
+                out.append(ids)
+                lengths += np.diff(cut, prepend=0).tolist()
             else:
-                odd.append(word)
-        new = sorted({p for pair in cut.values() for p in pair} - parts.keys())
-        parts.update(zip(new, self._encode_plain(new), strict=True))
-        self.words.update(zip(odd, self._encode(odd), strict=True))
-        for word, (core, tail) in cut.items():
-            self.words[word] = parts[core] + parts[tail]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [None if t and any(c in t for c in _UNLIKE) else (t or "").split() for t in texts]
-        asked: set[str] = set()
-        for words in split:
-            if words:
-                asked.update(words)
-        new = asked - self.words.keys()
-        if len(self.words) + len(new) > CACHE_WORDS:
-            # A full cache starts anew with what these texts ask for.
-            self.words.clear()
-            new = asked
-        self._learn(new)
-        ids = self.words.__getitem__
-        return [self._encode([t])[0] if words is None else b"".join(map(ids, words)) for t, words in zip(texts, split, strict=True)]
+                each, sizes = self._each(group)
+                out += each
+                lengths += sizes
+        return out, lengths
+
+    def _add(self, parts: pa.Array) -> None:
+        """Encode new parts and remember them."""
+        run = pc.match_substring_regex(parts, _RUN)
+        for chosen, how in ((parts.filter(run), self._runs), (parts.filter(pc.invert(run)), self._each)):
+            ids, lengths = how(chosen.to_pylist())
+            self.known = pa.concat_arrays([self.known, chosen])
+            self.values = np.concatenate([self.values, *ids])
+            self.lengths = np.append(self.lengths, np.array(lengths, dtype=np.int64))
+
+    def _numbers(self, parts: pa.Array) -> np.ndarray:
+        """Places of distinct parts in the table of known ones."""
+        at = pc.index_in(parts, value_set=self.known)
+        if at.null_count:
+            if len(self.known) + at.null_count > CACHE_PARTS:
+                kept = at.drop_null().to_numpy().astype(np.int64)
+                self.values = gather(self.values, self.lengths, kept)
+                self.lengths, self.known = self.lengths[kept], self.known.take(pa.array(kept))
+            self._add(parts.filter(at.is_null()))
+            at = pc.index_in(parts, value_set=self.known)
+        return at.to_numpy().astype(np.int64)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row (little-endian unsigned 32-bit), and the offsets of each text's ids."""
+        split = split_words(column)
+        which, distinct = word_numbers(split)
+        # Without the space that follows each word.
+        words = pc.utf8_slice_codeunits(distinct.cast(pa.large_string()), 0, -1)
+        plain = pc.extract_regex(words, _PLAIN)
+        core = pc.if_else(plain.is_valid(), pc.utf8_lower(pc.struct_field(plain, "core")), words)
+        tail = pc.if_else(plain.is_valid(), pc.struct_field(plain, "tail"), "")
+        parts = pa.chunked_array([core, tail]).combine_chunks().dictionary_encode()
+        n = len(words)
+        pair = self._numbers(parts.dictionary)[parts.indices.to_numpy()].reshape(2, n).T.ravel() if n else np.empty(0, np.int64)
+        sizes = self.lengths[pair].reshape(n, 2).sum(axis=1)
+        ends = np.append(0, np.cumsum(sizes[which]))
+        return gather(gather(self.values, self.lengths, pair), sizes, which), ends[split.first]
 
 
 class LevelPacker:
@@ -221,10 +233,12 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, packer = _coder(tokenizer or public_tokenizers.path(name)), LevelPacker(capacity)
         numbers = iter(range((TaskContext.get().partitionId()) << 40, 1 << 62))
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=CHUNK):
             full = []
-            for doc, data in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text").to_pylist()), strict=True):
-                data += end
+            ids, offsets = coder.encode(batch.column("text"))
+            flat = ids.tobytes()
+            for doc, lo, hi in zip(batch.column("doc_id").to_pylist(), (4 * offsets[:-1]).tolist(), (4 * offsets[1:]).tolist(), strict=True):
+                data = flat[lo:hi] + end
                 n = len(data) // 4
                 whole = n - n % capacity
                 full += [[(doc, k, data[4 * k : 4 * (k + capacity)], n)] for k in range(0, whole, capacity)]

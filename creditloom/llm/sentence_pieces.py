@@ -230,7 +230,7 @@ class PieceCodec:
             heads[1:-1] |= space[1:] & ~space[:-1]
         cuts = np.flatnonzero(heads)
         which, segments = distinct_spans(raw, cuts)
-        segments = pc.replace_substring(pa.array(segments, pa.large_binary()).cast(pa.large_string()), " ", _MARK).to_pylist()
+        segments = pc.replace_substring(segments.cast(pa.large_string()), " ", _MARK).to_pylist()
         solved = self._segments(segments)
         lengths = np.fromiter(map(len, solved), dtype=np.int64, count=len(solved)) // 4
         table = np.frombuffer(b"".join(solved), dtype="<i4")

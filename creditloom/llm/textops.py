@@ -164,17 +164,17 @@ def within_text(first: np.ndarray, n: int) -> np.ndarray:
     return base + np.arange(total)
 
 
-def distinct_spans(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Number of each span ``raw[cuts[k]:cuts[k + 1]]`` among the distinct spans, and these, by first place."""
+def distinct_spans(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Number of each span ``raw[cuts[k]:cuts[k + 1]]`` among the distinct spans, and these (binary), by first place."""
     if len(cuts) < 2:
-        return np.empty(0, np.int32), []
+        return np.empty(0, np.int32), pa.array([], pa.large_binary())
     offsets = np.ascontiguousarray(cuts, dtype=np.int64)
     spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))])
     coded = spans.dictionary_encode()
-    return coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    return coded.indices.to_numpy(), coded.dictionary
 
 
-def word_numbers(words: Words) -> tuple[np.ndarray, list[bytes]]:
+def word_numbers(words: Words) -> tuple[np.ndarray, pa.Array]:
     """Number of each word among the distinct words; these carry the space that follows them."""
     return distinct_spans(words.text, np.append(words.start, len(words.text)))
 
