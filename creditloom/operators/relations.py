@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditloom import schema as S
+from creditloom.sources.tables import stage
 
 
 def correlation_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -65,7 +66,8 @@ def vif(df: DataFrame, features: Sequence[str]) -> DataFrame:
     column that the others determine gets infinity.
     """
     m = np.eye(len(features))
-    complete = df.dropna(subset=list(features))
+    # Written once and read twice; it also keeps the planner from carrying one condition per column through every alias.
+    complete = stage(df.dropna(subset=list(features)).select(*features), "complete-rows")
     known = set()
     for r in correlation_pairs(complete, features).collect():
         if r["corr"] is not None:

@@ -11,7 +11,7 @@ from creditloom.plans.catalog import query
 from creditloom.plans.sqltext import APPS, binned
 from creditloom.sources.testbed import applications
 
-FEATURES = [*S.BUREAU, "txn_frequency_30d", "avg_txn_amount_30d", "spending_volatility_90d", "salary_credit_regularity", "age_at_application"]
+FEATURES = [*S.BUREAU, *S.BEHAVIOURAL, *S.CLEANER_DEMOGRAPHIC]
 
 _COUNTS = """
 , cnt AS (SELECT feature, bin, sum(y)::BIGINT AS n_events, (count(*) - sum(y))::BIGINT AS n_non_events, any_value(len(e)) AS ne
@@ -121,21 +121,20 @@ def woe_transform(spark, sf):
 
 @query(
     "lookup_join",
-    APPS + binned(FEATURES[:7], keep="default_flag AS y, application_id", kept="y, application_id") + _ADD + """
+    APPS + binned(FEATURES, keep="default_flag AS y, application_id", kept="y, application_id") + _ADD + """
 SELECT b.feature, coalesce(b.bin, -1) AS bin, count(*) AS n_rows, round(avg(coalesce(w.woe, 0e0)), 6) AS woe
 FROM binned b LEFT JOIN woe w ON b.feature = w.feature AND b.bin = w.bin GROUP BY b.feature, b.bin
 """,
 )
 def lookup_join(spark, sf):
-    """Weights looked up by a join on the parameter table (features x bins rows)."""
+    """Weights looked up, row by row, by a join on the parameter table (features x bins rows)."""
     df = applications(spark, sf)
-    feats = FEATURES[:7]
-    edges = B.quantile_edges(df, feats, 10)
+    edges = B.quantile_edges(df, FEATURES, 10)
     params = B.evidence(B.bin_counts(df, edges, S.TARGET), "additive").select("feature", "bin", "woe")
     bins = {f: B.bin_id(F.col(f), e) for f, e in edges.items()}
-    coded = B.bin_rows(df, bins, S.TARGET).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n_rows"))
-    return coded.join(params, ["feature", "bin"], "left").select(
-        "feature", F.coalesce("bin", F.lit(-1)).alias("bin"), "n_rows", F.round(F.coalesce("woe", F.lit(0.0)), 6).alias("woe")
+    coded = B.bin_rows(df, bins, S.TARGET).join(params, ["feature", "bin"], "left")
+    return coded.groupBy("feature", F.coalesce("bin", F.lit(-1)).alias("bin")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.round(F.avg(F.coalesce("woe", F.lit(0.0))), 6).alias("woe")
     )
 
 

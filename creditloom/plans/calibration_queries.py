@@ -165,7 +165,7 @@ def psi_from_state(spark, sf):
     return _r(D.psi_of_counts(counts, state))
 
 
-_C = [*S.BUREAU, "txn_frequency_30d", "txn_frequency_60d", "txn_frequency_90d", "avg_txn_amount_30d", "avg_txn_amount_90d"]
+_C = [*S.BUREAU, *S.BEHAVIOURAL, *S.CLEANER_DEMOGRAPHIC]
 _PAIRS = APPS + ", pr AS (" + " UNION ALL ".join(
     f"SELECT '{_C[i]}' AS feature, '{_C[j]}' AS other, corr({_C[i]}, {_C[j]}) AS corr FROM applications" for i in range(len(_C)) for j in range(i)
 ) + ")"
@@ -181,25 +181,30 @@ def correlation_filter(spark, sf):
     return R.correlation_filter(R.correlation_pairs(applications(spark, sf), _C))
 
 
-_V = ["cic_num_delinquencies", "cic_payment_history_score", "cic_num_active_accounts"]
-
-
+#: All features but one: on complete rows the spending volatility is a sum of two others here.
+_V = [c for c in _C if c != "spending_volatility_90d"]
 @query(
     "vif",
-    APPS + f"""
-, c AS (SELECT corr({_V[0]}, {_V[1]}) AS a, corr({_V[0]}, {_V[2]}) AS b, corr({_V[1]}, {_V[2]}) AS c
-        FROM applications WHERE {_V[0]} IS NOT NULL AND {_V[1]} IS NOT NULL AND {_V[2]} IS NOT NULL)
-, d AS (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS det FROM c)
-SELECT '{_V[0]}' AS feature, round((1 - c * c) / det, 6) AS vif FROM d
-UNION ALL SELECT '{_V[1]}', round((1 - b * b) / det, 6) FROM d UNION ALL SELECT '{_V[2]}', round((1 - a * a) / det, 6) FROM d
+    "WITH RECURSIVE" + APPS.removeprefix("WITH") + f"""
+, c AS MATERIALIZED (SELECT * FROM applications WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _V)})
+, w AS (SELECT row_number() OVER () AS id, {', '.join(_V)} FROM c)
+, x AS ({' UNION ALL '.join(f"SELECT id, {i} AS i, {c}::DOUBLE AS v FROM w" for i, c in enumerate(_V))})
+, sw(k, i, j, v) AS (
+  SELECT 0, a.i, b.i, CASE WHEN a.i = b.i THEN 1e0 ELSE corr(a.v, b.v) END FROM x a JOIN x b ON a.id = b.id GROUP BY a.i, b.i
+  UNION ALL
+  SELECT a.k + 1, a.i, a.j, CASE WHEN a.i = a.k AND a.j = a.k THEN -1e0 / p.v WHEN a.i = a.k OR a.j = a.k THEN a.v / p.v ELSE a.v - r.v * c.v / p.v END
+  FROM sw a JOIN sw r ON r.i = a.i AND r.j = a.k JOIN sw c ON c.i = a.k AND c.j = a.j JOIN sw p ON p.i = a.k AND p.j = a.k
+)
+SELECT f.feature, round(-v, 6) AS vif
+FROM sw JOIN (SELECT unnest([{', '.join(f"'{c}'" for c in _V)}]) AS feature, unnest(range({len(_V)})) AS n) f ON f.n = sw.i AND f.n = sw.j WHERE k = {len(_V)}
 """,
 )
 def vif(spark, sf):
-    """Three features, so that the inverse has a closed form in SQL."""
+    """The SQL inverts the correlation matrix by sweeping one column after the other."""
     return _r(R.vif(applications(spark, sf), _V), 6)
 
 
-_DF = ["cic_num_delinquencies", "age_at_application", "mobile_app_engagement_score"]
+_DF = _C
 
 
 @query(

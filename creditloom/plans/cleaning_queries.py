@@ -93,7 +93,7 @@ def clip_bounds(spark, sf):
     return df.select(ID, *[F.round(c, 6).alias(c) for c in cols])
 
 
-_WIN = ["loan_amount_requested", "cic_account_age_months", "avg_txn_amount_90d"]
+_WIN = ["loan_amount_requested", *S.BUREAU, *S.BEHAVIOURAL, *S.CLEANER_DEMOGRAPHIC]
 
 
 @query(
@@ -144,26 +144,28 @@ def impute_median(spark, sf):
     return out.select(ID, *[F.round(c, 6).alias(c) for c in _IMP])
 
 
+#: Rules of the treatment policy: counts 0, ratios and amounts the median, categories the most frequent.
+_ZERO = ["cic_num_inquiries_6m", "cic_num_delinquencies", "cic_num_active_accounts", "txn_frequency_30d", "txn_frequency_90d"]
+_MEDIAN = ["cic_outstanding_balance_ratio", "cic_credit_utilization", "cic_payment_history_score", "cic_account_age_months", "spending_volatility_90d", "education_level"]
+_MODE = ["employment_type", "segment"]
+_GAPS = {"employment_type": 7, "segment": 11}
+
+
 @query(
     "impute_policy",
-    APPS + """
-, src AS (SELECT application_id, cic_num_inquiries_6m, spending_volatility_90d,
-                 CASE WHEN application_id % 7 <> 0 THEN employment_type END AS employment_type FROM applications)
-, m AS (SELECT quantile_cont(spending_volatility_90d, 0.5::DOUBLE) AS med FROM src)
-, e AS (SELECT employment_type AS top FROM src WHERE employment_type IS NOT NULL
-        GROUP BY employment_type ORDER BY count(*) DESC, employment_type LIMIT 1)
-SELECT application_id, coalesce(cic_num_inquiries_6m, 0e0) AS cic_num_inquiries_6m,
-       round(coalesce(spending_volatility_90d, med), 6) AS spending_volatility_90d,
-       coalesce(employment_type, top) AS employment_type FROM src, m, e
+    APPS + f"""
+, src AS (SELECT application_id, {', '.join(_ZERO + _MEDIAN)}, {', '.join(f"CASE WHEN application_id % {k} <> 0 THEN {c} END AS {c}" for c, k in _GAPS.items())}, {SPLIT} AS split FROM applications)
+, m AS (SELECT {', '.join(f"quantile_cont({c}, 0.5::DOUBLE) AS m_{c}" for c in _MEDIAN)} FROM src WHERE split = 'train')
+, e AS (SELECT {', '.join(f"(SELECT {c} FROM src WHERE split = 'train' AND {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS top_{c}" for c in _MODE)})
+SELECT application_id, {', '.join(f"coalesce({c}, 0e0) AS {c}" for c in _ZERO)}, {', '.join(f"round(coalesce({c}, m_{c}), 6) AS {c}" for c in _MEDIAN)},
+       {', '.join(f"coalesce({c}, top_{c}) AS {c}" for c in _MODE)} FROM src, m, e
 """,
 )
 def impute_policy(spark, sf):
-    df = applications(spark, sf).select(
-        ID, "cic_num_inquiries_6m", "spending_volatility_90d",
-        F.when(F.col(ID) % 7 != 0, F.col("employment_type")).alias("employment_type"),
-    )
-    values = K.fit_policy(df, ["cic_num_inquiries_6m"], ["spending_volatility_90d"], ["employment_type"])
-    return K.fill(df, values).withColumn("spending_volatility_90d", F.round("spending_volatility_90d", 6))
+    gaps = {c: F.when(F.col(ID) % k != 0, F.col(c)) for c, k in _GAPS.items()}
+    df = applications(spark, sf).select(ID, *_ZERO, *_MEDIAN, *[e.alias(c) for c, e in gaps.items()])
+    values = K.fit_policy(df.where(P.split_of() == "train"), _ZERO, _MEDIAN, _MODE)
+    return K.fill(df, values).withColumns({c: F.round(c, 6) for c in _MEDIAN})
 
 
 @query(
@@ -198,11 +200,12 @@ def target_encode_oof(spark, sf):
 
 @query(
     "standard_scale",
-    APPS + "SELECT application_id, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) AS {c}" for c in _WIN) + " FROM applications",
+    APPS + ", st AS (SELECT " + ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(_WIN)) + f" FROM applications WHERE {SPLIT} = 'train') SELECT application_id, "
+    + ", ".join(f"round(({c} - m{i}) / s{i}, 6) AS {c}" for i, c in enumerate(_WIN)) + " FROM applications, st",
 )
 def standard_scale(spark, sf):
     df = applications(spark, sf).select(ID, *_WIN)
-    return K.scale(df, K.fit_scale(df, _WIN)).select(ID, *[F.round(c, 6).alias(c) for c in _WIN])
+    return K.scale(df, K.fit_scale(df.where(P.split_of() == "train"), _WIN)).select(ID, *[F.round(c, 6).alias(c) for c in _WIN])
 
 
 _FLAGS = ", ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END AS {c}_missing" for c in S.BUREAU)

@@ -15,42 +15,45 @@ def _frame(spark, y, p, model="m"):
     return spark.createDataFrame(pd.DataFrame({"label": np.asarray(y, int), "score": np.asarray(p, float), "model": model}))
 
 
+#: Score, rows and events of a model whose scores stand in four bins.
+STEPS = [(0.05, 20, 2), (0.25, 10, 1), (0.55, 10, 7), (0.85, 20, 16)]
+
+
 @pytest.fixture(scope="module")
 def models(spark):
-    rng = np.random.default_rng(42)
-    p = rng.random(1000)
-    y = (rng.random(1000) < p).astype(int)
-    good = _frame(spark, y, p, "uniform")
-    flat_y = (rng.random(1000) < 0.18).astype(int)
-    perfect = _frame(spark, [0, 1] * 5, [0.0, 1.0] * 5, "perfect")
-    return good.unionByName(_frame(spark, flat_y, np.full(1000, 0.18), "flat")).unionByName(perfect).persist()
-
-
-def test_brier_identity_and_bounds(models):
-    rows = {r["model"]: r for r in Q.brier_decomposition(models).collect()}
-    for r in rows.values():
-        assert r["brier_score"] == pytest.approx(r["reliability"] - r["resolution"] + r["uncertainty"], abs=0.01)
-        assert min(r["brier_score"], r["reliability"], r["resolution"], r["uncertainty"]) >= 0
-    assert rows["perfect"]["brier_score"] < 0.05
-    assert rows["flat"]["reliability"] < 0.01
-
-
-def test_ece(models):
-    rows = {r["model"]: r["ece"] for r in Q.expected_calibration_error(models).collect()}
-    assert all(0 <= v <= 1 for v in rows.values())
-    assert rows["uniform"] < 0.10
-
-
-def test_report_columns(models):
-    rep = Q.calibration_report(models)
-    assert rep.columns == [
-        "model", "brier_score", "reliability_error", "resolution", "uncertainty", "ece",
-        "mean_predicted_pd", "observed_default_rate", "calibration_ratio",
-    ]
-    rows = {r["model"]: r for r in rep.collect()}
-    assert len(rows) == 3
-    assert 0.5 < rows["uniform"]["calibration_ratio"] < 2.0
-    assert rows["perfect"]["brier_score"] < rows["uniform"]["brier_score"]
+    score = [s for s, n, _ in STEPS for _ in range(n)]
+    label = [int(k < e) for _, n, e in STEPS for k in range(n)]
+    sure = _frame(spark, [1, 0, 0, 1, 0], [1.0, 0.0, 0.0, 1.0, 0.0], "sure")
+    level = _frame(spark, [1, 1, 1] + [0] * 7, [0.3] * 10, "level")
+    return _frame(spark, label, score, "steps").unionByName(sure).unionByName(level).persist()
+
+
+#: Worked out by hand from STEPS: 60 rows, 26 events.
+BY_HAND = {
+    "steps": {"reliability": 0.55 / 60, "resolution": 101 / 900, "uncertainty": 26 * 34 / 3600, "brier_score": 0.1425, "ece": 5 / 60},
+    "sure": {"reliability": 0.0, "resolution": 0.24, "uncertainty": 0.24, "brier_score": 0.0, "ece": 0.0},
+    "level": {"reliability": 0.0, "resolution": 0.0, "uncertainty": 0.21, "brier_score": 0.21, "ece": 0.0},
+}
+
+
+@pytest.mark.parametrize("model", sorted(BY_HAND))
+def test_brier_parts_and_ece_by_hand(models, model):
+    own = models.where(F.col("model") == model)
+    parts, ece = Q.brier_decomposition(own).first(), Q.expected_calibration_error(own).first()
+    for name, value in BY_HAND[model].items():
+        assert (ece if name == "ece" else parts)[name] == pytest.approx(value, abs=1e-9)
+
+
+def test_calibration_report_by_hand(models):
+    rep = {r["model"]: r for r in Q.calibration_report(models).collect()}
+    assert set(rep) == set(BY_HAND)
+    for model, row in rep.items():
+        want = BY_HAND[model]
+        assert [row[c] for c in ("brier_score", "reliability_error", "resolution", "uncertainty", "ece")] == pytest.approx(
+            [want[c] for c in ("brier_score", "reliability", "resolution", "uncertainty", "ece")], abs=1e-9
+        )
+    assert rep["steps"]["mean_predicted_pd"] == pytest.approx(26 / 60, abs=1e-9) and rep["steps"]["calibration_ratio"] == pytest.approx(1.0, abs=1e-9)
+    assert rep["level"]["observed_default_rate"] == pytest.approx(0.3, abs=1e-9) and rep["sure"]["calibration_ratio"] == pytest.approx(1.0, abs=1e-9)
 
 
 def test_edges_left_and_right_closed(spark):
@@ -84,18 +87,18 @@ def test_log_loss_of_certain_scores(spark):
 
 
 def test_roc_starts_at_origin(models):
-    rows = M.roc_points(models.where("model = 'uniform'")).orderBy(F.desc("threshold")).collect()
+    rows = M.roc_points(models.where("model = 'steps'")).orderBy(F.desc("threshold")).collect()
     assert rows[0]["threshold"] == float("inf") and rows[0]["tpr"] == 0
     assert rows[-1]["tpr"] == 1 and rows[-1]["fpr"] == 1
 
 
 def test_average_precision(models):
-    assert M.average_precision(models.where("model = 'perfect'")).first()["average_precision"] == pytest.approx(1.0)
+    assert M.average_precision(models.where("model = 'sure'")).first()["average_precision"] == pytest.approx(1.0)
 
 
 def test_compare_models_sorts_by_gini(models):
-    parts = [M.evaluate_model(models.where(F.col("model") == m)) for m in ("flat", "perfect", "uniform")]
-    assert [r["model"] for r in M.compare_models(parts).collect()] == ["perfect", "uniform", "flat"]
+    parts = [M.evaluate_model(models.where(F.col("model") == m)) for m in ("level", "sure", "steps")]
+    assert [r["model"] for r in M.compare_models(parts).collect()] == ["sure", "steps", "level"]
 
 
 def test_delong_against_direct_formula(spark):
