@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from creditloom.sources.tables import stage
 
-__all__ = ["ORACLES", "QUERIES", "fresh", "partitions_for", "query", "read", "row_key", "stage", "text_size"]
+__all__ = ["ORACLES", "QUERIES", "fresh", "partitions_for", "query", "read", "row_key", "row_keys", "stage", "text_size"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,14 +44,18 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """Key of a document row that never is null.
+    """Key of 64 bits of a document row that never is null: equal rows share it.
 
-    Rows that share it have the same id and text, so they also share every
-    result: repeated rows stay repeated rows.
+    Rows of large corpora that are not equal may share it too; ``row_keys`` tells these apart.
     """
     return F.xxhash64(F.col(doc_id), F.col(text), F.col(text).isNull())
 
 
+def row_keys(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
+    """Two keys of different seeds: together they name a row's id and text."""
+    return row_key(doc_id, text), F.xxhash64(F.lit("second"), F.col(text).isNull(), F.col(text), F.col(doc_id))
+
+
 def text_size(docs: DataFrame, text: str = "text") -> int:
     """Bytes of all texts; one pass over one column."""
     return docs.agg(F.sum(F.octet_length(F.col(text))).alias("n")).first()["n"] or 0

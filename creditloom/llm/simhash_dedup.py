@@ -15,11 +15,16 @@ A key with many classes is cut into tiles of ``TILE`` rows; a unit of work is on
 pair of tiles, so it is bounded whatever the data holds. A unit reports links
 that span what it found connected (at most one a row), never all pairs.
 
-With ``similarity`` the radius only finds candidates. Texts of equal shingle sets
-are one class; classes that a unit found connected form a group. Each group is cut
-into tiles bounded in rows and bytes, and two classes of it are linked only when they are within
-the radius and the Jaccard similarity of their distinct shingles, counted out in full, reaches the value.
-Only candidates' shingles are shuffled.
+With ``similarity`` classes are texts of equal shingle sets, and an exact prefix filter comes before the
+tiles: in one order of all shingles, two sets of Jaccard similarity s share one of their
+first ``n - ceil(s n) + 1`` shingles. The order is by hash, but shingles that are first in more than ``HOT``
+classes come after all others, the rarer ones first; classes that hold one of them
+are given their prefix anew from their whole text. A unit holds the classes that share one prefix shingle (more than
+``TILE`` of them: two tiles of these). So copies follow the text, not the square of the classes, and a
+passage that many texts hold brings nobody together. Classes that a unit found within the radius form a
+group, named by its smallest class, whatever the unit. Each group is cut into tiles bounded in rows and
+bytes, and two classes of it are linked only when they are within the radius and the Jaccard
+similarity of their distinct shingles, counted out in full, reaches the value. Only candidates' shingles are shuffled.
 
 The table of tile keys is broadcast; there are at most 17^4 keys (or a few hundred sizes).
 
@@ -31,6 +36,7 @@ results; further columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Callable, Iterator
@@ -41,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import fresh, partitions_for, query, read, row_key, stage
+from creditloom.llm.common import fresh, partitions_for, query, read, row_keys, stage
 from creditloom.llm.components import smallest_reachable
 from creditloom.llm.textops import chunks, mix, split_words
 
@@ -50,6 +56,8 @@ RADIUS = 2
 SEED = 42
 #: Classes in a tile.
 TILE = 2048
+#: Classes that may have a shingle in their prefix before it counts as frequent.
+HOT = 64
 #: Classes and bytes of shingle hashes in a tile of candidates.
 VERIFY_TILE = 1024
 VERIFY_BYTES = 4 << 20
@@ -80,17 +88,27 @@ def _majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def _ordered(hashes: np.ndarray) -> np.ndarray:
+    """Distinct shingle hashes as signed numbers in the order of the prefix filter."""
+    return np.sort(mix(hashes ^ _SALTS[3]).view(np.int64))
+
+
+def _prefix_length(n: int, similarity: float) -> int:
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
 def fingerprints(
-    docs: DataFrame, shingle: int = SHINGLE, words: int = 1, distinct: bool = False, seed: int = SEED, sets: bool = False
+    docs: DataFrame, shingle: int = SHINGLE, words: int = 1, distinct: bool = False, seed: int = SEED, similarity: float | None = None
 ) -> DataFrame:
-    """doc_id, row_key, f0..f{words-1}, n_shingles: SimHash of 64 bits a word.
+    """doc_id, row_key, row_key2, f0..f{words-1}, n_shingles: SimHash of 64 bits a word.
 
     A-Z count as a-z; all other characters stand for themselves. The first word
     uses XXH64 itself, later ones a remix of it. With ``distinct`` each
-    shingle counts once. ``sets`` adds ``set_key``, a hash of the distinct shingles.
+    shingle counts once. ``similarity`` adds ``set_key`` and ``set_key2``, hashes of the distinct shingles, and
+    ``prefix``, the first of these in hash order of which similar sets share one.
     """
     names = [f"f{k}" for k in range(words)]
-    key = row_key()
+    key, key2 = row_keys()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -102,18 +120,26 @@ def fingerprints(
                 each.append(np.unique(h) if distinct else h)
             first = np.append(0, np.cumsum([len(h) for h in each]))
             hashes = np.concatenate(each) if each else np.empty(0, np.uint64)
-            out = {"doc_id": batch.column("doc_id"), "row_key": batch.column("row_key")}
+            out = {c: batch.column(c) for c in ("doc_id", "row_key", "row_key2")}
             for k, name in enumerate(names):
                 h = mix(hashes ^ _SALTS[k]) if k else hashes
                 out[name] = pa.array(_majority(h, first).view(np.int64), pa.int64())
             out["n_shingles"] = pa.array(np.diff(first), pa.int64())
-            if sets:
-                keys = [xxhash.xxh64_intdigest((h if distinct else np.unique(h)).tobytes(), seed) for h in each]
-                out["set_key"] = pa.array(np.array(keys, dtype=np.uint64).view(np.int64), pa.int64())
+            if similarity is not None:
+                sets = [h if distinct else np.unique(h) for h in each]
+                for k, name in enumerate(("set_key", "set_key2")):
+                    keys = [xxhash.xxh64_intdigest(h.tobytes(), seed + k) for h in sets]
+                    out[name] = pa.array(np.array(keys, dtype=np.uint64).view(np.int64), pa.int64())
+                prefixes = [_ordered(h)[: _prefix_length(len(h), similarity)] for h in sets]
+                offsets = np.append(0, np.cumsum([len(x) for x in prefixes])).astype(np.int32)
+                out["prefix"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes), pa.int64()))
             yield pa.RecordBatch.from_pydict(out)
 
-    schema = "doc_id long, row_key long, " + "".join(f"{n} long, " for n in names) + "n_shingles long" + ", set_key long" * sets
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), key.alias("row_key")).mapInArrow(work, schema)
+    schema = "doc_id long, row_key long, row_key2 long, " + "".join(f"{n} long, " for n in names) + "n_shingles long"
+    if similarity is not None:
+        schema += ", set_key long, set_key2 long, prefix array<long>"
+    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), key.alias("row_key"), key2.alias("row_key2"))
+    return given.mapInArrow(work, schema)
 
 
 def _quarter_counts(f0: str = "f0"):
@@ -123,13 +149,18 @@ def _quarter_counts(f0: str = "f0"):
     )
 
 
+@functools.cache
+def _steps(radius: int) -> list[tuple[int, ...]]:
+    return [s for s in itertools.product(range(-radius, radius + 1), repeat=4) if sum(map(abs, s)) <= radius]
+
+
 def _near_keys(key: int, radius: int) -> list[int]:
     """Keys at or below ``key`` whose quarter counts differ by at most ``radius`` in sum."""
     counts = [key >> 5 * k & 31 for k in range(4)]
     out = []
-    for step in itertools.product(range(-radius, radius + 1), repeat=4):
+    for step in _steps(radius):
         moved = [c + d for c, d in zip(counts, step, strict=True)]
-        if sum(map(abs, step)) <= radius and all(0 <= m <= 16 for m in moved):
+        if all(0 <= m <= 16 for m in moved):
             out.append(sum(m << 5 * k for k, m in enumerate(moved)))
     return sorted(k for k in out if k <= key)
 
@@ -196,11 +227,10 @@ def _find(parent: np.ndarray, x: int) -> int:
     return x
 
 
-def _compare(side: np.ndarray, prints: np.ndarray, sizes: np.ndarray, radius: int, ratio: float | None) -> np.ndarray:
-    """Group label (a row number) of each row of a unit: rows linked by near pairs across the sides."""
-    parent = np.arange(len(side))
+def _compare(own: np.ndarray, guest: np.ndarray, prints: np.ndarray, sizes: np.ndarray, radius: int, ratio: float | None) -> np.ndarray:
+    """Group label (the least row number) of each row of a unit: rows linked by near pairs of own and guest rows."""
+    parent = np.arange(len(prints))
     weight = np.bitwise_count(prints).sum(axis=1, dtype=np.int32)
-    own, guest = (np.flatnonzero(side == k) for k in (0, 1))
     own, guest = own[np.argsort(weight[own], kind="stable")], guest[np.argsort(weight[guest], kind="stable")]
     for a in range(0, len(own), 256):
         left = own[a : a + 256]
@@ -227,7 +257,7 @@ def _compare(side: np.ndarray, prints: np.ndarray, sizes: np.ndarray, radius: in
                 x, y = _find(parent, x), _find(parent, y)
                 if x != y:
                     parent[max(x, y)] = min(x, y)
-    return np.array([_find(parent, x) for x in range(len(side))], dtype=np.int64)
+    return np.array([_find(parent, x) for x in range(len(prints))], dtype=np.int64)
 
 
 def _links(dealt: DataFrame, names: list[str], radius: int, ratio: float | None) -> DataFrame:
@@ -238,7 +268,7 @@ def _links(dealt: DataFrame, names: list[str], radius: int, ratio: float | None)
         if not (col["side"].any() and (col["side"] == 0).any()):
             return None
         prints = np.stack([col[n] for n in names], axis=1).view(np.uint64)
-        label = _compare(col["side"], prints, col["n_shingles"], radius, ratio)
+        label = _compare(np.flatnonzero(col["side"] == 0), np.flatnonzero(col["side"]), prints, col["n_shingles"], radius, ratio)
         a, b = col["node"], col["node"][label]
         linked = a != b
         columns = {"unit": pa.array(col["unit"][linked]), "a": pa.array(a[linked]), "b": pa.array(b[linked])}
@@ -268,8 +298,11 @@ def _by_unit(links: Callable[[pa.Table], pa.RecordBatch | None]):
     return work
 
 
-def _shingle_sets(rows: DataFrame, names: list[str], shingle: int, seed: int = SEED) -> DataFrame:
-    """node, fingerprint words, n_shingles and the ordered distinct shingle hashes of each text."""
+def _shingle_sets(rows: DataFrame, names: list[str], shingle: int, seed: int = SEED, ordered: float | bool | None = False) -> DataFrame:
+    """node, fingerprint words, n_shingles and the distinct shingle hashes of each text.
+
+    ``ordered``: as numbers of the prefix filter's order, all of them (None) or two prefixes' length for a similarity.
+    """
     kept = ["node", *names, "n_shingles"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,9 +312,16 @@ def _shingle_sets(rows: DataFrame, names: list[str], shingle: int, seed: int = S
             sets = [
                 np.unique(_shingle_hashes(data, s[lo:hi], e[lo:hi], shingle, seed)).tobytes() for lo, hi in itertools.pairwise(found.first.tolist())
             ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sets, pa.binary())], [*kept, "shingles"])
+            if ordered is not False:
+                numbers = [_ordered(np.frombuffer(b, dtype=np.uint64)) for b in sets]
+                if ordered is not None:
+                    numbers = [x[: 2 * _prefix_length(len(x), ordered)] for x in numbers]
+                column = pa.array(numbers, pa.list_(pa.int64()))
+            else:
+                column = pa.array(sets, pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), column], [*kept, "shingles"])
 
-    return rows.select(*kept, "text").mapInArrow(work, ", ".join(f"{c} long" for c in kept) + ", shingles binary")
+    return rows.select(*kept, "text").mapInArrow(work, ", ".join(f"{c} long" for c in kept) + (", shingles binary" if ordered is False else ", shingles array<long>"))
 
 
 def _same(prints: np.ndarray, sets: list[np.ndarray], tile: np.ndarray, radius: int, similarity: float) -> np.ndarray:
@@ -310,15 +350,148 @@ def _same(prints: np.ndarray, sets: list[np.ndarray], tile: np.ndarray, radius:
     return label
 
 
+def _texts_of(docs: DataFrame, classes: DataFrame, kept: list[str]) -> DataFrame:
+    """node, ``kept`` columns and the text of the first row of each class."""
+    key, key2 = fresh(docs, "row_key"), fresh(docs, "row_key2")
+    asked = classes.select("node", F.col("least.row_key").alias(key), F.col("least.row_key2").alias(key2), *kept)
+    a, b = row_keys()
+    return docs.select(F.col("text").cast("string").alias("text"), a.alias(key), b.alias(key2)).join(asked, [key, key2]).dropDuplicates(["node"])
+
+
+def _prefixes(docs: DataFrame, prints: DataFrame, classes: DataFrame, names: list[str], shingle: int, similarity: float) -> tuple[DataFrame, DataFrame | None]:
+    """node, s: the prefix shingles of each class, frequent shingles last in order; and the table of these with their counts, if there are any."""
+    firsts = classes.select("node", F.col("least.row").alias("row"))
+    postings = prints.select("row", "prefix").join(firsts, "row").select("node", F.explode("prefix").alias("s"))
+    frequent = F.col("c") > HOT
+    hot = stage(postings.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where(frequent), "frequent-shingles")
+    if not hot.limit(1).count():
+        return postings, None
+    n = F.col("n_shingles")
+    length = (n - F.ceil(n * F.lit(similarity) - F.lit(1e-9)) + 1).cast("int")
+
+    def touched() -> DataFrame:
+        return stage(postings.join(hot, "s", "left_semi").select("node").distinct(), "frequent-classes")
+
+    def sets_of(these: DataFrame, part: float | None) -> DataFrame:
+        texts = _texts_of(docs, classes.join(these, "node", "left_semi"), [*names, "n_shingles"])
+        return _shingle_sets(texts, names, shingle, ordered=part).select("node", "n_shingles", "shingles")
+
+    # What follows a prefix in order takes the place of the frequent shingles in it, so it is counted as well.
+    after = F.explode(F.slice("shingles", length + 1, length)).alias("s")
+    more = sets_of(touched(), similarity).select(after).groupBy("s").agg(F.count(F.lit(1)).alias("c")).where(frequent)
+    hot = stage(hot.unionByName(more).groupBy("s").agg(F.max("c").alias("c")), "frequent-shingles")
+    # Any set of frequent shingles gives one order, as long as all classes whose prefix it changes are given theirs anew.
+    changed = touched()
+    windows = stage(sets_of(changed, similarity), "prefix-windows")
+    hits = windows.select("node", F.explode("shingles").alias("s")).join(hot, "s").groupBy("node").agg(F.collect_list("s").alias("hits"))
+    rare = windows.join(hits, "node").withColumn("rare", F.array_except("shingles", "hits"))
+    rare = stage(rare.select("node", F.slice("rare", F.lit(1), length).alias("rare"), (F.size("rare") >= length).alias("full")), "rare-shingles")
+    # Texts that are mostly frequent shingles: those count from the rarest on, over the whole text.
+    each = sets_of(rare.where("not full").select("node"), None).select("node", "n_shingles", F.explode("shingles").alias("s")).join(hot, "s", "left")
+    order = F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(0).cast("long")).alias("c"), "s")))
+    rest = each.groupBy("node", "n_shingles").agg(order.alias("order")).select("node", F.explode(F.slice("order", F.lit(1), length)).alias("e"))
+    anew = rare.where("full").select("node", F.explode("rare").alias("s")).unionByName(rest.select("node", "e.s"))
+    return postings.join(changed, "node", "left_anti").unionByName(anew), hot
+
+
+def _units(postings: DataFrame) -> DataFrame:
+    """unit, node: the classes that share a prefix shingle, two or more; shingles with the same classes make one unit.
+
+    A shingle's classes beyond ``TILE`` are cut into tiles, and each two of these make a unit.
+    """
+
+    def unit_rows(nodes: np.ndarray) -> Iterator[np.ndarray]:
+        tiles = -(-len(nodes) // TILE)
+        if tiles == 1:
+            yield nodes
+            return
+        tile = (mix(nodes.view(np.uint64) ^ _SALTS[1]) % np.uint64(tiles)).astype(np.int64)
+        for a, b in itertools.combinations_with_replacement(range(tiles), 2):
+            if a < b:
+                yield nodes[(tile == a) | (tile == b)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held: list[np.ndarray] = []
+        last = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nodes = np.unique(np.concatenate(held)) if held else np.empty(0, np.int64)
+            if len(nodes) > 1:
+                for rows in unit_rows(nodes):
+                    unit = xxhash.xxh64_intdigest(rows.tobytes(), SEED) - (1 << 63)
+                    if unit not in seen:
+                        if len(seen) > 200_000:
+                            seen.clear()
+                        seen.add(unit)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), unit, np.int64)), pa.array(rows)], ["unit", "node"])
+
+        for batch in batches:
+            s, node = batch.column("s").to_numpy(), batch.column("node").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(s)) + 1).tolist(), len(s)]
+            if last is not None and len(s) and s[0] != last:
+                yield from close()
+                held = []
+            sizes = np.diff(cuts)
+            for k in np.flatnonzero(sizes > 1).tolist() if len(s) else ():
+                if 0 < k < len(sizes) - 1:
+                    # A whole group inside the batch.
+                    before, held = held, [node[cuts[k] : cuts[k + 1]]]
+                    yield from close()
+                    held = before
+            if len(s):
+                if len(sizes) == 1:
+                    held.append(node)
+                else:
+                    held.append(node[: cuts[1]])
+                    yield from close()
+                    held = [node[cuts[-2] :]]
+                last = s[-1]
+        yield from close()
+
+    return postings.mapInArrow(work, "unit long, node long")
+
+
+def _candidates(postings: DataFrame, hot: DataFrame | None, classes: DataFrame, names: list[str], radius: int, similarity: float) -> DataFrame:
+    """a, b: classes within the radius that share a prefix shingle, each tied to the least class of its unit's group."""
+    spark = postings.sparkSession
+    parts = partitions_for(spark, 16 * (classes.agg(F.sum("n_shingles")).first()[0] or 0) / 4, 32 << 20)
+    rest = postings
+    if hot is not None:
+        # Few classes keep a frequent shingle in their prefix; their tiles follow its count.
+        often = postings.join(hot, "s").withColumn("tiles", F.ceil(F.col("c") / TILE).cast("int"))
+        tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+        often = often.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        often = often.select(F.xxhash64("s", F.least("tile", "other"), F.greatest("tile", "other")).alias("unit"), "node")
+        rest = postings.join(hot, "s", "left_anti")
+    rows = _units(rest.repartition(parts, "s").sortWithinPartitions("s"))
+    rows = stage((rows if hot is None else rows.unionByName(often)).distinct(), "shared-shingles")
+    dealt = rows.join(classes.select("node", *names, "n_shingles"), "node")
+
+    def unit_links(table: pa.Table) -> pa.RecordBatch | None:
+        if table.num_rows < 2:
+            return None
+        col = {c: table.column(c).to_numpy() for c in table.column_names}
+        order = np.argsort(col["node"], kind="stable")  # so that a group is named by its least class
+        prints = np.stack([col[n][order] for n in names], axis=1).view(np.uint64)
+        every = np.arange(len(order))
+        label = _compare(every, every, prints, col["n_shingles"][order], radius, similarity)
+        a = col["node"][order]
+        b = a[label]
+        linked = a != b
+        return pa.RecordBatch.from_pydict({"a": pa.array(a[linked]), "b": pa.array(b[linked])}) if linked.any() else None
+
+    parts = partitions_for(spark, rows.count() * 64, 16 << 20)
+    return dealt.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_by_unit(unit_links), "a long, b long").distinct()
+
+
 def _verified(docs: DataFrame, classes: DataFrame, near: DataFrame, names: list[str], shingle: int, radius: int, similarity: float) -> DataFrame:
     """a, b: links that span the pairs of the groups in ``near`` that are of the similarity."""
     spark = docs.sparkSession
-    members = near.select(F.xxhash64("unit", "b").alias("part"), F.explode(F.array("a", "b")).alias("node")).distinct()
+    members = near.select(F.col("b").alias("part"), F.explode(F.array("a", "b")).alias("node")).distinct()
     members = stage(members.join(classes.select("node", "n_shingles"), "node"), "candidates")
-    key = fresh(docs, "row_key")
-    asked = classes.join(members.select("node"), "node", "left_semi").select("node", F.col("least.row_key").alias(key), *names, "n_shingles")
-    texts = docs.select(F.col("text").cast("string").alias("text"), row_key().alias(key)).join(asked, key).dropDuplicates(["node"])
-    sets = stage(_shingle_sets(texts, names, shingle), "shingle-sets")
+    asked = classes.join(members.select("node"), "node", "left_semi")
+    sets = stage(_shingle_sets(_texts_of(docs, asked, [*names, "n_shingles"]), names, shingle), "shingle-sets")
     rows, size = F.count(F.lit(1)), 8 * F.sum("n_shingles")
     tiles = F.ceil(F.greatest(rows / VERIFY_TILE, size / VERIFY_BYTES, F.lit(1.0))).cast("int")
     counts = stage(members.groupBy("part").agg(tiles.alias("tiles"), size.alias("bytes")), "candidate-groups")
@@ -352,9 +525,9 @@ def near_duplicates(
     size_ratio: float | None = None,
     similarity: float | None = None,
 ) -> DataFrame:
-    """doc_id, row_key, f0.., n_shingles, node, component_id, first_row for every row of ``docs``.
+    """doc_id, row_key, row_key2, f0.., n_shingles, node, component_id, first_row, first_row2 for every row of ``docs``.
 
-    ``first_row`` is the row key of the component's first row by (doc_id, nulls last, row key);
+    ``first_row`` and ``first_row2`` are the keys of the component's first row by (doc_id, nulls last, keys);
     ``component_id`` is the smallest doc_id reachable over fingerprints at most
     ``radius`` bits apart. ``size_ratio`` also asks that the smaller text has at
     least that share of the larger one's shingles. ``similarity`` also asks for that Jaccard
@@ -364,49 +537,49 @@ def near_duplicates(
     spark = docs.sparkSession
     names = [f"f{k}" for k in range(words)]
     exact = similarity is not None
-    if exact:
-        if not distinct or not 0 < similarity < 1:
-            raise ValueError("a similarity between 0 and 1 needs distinct shingles")
-        size_ratio = max(size_ratio or 0.0, similarity)
+    if exact and (not distinct or not 0 < similarity < 1):
+        raise ValueError("a similarity between 0 and 1 needs distinct shingles")
     by_size = size_ratio is not None
-    prints = fingerprints(docs, shingle, words, distinct, sets=exact)
-    same = [*names, "n_shingles"] if by_size else names
-    # One word is its own name; several are named by their hash, texts to verify by their shingles.
-    node = F.xxhash64("set_key", *same) if exact else F.xxhash64(*same) if len(same) > 1 else F.col(names[0])
-    prints = stage(prints.withColumn("node", node).drop("set_key"), "fingerprints")
-    key = (
-        F.when(F.col("n_shingles") > 0, F.floor(F.log(F.greatest("n_shingles", F.lit(1))) / -math.log(size_ratio)) + 2).otherwise(0)
-        if by_size
-        else _quarter_counts()
-    )
-    classes = stage(
-        prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("least"), *[F.first(n).alias(n) for n in names], F.min("n_shingles").alias("n_shingles"))
-        .withColumn("key", key.cast("long")),
-        "classes",
-    )
-    dealt = _deal(classes, [*names, "n_shingles"], radius, by_size)
-    parts = partitions_for(spark, classes.count() * 24 * 40)
-    links = _links(dealt.repartition(parts, "unit").sortWithinPartitions("unit"), names, radius, size_ratio)
+    prints = stage(fingerprints(docs, shingle, words, distinct, similarity=similarity).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    # Texts to verify are one class if their shingles are the same, others if their fingerprints are.
+    same = ["set_key", "set_key2"] if exact else [*names, "n_shingles"] if by_size else names
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key", "row_key2", "row"))
+    classes = prints.groupBy(*same).agg(least.alias("least"), *[F.first(n).alias(n) for n in [*names, "n_shingles"] if n not in same])
+    # One word is its own name; other classes are numbered when they are written.
+    classes = stage(classes.withColumn("node", F.col(names[0]) if same == names[:1] else F.monotonically_increasing_id()), "classes")
     if exact:
-        links = _verified(docs, classes, stage(links, "near-pairs"), names, shingle, radius, similarity)
+        ratio = max(size_ratio or 0.0, similarity)
+        postings, hot = _prefixes(docs, prints, classes, names, shingle, similarity)
+        near = stage(_candidates(postings, hot, classes, names, radius, ratio), "near-pairs")
+        links = _verified(docs, classes, near, names, shingle, radius, similarity)
+    else:
+        key = (
+            F.when(F.col("n_shingles") > 0, F.floor(F.log(F.greatest("n_shingles", F.lit(1))) / -math.log(size_ratio)) + 2).otherwise(0)
+            if by_size
+            else _quarter_counts()
+        )
+        dealt = _deal(classes.withColumn("key", key.cast("long")), [*names, "n_shingles"], radius, by_size)
+        parts = partitions_for(spark, classes.count() * 24 * 40)
+        links = _links(dealt.repartition(parts, "unit").sortWithinPartitions("unit"), names, radius, size_ratio)
     roots = smallest_reachable(links, "a", "b")
-    rooted = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("least")).select(
-        "root", F.col("least.doc_id").alias("component_id"), F.col("least.row_key").alias("first_row")
+    rooted = classes.join(roots, "node", "left").select("node", *same, "least", F.coalesce("root", "node").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("least")).select(
+        "root", F.col("least.doc_id").alias("component_id"), F.col("least.row_key").alias("first_row"), F.col("least.row_key2").alias("first_row2")
     )
-    named = stage(rooted.select("node", "root").join(least, "root").select("node", "component_id", "first_row"), "components")
-    return prints.join(named, "node")
+    named = stage(rooted.drop("least").join(named, "root").select("node", *same, "component_id", "first_row", "first_row2"), "components")
+    kept = ["doc_id", "row_key", "row_key2", *names, "n_shingles", *(c for c in same if c not in (*names, "n_shingles"))]
+    return prints.select(*kept).join(named, same)
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """Rows of ``docs`` (all columns) that stay: of each group exactly the first by (doc_id, nulls last, row key).
+    """Rows of ``docs`` (all columns) that stay: of each group exactly the first by (doc_id, nulls last, row keys).
 
     Rows with the same id stay apart unless their texts are copies; rows without an id are grouped like any other.
     """
-    mark = fresh(docs, "first_row")
-    firsts = near_duplicates(docs, **how).select(F.col("first_row").alias(mark)).distinct()
-    kept = docs.withColumn(mark, row_key()).join(firsts, mark, "left_semi")
-    return kept.dropDuplicates([mark]).drop(mark)
+    marks = [fresh(docs, "first_row"), fresh(docs, "first_row2")]
+    firsts = near_duplicates(docs, **how).select(*[F.col(c).alias(m) for c, m in zip(("first_row", "first_row2"), marks, strict=True)]).distinct()
+    kept = docs.withColumns(dict(zip(marks, row_keys(), strict=True))).join(firsts, marks, "left_semi")
+    return kept.dropDuplicates(marks).drop(*marks)
 
 
 @query("op7_simhash_dedup")

@@ -127,6 +127,43 @@ def _alike(texts, least=0.8):
     return sorted(min(g) for g in groups.values())
 
 
+@pytest.mark.parametrize("hot, tile", [(2, 2048), (2, 3), (10**9, 4)])
+def test_frequent_shingles_lose_no_link(frame, monkeypatch, hot, tile):
+    monkeypatch.setattr(simhash_dedup, "HOT", hot)
+    monkeypatch.setattr(simhash_dedup, "TILE", tile)
+    rng = np.random.default_rng(21)
+    passages = [" ".join(f"p{k}x{j}" for j in range(n)) for k, n in enumerate((12, 40, 90))]
+    made = []
+    for group in range(25):  # texts that share a passage, with near copies, and texts that are little but passages
+        own = [f"v{rng.integers(10**6)}" for _ in range(int(rng.integers(1, 60)))]
+        for k in range(4):
+            words = list(own)
+            words[rng.integers(len(words))] = f"y{rng.integers(10**6)}"
+            made.append((len(made), passages[group % 3] + " " + " ".join(words)))
+    made += [(1000, passages[2]), (1001, passages[2] + " tail"), (1002, None), (1003, " "), (1004, "one"), (1005, "ONE")]
+    kept = simhash_dedup.keep_one(frame(made), **corpus_pipeline.NEAR)
+    assert sorted(r.doc_id for r in kept.collect()) == _alike(made)
+
+
+def test_candidates_follow_the_text_and_not_its_square(frame):
+    """A passage that all texts hold brings no two of them together."""
+    rng = np.random.default_rng(22)
+    passage = " ".join(f"p{j}" for j in range(60))
+    counts = []
+    for n in (150, 300):
+        made = [(i, passage + " " + " ".join(f"w{rng.integers(10**7)}" for _ in range(120))) for i in range(n)]
+        prints = stage(simhash_dedup.fingerprints(frame(made), 5, 4, True, similarity=0.8).withColumn("row", F.monotonically_increasing_id()), "prints")
+        names = ["f0", "f1", "f2", "f3"]
+        least = F.min(F.struct("doc_id", "row_key", "row_key2", "row")).alias("least")
+        classes = stage(prints.groupBy("set_key", *names, "n_shingles").agg(least).withColumn("node", F.monotonically_increasing_id()), "classes")
+        postings, hot = simhash_dedup._prefixes(frame(made), prints, classes, names, 5, 0.8)
+        shared = [r["count"] for r in postings.groupBy("s").count().where("count > 1").collect()]
+        # Of the 56 shingles of the passage at most a few stay in a prefix: those that came first in few texts.
+        assert len(shared) <= 3 and all(n <= simhash_dedup.HOT for n in shared)
+        counts.append(simhash_dedup._candidates(postings, hot, classes, names, 72, 0.8).count())
+    assert counts == [0, 0]
+
+
 @pytest.mark.parametrize("tile", [3, 1024])
 def test_near_copies_are_those_of_brute_force(frame, texts, monkeypatch, tile):
     monkeypatch.setattr(simhash_dedup, "VERIFY_TILE", tile)
