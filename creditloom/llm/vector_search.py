@@ -17,8 +17,8 @@ k + 1 smallest ids can appear in any answer, so the others are dropped from the
 (not from the queries), which also takes the weight off very common vectors.
 
 Rows: a vector that is null or has null or non-finite components, and a row
-with null id, takes no part; shorter vectors count as filled with zeros; equal rows count
-once; empty tables give empty results; a query with fewer than k candidates gets all. Components and
+with null id, takes no part; shorter vectors count as filled with zeros; equal rows are
+rows of their own, as candidates and as queries: a query leaves out only itself. They are indexed once with their number; empty tables give empty results; a query with fewer than k candidates gets all. Components and
 inner products have to fit 64 bits. Further columns are ignored.
 """
 
@@ -258,20 +258,20 @@ def _search(index: DataFrame, asks: DataFrame, pivots: np.ndarray, top2: int, di
 def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k largest inner products, ties to the smaller id.
 
-    Both inputs are as ``quantise`` gives them. Vectors with the query's own id do not count.
+    Both inputs are as ``quantise`` gives them. Each row of ``queries`` asks for itself, and one row with its id and vector does not count.
     """
     spark = vectors.sparkSession
-    vectors = stage(vectors.dropDuplicates(["vec_id", "vec"]), "vectors")
+    copies = F.count(F.lit(1)).alias("copies")
+    vectors = stage(vectors.groupBy("vec_id", "vec").agg(F.first("norm2").alias("norm2"), F.first("dim").alias("dim"), copies), "vectors")
     rank = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
     indexed = vectors.withColumn("copy", rank).where(F.col("copy") <= k + 1).drop("copy")
-    queries = stage(queries.dropDuplicates(["vec_id", "vec"]), "queries")
+    queries = stage(queries.groupBy("vec_id", "vec").agg(F.first("dim").alias("dim"), copies), "queries")
     facts = vectors.agg(F.max("norm2").alias("m"), F.max("dim").alias("d")).first()
     asked = queries.agg(F.max("dim").alias("d")).first()["d"]
     if facts["m"] is None or asked is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    # So many results that k are left when all vectors of a query's own id are taken out.
-    held = vectors.join(queries.select("vec_id"), "vec_id", "left_semi").groupBy("vec_id").count()
-    reach = k + (held.agg(F.max("count")).first()[0] or 0)
+    # The query's own vector may be among them.
+    reach = k + 1
     top2, dim = facts["m"], max(facts["d"], asked)
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec", "norm2").collect()
     points = _lift(_unpack([bytes(r["vec"]) for r in sample], dim), np.array([r["norm2"] for r in sample]), top2)
@@ -299,12 +299,31 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, pivots: int = P
         near.unionByName(rest).withColumn("r", F.row_number().over(best)).where(F.col("r") <= reach)
         .groupBy("ask").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("top"))
     )
-    named = stage(asks.join(found, "ask").select("vec", "top"), "answers")
-    own = queries.select(F.col("vec_id").alias("query_id"), "vec").join(named, "vec")
-    answers = F.slice(F.filter("top", lambda t: t["vec_id"] != F.col("query_id")), 1, k)
-    return own.select("query_id", F.posexplode(answers).alias("at", "t")).select(
-        "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), F.col("t.score").alias("score")
-    )
+    entries = asks.join(found, "ask").select(F.col("vec").alias("asked"), F.explode("top").alias("t")).select("asked", "t.vec_id", "t.score").distinct()
+    named = stage(_with_copies(entries, vectors, dim), "answers")
+    own = queries.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("asked"), F.col("copies").alias("times")).join(named, "asked")
+    itself = ((F.col("vec_id") == F.col("query_id")) & (F.col("vec") == F.col("asked"))).cast("long")
+    left = own.withColumn("copies", F.col("copies") - itself).where("copies > 0")
+    each = left.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k).cast("long")))))
+    place = F.row_number().over(Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id"))
+    ranked = each.withColumn("rank", place).where(F.col("rank") <= k)
+    return ranked.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("query_id", "rank", "vec_id", "score")
+
+
+def _with_copies(entries: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
+    """asked, vec_id, score, vec, copies: the vectors behind each (id, score), with the number of their rows.
+
+    An id with several vectors has those of them that give the score.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                q, v = (_unpack(batch.column(c).to_pylist(), dim) for c in ("asked", "vec"))
+                yield batch.filter(pa.array((q * v).sum(axis=1) == batch.column("score").to_numpy()))
+
+    both = entries.join(vectors.select("vec_id", "vec", "copies"), "vec_id").select("asked", "vec_id", "score", "vec", "copies")
+    return both.mapInArrow(work, "asked binary, vec_id long, score long, vec binary, copies long")
 
 
 def _kth(found: DataFrame, k: int) -> DataFrame:
@@ -314,14 +333,14 @@ def _kth(found: DataFrame, k: int) -> DataFrame:
 
 
 _SQL = """
-WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS c FROM embeddings
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS place, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS c FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), pairs AS (
-  SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.c, v.c)::BIGINT AS score
-  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0
+  SELECT q.place, q.vec_id AS query_id, v.vec_id, list_inner_product(q.c, v.c)::BIGINT AS score
+  FROM v AS q JOIN v ON q.place <> v.place WHERE q.vec_id % 50 = 0
 ), ranked AS (
-  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM pairs
+  SELECT query_id, (row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM pairs
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
