@@ -105,7 +105,7 @@ def fingerprints(
     A-Z count as a-z; all other characters stand for themselves. The first word
     uses XXH64 itself, later ones a remix of it. With ``distinct`` each
     shingle counts once. ``similarity`` adds ``set_key`` and ``set_key2``, hashes of the distinct shingles, and
-    ``prefix``, the first of these in hash order of which similar sets share one.
+    ``window``, the first of these in hash order: twice as many as similar sets must share one of.
     """
     names = [f"f{k}" for k in range(words)]
     key, key2 = row_keys()
@@ -130,14 +130,14 @@ def fingerprints(
                 for k, name in enumerate(("set_key", "set_key2")):
                     keys = [xxhash.xxh64_intdigest(h.tobytes(), seed + k) for h in sets]
                     out[name] = pa.array(np.array(keys, dtype=np.uint64).view(np.int64), pa.int64())
-                prefixes = [_ordered(h)[: _prefix_length(len(h), similarity)] for h in sets]
-                offsets = np.append(0, np.cumsum([len(x) for x in prefixes])).astype(np.int32)
-                out["prefix"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes), pa.int64()))
+                windows = [_ordered(h)[: 2 * _prefix_length(len(h), similarity)] for h in sets]
+                offsets = np.append(0, np.cumsum([len(x) for x in windows])).astype(np.int32)
+                out["window"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(windows), pa.int64()))
             yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id long, row_key long, row_key2 long, " + "".join(f"{n} long, " for n in names) + "n_shingles long"
     if similarity is not None:
-        schema += ", set_key long, set_key2 long, prefix array<long>"
+        schema += ", set_key long, set_key2 long, window array<long>"
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), key.alias("row_key"), key2.alias("row_key2"))
     return given.mapInArrow(work, schema)
 
@@ -298,11 +298,8 @@ def _by_unit(links: Callable[[pa.Table], pa.RecordBatch | None]):
     return work
 
 
-def _shingle_sets(rows: DataFrame, names: list[str], shingle: int, seed: int = SEED, ordered: float | bool | None = False) -> DataFrame:
-    """node, fingerprint words, n_shingles and the distinct shingle hashes of each text.
-
-    ``ordered``: as numbers of the prefix filter's order, all of them (None) or two prefixes' length for a similarity.
-    """
+def _shingle_sets(rows: DataFrame, names: list[str], shingle: int, seed: int = SEED, ordered: bool = False) -> DataFrame:
+    """node, fingerprint words, n_shingles and the distinct shingle hashes of each text; ``ordered``: as numbers of the prefix filter's order."""
     kept = ["node", *names, "n_shingles"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,16 +309,13 @@ def _shingle_sets(rows: DataFrame, names: list[str], shingle: int, seed: int = S
             sets = [
                 np.unique(_shingle_hashes(data, s[lo:hi], e[lo:hi], shingle, seed)).tobytes() for lo, hi in itertools.pairwise(found.first.tolist())
             ]
-            if ordered is not False:
-                numbers = [_ordered(np.frombuffer(b, dtype=np.uint64)) for b in sets]
-                if ordered is not None:
-                    numbers = [x[: 2 * _prefix_length(len(x), ordered)] for x in numbers]
-                column = pa.array(numbers, pa.list_(pa.int64()))
+            if ordered:
+                column = pa.array([_ordered(np.frombuffer(b, dtype=np.uint64)) for b in sets], pa.list_(pa.int64()))
             else:
                 column = pa.array(sets, pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), column], [*kept, "shingles"])
 
-    return rows.select(*kept, "text").mapInArrow(work, ", ".join(f"{c} long" for c in kept) + (", shingles binary" if ordered is False else ", shingles array<long>"))
+    return rows.select(*kept, "text").mapInArrow(work, ", ".join(f"{c} long" for c in kept) + (", shingles array<long>" if ordered else ", shingles binary"))
 
 
 def _same(prints: np.ndarray, sets: list[np.ndarray], tile: np.ndarray, radius: int, similarity: float) -> np.ndarray:
@@ -353,41 +347,40 @@ def _same(prints: np.ndarray, sets: list[np.ndarray], tile: np.ndarray, radius:
 def _texts_of(docs: DataFrame, classes: DataFrame, kept: list[str]) -> DataFrame:
     """node, ``kept`` columns and the text of the first row of each class."""
     key, key2 = fresh(docs, "row_key"), fresh(docs, "row_key2")
-    asked = classes.select("node", F.col("least.row_key").alias(key), F.col("least.row_key2").alias(key2), *kept)
+    # Written, so that its size is known when the join is planned.
+    asked = stage(classes.select("node", F.col("least.row_key").alias(key), F.col("least.row_key2").alias(key2), *kept), "asked-texts")
     a, b = row_keys()
     return docs.select(F.col("text").cast("string").alias("text"), a.alias(key), b.alias(key2)).join(asked, [key, key2]).dropDuplicates(["node"])
 
 
 def _prefixes(docs: DataFrame, prints: DataFrame, classes: DataFrame, names: list[str], shingle: int, similarity: float) -> tuple[DataFrame, DataFrame | None]:
     """node, s: the prefix shingles of each class, frequent shingles last in order; and the table of these with their counts, if there are any."""
+    n = F.col("n_shingles")
+    length = (n - F.ceil(n * F.lit(similarity) - F.lit(1e-9)) + 1).cast("int")
     firsts = classes.select("node", F.col("least.row").alias("row"))
-    postings = prints.select("row", "prefix").join(firsts, "row").select("node", F.explode("prefix").alias("s"))
+    windows = prints.select("row", "n_shingles", "window").join(firsts, "row").where("n_shingles > 0").select("node", length.alias("length"), "window")
+    postings = windows.select("node", F.explode(F.slice("window", F.lit(1), F.col("length"))).alias("s"))
     frequent = F.col("c") > HOT
     hot = stage(postings.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where(frequent), "frequent-shingles")
     if not hot.limit(1).count():
         return postings, None
-    n = F.col("n_shingles")
-    length = (n - F.ceil(n * F.lit(similarity) - F.lit(1e-9)) + 1).cast("int")
 
     def touched() -> DataFrame:
         return stage(postings.join(hot, "s", "left_semi").select("node").distinct(), "frequent-classes")
 
-    def sets_of(these: DataFrame, part: float | None) -> DataFrame:
-        texts = _texts_of(docs, classes.join(these, "node", "left_semi"), [*names, "n_shingles"])
-        return _shingle_sets(texts, names, shingle, ordered=part).select("node", "n_shingles", "shingles")
-
     # What follows a prefix in order takes the place of the frequent shingles in it, so it is counted as well.
-    after = F.explode(F.slice("shingles", length + 1, length)).alias("s")
-    more = sets_of(touched(), similarity).select(after).groupBy("s").agg(F.count(F.lit(1)).alias("c")).where(frequent)
+    after = F.explode(F.slice("window", F.col("length") + 1, F.col("length"))).alias("s")
+    more = windows.join(touched(), "node", "left_semi").select(after).groupBy("s").agg(F.count(F.lit(1)).alias("c")).where(frequent)
     hot = stage(hot.unionByName(more).groupBy("s").agg(F.max("c").alias("c")), "frequent-shingles")
     # Any set of frequent shingles gives one order, as long as all classes whose prefix it changes are given theirs anew.
     changed = touched()
-    windows = stage(sets_of(changed, similarity), "prefix-windows")
-    hits = windows.select("node", F.explode("shingles").alias("s")).join(hot, "s").groupBy("node").agg(F.collect_list("s").alias("hits"))
-    rare = windows.join(hits, "node").withColumn("rare", F.array_except("shingles", "hits"))
-    rare = stage(rare.select("node", F.slice("rare", F.lit(1), length).alias("rare"), (F.size("rare") >= length).alias("full")), "rare-shingles")
+    held = windows.join(changed, "node", "left_semi")
+    hits = held.select("node", F.explode("window").alias("s")).join(hot, "s").groupBy("node").agg(F.collect_list("s").alias("hits"))
+    rare = held.join(hits, "node").withColumn("rare", F.array_except("window", "hits"))
+    rare = stage(rare.select("node", F.slice("rare", F.lit(1), F.col("length")).alias("rare"), (F.size("rare") >= F.col("length")).alias("full")), "rare-shingles")
     # Texts that are mostly frequent shingles: those count from the rarest on, over the whole text.
-    each = sets_of(rare.where("not full").select("node"), None).select("node", "n_shingles", F.explode("shingles").alias("s")).join(hot, "s", "left")
+    texts = _texts_of(docs, classes.join(rare.where("not full").select("node"), "node", "left_semi"), [*names, "n_shingles"])
+    each = _shingle_sets(texts, names, shingle, ordered=True).select("node", "n_shingles", F.explode("shingles").alias("s")).join(hot, "s", "left")
     order = F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(0).cast("long")).alias("c"), "s")))
     rest = each.groupBy("node", "n_shingles").agg(order.alias("order")).select("node", F.explode(F.slice("order", F.lit(1), length)).alias("e"))
     anew = rare.where("full").select("node", F.explode("rare").alias("s")).unionByName(rest.select("node", "e.s"))
