@@ -154,12 +154,15 @@ class Labeller:
 
     def _learn(self, tokens: set[str]) -> None:
         """Rows of new tokens; all tokens without a letter share row 0, which favours no language."""
-        bare = {t: _NOT_LETTERS.sub("", t).lower() for t in tokens}
+        # A token is cut at signs as the texts it was learned from; its score is the sum of its words'.
+        bare = {t: _NOT_LETTERS.sub(" ", t).lower().strip() for t in tokens}
         new = sorted(set(bare.values()) - self.words.keys())
         if new:
             self.words.update(zip(new, range(len(self.letters), len(self.letters) + len(new)), strict=True))
-            self.scores = np.concatenate([self.scores, self.model.word_scores(new)])
-            self.letters = np.concatenate([self.letters, np.array([len(w) for w in new], np.int32)])
+            parts = [w.split() for w in new]
+            first = np.concatenate([[0], np.cumsum([len(w) for w in parts])])[:-1]
+            self.scores = np.concatenate([self.scores, np.add.reduceat(self.model.word_scores(list(chain.from_iterable(parts))), first, axis=0)])
+            self.letters = np.concatenate([self.letters, np.array([sum(map(len, w)) for w in parts], np.int32)])
         words = self.words
         self.rows.update((t, words[w]) for t, w in bare.items())
 

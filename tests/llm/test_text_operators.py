@@ -126,6 +126,27 @@ def test_viterbi_equals_search_over_all_paths():
         assert value(tuple(label)) == pytest.approx(best, abs=1e-5)
 
 
+def test_words_are_cut_alike_in_learning_and_scoring(spark):
+    rows = [(1, "l'eau d'or l'air", "fr"), (2, "l'eau pure", "fr"), (3, "the water is gold", "en"), (4, "air and water", "en")]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    labeller = language_id.Labeller(model)
+    found, _ = labeller.tokens(["l'eau", "l eau", "(Water)", "water", "12", "L'EAU!"])
+    whole, left, right, signed, plain, none, loud = labeller.scores[found]
+    np.testing.assert_allclose(whole, left + right)
+    np.testing.assert_allclose(loud, whole)
+    np.testing.assert_allclose(signed, plain)
+    assert not none.any() and labeller.letters[found].tolist() == [4, 1, 3, 5, 5, 0, 4]
+    # Weights by direct counting of the words that each language taught.
+    taught = {"en": "the water is gold air and water".split(), "fr": "l eau d or l air l eau pure".split()}
+    total = {k: sum(len(language_id.slots_of(w)) for w in words) for k, words in taught.items()}
+    for word in ("eau", "water", "or"):
+        log = {k: sum(np.log((sum(s in language_id.slots_of(w) and language_id.slots_of(w).count(s) for w in words) + language_id.SMOOTHING)
+                             / (total[k] + language_id.SMOOTHING * language_id.SLOTS)) for s in language_id.slots_of(word)) for k, words in taught.items()}
+        en, fr = model.word_scores([word])[0]
+        assert en - fr == pytest.approx(np.clip(log["en"] - log["fr"], -language_id.CLIP, language_id.CLIP), abs=1e-3)
+    assert language_id.identify(spark.createDataFrame([(9, "l'eau")], "doc_id long, text string"), model).first().lang_pred == "fr"
+
+
 def test_nothing_to_learn(frame, documents):
     model = language_id.fit(documents.where("lang IS NULL"))
     assert {r.lang_pred for r in language_id.identify(frame(ODD), model).collect()} == {"und"}
