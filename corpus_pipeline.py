@@ -7,6 +7,8 @@ of ``documents``; the last returns the pieces of packed sequences with their tok
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from creditloom.llm import decontamination, language_id, packing, simhash_dedup, substring_dedup
@@ -19,6 +21,25 @@ MIN_LANGUAGE_SCORE = 0.4
 #: five shingles, in 48; the radius for candidates misses 1 of 10,000 there and fewer than 1 of 1,000,000 from 10 shingles on.
 NEAR = {"shingle": 5, "words": 4, "distinct": True, "radius": 72, "size_ratio": 0.8, "similarity": 0.8}
 
+#: Bytes of an Arrow batch between Spark and its Python workers: whole rows cross in every stage, and a batch
+#: stands in both at once. Rows are never cut; a longer one is a batch of its own.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _small_batches(step):
+    """The stage ``step``, run with Arrow batches of ``BATCH_BYTES`` (or of fewer, where the session asks for that)."""
+
+    @functools.wraps(step)
+    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        # The setting is read when the stage's table is written, so it stays in the session.
+        now = spark.conf.get(_BATCH_SETTING).lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+            spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+        return step(spark, docs, sf_dir)
+
+    return run_step
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.keep_identified(docs, language_id.fit(docs), MIN_LANGUAGE_SCORE)
@@ -41,11 +62,14 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("language_id", identify_language),
-    ("simhash_dedup", drop_near_copies),
-    ("substring_dedup", strip_repeats),
-    ("decontamination", drop_benchmark_leaks),
-    ("packing", pack),
+    (name, _small_batches(step))
+    for name, step in (
+        ("language_id", identify_language),
+        ("simhash_dedup", drop_near_copies),
+        ("substring_dedup", strip_repeats),
+        ("decontamination", drop_benchmark_leaks),
+        ("packing", pack),
+    )
 ]
 
 #: Fingerprints, tilings and tokenisers are beyond SQL; tests compare the stages with brute force.

@@ -266,12 +266,15 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool
 
 
 def keep_identified(docs: DataFrame, model: Model, min_score: float, switch: float = SWITCH) -> DataFrame:
-    """Rows of ``docs`` (all columns) whose text has a language with at least ``min_score``."""
+    """Rows of ``docs`` (all columns) whose text has a language with at least ``min_score``.
+
+    Chunks are smaller than in ``identify``: here a worker also holds the rows that it hands on.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = _predictor(shared.value, switch)
-        for batch in chunks(batches, limit=_BATCH_BYTES):
+        for batch in chunks(batches, limit=_BATCH_BYTES // 2):
             pred, score, _ = predict(batch.column("text").to_pylist())
             yield batch.filter(pa.array([p != UNKNOWN and s >= min_score for p, s in zip(pred, score, strict=True)]))
 

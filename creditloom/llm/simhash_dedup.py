@@ -359,6 +359,8 @@ def _prefixes(docs: DataFrame, prints: DataFrame, classes: DataFrame, names: lis
     length = (n - F.ceil(n * F.lit(similarity) - F.lit(1e-9)) + 1).cast("int")
     firsts = classes.select("node", F.col("least.row").alias("row"))
     windows = prints.select("row", "n_shingles", "window").join(firsts, "row").where("n_shingles > 0").select("node", length.alias("length"), "window")
+    # Written, so that the windows of the classes are shuffled once and not for every count below.
+    windows = stage(windows, "windows")
     postings = windows.select("node", F.explode(F.slice("window", F.lit(1), F.col("length"))).alias("s"))
     frequent = F.col("c") > HOT
     hot = stage(postings.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where(frequent), "frequent-shingles")
