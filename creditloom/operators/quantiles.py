@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -153,10 +154,20 @@ def _interpolate(positions: list[float], by_rank: dict[int, float]) -> list[floa
     out = []
     for pos in positions:
         a, b = by_rank[math.floor(pos)], by_rank[math.ceil(pos)]
-        out.append(a if a == b else (math.ceil(pos) - pos) * a + (pos - math.floor(pos)) * b)
+        out.append(a if a == b else _between(a, b, pos - math.floor(pos)))
     return out
 
 
+def _between(a: float, b: float, share: float) -> float:
+    """a (1 - share) + b share, rounded like the SQL's ``quantile_cont``: the first product and the sum at once.
+
+    Between values a few last places apart the rounding decides on which side of the quantile they lie.
+    """
+    if math.isinf(a) or math.isinf(b):
+        return a * (1.0 - share) + b * share
+    return float(Fraction(a) * Fraction(1.0 - share) + Fraction(b * share))
+
+
 def distinct_edges(values: Sequence[float] | None) -> list[float]:
     """Ascending edges with repeats removed."""
     return sorted(set(values)) if values else []

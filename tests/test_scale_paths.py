@@ -1,5 +1,6 @@
 """The paths taken by large inputs, forced on small ones and checked by brute force."""
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -64,6 +65,17 @@ def test_quantiles_of_infinite_and_far_spread_values(spark):
     assert quantiles(df, ["nan"], [0.0, 0.5, 1.0])["nan"] == [1.0, 2.5, 4.0]
 
 
+@pytest.mark.parametrize(("low", "high", "n", "p", "last_low"), [
+    (700.29, 700.2900000000001, 23, 0.3, 6), (219.84333333333333, 219.8433333333334, 39, 0.1, 3),
+    (830.6058333333334, 830.6058333333335, 23, 0.2, 4), (242.51916666666668, 242.51916666666673, 29, 0.2, 5),
+])
+def test_quantiles_between_neighbouring_doubles_are_those_of_the_sql(spark, low, high, n, p, last_low):
+    """Values a few last places apart: the rounding of the quantile decides which of them lie above it."""
+    values = [low] * (last_low + 1) + [high] * (n - last_low - 1)
+    (want,) = duckdb.execute("SELECT quantile_cont(v, ?::DOUBLE) FROM (SELECT unnest(?::DOUBLE[]) AS v)", [p, values]).fetchone()
+    assert quantiles(spark.createDataFrame([(v,) for v in values], "x double"), ["x"], [p])["x"] == [want]
+
+
 def _auc(y, s):
     pos, neg = s[y == 1], s[y == 0]
     return (np.sum(pos[:, None] > neg[None, :]) + 0.5 * np.sum(pos[:, None] == neg[None, :])) / (len(pos) * len(neg))
