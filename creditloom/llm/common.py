@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.sources.tables import stage
+from creditloom.sources.tables import passing_tables, stage
 
-__all__ = ["ORACLES", "QUERIES", "fresh", "partitions_for", "query", "read", "row_key", "row_keys", "stage", "text_size"]
+__all__ = ["ORACLES", "QUERIES", "fresh", "partitions_for", "passing_tables", "query", "read", "row_key", "row_keys", "stage", "text_size"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

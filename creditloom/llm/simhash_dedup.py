@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import fresh, partitions_for, query, read, row_keys, stage
+from creditloom.llm.common import fresh, partitions_for, passing_tables, query, read, row_keys, stage
 from creditloom.llm.components import smallest_reachable
 from creditloom.llm.textops import chunks, mix, split_words
 
@@ -572,7 +572,11 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     Rows with the same id stay apart unless their texts are copies; rows without an id are grouped like any other.
     """
     marks = [fresh(docs, "first_row"), fresh(docs, "first_row2")]
-    firsts = near_duplicates(docs, **how).select(*[F.col(c).alias(m) for c, m in zip(("first_row", "first_row2"), marks, strict=True)]).distinct()
+    # Only the keys of the rows that stay are needed further: fingerprints, windows, pairs and links go.
+    with passing_tables(docs.sparkSession):
+        found = near_duplicates(docs, **how)
+        firsts = found.select(*[F.col(c).alias(m) for c, m in zip(("first_row", "first_row2"), marks, strict=True)]).distinct()
+        firsts = stage(firsts, "first-rows", keep=True)
     kept = docs.withColumns(dict(zip(marks, row_keys(), strict=True))).join(firsts, marks, "left_semi")
     return kept.dropDuplicates(marks).drop(*marks)
 

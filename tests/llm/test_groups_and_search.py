@@ -80,6 +80,14 @@ def test_one_of_each_group_stays(frame):
     assert kept.columns == df.columns and rows(kept, "doc_id") == [(1,), (2,), (None,)]
 
 
+def test_near_dedup_leaves_only_its_keys_on_disk(frame, tmp_path, monkeypatch):
+    monkeypatch.setattr("creditloom.sources.tables.shared_folder", lambda spark: str(tmp_path))
+    text = " ".join(f"word{k}" for k in range(200))
+    kept = simhash_dedup.keep_one(frame([(1, text), (2, text.replace("word100", "other")), (3, "alone")]), **corpus_pipeline.NEAR)
+    assert [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()] == ["first-rows"]
+    assert rows(kept, "doc_id") == [(1,), (3,)]
+
+
 def test_one_row_stays_whatever_the_ids(frame):
     text = " ".join(f"word{k}" for k in range(200))
     near = text.replace("word100", "other")
