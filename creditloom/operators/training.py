@@ -46,6 +46,9 @@ SEARCH_SPACE = {
     "min_child_weight": (1, 20),
 }
 
+#: Bytes of rows that a cached partition of training rows should hold.
+PARTITION_BYTES = 64 << 20
+
 
 class NotFitted(RuntimeError):
     """Raised when a model is used before ``fit``."""
@@ -107,10 +110,17 @@ class CreditModel(Savable):
         weight = class_weight(class_counts(df, self.label), self.label, self.weight_scheme)
         return df.withColumn("_w", weight)
 
+    def _dealt(self, data: DataFrame) -> DataFrame:
+        """Rows dealt by key to parts of ``PARTITION_BYTES``: a few small files may hold many rows. What fits one part stays as it is."""
+        parts = math.ceil(data.count() * (8 * len(self.features) + 64) / PARTITION_BYTES)
+        return data.repartition(max(parts, int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))), self.key) if parts > 1 else data
+
     def fit(self, train: DataFrame, val: DataFrame | None = None) -> CreditModel:
         self.prepare(train)
         data = self._vectors(train.select(self.key, self.label, *self.features)).select(self.key, self.label, "_x")
-        data = self._weighted(data).persist(StorageLevel.MEMORY_AND_DISK)
+        data = self._weighted(data)
+        # Folds are dealt by their ranks.
+        data = (self._dealt(data) if self.calibration is None else data).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             if self.calibration is None:
                 self.members = [(self._fit_one(data, val), None)]
@@ -324,7 +334,7 @@ class BoostedCredit(CreditModel):
             return est.fit(data)
         held = self._vectors(val.select(self.key, self.label, *self.features)).select(self.key, self.label, "_x")
         both = data.withColumn("_val", F.lit(False)).unionByName(
-            held.withColumns({"_w": F.lit(1.0), "_val": F.lit(True)})
+            self._dealt(held).withColumns({"_w": F.lit(1.0), "_val": F.lit(True)})
         )
         return est.fit(both, {est.validationIndicatorCol: "_val", est.validationTol: self.early_tol})
 

@@ -185,3 +185,16 @@ def test_row_reports(contrib):
     assert len(fall) == 4 and abs(fall[0]["phi"]) >= abs(fall[-1]["phi"])
     dep = A.dependence_points(contrib, "cic_f0")
     assert dep.count() == 300 and dep.first()["interaction"] != "cic_f0"
+
+
+def test_rows_of_one_small_file_are_dealt_to_parts(spark, monkeypatch):
+    """Copies compress well: one partition of files may hold far more rows than a task should train on."""
+    from creditloom.operators import training
+
+    df = spark.range(2000).selectExpr("id as application_id", "id % 2 as default_flag", "double(id % 7) as x").coalesce(1)
+    model = training.LogisticCredit(["x"], max_iter=2, calibrate=False)
+    monkeypatch.setattr(training, "PARTITION_BYTES", 72 * 100)
+    seen = []
+    monkeypatch.setattr(model, "_fit_one", lambda data, val: seen.extend([data.rdd.getNumPartitions(), data.count()]))
+    model.fit(df)
+    assert seen == [20, 2000]
