@@ -48,6 +48,8 @@ SEARCH_SPACE = {
 
 #: Bytes of rows that a cached partition of training rows should hold.
 PARTITION_BYTES = 64 << 20
+#: Bytes of training rows up to which the calibration folds being fitted share the memory: each holds rows of its own.
+FOLD_BYTES = 4 << 30
 
 
 class NotFitted(RuntimeError):
@@ -87,7 +89,7 @@ class CreditModel(Savable):
 
     def __init__(self, features: Sequence[str], label: str = S.TARGET, key: str = S.ID, seed: int = S.SEED, folds: int = 5, parallelism: int = 5):
         self.features, self.label, self.key, self.seed, self.folds = list(features), label, key, seed, folds
-        self.parallelism = parallelism  # calibration folds fitted at the same time
+        self.parallelism = parallelism  # calibration folds fitted at the same time, at most
         self.members: list | None = None  # fitted (model, calibrator) pairs
 
     # What a concrete model supplies.
@@ -110,22 +112,25 @@ class CreditModel(Savable):
         weight = class_weight(class_counts(df, self.label), self.label, self.weight_scheme)
         return df.withColumn("_w", weight)
 
+    def _size(self, data: DataFrame) -> int:
+        """Bytes of the rows once they are vectors, at most."""
+        return data.count() * (8 * len(self.features) + 64)
+
     def _dealt(self, data: DataFrame) -> DataFrame:
         """Rows dealt by key to parts of ``PARTITION_BYTES``: a few small files may hold many rows. What fits one part stays as it is."""
-        parts = math.ceil(data.count() * (8 * len(self.features) + 64) / PARTITION_BYTES)
+        parts = math.ceil(self._size(data) / PARTITION_BYTES)
         return data.repartition(max(parts, int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))), self.key) if parts > 1 else data
 
     def fit(self, train: DataFrame, val: DataFrame | None = None) -> CreditModel:
         self.prepare(train)
         data = self._vectors(train.select(self.key, self.label, *self.features)).select(self.key, self.label, "_x")
         data = self._weighted(data)
-        # Folds are dealt by their ranks.
-        data = (self._dealt(data) if self.calibration is None else data).persist(StorageLevel.MEMORY_AND_DISK)
+        if self.calibration is not None:
+            self.members = self._cross_fit(data)
+            return self
+        data = self._dealt(data).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            if self.calibration is None:
-                self.members = [(self._fit_one(data, val), None)]
-            else:
-                self.members = self._cross_fit(data)
+            self.members = [(self._fit_one(data, val), None)]
         finally:
             data.unpersist()
         return self
@@ -134,8 +139,15 @@ class CreditModel(Savable):
         return self.estimator().fit(data)
 
     def _cross_fit(self, data: DataFrame) -> list:
-        """One model per fold, its calibrator fitted on the fold left out."""
-        folded = stratified_folds(data, self.folds, self.label, self.seed, self.key).persist(StorageLevel.MEMORY_AND_DISK)
+        """One model per fold, its calibrator fitted on the fold left out.
+
+        Every iteration runs a task a part, and each task answers to the driver: the parts are the cores times what
+        the rows need, not as many as the shuffle made.
+        """
+        size, cores = self._size(data), data.sparkSession.sparkContext.defaultParallelism
+        folded = stratified_folds(data, self.folds, self.label, self.seed, self.key)
+        folded = folded.coalesce(cores * max(1, math.ceil(size / PARTITION_BYTES / cores))).persist(StorageLevel.MEMORY_AND_DISK)
+        at_once = max(1, min(self.folds, self.parallelism, FOLD_BYTES // max(size, 1)))
         calibrator = fit_platt if self.calibration == "sigmoid" else fit_steps
 
         def one(k: int):
@@ -146,7 +158,7 @@ class CreditModel(Savable):
             return model, calibrator(held)
 
         try:
-            with ThreadPool(min(self.folds, self.parallelism)) as pool:
+            with ThreadPool(at_once) as pool:
                 return pool.map(inheritable_thread_target(data.sparkSession)(one), range(self.folds))
         finally:
             folded.unpersist()

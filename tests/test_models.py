@@ -1,3 +1,4 @@
+import time
 from itertools import combinations
 from math import factorial
 
@@ -198,3 +199,34 @@ def test_rows_of_one_small_file_are_dealt_to_parts(spark, monkeypatch):
     monkeypatch.setattr(model, "_fit_one", lambda data, val: seen.extend([data.rdd.getNumPartitions(), data.count()]))
     model.fit(df)
     assert seen == [20, 2000]
+
+
+@pytest.mark.parametrize(("fold_bytes", "at_once"), [(1 << 30, 3), (1, 1)])
+def test_folds_have_parts_by_cores_and_share_the_memory(spark, monkeypatch, fold_bytes, at_once):
+    """Parts follow the cores and rows, not the shuffle; folds that do not fit together are fitted one after the other."""
+    seen, running, most = [], [], []
+    monkeypatch.setattr(T, "FOLD_BYTES", fold_bytes, raising=False)
+    monkeypatch.setattr(T, "fit_platt", lambda held: running.pop() and T.Sigmoid(1.0, 0.0))
+
+    class Estimator:
+        def fit(self, rows):
+            running.append(1)
+            time.sleep(1.0)
+            most.append(len(running))
+            seen.append(rows.rdd.getNumPartitions())
+            return self
+
+        def transform(self, rows):
+            return rows.withColumn("rawPrediction", F.col("_x"))
+
+    model = T.LogisticCredit(["a", "b"], key="id", label="y", folds=3)
+    monkeypatch.setattr(model, "estimator", Estimator)
+    rows = spark.range(2000).selectExpr("id", "cast(id % 3 = 0 as int) as y", "id * 1.0D as a", "id % 7 * 1.0D as b")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        model.fit(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert max(seen) <= spark.sparkContext.defaultParallelism
+    assert max(most) == at_once
+    assert len(model.members) == 3
