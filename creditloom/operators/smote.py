@@ -2,10 +2,11 @@
 
 Neighbours come from a join of random projections. Equal vectors collapse to one point with a count, so copies
 never pile up. In each of several tables the points are cut by quantiles of one random
-projection after the other, every bucket on its own, until a bucket holds about ``LEAF`` points; what ties
-leave larger is cut by count. Points that share a bucket in any table are compared exactly, and the best
+projection after the other, every bucket on its own, until a bucket holds about ``LEAF`` points; ties
+are cut by count. Points that share a bucket in any table are compared exactly, and the best
 ``k`` of all tables are kept. Neighbours are approximate: a near pair may be parted in every
-table (the recall is measured in the tests). All cuts are counted by Spark; nothing is collected.
+table (the recall is measured in the tests). The first cuts are counted by Spark, until a part fits a task; each point
+then moves once a table, and the task cuts its part further. Only the first cuts reach the driver, no points.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from creditloom.sources.tables import stage
 LEAF = 256
 TABLES = 8
 FAN_OUT = 8
+#: Numbers of the points that one task cuts into buckets.
+PART_VALUES = 1 << 22
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
@@ -35,51 +38,125 @@ def _matrix(column: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.empty((0, 0))
 
 
-def _projected(points: DataFrame, tables: int, levels: int, seed: int) -> DataFrame:
-    """t, id, p: the projections of each point on the random directions of each table."""
+def _projected(x: np.ndarray, t: int, levels: int, seed: int) -> np.ndarray:
+    """The projections of each point on the random directions of table ``t``, summed in one order whatever the batch."""
+    directions = np.random.default_rng([seed, t]).normal(size=(x.shape[1], levels))
+    p = np.zeros((len(x), levels))
+    for j, along in enumerate(directions):
+        p += x[:, j : j + 1] * along
+    return p
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column("x"), batch.num_rows)
-            ids = batch.column("id").to_numpy()
-            for t in range(tables):
-                out = x @ np.random.default_rng([seed, t]).normal(size=(x.shape[1], levels))
-                p = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), levels).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), t, np.int32)), pa.array(ids), p], ["t", "id", "p"])
 
-    return points.select("id", "x").mapInArrow(work, "t int, id long, p array<double>")
+def _side(p: np.ndarray, t: int, edges: Sequence[np.ndarray]) -> np.ndarray:
+    """The bucket that the cuts found so far put each point into."""
+    bucket = np.zeros(len(p), np.int64)
+    for level, cuts in enumerate(edges):
+        bucket = bucket * (cuts.shape[2] + 1) + (cuts[t, bucket] < p[:, level, None]).sum(1)
+    return bucket
+
+
+def _leaves(p: np.ndarray, fan: int) -> np.ndarray:
+    """Bucket numbers of the points of one part: each bucket is cut evenly by one projection after the other, ties by order."""
+    bucket = np.zeros(len(p), np.int64)
+    for v in p.T:
+        order = np.lexsort((v, bucket))
+        ends = np.bincount(bucket)
+        size, start = ends[bucket[order]], (np.cumsum(ends) - ends)[bucket[order]]
+        bucket[order] = bucket[order] * fan + (np.arange(len(p)) - start) * fan // size
+    return bucket
+
+
+class _Plan:
+    """How the points of all tables are dealt to parts of a bounded size, and cut into buckets inside them.
+
+    A part holds ``PART_VALUES`` numbers or fewer (twice that where cuts are uneven). Only the cuts between parts
+    are fitted ahead, in one counting pass a level.
+    """
+
+    def __init__(self, points: DataFrame, leaf: int, tables: int, seed: int):
+        n, dim = points.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+        pieces, self.part = max(1, -(-n // leaf)), max(2 * leaf, PART_VALUES // max(dim or 1, 1))
+        self.tables, self.seed = tables, seed
+        self.levels = max(1, math.ceil(math.log(pieces, FAN_OUT) - 1e-9))
+        self.fan = math.ceil(pieces ** (1.0 / self.levels) - 1e-9)
+        self.edges: list[np.ndarray] = []
+        self.split: dict[tuple[int, int], int] = {}
+        while n > self.part * self.fan ** len(self.edges) and len(self.edges) < self.levels and self.fan > 1:
+            self.edges.append(self._cuts(points))
+        if n > self.part:
+            # Equal projections cannot be parted by a cut: such a part is dealt by digest.
+            sizes = self._sides(points, len(self.edges)).groupBy("t", "bucket").count().where(F.col("count") > 2 * self.part)
+            self.split = {(r["t"], r["bucket"]): -(-r["count"] // self.part) for r in sizes.collect()}
+
+    def _sides(self, points: DataFrame, level: int) -> DataFrame:
+        """t, bucket, v: the bucket of each point after ``level`` cuts and its next projection, if there is one."""
+        tables, seed, levels, edges = self.tables, self.seed, self.levels, list(self.edges)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = _matrix(batch.column("x"), batch.num_rows)
+                for t in range(tables if batch.num_rows else 0):
+                    p = _projected(x, t, levels, seed)
+                    columns = [np.full(len(x), t, np.int32), _side(p, t, edges), np.ascontiguousarray(p[:, min(level, levels - 1)])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["t", "bucket", "v"])
+
+        return points.select("x").mapInArrow(work, "t int, bucket long, v double")
+
+    def _cuts(self, points: DataFrame) -> np.ndarray:
+        level, fan = len(self.edges), self.fan
+        shares = F.array(*[F.lit(i / fan) for i in range(1, fan)])
+        found = self._sides(points, level).groupBy("t", "bucket").agg(F.percentile_approx("v", shares, 1000).alias("cuts"))
+        cuts = np.full((self.tables, fan**level, fan - 1), np.inf)
+        for r in found.collect():
+            cuts[r["t"], r["bucket"]] = r["cuts"]
+        return cuts
+
+    def dealt(self, points: DataFrame) -> DataFrame:
+        """t, part, id, x, m: every point once a table, the points of a part in one partition."""
+        tables, seed, levels, edges, split = self.tables, self.seed, self.levels, self.edges, self.split
+        parts = self.fan ** len(edges)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, ids = _matrix(batch.column("x"), batch.num_rows), batch.column("id").to_numpy()
+                for t in range(tables if batch.num_rows else 0):
+                    part = _side(_projected(x, t, levels, seed), t, edges) if edges else np.zeros(len(x), np.int64)
+                    for (table, bucket), ways in split.items():
+                        if table == t:
+                            spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % ways
+                            part = np.where(part == bucket, bucket + spread * parts, part)
+                    columns = [pa.array(np.full(len(x), t, np.int32)), pa.array(part), batch.column("id"), batch.column("x"), batch.column("m")]
+                    yield pa.RecordBatch.from_arrays(columns, ["t", "part", "id", "x", "m"])
+
+        rows = points.select("id", "x", "m").mapInArrow(work, "t int, part long, id long, x array<double>, m long")
+        groups = tables * parts + sum(self.split.values())
+        return rows.repartition(groups, "t", "part") if groups > 1 else rows
+
+    def cut(self, table: pa.Table) -> tuple[np.ndarray, ...]:
+        """x, id, m and the bucket of the points of one part, ordered by id, so that ties are settled alike everywhere."""
+        x, ids, m = _matrix(table.column("x"), table.num_rows), table.column("id").to_numpy(), table.column("m").to_numpy()
+        order = np.argsort(ids)
+        x, ids, m = x[order], ids[order], m[order]
+        t, part = table.column("t")[0].as_py(), table.column("part")[0].as_py()
+        inner = self.levels - len(self.edges)
+        p = _projected(x, t, self.levels, self.seed)[:, len(self.edges) :]
+        return x, ids, m, part * self.fan**inner + (_leaves(p, self.fan) if self.fan > 1 else 0)
 
 
 def buckets(points: DataFrame, leaf: int = LEAF, tables: int = TABLES, seed: int = S.SEED) -> DataFrame:
     """t, id, bucket: buckets of about ``leaf`` points in each table."""
-    pieces = max(1, -(-points.count() // leaf))
-    levels = max(1, math.ceil(math.log(pieces, FAN_OUT) - 1e-9))
-    fan = math.ceil(pieces ** (1.0 / levels) - 1e-9)
-    placed = _projected(points, tables, levels, seed).withColumn("bucket", F.lit(0).cast("long"))
-    if fan > 1:
-        shares = F.array(*[F.lit(i / fan) for i in range(1, fan)])
-        for level in range(levels):
-            here = F.get("p", F.lit(level))
-            placed = stage(placed.withColumn("v", here), "projected")
-            cuts = placed.groupBy("t", "bucket").agg(F.percentile_approx("v", shares, 1000).alias("cuts"))
-            side = F.size(F.filter("cuts", lambda c: c < F.col("v"))).cast("long")
-            placed = placed.join(cuts, ["t", "bucket"]).select("t", "id", "p", (F.col("bucket") * fan + side).alias("bucket"))
-    # Equal projections cannot be parted by a cut: such a bucket is dealt by digest into parts of the size.
-    sizes = placed.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / (2 * leaf)).alias("parts"))
-    part = F.pmod(F.xxhash64("id", "t"), F.col("parts"))
-    return placed.join(sizes, ["t", "bucket"]).select("t", "id", F.xxhash64("t", "bucket", part).alias("bucket"))
-
-
-def _nearest(table: pa.Table, k: int) -> pa.Table:
-    """The k nearest points of each point of one bucket."""
-    n = table.num_rows
-    x, ids, m = _matrix(table.column("x"), n), table.column("id").to_numpy(), table.column("m").to_numpy()
-    # Ordered by id, so that ties are settled alike in every bucket.
-    order = np.argsort(ids)
-    x, ids, m = x[order], ids[order], m[order]
-    found: list[tuple[np.ndarray, ...]] = []
+    plan = _Plan(points, leaf, tables, seed)
+
+    def work(table: pa.Table) -> pa.Table:
+        _, ids, _, bucket = plan.cut(table)
+        return pa.table({"t": table.column("t"), "id": ids, "bucket": np.broadcast_to(bucket, len(ids)).copy()})
+
+    return plan.dealt(points).groupBy("t", "part").applyInArrow(work, "t int, id long, bucket long")
+
+
+def _nearest(x: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The k nearest points of each point of one bucket: id, distance, id of the other and its copies."""
+    n = len(x)
     for lo in range(0, n, 256):
         ask = x[lo : lo + 256]
         d2 = np.zeros((len(ask), n))
@@ -89,9 +166,7 @@ def _nearest(table: pa.Table, k: int) -> pa.Table:
         take = min(k, n - 1)
         near = np.argsort(d2, axis=1, kind="stable")[:, :take]
         who = np.repeat(ids[lo : lo + 256], take)
-        found.append((who, np.sqrt(np.take_along_axis(d2, near, 1)).ravel(), ids[near].ravel(), m[near].ravel()))
-    who, d, to, copies = (np.concatenate(c) for c in zip(*found, strict=True))
-    return pa.table({"id": who, "d": d, "to": to, "copies": copies})
+        yield who, np.sqrt(np.take_along_axis(d2, near, 1)).ravel(), ids[near].ravel(), m[near].ravel()
 
 
 def nearest_neighbours(points: DataFrame, k: int, leaf: int = LEAF, tables: int = TABLES, seed: int = S.SEED) -> DataFrame:
@@ -99,8 +174,18 @@ def nearest_neighbours(points: DataFrame, k: int, leaf: int = LEAF, tables: int
 
     ``points`` has (id long, x array<double>, m long) with distinct ``x``. A point alone in all its buckets has no row.
     """
-    placed = buckets(points, leaf, tables, seed).join(points.select("id", "x", "m"), "id")
-    pairs = placed.groupBy("bucket").applyInArrow(lambda table: _nearest(table, k), "id long, d double, to long, copies long")
+    plan = _Plan(points, leaf, tables, seed)
+
+    def work(table: pa.Table) -> pa.Table:
+        x, ids, m, bucket = plan.cut(table)
+        bucket = np.broadcast_to(bucket, len(ids))
+        order = np.argsort(bucket, kind="stable")
+        ends = np.flatnonzero(np.diff(bucket[order])) + 1
+        found = [f for rows in np.split(order, ends) for f in _nearest(x[rows], ids[rows], m[rows], k)]
+        who, d, to, copies = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table({"id": who, "d": d, "to": to, "copies": copies})
+
+    pairs = plan.dealt(points).groupBy("t", "part").applyInArrow(work, "id long, d double, to long, copies long")
     # The distance of a pair is summed in one order everywhere, so the finds of several tables are equal.
     best = pairs.groupBy("id").agg(F.collect_set(F.struct("d", F.col("to").alias("id"), F.col("copies").alias("m"))).alias("near"))
     return best.select("id", F.slice(F.array_sort("near"), 1, k).alias("near"))

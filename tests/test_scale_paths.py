@@ -269,6 +269,32 @@ def test_recall_of_neighbours(spark):
     assert _recall(x, got, 5) >= 0.9
 
 
+@pytest.mark.parametrize("values", [1 << 22, 1])
+def test_points_move_once_a_table(spark, monkeypatch, values):
+    """Nothing is written on the way to the buckets, whether a table is one part or cut into several ahead."""
+    from creditloom.operators import smote as module
+
+    rng = np.random.default_rng(12)
+    x = np.unique(np.round(rng.normal(size=(4000, 25)) * np.geomspace(30, 0.1, 25), 4), axis=0)
+    monkeypatch.setattr(module, "PART_VALUES", values, raising=False)
+    monkeypatch.setattr(module, "stage", None)
+    got = {r["id"]: r["near"] for r in nearest_neighbours(_points(spark, x), 5, leaf=200).collect()}
+    assert _recall(x, got, 5) >= 0.9
+    sizes = buckets(_points(spark, x), leaf=50, tables=2).groupBy("t", "bucket").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 100
+    assert {r["n"] for r in sizes.groupBy("t").agg(F.sum("count").alias("n")).collect()} == {len(x)}
+
+
+def test_tied_parts_are_dealt_by_digest(spark, monkeypatch):
+    from creditloom.operators import smote as module
+
+    x = np.array([[float(i % 2), 0.0, 1e-12 * i] for i in range(1500)])
+    monkeypatch.setattr(module, "PART_VALUES", 1)
+    sizes = buckets(_points(spark, x), leaf=50, tables=2).groupBy("t", "bucket").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 250
+    assert {r["n"] for r in sizes.groupBy("t").agg(F.sum("count").alias("n")).collect()} == {1500}
+
+
 def test_tied_projections_are_cut_by_count(spark):
     # All points on few values of one axis: most cuts coincide.
     x = np.array([[float(i % 2), 0.0, 1e-12 * i] for i in range(1500)])
