@@ -285,6 +285,20 @@ def test_points_move_once_a_table(spark, monkeypatch, values):
     assert {r["n"] for r in sizes.groupBy("t").agg(F.sum("count").alias("n")).collect()} == {len(x)}
 
 
+def test_smote_balance_writes_no_projections(spark, sf_dir, monkeypatch):
+    """All new rows lie between two rows of their class, in parts cut ahead, and only the distinct points are written."""
+    from creditloom.operators import smote as module
+    from creditloom.plans.model_queries import cleaned, smote_balance
+
+    cleaned(spark, sf_dir)
+    names, stage = [], module.stage
+    monkeypatch.setattr(module, "PART_VALUES", 1, raising=False)
+    monkeypatch.setattr(module, "stage", lambda df, name: names.append(name) or stage(df, name))
+    rows = smote_balance(spark, sf_dir).collect()
+    assert names == ["minority-points"]
+    assert len({r["n_after"] for r in rows}) == 1 and all(r["n_on_segment"] == r["n_synthetic"] for r in rows)
+
+
 def test_tied_parts_are_dealt_by_digest(spark, monkeypatch):
     from creditloom.operators import smote as module
 
