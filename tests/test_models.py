@@ -230,3 +230,12 @@ def test_folds_have_parts_by_cores_and_share_the_memory(spark, monkeypatch, fold
     assert max(seen) <= spark.sparkContext.defaultParallelism
     assert max(most) == at_once
     assert len(model.members) == 3
+
+
+def test_training_rows_of_the_folds_are_held_once(spark, data, monkeypatch):
+    """The folds are held; the rows that they are dealt from are not held beside them."""
+    held, deal = [], T.stratified_folds
+    monkeypatch.setattr(T, "stratified_folds", lambda df, *a: held.append(df.storageLevel.useMemory) or deal(df, *a))
+    model = T.ForestCredit(COLS, trees=2, depth=2, folds=2).fit(data)
+    assert held == [False]
+    assert model.transform(data).where("pd is null").count() == 0
