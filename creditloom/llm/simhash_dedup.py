@@ -354,39 +354,43 @@ def _texts_of(docs: DataFrame, classes: DataFrame, kept: list[str]) -> DataFrame
 
 
 def _prefixes(docs: DataFrame, prints: DataFrame, classes: DataFrame, names: list[str], shingle: int, similarity: float) -> tuple[DataFrame, DataFrame | None]:
-    """node, s: the prefix shingles of each class, frequent shingles last in order; and the table of these with their counts, if there are any."""
+    """node, s: the prefix shingles of each class that are not frequent; and node, s, c: those that are, with their counts, if there are any.
+
+    Frequent shingles come last in order. Windows meet the frequent shingles once, and their classes once: a join with either
+    moves all of them as soon as Spark no longer broadcasts the other side.
+    """
     n = F.col("n_shingles")
     length = (n - F.ceil(n * F.lit(similarity) - F.lit(1e-9)) + 1).cast("int")
     firsts = classes.select("node", F.col("least.row").alias("row"))
     windows = prints.select("row", "n_shingles", "window").join(firsts, "row").where("n_shingles > 0").select("node", length.alias("length"), "window")
     # Written, so that the windows of the classes are shuffled once and not for every count below.
     windows = stage(windows, "windows")
-    postings = windows.select("node", F.explode(F.slice("window", F.lit(1), F.col("length"))).alias("s"))
-    frequent = F.col("c") > HOT
-    hot = stage(postings.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where(frequent), "frequent-shingles")
+    entries = windows.select("node", "length", F.posexplode("window").alias("place", "s")).select("node", "s", (F.col("place") < F.col("length")).alias("early"))
+    # What follows a prefix in order takes the place of the frequent shingles in it, so it is counted as well.
+    counts = entries.groupBy("s").agg(F.sum(F.col("early").cast("long")).alias("early"), F.count(F.lit(1)).alias("all"))
+    counts = counts.select("s", F.greatest("early", F.col("all") - F.col("early")).alias("c"))
+    hot = stage(counts.where(F.col("c") > HOT), "frequent-shingles")
+    first = F.slice("window", F.lit(1), F.col("length"))
     if not hot.limit(1).count():
-        return postings, None
+        return windows.select("node", F.explode(first).alias("s")), None
 
-    def touched() -> DataFrame:
-        return stage(postings.join(hot, "s", "left_semi").select("node").distinct(), "frequent-classes")
-
-    # What follows a prefix in order takes the place of the frequent shingles in it, so it is counted as well.
-    after = F.explode(F.slice("window", F.col("length") + 1, F.col("length"))).alias("s")
-    more = windows.join(touched(), "node", "left_semi").select(after).groupBy("s").agg(F.count(F.lit(1)).alias("c")).where(frequent)
-    hot = stage(hot.unionByName(more).groupBy("s").agg(F.max("c").alias("c")), "frequent-shingles")
     # Any set of frequent shingles gives one order, as long as all classes whose prefix it changes are given theirs anew.
-    changed = touched()
-    held = windows.join(changed, "node", "left_semi")
-    hits = held.select("node", F.explode("window").alias("s")).join(hot, "s").groupBy("node").agg(F.collect_list("s").alias("hits"))
-    rare = held.join(hits, "node").withColumn("rare", F.array_except("window", "hits"))
-    rare = stage(rare.select("node", F.slice("rare", F.lit(1), F.col("length")).alias("rare"), (F.size("rare") >= F.col("length")).alias("full")), "rare-shingles")
+    hits = entries.join(hot, "s").groupBy("node").agg(F.collect_list("s").alias("hits"), F.max("early").alias("changed")).where("changed")
+    both = windows.join(hits.select("node", "hits"), "node", "left").withColumn("rare", F.array_except("window", "hits"))
+    rare = both.select(
+        "node", F.when(F.col("hits").isNull(), first).otherwise(F.slice("rare", F.lit(1), F.col("length"))).alias("rare"),
+        (F.col("hits").isNull() | (F.size("rare") >= F.col("length"))).alias("full"),
+    )
+    rare = stage(rare, "rare-shingles")
     # Texts that are mostly frequent shingles: those count from the rarest on, over the whole text.
     texts = _texts_of(docs, classes.join(rare.where("not full").select("node"), "node", "left_semi"), [*names, "n_shingles"])
     each = _shingle_sets(texts, names, shingle, ordered=True).select("node", "n_shingles", F.explode("shingles").alias("s")).join(hot, "s", "left")
     order = F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(0).cast("long")).alias("c"), "s")))
     rest = each.groupBy("node", "n_shingles").agg(order.alias("order")).select("node", F.explode(F.slice("order", F.lit(1), length)).alias("e"))
-    anew = rare.where("full").select("node", F.explode("rare").alias("s")).unionByName(rest.select("node", "e.s"))
-    return postings.join(changed, "node", "left_anti").unionByName(anew), hot
+    rest = stage(rest.select("node", "e.s", "e.c"), "ordered-shingles")
+    # Only these classes keep a frequent shingle in their prefix.
+    postings = rare.where("full").select("node", F.explode("rare").alias("s")).unionByName(rest.where("c = 0").select("node", "s"))
+    return postings, rest.where("c > 0")
 
 
 def _units(postings: DataFrame) -> DataFrame:
@@ -447,20 +451,19 @@ def _units(postings: DataFrame) -> DataFrame:
     return postings.mapInArrow(work, "unit long, node long")
 
 
-def _candidates(postings: DataFrame, hot: DataFrame | None, classes: DataFrame, names: list[str], radius: int, similarity: float) -> DataFrame:
+def _candidates(postings: DataFrame, often: DataFrame | None, classes: DataFrame, names: list[str], radius: int, similarity: float) -> DataFrame:
     """a, b: classes within the radius that share a prefix shingle, each tied to the least class of its unit's group."""
     spark = postings.sparkSession
     parts = partitions_for(spark, 16 * (classes.agg(F.sum("n_shingles")).first()[0] or 0) / 4, 32 << 20)
-    rest = postings
-    if hot is not None:
+    rows = _units(postings.repartition(parts, "s").sortWithinPartitions("s"))
+    if often is not None:
         # Few classes keep a frequent shingle in their prefix; their tiles follow its count.
-        often = postings.join(hot, "s").withColumn("tiles", F.ceil(F.col("c") / TILE).cast("int"))
+        often = often.withColumn("tiles", F.ceil(F.col("c") / TILE).cast("int"))
         tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
         often = often.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         often = often.select(F.xxhash64("s", F.least("tile", "other"), F.greatest("tile", "other")).alias("unit"), "node")
-        rest = postings.join(hot, "s", "left_anti")
-    rows = _units(rest.repartition(parts, "s").sortWithinPartitions("s"))
-    rows = stage((rows if hot is None else rows.unionByName(often)).distinct(), "shared-shingles")
+        rows = rows.unionByName(often)
+    rows = stage(rows.distinct(), "shared-shingles")
     dealt = rows.join(classes.select("node", *names, "n_shingles"), "node")
 
     def unit_links(table: pa.Table) -> pa.RecordBatch | None:
@@ -544,8 +547,8 @@ def near_duplicates(
     classes = stage(classes.withColumn("node", F.col(names[0]) if same == names[:1] else F.monotonically_increasing_id()), "classes")
     if exact:
         ratio = max(size_ratio or 0.0, similarity)
-        postings, hot = _prefixes(docs, prints, classes, names, shingle, similarity)
-        near = stage(_candidates(postings, hot, classes, names, radius, ratio), "near-pairs")
+        postings, often = _prefixes(docs, prints, classes, names, shingle, similarity)
+        near = stage(_candidates(postings, often, classes, names, radius, ratio), "near-pairs")
         links = _verified(docs, classes, near, names, shingle, radius, similarity)
     else:
         key = (

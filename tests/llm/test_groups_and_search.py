@@ -172,6 +172,29 @@ def test_candidates_follow_the_text_and_not_its_square(frame):
     assert counts == [0, 0]
 
 
+def test_prefixes_are_joined_with_frequent_shingles_once(frame, monkeypatch):
+    """What the candidates read needs no further join or shuffle, however large the table of frequent shingles is."""
+    monkeypatch.setattr(simhash_dedup, "HOT", 3)
+    made = [(i, " ".join(f"w{i * 7 % 40 + k}" for k in range(30)) + f" own{i} end{i}") for i in range(40)]
+    names = ["f0"]
+    docs = frame(made)
+    spark = docs.sparkSession
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        prints = stage(simhash_dedup.fingerprints(docs, 5, 1, True, similarity=0.8).withColumn("row", F.monotonically_increasing_id()), "prints")
+        classes = prints.select(F.struct("row", "row_key", "row_key2").alias("least"), "f0", "n_shingles", F.monotonically_increasing_id().alias("node"))
+        postings, often = simhash_dedup._prefixes(docs, prints, stage(classes, "classes"), names, 5, 0.8)
+        assert often is not None
+        for df in (postings, often):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Join" not in plan and "Exchange" not in plan
+        lengths = prints.select((F.col("n_shingles") - F.ceil(F.col("n_shingles") * 0.8 - 1e-9) + 1).alias("n")).agg(F.sum("n")).first()[0]
+        assert postings.count() + often.count() == lengths and often.where(F.col("c") <= 3).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 @pytest.mark.parametrize("tile", [3, 1024])
 def test_near_copies_are_those_of_brute_force(frame, texts, monkeypatch, tile):
     monkeypatch.setattr(simhash_dedup, "VERIFY_TILE", tile)
