@@ -126,3 +126,11 @@ def normal_two_sided_p(z: Column) -> Column:
 
 def normalised_share(part: Column, total: Column) -> Column:
     return F.try_divide(part, total)
+
+
+def rounded(name: str, digits: int) -> Column:
+    """``F.round`` of a double column, without a decimal number a row: these are made only near a tie and for large values."""
+    x, unit = F.col(f"`{name}`"), F.lit(10.0**digits)
+    whole = F.rint(x * unit)
+    safe = (F.abs(x * unit - whole) < 0.499) & (F.abs(whole) < 1e12)
+    return F.when(safe, whole / unit + F.lit(0.0)).otherwise(F.round(x, digits))

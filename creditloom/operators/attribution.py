@@ -33,9 +33,12 @@ def attribution_linear(df: DataFrame, coefficients: Mapping[str, float], interce
     return df.select(key, *names, *terms, F.lit(float(base)).alias("base"))
 
 
-def long_form(contrib: DataFrame, key: str = S.ID, features: Sequence[str] | None = None) -> DataFrame:
-    """(id, feature, value, phi)."""
+def long_form(contrib: DataFrame, key: str = S.ID, features: Sequence[str] | None = None, values: bool = True) -> DataFrame:
+    """(id, feature, value, phi), or without the value."""
     names = list(features) if features is not None else features_of(contrib)
+    if not values:
+        parts = ", ".join(f"'{f}', `{phi(f)}`" for f in names)
+        return contrib.selectExpr(f"`{key}`", f"stack({len(names)}, {parts}) as (feature, phi)")
     parts = ", ".join(f"'{f}', cast(`{f}` as double), `{phi(f)}`" for f in names)
     return contrib.selectExpr(f"`{key}`", f"stack({len(names)}, {parts}) as (feature, value, phi)")
 

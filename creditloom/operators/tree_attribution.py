@@ -135,15 +135,23 @@ def base_value(leaves: Sequence[Leaf]) -> float:
 
 
 def attribution_tree(
-    df: DataFrame, model, features: Sequence[str], key: str = S.ID, sample: float | None = None, seed: int = S.SEED
+    df: DataFrame, model, features: Sequence[str], key: str = S.ID, sample: float | None = None, seed: int = S.SEED, values: bool = True
 ) -> DataFrame:
-    """Contribution frame of a fitted Spark tree ensemble; all rows by default."""
+    """Contribution frame of a fitted Spark tree ensemble; all rows by default.
+
+    Features that no tree asks for contribute 0 and are not computed. Without ``values`` the feature columns are left
+    out, and only those that the trees ask for move to the tasks' Python.
+    """
     spark = df.sparkSession
     leaves = ensemble_leaves(model, spark)
-    base, m = base_value(leaves), len(features)
+    base = base_value(leaves)
+    asked = sorted({int(f) for leaf in leaves for f in leaf.feature})
+    moved = list(range(len(features))) if values else asked
+    place = {f: i for i, f in enumerate(moved)}
     shared = spark.sparkContext.broadcast(leaves)
     rows = df.sample(fraction=sample, seed=seed) if sample else df
-    narrow = rows.select(key, *[F.col(f).cast("double").alias(f) for f in features])
+    narrow = rows.select(key, *[F.col(features[f]).cast("double").alias(features[f]) for f in moved])
+    kept_columns = [key, *(features if values else ())]
     limit, gathered = GROUP_BYTES, GATHERED_ROWS
 
     def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,8 +161,8 @@ def attribution_tree(
         kept = [tables_of([held[k] for k in g]) for g in groups] if fits else None
 
         def contributions(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x = [c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
-            out = np.zeros((m, batch.num_rows))
+            x = {f: batch.columns[1 + place[f]].to_numpy(zero_copy_only=False) for f in asked}
+            out = {f: np.zeros(batch.num_rows) for f in asked}
             for g, numbers in enumerate(groups):
                 tables = kept[g] if kept else tables_of([held[k] for k in numbers])
                 for table, k in zip(tables, numbers, strict=True):
@@ -166,8 +174,8 @@ def attribution_tree(
                     for u, f in enumerate(leaf.feature):
                         out[f] += part[:, u]
             return pa.RecordBatch.from_arrays(
-                [*batch.columns, *[pa.array(v) for v in out], pa.array(np.full(batch.num_rows, base))],
-                names=[*batch.schema.names, *[phi(f) for f in features], "base"],
+                [*(batch.column(c) for c in kept_columns), *[pa.array(out[f]) for f in asked]],
+                names=[*kept_columns, *[phi(features[f]) for f in asked]],
             )
 
         waiting: list[pa.RecordBatch] = []
@@ -179,6 +187,8 @@ def attribution_tree(
         if waiting:
             yield from map(contributions, pa.Table.from_batches(waiting).combine_chunks().to_batches())
 
-    fields = [f"`{key}` {dict(narrow.dtypes)[key]}"] + [f"`{f}` double" for f in features]
-    fields += [f"`{phi(f)}` double" for f in features] + ["base double"]
-    return narrow.mapInArrow(explain, ", ".join(fields))
+    fields = [f"`{key}` {dict(narrow.dtypes)[key]}"] + [f"`{c}` double" for c in kept_columns[1:]]
+    fields += [f"`{phi(features[f])}` double" for f in asked]
+    found = narrow.mapInArrow(explain, ", ".join(fields))
+    every = [F.col(f"`{phi(f)}`") if i in set(asked) else F.lit(0.0).alias(phi(f)) for i, f in enumerate(features)]
+    return found.select(*[F.col(f"`{c}`") for c in kept_columns], *every, F.lit(base).alias("base"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from creditloom import schema as S
+from creditloom.functions import columns as C
 from creditloom.operators import attribution as A
 from creditloom.operators.tree_attribution import attribution_tree as explain_trees
 from creditloom.plans.catalog import query
@@ -148,14 +149,16 @@ def adverse_action_top3(spark, sf):
 def attribution_tree(spark, sf):
     """Contributions of the boosted model to every application, in log-odds."""
     model = fitted(spark, sf, "boosted").members[0][0]
-    return A.long_form(explain_trees(cleaned(spark, sf), model, FEATURES)).select(ID, "feature", F.round("phi", 8).alias("phi"))
+    found = explain_trees(cleaned(spark, sf), model, FEATURES, values=False)
+    # Rounded before the features become rows: those that no tree asks for are constants.
+    return A.long_form(found.select(ID, *[C.rounded(A.phi(f), 8).alias(A.phi(f)) for f in FEATURES]), values=False)
 
 
 @query("attribution_additivity", APPS + f"SELECT {SPLIT} AS split, count(*) AS n_rows, count(*) AS n_additive FROM applications GROUP BY ALL")
 def attribution_additivity(spark, sf):
     """Rows whose contributions and base add up to the boosted model's own probability."""
     model, df = fitted(spark, sf, "boosted"), cleaned(spark, sf)
-    parts = explain_trees(df, model.members[0][0], FEATURES)
+    parts = explain_trees(df, model.members[0][0], FEATURES, values=False)
     total = sum((F.col(A.phi(f)) for f in FEATURES), F.col("base"))
     scored = model.transform(df).select(ID, "split", "pd")
     same = F.abs(F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("total"))) - F.col("pd")) < 1e-9
@@ -167,4 +170,4 @@ def attribution_additivity(spark, sf):
 @query("tree_group_attribution")
 def tree_group_attribution(spark, sf):
     model = fitted(spark, sf, "boosted").members[0][0]
-    return A.group_by_prefix(A.mean_abs(explain_trees(cleaned(spark, sf), model, FEATURES)))
+    return A.group_by_prefix(A.mean_abs(explain_trees(cleaned(spark, sf), model, FEATURES, values=False)))

@@ -100,6 +100,32 @@ def test_tree_attribution_is_the_shapley_value(spark, data, boosted):
     assert got["base"] == pytest.approx(base_value(leaves))
 
 
+def test_tree_attribution_without_values(data, boosted):
+    """Without the feature columns only what the trees ask for moves; the contributions are the same, 0 for the others."""
+    gbt = boosted.members[0][0]
+    wide = data.withColumns({f"idle_{i}": F.lit(float(i)) for i in range(3)})
+    names = [*COLS, "idle_0", "idle_1", "idle_2"]
+    want = {r["application_id"]: r for r in attribution_tree(data, gbt, COLS).collect()}
+    got = attribution_tree(wide, gbt, names, values=False)
+    assert got.columns == ["application_id", *[A.phi(c) for c in names], "base"]
+    assert "idle" not in got._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[1]
+    for r in got.collect():
+        assert [r[A.phi(c)] for c in COLS] == [want[r["application_id"]][A.phi(c)] for c in COLS] and r[A.phi("idle_1")] == 0.0
+    long = A.long_form(got, values=False)
+    assert long.columns == ["application_id", "feature", "phi"] and long.count() == len(names) * len(want)
+
+
+def test_rounded_is_round(spark):
+    from creditloom.functions.columns import rounded
+
+    rng = np.random.default_rng(5)
+    ties = (rng.integers(-10**6, 10**6, 2000) + 0.5) / 1e8
+    x = [*rng.normal(size=3000).tolist(), *ties.tolist(), *np.nextafter(ties, 1).tolist(), *(rng.normal(size=500) * 1e9).tolist()]
+    x += [0.0, -0.0, -1e-12, 1e300, float("inf"), float("nan"), None]
+    rows = spark.createDataFrame([(v,) for v in x], "x double").select("x", rounded("x", 8).alias("got"), F.round("x", 8).alias("want"))
+    assert rows.where("not got <=> want").count() == 0
+
+
 def test_leaf_table_of_one_feature():
     leaf = Leaf(2.0, np.array([0]), np.array([0.0]), np.array([1.0]), np.array([0.25]))
     np.testing.assert_allclose(leaf.table()[:, 0], [-0.5, 1.5])
