@@ -25,10 +25,10 @@ _models: dict = {}
 
 
 def cleaned(spark, sf):
-    """Clean train/val/test rows with label and split, staged once: every fit reads them."""
+    """Clean train/val/test rows with label, date and split, staged once: every fit reads them."""
     key = (spark.sparkContext.applicationId, sf, "cleaned")
     if key not in _models:
-        df = applications(spark, sf).select(ID, "employment_type", S.TARGET, *S.CLEANER_NUMERIC)
+        df = applications(spark, sf).select(ID, "application_date", "employment_type", S.TARGET, *S.CLEANER_NUMERIC)
         parts = P.stratified_split(df)
         cleaner = K.CreditCleaner(keep_label=True).fit(parts.where("split = 'train'"))
         _models[key] = IO.stage(cleaner.transform(parts), "cleaned")
@@ -56,10 +56,10 @@ def fitted(spark, sf, name: str):
     return _models[key]
 
 
-def _scored(spark, sf, name):
-    """Every application scored, with the split it belongs to."""
+def _scored(spark, sf, name, *more):
+    """Every application scored, with the split it belongs to, and more of its columns."""
     out = fitted(spark, sf, name).transform(cleaned(spark, sf))
-    return out.select(ID, S.TARGET, "split", F.round("pd", 6).alias("pd"))
+    return out.select(ID, S.TARGET, "split", *more, F.round("pd", 6).alias("pd"))
 
 
 @query("model_contract")
@@ -190,12 +190,10 @@ FROM applications, (SELECT unnest(['logistic_plain', 'boosted']) AS model) GROUP
 )
 def prediction_partitions(spark, sf):
     """Predictions by model and month after a second run that scores one month with one model."""
-    months = applications(spark, sf).select(ID, F.date_format("application_date", "yyyy-MM").alias("month"))
+    month = F.date_format("application_date", "yyyy-MM").alias("month")
 
     def rows(name):
-        return _scored(spark, sf, name).join(months, ID).select(
-            ID, F.col(S.TARGET).alias("label"), F.lit(name).alias("model"), "month", F.col("pd").alias("score")
-        )
+        return _scored(spark, sf, name, month).select(ID, F.col(S.TARGET).alias("label"), F.lit(name).alias("model"), "month", F.col("pd").alias("score"))
 
     folder = f"{IO.shared_folder(spark)}/predictions-{uuid.uuid4().hex}"
     first = rows("logistic_plain").unionByName(rows("boosted")).withColumn("rewritten", F.lit(False))
