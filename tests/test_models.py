@@ -265,3 +265,10 @@ def test_training_rows_of_the_folds_are_held_once(spark, data, monkeypatch):
     model = T.ForestCredit(COLS, trees=2, depth=2, folds=2).fit(data)
     assert held == [False]
     assert model.transform(data).where("pd is null").count() == 0
+
+
+def test_cleaned_rows_carry_the_date(spark, sf_dir):
+    """Months of predictions need no join with the applications."""
+    from creditloom.plans import model_queries as Q
+
+    assert "application_date" in Q.cleaned(spark, sf_dir).columns and "application_date" not in Q.FEATURES
