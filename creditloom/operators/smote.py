@@ -4,7 +4,7 @@ Neighbours come from a join of random projections. Equal vectors collapse to one
 never pile up. In each of several tables the points are cut by quantiles of one random
 projection after the other, every bucket on its own, until a bucket holds about ``LEAF`` points; ties
 are cut by count. Points that share a bucket in any table are compared exactly, and the best
-``k`` of all tables are kept. Neighbours are approximate: a near pair may be parted in every
+``k`` of all tables are kept; a point that asks for fewer, or for none, only sends these. Neighbours are approximate: a near pair may be parted in every
 table (the recall is measured in the tests). The first cuts are counted by Spark, until a part fits a task; each point
 then moves once a table, and the task cuts its part further. Only the first cuts reach the driver, no points.
 """
@@ -16,12 +16,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom import schema as S
 from creditloom.functions import columns as C
-from creditloom.operators.ranking import row_ranks
 from creditloom.sources.tables import stage
 
 #: Points of a bucket, independent tables, and parts a bucket is cut into at once, at most.
@@ -112,9 +111,10 @@ class _Plan:
         return cuts
 
     def dealt(self, points: DataFrame) -> DataFrame:
-        """t, part, id, x, m: every point once a table, the points of a part in one partition."""
+        """t, part, id, x, m (and need): every point once a table, the points of a part in one partition."""
         tables, seed, levels, edges, split = self.tables, self.seed, self.levels, self.edges, self.split
         parts = self.fan ** len(edges)
+        kept = {"id": "long", "x": "array<double>", "m": "long"} | ({"need": "int"} if "need" in points.columns else {})
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -125,22 +125,23 @@ class _Plan:
                         if table == t:
                             spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % ways
                             part = np.where(part == bucket, bucket + spread * parts, part)
-                    columns = [pa.array(np.full(len(x), t, np.int32)), pa.array(part), batch.column("id"), batch.column("x"), batch.column("m")]
-                    yield pa.RecordBatch.from_arrays(columns, ["t", "part", "id", "x", "m"])
+                    columns = [pa.array(np.full(len(x), t, np.int32)), pa.array(part), *[batch.column(c) for c in kept]]
+                    yield pa.RecordBatch.from_arrays(columns, ["t", "part", *kept])
 
-        rows = points.select("id", "x", "m").mapInArrow(work, "t int, part long, id long, x array<double>, m long")
+        rows = points.select(*kept).mapInArrow(work, "t int, part long, " + ", ".join(f"{c} {kind}" for c, kind in kept.items()))
         groups = tables * parts + sum(self.split.values())
         return rows.repartition(groups, "t", "part") if groups > 1 else rows
 
     def cut(self, table: pa.Table) -> tuple[np.ndarray, ...]:
-        """x, id, m and the bucket of the points of one part, ordered by id, so that ties are settled alike everywhere."""
-        x, ids, m = _matrix(table.column("x"), table.num_rows), table.column("id").to_numpy(), table.column("m").to_numpy()
-        order = np.argsort(ids)
-        x, ids, m = x[order], ids[order], m[order]
+        """x, bucket, and id, m (and need) of the points of one part, ordered by id, so that ties are settled alike everywhere."""
+        kept = [table.column(c).to_numpy() for c in table.column_names if c not in ("t", "part", "x")]
+        order = np.argsort(kept[0])
+        x, kept = _matrix(table.column("x"), table.num_rows)[order], [c[order] for c in kept]
         t, part = table.column("t")[0].as_py(), table.column("part")[0].as_py()
         inner = self.levels - len(self.edges)
         p = _projected(x, t, self.levels, self.seed)[:, len(self.edges) :]
-        return x, ids, m, part * self.fan**inner + (_leaves(p, self.fan) if self.fan > 1 else 0)
+        bucket = part * self.fan**inner + (_leaves(p, self.fan) if self.fan > 1 else 0)
+        return x, np.broadcast_to(bucket, len(x)), *kept
 
 
 def buckets(points: DataFrame, leaf: int = LEAF, tables: int = TABLES, seed: int = S.SEED) -> DataFrame:
@@ -148,49 +149,71 @@ def buckets(points: DataFrame, leaf: int = LEAF, tables: int = TABLES, seed: int
     plan = _Plan(points, leaf, tables, seed)
 
     def work(table: pa.Table) -> pa.Table:
-        _, ids, _, bucket = plan.cut(table)
-        return pa.table({"t": table.column("t"), "id": ids, "bucket": np.broadcast_to(bucket, len(ids)).copy()})
+        _, bucket, ids, *_ = plan.cut(table)
+        return pa.table({"t": table.column("t"), "id": ids, "bucket": bucket.copy()})
 
     return plan.dealt(points).groupBy("t", "part").applyInArrow(work, "t int, id long, bucket long")
 
 
-def _nearest(x: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """The k nearest points of each point of one bucket: id, distance, id of the other and its copies."""
-    n = len(x)
-    for lo in range(0, n, 256):
-        ask = x[lo : lo + 256]
-        d2 = np.zeros((len(ask), n))
+def _nearest(x: np.ndarray, ids: np.ndarray, m: np.ndarray, need: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The nearest points of each point of one bucket, as many as it needs and k at most: id, distance, id of the other and its copies."""
+    n, asking = len(x), np.flatnonzero(need > 0)
+    for lo in range(0, len(asking), 256):
+        ask = asking[lo : lo + 256]
+        d = np.zeros((len(ask), n))
         for j in range(x.shape[1]):
-            d2 += (ask[:, j : j + 1] - x[None, :, j]) ** 2
-        d2[np.arange(len(ask)), np.arange(lo, lo + len(ask))] = np.inf
+            d += (x[ask, j, None] - x[None, :, j]) ** 2
+        np.sqrt(d, out=d)
+        d[np.arange(len(ask)), ask] = np.inf
         take = min(k, n - 1)
-        near = np.argsort(d2, axis=1, kind="stable")[:, :take]
-        who = np.repeat(ids[lo : lo + 256], take)
-        yield who, np.sqrt(np.take_along_axis(d2, near, 1)).ravel(), ids[near].ravel(), m[near].ravel()
+        near = np.argsort(d, axis=1, kind="stable")[:, :take]
+        sent = np.arange(take) < need[ask, None]
+        yield np.repeat(ids[ask], sent.sum(1)), np.take_along_axis(d, near, 1)[sent], ids[near][sent], m[near][sent]
 
 
 def nearest_neighbours(points: DataFrame, k: int, leaf: int = LEAF, tables: int = TABLES, seed: int = S.SEED) -> DataFrame:
     """(id, near): the k nearest points found for each distinct point, nearest first, as (d, id, m).
 
-    ``points`` has (id long, x array<double>, m long) with distinct ``x``. A point alone in all its buckets has no row.
+    ``points`` has (id long, x array<double>, m long) with distinct ``x``, and may have ``need int``: how many neighbours
+    a point asks for where it is not k; what follows these is not complete. A point that asks for none, or is alone in all
+    its buckets, has no row.
     """
+    if "need" not in points.columns:
+        points = points.withColumn("need", F.lit(k))
     plan = _Plan(points, leaf, tables, seed)
 
     def work(table: pa.Table) -> pa.Table:
-        x, ids, m, bucket = plan.cut(table)
-        bucket = np.broadcast_to(bucket, len(ids))
+        x, bucket, ids, m, need = plan.cut(table)
         order = np.argsort(bucket, kind="stable")
         ends = np.flatnonzero(np.diff(bucket[order])) + 1
-        found = [f for rows in np.split(order, ends) for f in _nearest(x[rows], ids[rows], m[rows], k)]
-        who, d, to, copies = (np.concatenate(c) for c in zip(*found, strict=True))
+        found = [f for rows in np.split(order, ends) for f in _nearest(x[rows], ids[rows], m[rows], need[rows], k)]
+        who, d, to, copies = (np.concatenate(c) for c in zip((ids[:0], x[:0, 0], ids[:0], m[:0]), *found, strict=True))
         return pa.table({"id": who, "d": d, "to": to, "copies": copies})
 
     pairs = plan.dealt(points).groupBy("t", "part").applyInArrow(work, "id long, d double, to long, copies long")
-    # The distance of a pair is summed in one order everywhere, so the finds of several tables are equal.
-    best = pairs.groupBy("id").agg(F.collect_set(F.struct("d", F.col("to").alias("id"), F.col("copies").alias("m"))).alias("near"))
+    # The distance of a pair is summed in one order everywhere, so the finds of several tables are equal. Every table is
+    # a group of its own, so nothing would be gained by putting the finds of a task together before they move.
+    best = pairs.repartition("id").groupBy("id").agg(F.collect_set(F.struct("d", F.col("to").alias("id"), F.col("copies").alias("m"))).alias("near"))
     return best.select("id", F.slice(F.array_sort("near"), 1, k).alias("near"))
 
 
+def _first_rows(rows: DataFrame, n: int, seed: int) -> Column:
+    """Holds for the ``n`` of the rows (id, r) whose digest comes first.
+
+    The leading digits give even slices: counting these finds the one that holds the last of the rows, and only that
+    slice is ordered. No row moves for it.
+    """
+    digest = C.hash_hex(seed, F.lit("extra"), "id", "r", width=32)
+    lead = F.substring(digest, 1, 3)
+    for s in rows.groupBy(lead.alias("lead")).agg(F.count(F.lit(1)).alias("n")).orderBy("lead").collect():
+        if n <= s["n"]:
+            break
+        n -= s["n"]
+    head = rows.where(lead == s["lead"]).select(digest.alias("h"), "id").orderBy("h", "id").limit(n)
+    last = head.agg(F.max(F.struct("h", "id")).alias("last")).first()["last"]
+    return F.struct(digest.alias("h"), F.col("id")) <= F.struct(F.lit(last["h"]).alias("h"), F.lit(last["id"]).alias("id"))
+
+
 def smote(
     train: DataFrame, features: Sequence[str], label: str = S.TARGET, key: str = S.ID, k: int = 5,
     ratio: float = 1.0, seed: int = S.SEED, leaf: int = LEAF, tables: int = TABLES, trace: bool = False,
@@ -209,30 +232,38 @@ def smote(
         F.min(F.col(key).cast("long")).alias("id"), F.count(F.lit(1)).alias("m")
     ).select("id", "x", "m")
     points = stage(points, "minority-points")  # counted, projected and joined
-    near = points.join(nearest_neighbours(points, k, leaf, tables, seed), "id", "left")
     # Copies of a point are spread in blocks before they become rows.
     block = 10_000
-    blocks = points.select("id", "m", F.explode(F.sequence(F.lit(0), ((F.col("m") - 1) / block).cast("long"))).alias("b"))
-    rows = blocks.repartition("id", "b").select(
-        "id", F.explode(F.sequence(F.col("b") * block, F.least((F.col("b") + 1) * block, F.col("m")) - 1)).alias("r")
-    )
+    row = F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("r")
+    few, many = points.where(F.col("m") <= block), points.where(F.col("m") > block)
+    blocks = many.select("*", F.explode(F.sequence(F.lit(0), ((F.col("m") - 1) / block).cast("long"))).alias("b")).repartition("id", "b")
+    rows = few.select("*", row).unionByName(blocks.select(
+        *points.columns, F.explode(F.sequence(F.col("b") * block, F.least((F.col("b") + 1) * block, F.col("m")) - 1)).alias("r")
+    ))
     n = F.lit(whole)
     if rest:
-        rows = row_ranks(rows.withColumn("_h", C.hash_hex(seed, F.lit("extra"), "id", "r", width=32)), [], "_h", "id", out="rank")
-        n = n + (F.col("rank") < rest).cast("int")
-    made = rows.select("id", "r", n.alias("n")).where("n > 0").join(near, "id").withColumn("c", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    # The first m - 1 neighbours of a point with copies are the copies themselves.
+        n = n + _first_rows(rows, rest, seed).cast("int")
     pick = F.floor(C.hash_unit(seed, F.lit("near"), "id", "r", "c") * k)
+    step = C.hash_unit(seed, F.lit("step"), "id", "r", "c")
+    made = rows.withColumn("n", n).where("n > 0").withColumn("c", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    made = made.select("id", "x", "m", pick.alias("pick"), step.alias("step"))
+    # A point asks for no more neighbours than its new rows pick from; one with copies as if they picked the last.
+    once = points.where("m = 1").withColumn("r", F.lit(0).cast("long")).withColumn("n", n)
+    most = F.array_max(F.transform(F.sequence(F.lit(1), F.col("n")), lambda c: F.floor(C.hash_unit(seed, F.lit("near"), "id", "r", c) * k)))
+    asked = once.select("id", "x", "m", F.when(F.col("n") > 0, most + 1).otherwise(0).cast("int").alias("need")).unionByName(
+        points.where("m > 1").select("id", "x", "m", F.greatest(F.lit(k + 1) - F.col("m"), F.lit(0)).cast("int").alias("need"))
+    )
+    near = nearest_neighbours(asked, k, leaf, tables, seed)
+    # The first m - 1 neighbours of a point with copies are the copies themselves.
     to = F.aggregate(
         F.coalesce("near", F.array().cast("array<struct<d: double, id: bigint, m: bigint>>")),
         F.struct((F.col("m") - 1).alias("s"), F.col("id").alias("id")).cast("struct<s: bigint, id: bigint>"),
-        lambda acc, e: F.struct((acc["s"] + e["m"]).alias("s"), F.when(acc["s"] <= pick, e["id"]).otherwise(acc["id"]).alias("id")),
+        lambda acc, e: F.struct((acc["s"] + e["m"]).alias("s"), F.when(acc["s"] <= F.col("pick"), e["id"]).otherwise(acc["id"]).alias("id")),
     )["id"]
-    step = C.hash_unit(seed, F.lit("step"), "id", "r", "c")
-    asked = made.select(F.col("id").alias("from_id"), "x", to.alias("to_id"), step.alias("step"))
+    pairs = made.join(near, "id", "left").select(F.col("id").alias("from_id"), "x", to.alias("to_id"), "step")
     ends = points.select(F.col("id").alias("to_id"), F.col("x").alias("y"))
     new = F.zip_with("x", "y", lambda a, b: a + F.col("step") * (b - a))
-    return asked.join(ends, "to_id").select(
+    return pairs.join(ends, "to_id").select(
         *[F.get(new, F.lit(i)).alias(f) for i, f in enumerate(features)], F.lit(int(small)).alias(label),
         *(["from_id", "to_id", "step"] if trace else []),
     )

@@ -244,15 +244,19 @@ def smote_balance(spark, sf):
     """Class sizes before and after, and how many new rows lie between two rows of their class."""
     train = cleaned(spark, sf).where("split = 'train'")
     new = _oversampled(spark, sf)
-    ends = train.select(F.col(ID).cast("long").alias("id"), F.col(S.TARGET).alias("y"), F.array(*[F.col(f).cast("double") for f in FEATURES]).alias("x"))
+    sizes = P.class_counts(train)
+    # Only rows of a class that is short of rows can be the ends of new rows of that class; a new row with another end stays, unmatched.
+    short = train.where(F.col(S.TARGET).isin([y for y, n in sizes.items() if n < max(sizes.values())]))
+    ends = short.select(F.col(ID).cast("long").alias("id"), F.col(S.TARGET).alias("y"), F.array(*[F.col(f).cast("double") for f in FEATURES]).alias("x"))
     a, b = (ends.select(F.col("id").alias(f"{c}_id"), F.col("y").alias(f"{c}_y"), F.col("x").alias(f"{c}_x")) for c in ("from", "to"))
     near = F.lit(True)
     for i, f in enumerate(FEATURES):
         lo, hi = F.get("from_x", F.lit(i)), F.get("to_x", F.lit(i))
         near = near & (F.abs(F.col(f) - (lo + F.col("step") * (hi - lo))) <= (F.abs(lo) + F.abs(hi) + 1.0) * 1e-9)
     mine = near & (F.col("from_y") == F.col(S.TARGET)) & (F.col("to_y") == F.col(S.TARGET))
-    made = new.join(a, "from_id").join(b, "to_id").groupBy(F.col(S.TARGET).alias("label")).agg(
-        F.count(F.lit(1)).alias("made"), F.sum(mine.cast("long")).alias("on_segment")
+    # The new rows come dealt by ``to_id``.
+    made = new.join(b, "to_id", "left").join(a, "from_id", "left").groupBy(F.col(S.TARGET).alias("label")).agg(
+        F.count(F.lit(1)).alias("made"), F.count_if(mine).alias("on_segment")
     )
     counts = train.groupBy(F.col(S.TARGET).alias("label")).agg(F.count(F.lit(1)).alias("n_rows")).join(made, "label", "left")
     none = F.lit(0).cast("long")

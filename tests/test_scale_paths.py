@@ -285,6 +285,40 @@ def test_points_move_once_a_table(spark, monkeypatch, values):
     assert {r["n"] for r in sizes.groupBy("t").agg(F.sum("count").alias("n")).collect()} == {len(x)}
 
 
+def test_points_send_as_many_neighbours_as_they_need(spark, monkeypatch):
+    """Points that ask for fewer neighbours get the same ones, and only these leave the tasks."""
+    from creditloom.operators import smote as module
+
+    rng = np.random.default_rng(13)
+    x = np.unique(np.round(rng.normal(size=(600, 4)), 3), axis=0)
+    sent, nearest = spark.sparkContext.accumulator(0), module._nearest
+    need = rng.integers(0, 4, len(x)) * (rng.random(len(x)) < 0.5)
+
+    def counted(*a):
+        for found in nearest(*a):
+            sent.add(len(found[0]))
+            yield found
+
+    want = {r["id"]: r["near"] for r in nearest_neighbours(_points(spark, x), 5, leaf=100, tables=3).collect()}
+    monkeypatch.setattr(module, "_nearest", counted)
+    points = _points(spark, x).withColumn("need", F.get(F.array(*[F.lit(int(n)) for n in need]), F.col("id").cast("int")))
+    got = {r["id"]: r["near"] for r in nearest_neighbours(points, 5, leaf=100, tables=3).collect()}
+    assert set(got) == set(np.flatnonzero(need))
+    assert all(got[i][: need[i]] == want[i][: need[i]] for i in got)
+    assert sent.value == 3 * need.sum()
+
+
+def test_rows_whose_digest_comes_first(spark):
+    from creditloom.operators.ranking import row_ranks
+    from creditloom.operators.smote import _first_rows
+
+    rows = spark.range(3000).selectExpr("id % 1000 as id", "id div 1000 as r")
+    ranked = row_ranks(rows.withColumn("_h", C.hash_hex(42, F.lit("extra"), "id", "r", width=32)), [], "_h", "id")
+    for n in (1, 700, 2999):
+        picked = ranked.where(_first_rows(rows, n, 42))
+        assert picked.count() == n and picked.agg(F.max("rank")).first()[0] == n - 1
+
+
 def test_smote_balance_writes_no_projections(spark, sf_dir, monkeypatch):
     """All new rows lie between two rows of their class, in parts cut ahead, and only the distinct points are written."""
     from creditloom.operators import smote as module
