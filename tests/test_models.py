@@ -272,3 +272,34 @@ def test_cleaned_rows_carry_the_date(spark, sf_dir):
     from creditloom.plans import model_queries as Q
 
     assert "application_date" in Q.cleaned(spark, sf_dir).columns and "application_date" not in Q.FEATURES
+
+
+def test_scoring_adds_no_column_that_nobody_reads(data):
+    model = T.ForestCredit(COLS, trees=2, depth=2, folds=2).fit(data)
+    plan = model.transform(data)._jdf.queryExecution().analyzed().toString()
+    assert "probability" in plan and "rawPrediction" not in plan and "prediction" not in plan and "_keep_" not in plan
+    linear = T.LogisticCredit(COLS, max_iter=5, folds=2).fit(data)
+    out = linear.transform(data)
+    assert out.columns == [*data.columns, "pd"] and out.join(data, COLS).count() == data.count()
+    assert "probability" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_reloaded_models_score_apart(spark, sf_dir):
+    """The two scorings of a row are not generated as one method."""
+    from creditloom.plans import model_queries as Q
+
+    plan = Q.model_reload(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Coalesce") == len(Q.RELOADED)
+
+
+def test_training_rows_have_no_more_parts_than_rows_and_cores_need(spark, monkeypatch):
+    monkeypatch.setattr(T, "PARTITION_BYTES", 72 * 500)
+    df = spark.range(2000).selectExpr("id as application_id", "id % 2 as default_flag", "double(id % 7) as x").coalesce(1)
+    model, seen = T.LogisticCredit(["x"], max_iter=2, calibrate=False), []
+    monkeypatch.setattr(model, "_fit_one", lambda data, val: seen.extend([data.rdd.getNumPartitions(), data.count()]))
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        model.fit(df)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert seen == [spark.sparkContext.defaultParallelism, 2000]
