@@ -303,3 +303,19 @@ def test_training_rows_have_no_more_parts_than_rows_and_cores_need(spark, monkey
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert seen == [spark.sparkContext.defaultParallelism, 2000]
+
+
+def test_scores_are_made_once_for_the_calibration(spark):
+    """The cells are counted, cut and pooled, but the scores that they come from are made once."""
+    from creditloom.operators.isotonic import fit_isotonic
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(x):
+        made.add(1)
+        return x / 7
+
+    rows = spark.range(500).select((F.col("id") % 3 % 2).cast("double").alias("y"), score(F.col("id").cast("double")).alias("s"))
+    fit_isotonic(rows, per_task=50)
+    assert made.value == 500
