@@ -319,3 +319,17 @@ def test_scores_are_made_once_for_the_calibration(spark):
     rows = spark.range(500).select((F.col("id") % 3 % 2).cast("double").alias("y"), score(F.col("id").cast("double")).alias("s"))
     fit_isotonic(rows, per_task=50)
     assert made.value == 500
+
+
+def test_registered_forest_is_whole(spark, data, monkeypatch):
+    """``train_forest`` fits the model's own 300 trees of depth 8 for each of five calibration folds."""
+    from creditloom.plans import model_queries as Q
+
+    monkeypatch.setattr(Q, "cleaned", lambda *a: data.withColumn("split", F.lit("train")))
+    monkeypatch.setattr(Q, "_models", {})
+    monkeypatch.setattr(T.ForestCredit, "fit", lambda self, *a: self)
+    model = Q.fitted(spark, "own rows", "forest")
+    assert model.settings() == {"trees": 300, "depth": 8, "min_leaf": 20} == T.ForestCredit(Q.FEATURES).settings()
+    assert model.folds == 5 and model.calibration == "isotonic" and model.features == Q.FEATURES
+    made = model.estimator()
+    assert (made.getNumTrees(), made.getMaxDepth(), made.getMinInstancesPerNode()) == (300, 8, 20)
