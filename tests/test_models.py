@@ -333,3 +333,61 @@ def test_registered_forest_is_whole(spark, data, monkeypatch):
     assert model.folds == 5 and model.calibration == "isotonic" and model.features == Q.FEATURES
     made = model.estimator()
     assert (made.getNumTrees(), made.getMaxDepth(), made.getMinInstancesPerNode()) == (300, 8, 20)
+
+
+@pytest.mark.parametrize(("depth", "min_leaf"), [(8, 1), (1, 20), (3, 1000)])
+def test_block_scores_are_those_of_spark(spark, data, depth, min_leaf):
+    """The probabilities of Spark's own model, bit by bit: at cuts, beyond them, of rows that come twice and of trees that are one leaf."""
+    from pyspark.ml.functions import vector_to_array
+
+    model = T.ForestCredit(COLS, trees=7, depth=depth, min_leaf=min_leaf, calibrate=False).fit(data)
+    forest = model.members[0][0]
+    cuts = [float(v) for v in np.random.default_rng(1).choice([r["cic_a"] for r in data.collect()], 40)]
+    odd = spark.createDataFrame([(v, w, -0.0) for v in cuts for w in (float("inf"), -1e300, 0.0)] * 2, ", ".join(f"{c} double" for c in COLS))
+    rows = model._vectors(data.select(*COLS).unionByName(odd))
+    both = forest.transform(rows).select(vector_to_array("probability")[1].alias("was"), "_x")
+    got = T.forest_probabilities(both, [forest, forest], "_x", "now")
+    assert got.count() == 800 + 240
+    assert got.where("now[0] <> was or now[1] <> was or was is null or now is null or size(now) <> 2").count() == 0
+    nothing = model.transform(data.where("false"))
+    assert nothing.columns == [*data.columns, "pd"] and nothing.count() == 0
+    with pytest.raises(Exception, match="(?i)null"):
+        model.transform(data.withColumn("cic_a", F.lit(None).cast("double"))).collect()
+
+
+def test_forest_scores_rows_dealt_anew(spark, data, monkeypatch):
+    """A small file may hold many rows, and a forest takes long for each."""
+    from creditloom.plans import model_queries as Q
+
+    monkeypatch.setattr(Q, "FEATURES", COLS)
+    monkeypatch.setattr(Q, "cleaned", lambda *a: data.withColumn("split", F.lit("test")))
+    monkeypatch.setattr(Q, "_models", {})
+    key = spark.sparkContext.applicationId, "own rows"
+    Q._models[(*key, "forest")] = forest = T.ForestCredit(COLS, trees=2, depth=2, folds=2).fit(data)
+    Q._models[(*key, "boosted")] = T.BoostedCredit(COLS, trees=2, depth=2).fit(data)
+    dealt = Q.train_forest(spark, "own rows")
+    assert "REBALANCE" in dealt._jdf.queryExecution().executedPlan().toString()
+    assert "REBALANCE" not in Q.train_boosted(spark, "own rows")._jdf.queryExecution().executedPlan().toString()
+    want = forest.transform(data).select("application_id", F.round("pd", 6).alias("was"))
+    assert dealt.join(want, "application_id").where("pd = was").count() == dealt.count() == 800
+
+
+@pytest.mark.parametrize(("trees", "at_once"), [(1, 3), (100, 1)])
+def test_draws_of_the_trees_count_for_folds_at_once(spark, monkeypatch, trees, at_once):
+    """Beside its vector a row of a fold holds how often each tree draws it."""
+    running, most = [], []
+    monkeypatch.setattr(T, "FOLD_BYTES", 2000 * 100 * 3)
+    monkeypatch.setattr(T, "fit_steps", lambda held: running.pop())
+
+    class Estimator:
+        def fit(self, rows):
+            running.append(1)
+            time.sleep(1.0)
+            most.append(len(running))
+            return self
+
+    model = T.ForestCredit(["a"], trees=trees, key="id", label="y", folds=3)
+    monkeypatch.setattr(model, "estimator", Estimator)
+    monkeypatch.setattr(model, "_positives", lambda df, *a: df.withColumn("_s0", F.lit(0.5)))
+    model.fit(spark.range(2000).selectExpr("id", "cast(id % 3 = 0 as int) as y", "id * 1.0D as a"))
+    assert max(most) == at_once
